@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vantarow.llm import ngram_join
+from vantarow.llm import ngram_join, substring_dedup
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2,
+    "op6_substring_dedup": substring_dedup.op6,
 }
 ORACLE_SQL: dict[str, str] = {}
