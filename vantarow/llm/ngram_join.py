@@ -13,6 +13,7 @@ found so far leave in different components are compared again.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantarow.llm.common import STEP, hashed_docs, ints, keep, mix, packed, partitions, rolling, window_rows
+from vantarow.llm.common import hashed_docs, ints, keep, mix, packed, partitions, rolling, window_rows
 from vantarow.llm.graph import connected_components
 
 #: Columns counted often within one task are put last in the order of grams. At most this many are sent
@@ -100,35 +101,36 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int,
             )
 
 
-def _deal(batches: Iterator[pa.RecordBatch], blocks: int, every: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Pack the nonzeros of the matrix by block of columns."""
-    docs, sizes, grams, counts, n = [], [], [], [], 0
+def _deal(batches: Iterator[pa.RecordBatch], blocks: int, every: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Pack the nonzeros of the matrix by block of columns: grams as they are, their rows as counts by document."""
+    docs, sizes, grams, n = [], [], [], 0
 
     def out() -> pa.RecordBatch:
-        g, who = np.concatenate(grams), np.repeat(np.arange(len(docs), dtype=np.int32), counts)
-        block = (g >> np.uint64(40)) % np.uint64(blocks)
+        g, who = np.concatenate(grams), np.repeat(np.arange(len(docs)), [len(x) for x in grams])
+        block = ((g >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
-        g, who, block = g[order], who[order], block[order].astype(np.int64)
-        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-        rows = {"block": [], "grams": [], "docs": [], "sizes": []}
-        doc, size = np.array(docs, np.int64), np.array(sizes, np.int32)
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            rows["block"].append(int(block[a]))
-            rows["grams"].append(packed(g[a:b]))
-            rows["docs"].append(packed(doc[who[a:b]]))
-            rows["sizes"].append(packed(size[who[a:b]]))
-        return pa.RecordBatch.from_pydict({"block": pa.array(rows["block"], pa.int64()), **{k: pa.array(rows[k], pa.binary()) for k in ("grams", "docs", "sizes")}})
+        g, who, block = g[order], who[order], block[order]
+        cuts = np.searchsorted(block, np.arange(blocks + 1))
+        named = zlib.compress(packed(np.diff(np.array(docs, np.int64), prepend=np.int64(0))), 1)
+        size = zlib.compress(packed(np.array(sizes, np.int32)), 1)
+        rows = {"block": [], "grams": [], "docs": [], "sizes": [], "counts": []}
+        for k in range(blocks):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                counts = zlib.compress(packed(np.bincount(who[a:b], minlength=len(docs)).astype(np.uint32)), 1)
+                for name, value in zip(rows, (k, packed(g[a:b]), named, size, counts)):
+                    rows[name].append(value)
+        return pa.RecordBatch.from_pydict({"block": pa.array(rows["block"], pa.int64()), **{k: pa.array(rows[k], pa.binary()) for k in ("grams", "docs", "sizes", "counts")}})
 
     for batch in batches:
         for d, s, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             docs.append(d)
             sizes.append(s)
             grams.append(np.frombuffer(p, np.uint64))
-            counts.append(len(grams[-1]))
-            n += counts[-1]
+            n += len(grams[-1])
             if n >= every:
                 yield out()
-                docs, sizes, grams, counts, n = [], [], [], [], 0
+                docs, sizes, grams, n = [], [], [], 0
     if n:
         yield out()
 
@@ -140,15 +142,18 @@ def _pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, chain:
 
 def _multiply(batches: Iterator[pa.RecordBatch], num: int, den: int, dense: int) -> Iterator[pa.RecordBatch]:
     """Overlap counts of the pairs in one block of columns; rows of dense columns come along with b null."""
-    held = [[], [], []]
+    grams, docs, sizes = [], [], []
     for batch in batches:
-        for k in range(3):
-            held[k].extend(batch.column(k + 1).to_pylist())
-    g, doc, size = ints(held[0], "u8"), ints(held[1], "i8"), ints(held[2], "i4").astype(np.int64)
-    del held
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("chain", pa.bool_()), ("c", pa.int64())])
-    if not len(g):
+        for g, named, size, counts in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            counts = np.frombuffer(zlib.decompress(counts), np.uint32)
+            grams.append(g)
+            docs.append(np.repeat(np.cumsum(np.frombuffer(zlib.decompress(named), np.int64)), counts))
+            sizes.append(np.repeat(np.frombuffer(zlib.decompress(size), np.int32), counts))
+    if not grams:
         return
+    g, doc, size = ints(grams, "u8"), np.concatenate(docs), np.concatenate(sizes).astype(np.int64)
+    del grams, docs, sizes
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("chain", pa.bool_()), ("c", pa.int64())])
     order = np.argsort(g, kind="stable")
     g = g[order]
     same = np.zeros(len(g), bool)
@@ -227,36 +232,50 @@ def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield from out()
 
 
-def _whole(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _exact(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Compares members with their centre, whose row comes first in each run of rows of one centre."""
+    centre, own = None, np.empty(0, np.uint64)
     for batch in batches:
-        for a, grams, offs in _sets(batch.column(1), words):
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0).slice(a, len(offs) - 1), "grams": pa.array([packed(grams[offs[i] : offs[i + 1]]) for i in range(len(offs) - 1)], pa.binary())}
-            )
+        at, doc = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        good: tuple[list, list] = ([], [])
+        for first, grams, offs in _sets(batch.column(3), words):
+            for i in range(len(offs) - 1):
+                part = grams[offs[i] : offs[i + 1]]
+                if doc[first + i] is None:
+                    centre, own = at[first + i], part
+                    continue
+                if at[first + i] != centre:
+                    raise RuntimeError("a member came without its centre")
+                both = np.concatenate([own, part])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if shared * den >= num * (len(own) + len(part) - shared):
+                    good[0].append(centre)
+                    good[1].append(doc[first + i])
+        yield pa.RecordBatch.from_pydict({"u": pa.array(good[0], pa.int64()), "v": pa.array(good[1], pa.int64())})
+
+
+def _linked(pairs: DataFrame, documents: DataFrame, words: int, num: int, den: int, together: int = 256) -> DataFrame:
+    """Those of the candidate pairs (a, b) whose whole sets reach the threshold.
+
+    Texts move once for each pair and once for each centre a (not sets, which are larger); a centre of many
+    members is copied to parts of about ``together`` of them.
+    """
+    pairs = keep(pairs.select("a", "b"), "candidates")
+    size = pairs.count()
+    sent = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("parts")), "a")
+    sent = sent.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    members = sent.select(F.col("b").alias("doc_id"), F.col("a").alias("centre"), "part", F.col("b").alias("member"))
+    centres = sent.select("a", "part").distinct().select(F.col("a").alias("doc_id"), F.col("a").alias("centre"), "part", F.lit(None).cast("long").alias("member"))
+    wanted = keep(members.unionByName(centres), "wanted")
+    rows = documents.join(F.broadcast(wanted) if 2 * size <= MAX_IDS else wanted, "doc_id").select("centre", "part", "member", "text")
+    dealt = rows.repartition(partitions(documents.sparkSession), "centre", "part").sortWithinPartitions("centre", "part", F.col("member").asc_nulls_first())
+    return dealt.mapInArrow(partial(_exact, words=words, num=num, den=den), "u long, v long")
 
 
-def _exact(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep_a, keep_b = [], []
-        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            if shared * den >= num * (len(x) + len(y) - shared):
-                keep_a.append(a)
-                keep_b.append(b)
-        yield pa.RecordBatch.from_pydict({"u": pa.array(keep_a, pa.int64()), "v": pa.array(keep_b, pa.int64())})
-
-
-def _linked(pairs: DataFrame, documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Those of the candidate pairs (a, b) whose whole sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = F.broadcast(ids) if ids.count() <= MAX_IDS else ids
-    sets = documents.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_whole, words=words), "doc_id long, grams binary")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
-    return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(partial(_exact, num=num, den=den), "u long, v long")
+def _few(ids: DataFrame) -> DataFrame:
+    """Broadcast ids behind a count of them; beyond the bound they are a side of a shuffle join."""
+    return F.broadcast(ids) if ids.count() <= MAX_IDS else ids
 
 
 def ngram_components(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100, dense: int = 48, least: int = 8, everywhere: int = 32) -> DataFrame:
@@ -281,9 +300,9 @@ def ngram_components(documents: DataFrame, words: int = 5, num: int = 80, den: i
     shared = spark.sparkContext.broadcast(often) if len(often) else None
     rows = keep(docs.mapInArrow(partial(_prefixes, words=words, num=num, den=den, frequent=shared), "doc_id long, n long, signature binary, prefix binary"), "prefixes")
     classes = keep(rows.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("class_id")), "classes")
-    heads = rows.where("n > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id").select("doc_id", F.col("n"), "prefix")
-    blocks = 4 * partitions(spark)
-    dealt = heads.mapInArrow(partial(_deal, blocks=blocks), "block long, grams binary, docs binary, sizes binary").repartition(partitions(spark), "block")
+    copies = keep(rows.select("doc_id", "signature").join(classes, "signature").where("doc_id != class_id").select("doc_id"), "copies")
+    heads = rows.where("n > 0").join(_few(copies), "doc_id", "left_anti").select("doc_id", "n", "prefix")
+    dealt = heads.mapInArrow(partial(_deal, blocks=partitions(spark)), "block long, grams binary, docs binary, sizes binary, counts binary").repartition(partitions(spark), "block")
     product = keep(dealt.mapInArrow(partial(_multiply, num=num, den=den, dense=dense), "a long, b long, na long, nb long, chain boolean, c long"), "product")
     need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den)).cast("long")
     tail = F.greatest(F.ceil(F.lit(num) * F.col("na") / den), F.ceil(F.lit(num) * F.col("nb") / den)).cast("long") - 1
@@ -293,8 +312,7 @@ def ngram_components(documents: DataFrame, words: int = 5, num: int = 80, den: i
         .where(F.col("chain") | (F.col("c") >= need - tail)),
         "pairs",
     )
-    closest = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    closest = closest.unionByName(pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select("a", "b")).distinct()
+    closest = keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"), "closest")
     links = keep(_linked(closest, docs, words, num, den), "links")
     found = keep(connected_components(links), "components")
 
@@ -321,7 +339,7 @@ def one_of_each(documents: DataFrame, **settings) -> DataFrame:
     """The rows whose doc_id stands for their component; all columns stay. Rows with a null doc_id stay too."""
     found = ngram_components(documents, **settings).select(F.col("doc_id").alias("__doc"), F.col("component_id").alias("__component"))
     gone = found.where("__doc != __component").select(F.col("__doc").alias("doc_id"))
-    gone = F.broadcast(gone) if gone.count() <= MAX_IDS else gone
+    gone = _few(keep(gone, "gone"))
     return documents.join(gone, documents["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 
 
