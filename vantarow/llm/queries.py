@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from vantarow.llm import ngram_join, packing, pii, substring_dedup
+from vantarow.llm import ngram_join, packing, pii, substring_dedup, url_filter
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2,
     "op6_substring_dedup": substring_dedup.op6,
     "op7_best_fit_packing": packing.op7,
     "op8_pii": pii.op8,
+    "op9_url_filter": url_filter.op9,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filter": url_filter.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
