@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantarow.llm.common import hashed_docs, ints, keep, mix, packed, partitions, rolling, window_rows
+from vantarow.llm.common import hashed_docs, ints, keep, lean, mix, packed, partitions, rolling, window_rows
 from vantarow.llm.graph import connected_components
 
 #: Columns counted often within one task are put last in the order of grams. At most this many are sent
@@ -52,7 +52,8 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.nd
         yield a, grams, np.searchsorted(rows, np.arange(b - a + 1), "left")
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], words: int, least: int, every: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+@lean
+def _frequent(batches: Iterator[pa.RecordBatch], words: int, least: int, every: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     held, n, seen = [], 0, set()
 
     def out() -> pa.RecordBatch:
@@ -76,6 +77,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], words: int, least: int, every:
         yield out()
 
 
+@lean
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, frequent) -> Iterator[pa.RecordBatch]:
     often = frequent.value if frequent is not None else np.empty(0, np.uint64)
     rough = np.zeros(1 << 20, bool)
@@ -101,7 +103,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int,
             )
 
 
-def _deal(batches: Iterator[pa.RecordBatch], blocks: int, every: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+@lean
+def _deal(batches: Iterator[pa.RecordBatch], blocks: int, every: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Pack the nonzeros of the matrix by block of columns: grams as they are, their rows as counts by document."""
     docs, sizes, grams, n = [], [], [], 0
 
@@ -140,6 +143,7 @@ def _pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, chain:
     return {"a": np.where(swap, b, a), "b": np.where(swap, a, b), "na": np.where(swap, nb, na), "nb": np.where(swap, na, nb), "chain": np.full(len(a), chain)}
 
 
+@lean
 def _multiply(batches: Iterator[pa.RecordBatch], num: int, den: int, dense: int) -> Iterator[pa.RecordBatch]:
     """Overlap counts of the pairs in one block of columns; rows of dense columns come along with b null."""
     grams, docs, sizes = [], [], []
@@ -202,6 +206,7 @@ def _multiply(batches: Iterator[pa.RecordBatch], num: int, den: int, dense: int)
         yield pa.RecordBatch.from_pydict({"a": doc[many], "b": pa.nulls(len(many), pa.int64()), "na": size[many], "nb": g[many].view(np.int64), "chain": np.ones(len(many), bool), "c": np.zeros(len(many), np.int64)}, schema=schema)
 
 
+@lean
 def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs of one dense column that lie in different components; rows come sorted by column, then size."""
     gram, doc, size, comp = None, [], [], []
@@ -232,6 +237,7 @@ def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield from out()
 
 
+@lean
 def _exact(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Compares members with their centre, whose row comes first in each run of rows of one centre."""
     centre, own = None, np.empty(0, np.uint64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantarow.llm.common import _pieces, keep, packed, scan, texts_of
+from vantarow.llm.common import _pieces, keep, lean, packed, scan, texts_of
 
 #: Distinct units whose ids a worker remembers.
 MEMO = 1_500_000
@@ -120,6 +120,7 @@ def token_ids(column: pa.Array, path: str, step: int = 1 << 21) -> Iterator[tupl
         row = to
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs = batch.column(0).to_pylist()
@@ -299,6 +300,7 @@ def _places(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+@lean
 def _assign(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
     keys = (places[:, 0] << 44) | places[:, 1]
     for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantarow.llm.common import keep, texts_of
+from vantarow.llm.common import keep, lean, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "address", "birth", "iban", "name", "ssn")
 LABELERS = ("form", "checksum", "gazetteer", "context", "boundary")
@@ -182,6 +182,7 @@ def _rows(column: pa.Array) -> Iterator[tuple[str | None, bytes]]:
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,code:int>>"
 
 
+@lean
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = hashlib.sha256(b"").hexdigest()
     span = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("code", pa.int32())]))
@@ -277,6 +278,7 @@ def personal_data(documents: DataFrame, least: float = 0.8) -> DataFrame:
     )
 
 
+@lean
 def _redact(batches: Iterator[pa.RecordBatch], codes: frozenset[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")

@@ -22,13 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantarow.llm.common import hashed_docs, keep, mix, packed, partitions, rolling, texts_of, window_rows
+from vantarow.llm.common import hashed_docs, keep, lean, mix, packed, partitions, rolling, texts_of, window_rows
 
 #: Up to this many bytes of ids or marks are broadcast; beyond, a shuffle join takes their place.
 MAX_BROADCAST = 48 << 20
 _DEALT = "block long, flush binary, docs binary, counts binary, grams binary, places binary"
 
 
+@lean
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, hashes, offs in hashed_docs(batch.column(1)):
@@ -94,7 +95,8 @@ def _named(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(raw), np.int64))
 
 
-def _deal_probes(batches: Iterator[pa.RecordBatch], length: int, block: int, blocks: int, every: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+@lean
+def _deal_probes(batches: Iterator[pa.RecordBatch], length: int, block: int, blocks: int, every: int = 500_000) -> Iterator[pa.RecordBatch]:
     dealer = _Dealer(blocks, every, False)
     for batch in batches:
         ids = batch.column(0)
@@ -110,6 +112,7 @@ def _deal_probes(batches: Iterator[pa.RecordBatch], length: int, block: int, blo
         yield dealer.out()
 
 
+@lean
 def _match(batches: Iterator[pa.RecordBatch], anchors: bool) -> Iterator[pa.RecordBatch]:
     """Marks what meets in one partition: with ``anchors``, values that an aligned block and another place have; else values of two places."""
     rows: list[tuple] = []
@@ -157,6 +160,7 @@ def _edges(raw: bytes) -> np.ndarray:
 _MARKED = "block long, flush binary, docs binary, counts binary, marks binary"
 
 
+@lean
 def _by_doc(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[pa.RecordBatch]:
     """Gather the marks of each flush and hand every document those of its own."""
     flushes: dict[bytes, list[tuple]] = {}
@@ -220,7 +224,8 @@ def _hit_places(grams: np.ndarray, named: bytes, bits: bytes, blocks: int) -> np
     return hit
 
 
-def _deal_windows(batches: Iterator[pa.RecordBatch], length: int, block: int, blocks: int, every: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+@lean
+def _deal_windows(batches: Iterator[pa.RecordBatch], length: int, block: int, blocks: int, every: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Extend hits: every window of full length whose own aligned block was hit."""
     dealer = _Dealer(blocks, every, True)
     for batch in batches:
@@ -243,6 +248,7 @@ def _deal_windows(batches: Iterator[pa.RecordBatch], length: int, block: int, bl
         yield dealer.out()
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, spans, whole = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist()
