@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vantarow.llm import decontaminate, ngram_join, packing, pii, quality, substring_dedup, url_filter
+from vantarow.llm import decontaminate, lm_score, ngram_join, packing, pii, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2,
     "op3_decontamination": decontaminate.op3,
     "op4_quality_rules": quality.op4,
+    "op5_lm_scoring": lm_score.op5,
     "op6_substring_dedup": substring_dedup.op6,
     "op7_best_fit_packing": packing.op7,
     "op8_pii": pii.op8,
