@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vantarow.llm import decontaminate, lm_score, ngram_join, packing, pii, quality, substring_dedup, url_filter
+from vantarow.llm import decontaminate, licence, lm_score, ngram_join, packing, pii, quality, secrets, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_licence_scan": licence.op1,
     "op2_ngram_join": ngram_join.op2,
     "op3_decontamination": decontaminate.op3,
     "op4_quality_rules": quality.op4,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_best_fit_packing": packing.op7,
     "op8_pii": pii.op8,
     "op9_url_filter": url_filter.op9,
+    "op10_secret_scan": secrets.op10,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_url_filter": url_filter.ORACLE,

@@ -1,0 +1,152 @@
+"""Secret scan: candidates by pattern, and a random forest that removes false positives.
+
+Candidates, their features and verdicts are DataFrame expressions and a model of Spark's own ML library;
+nothing leaves the JVM. The forest is trained from labelled findings.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A value: 16 characters of tokens or more, with a letter and a digit among them.
+_RUN = r"[A-Za-z0-9+/_=.~-]"
+_SOME = rf"(?<!{_RUN}){_RUN}{{16,}}+"
+_PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|xox[abprs]-|sk_live_|sk-|AIza|eyJ|glpat-)"
+#: Words that a secret stands beside, and words that other tokens stand beside.
+_CUES = r"(?i)(passw(or)?d|passwd|secret|token|api_?-?key|access_?key|auth|bearer|credential|private_?key)"
+_OTHER = r"(?i)(commit|checksum|sha-?[0-9]*|md5|digest|uuid|guid|version|build|revision|etag|hash|file|path|url|page|image|order|invoice|isbn)"
+_PATHS = r"(?i)(^|[/._-])(tests?|examples?|samples?|docs?|fixtures?|lock|vendor|node_modules)([/._-]|$)"
+#: Words that names are made of.
+_WORDS = (
+    "account", "address", "application", "array", "backup", "build", "class", "client", "code", "column", "commit", "config", "connection", "content", "count", "create", "data", "date", "default", "delete",
+    "document", "error", "event", "example", "field", "file", "final", "first", "format", "function", "group", "header", "image", "index", "input", "item", "language", "length", "level", "list",
+    "message", "method", "model", "module", "name", "number", "object", "option", "order", "output", "package", "page", "path", "process", "project", "query", "record", "report", "request", "response",
+    "result", "sample", "schema", "server", "service", "session", "source", "start", "status", "string", "system", "table", "test", "time", "type", "update", "user", "value", "version", "view",
+)
+FEATURES = ("length", "transitions", "digits", "upper", "distinct", "hexadecimal", "dictionary", "longest_letters", "known_prefix", "assigned", "quoted", "cue", "other", "cue_before", "other_before", "other_after", "path_hint", "dashes")
+
+
+def candidates(documents: DataFrame, path: Column) -> DataFrame:
+    """One row per candidate: doc_id, word_index, value, and the features. Whole texts are searched."""
+    rows = documents.select("doc_id", F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(F.col("text").rlike(_SOME)).select("doc_id", "path", F.split("text", r"\s+").alias("words"))
+    found = F.filter(
+        F.transform("words", lambda w, i: F.struct(i.alias("word_index"), w.alias("word"), F.get("words", i - 2).alias("b2"), F.get("words", i - 1).alias("b1"), F.get("words", i + 1).alias("a1"))),
+        lambda x: x["word"].rlike(_SOME) & x["word"].rlike("[0-9]") & x["word"].rlike("[A-Za-z]"),
+    )
+    rows = rows.select("doc_id", "path", F.explode(found).alias("x")).select("doc_id", "path", "x.*")
+    # key=value and key:value: the value is what follows; quotes and closing marks aren't part of it
+    split = F.regexp_extract("word", r"""^["'(\[{<]*([A-Za-z_][A-Za-z0-9_.-]{0,40}["']?[=:])?["']*(.*?)["')\]}>,;.!?#*$%&|]*$""", 1)
+    value = F.regexp_extract("word", r"""^["'(\[{<]*(?:[A-Za-z_][A-Za-z0-9_.-]{0,40}["']?[=:])?["']*(.*?)["')\]}>,;.!?#*$%&|]*$""", 1)
+    rows = rows.select("*", split.alias("key"), value.alias("value"))
+    rows = rows.where((F.length("value") >= 16) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & F.col("value").rlike(rf"^{_RUN}+$"))
+    length = F.length("value").cast("double")
+    low = F.lower("value")
+
+    def flag(test: Column) -> Column:
+        return F.coalesce(test, F.lit(False)).cast("double")
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count("value", F.lit(pattern)).cast("double")
+
+    before = F.concat_ws(" ", F.coalesce("b2", F.lit("")), F.coalesce("b1", F.lit("")))
+    made = {
+        "length": length,
+        "transitions": (count(r"(?<=[a-z])(?=[^a-z])") + count(r"(?<=[A-Z])(?=[^A-Z])") + count(r"(?<=[0-9])(?=[^0-9])")) / length,
+        "digits": count("[0-9]") / length,
+        "upper": count("[A-Z]") / length,
+        "distinct": F.size(F.array_distinct(F.split(low, ""))).cast("double") / length,
+        "hexadecimal": flag(low.rlike("^[0-9a-f-]+$")),
+        "dictionary": 1.0 - F.length(F.regexp_replace(low, "|".join(sorted(_WORDS, key=lambda w: (-len(w), w))), "")).cast("double") / length,
+        "longest_letters": F.array_max(F.transform(F.split(low, "[^a-z]+"), lambda x: F.length(x))).cast("double"),
+        "known_prefix": flag(F.col("value").rlike(_PREFIX)),
+        "assigned": flag((F.col("key") != "") | F.col("b1").rlike("^(=|:|:=|=>)$") | F.col("b1").rlike("[=:]$")),
+        "quoted": flag(F.col("word").rlike(r"""["']""")),
+        "cue": flag(F.col("key").rlike(_CUES)),
+        "other": flag(F.col("key").rlike(_OTHER)),
+        "cue_before": flag(before.rlike(_CUES)),
+        "other_before": flag(before.rlike(_OTHER)),
+        "other_after": flag(F.col("a1").rlike(_OTHER)),
+        "path_hint": flag(F.col("path").rlike(_PATHS)),
+        "dashes": count("[-/._]") / length,
+    }
+    return rows.select("doc_id", "word_index", "value", *[made[k].alias(k) for k in FEATURES])
+
+
+def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
+    """Labelled findings by rule: texts with one candidate each, their paths, and label 1 (a secret) or 0.
+
+    Kinds of secrets and of what is mistaken for them take turns; the characters come from hashes of the row's
+    number, so the table is the same everywhere.
+    """
+    i = F.col("id").cast("string")
+    sha, md5 = F.sha1(i), F.md5(F.concat(i, F.lit("x")))
+    b64 = F.regexp_replace(F.base64(F.unhex(F.sha2(i, 256))), "[^A-Za-z0-9]", "")
+    uuid = F.concat_ws("-", md5.substr(1, 8), md5.substr(9, 4), md5.substr(13, 4), md5.substr(17, 4), md5.substr(21, 12))
+    w = [F.element_at(F.array(*[F.lit(x) for x in _WORDS]), (F.pmod(F.hash(i, F.lit(k)), F.lit(len(_WORDS))) + 1).cast("int")) for k in range(4)]
+    kinds = [
+        (1, F.concat(F.lit('token = "'), sha, F.lit('"'))),
+        (0, F.concat(F.lit("commit "), sha)),
+        (1, F.concat(F.lit("password="), sha.substr(1, 18))),
+        (0, F.concat(F.lit("sha256:"), F.sha2(i, 256))),
+        (1, F.concat(F.lit("AKIA"), F.upper(b64.substr(1, 16)))),
+        (0, F.concat(F.lit("the uuid "), uuid)),
+        (1, F.concat(F.lit("api_key: "), b64.substr(1, 32))),
+        (0, F.concat_ws("_", *w, F.lit("2024"))),
+        (1, F.concat(F.lit("Authorization: Bearer "), b64.substr(1, 40))),
+        (0, F.concat(F.lit("see "), F.concat_ws("/", *w), F.lit("/page12.html"))),
+        (1, F.concat(F.lit("secret_key='"), b64.substr(1, 24), F.lit("'"))),
+        (0, F.concat(F.lit("checksum md5 "), md5)),
+        (1, F.concat(F.lit("ghp_"), b64.substr(1, 36))),
+        (0, F.concat(F.lit("build version-2024.01."), F.pmod(F.hash(i), F.lit(999)).cast("string"), F.lit("-"), w[0], F.lit("-"), w[1])),
+        (1, F.concat(w[0], F.lit(" passwd: "), b64.substr(1, 20))),
+        (0, F.concat(F.lit("file "), w[0], F.lit("-"), w[1], F.lit("-"), F.pmod(F.hash(i), F.lit(9999)).cast("string"), F.lit(".tar.gz"))),
+    ]
+    text = label = None
+    for k, (good, made) in enumerate(kinds):
+        turn = F.pmod(F.col("id"), F.lit(len(kinds))) == k
+        text = F.when(turn, made) if text is None else text.when(turn, made)
+        label = F.when(turn, F.lit(good)) if label is None else label.when(turn, F.lit(good))
+    text = F.concat_ws(" ", w[2], text, w[3])
+    path = F.when(F.pmod(F.col("id"), F.lit(7)) == 0, F.lit("src/main/app.py")).otherwise(F.concat(F.lit("data/part-"), i, F.lit(".txt")))
+    return spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), path.alias("path"), label.alias("label"))
+
+
+def train(findings: DataFrame, limit: int = 20_000, trees: int = 40, depth: int = 7):
+    """A forest for findings (doc_id, text, path, label); at most ``limit`` of them, chosen by hash. None without both classes."""
+    labels = findings.select("doc_id", F.col("label").cast("double").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = candidates(findings, F.col("path")).join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "word_index").limit(limit).coalesce(1)
+    if rows.agg(F.countDistinct("label")).first()[0] < 2:
+        return None
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label")
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, maxMemoryInMB=64).fit(assembled)
+
+
+def find_secrets(documents: DataFrame, path: Column, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
+    """All candidates of all documents with the forest's probability and verdict.
+
+    ``documents``: doc_id and text; ``path``: expression for the path of the file (null: none). Other columns are
+    ignored, whatever their names. ``findings``: labelled findings, else those made by rule. Null and empty
+    texts have no candidates; repeated rows, and rows with a null doc_id, give theirs each; an empty table
+    gives an empty result. Values don't leave in the clear. Returns doc_id, word_index, value_sha256, length,
+    known_prefix, probability, is_secret.
+    """
+    model = train(labelled_findings(documents.sparkSession) if findings is None else findings)
+    rows = candidates(documents, path)
+    if model is None:
+        probability = F.lit(0.0)
+    else:
+        rows = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows))
+        probability = vector_to_array("probability")[1]
+    return rows.select("doc_id", "word_index", F.sha2("value", 256).alias("value_sha256"), F.col("length").cast("long").alias("length"), (F.col("known_prefix") > 0).alias("known_prefix"), probability.alias("probability")).withColumn(
+        "is_secret", F.col("probability") >= least
+    )
+
+
+def op10(spark, sf_dir: str) -> DataFrame:
+    """Findings in every document of ``documents``, filed under their source; see :func:`find_secrets`."""
+    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("source"))
