@@ -239,44 +239,67 @@ def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
 
 @lean
 def _exact(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Compares members with their centre, whose row comes first in each run of rows of one centre."""
-    centre, own = None, np.empty(0, np.uint64)
+    """Pairs of each group that reach the threshold; rows come by group, its texts before its pairs.
+
+    A pair that earlier links of the group connect already needs no comparison: components are the same.
+    """
+    group: tuple | None = None
+    sets: dict[int, np.ndarray] = {}
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
     for batch in batches:
-        at, doc = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        comp, lo, hi, a, b = (batch.column(k).to_pylist() for k in range(5))
         good: tuple[list, list] = ([], [])
-        for first, grams, offs in _sets(batch.column(3), words):
+        for first, grams, offs in _sets(batch.column(5), words):
             for i in range(len(offs) - 1):
-                part = grams[offs[i] : offs[i + 1]]
-                if doc[first + i] is None:
-                    centre, own = at[first + i], part
+                k = first + i
+                if (comp[k], lo[k], hi[k]) != group:
+                    group, sets, above = (comp[k], lo[k], hi[k]), {}, {}
+                if b[k] is None:
+                    sets[a[k]] = grams[offs[i] : offs[i + 1]].copy()
+                    continue
+                u, v = top(a[k]), top(b[k])
+                if u == v:
                     continue
-                if at[first + i] != centre:
-                    raise RuntimeError("a member came without its centre")
-                both = np.concatenate([own, part])
-                both.sort()
+                x, y = sets[a[k]], sets[b[k]]
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
-                if shared * den >= num * (len(own) + len(part) - shared):
-                    good[0].append(centre)
-                    good[1].append(doc[first + i])
+                if shared * den >= num * (len(x) + len(y) - shared):
+                    above[u] = v
+                    good[0].append(a[k])
+                    good[1].append(b[k])
         yield pa.RecordBatch.from_pydict({"u": pa.array(good[0], pa.int64()), "v": pa.array(good[1], pa.int64())})
 
 
 def _linked(pairs: DataFrame, documents: DataFrame, words: int, num: int, den: int, together: int = 256) -> DataFrame:
-    """Those of the candidate pairs (a, b) whose whole sets reach the threshold.
+    """Links among candidate pairs (a, b; c: the larger, the likelier) that make the same components as all links.
 
-    Texts move once for each pair and once for each centre a (not sets, which are larger); a centre of many
-    members is copied to parts of about ``together`` of them.
+    Documents that candidates connect are compared in groups, so that a text moves once for many pairs. A
+    connected set of more than ``together`` documents is cut into parts, and each pair of parts that
+    candidates name is a group: no group has more than twice as many documents.
     """
-    pairs = keep(pairs.select("a", "b"), "candidates")
-    size = pairs.count()
-    sent = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("parts")), "a")
-    sent = sent.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    members = sent.select(F.col("b").alias("doc_id"), F.col("a").alias("centre"), "part", F.col("b").alias("member"))
-    centres = sent.select("a", "part").distinct().select(F.col("a").alias("doc_id"), F.col("a").alias("centre"), "part", F.lit(None).cast("long").alias("member"))
-    wanted = keep(members.unionByName(centres), "wanted")
-    rows = documents.join(F.broadcast(wanted) if 2 * size <= MAX_IDS else wanted, "doc_id").select("centre", "part", "member", "text")
-    dealt = rows.repartition(partitions(documents.sparkSession), "centre", "part").sortWithinPartitions("centre", "part", F.col("member").asc_nulls_first())
-    return dealt.mapInArrow(partial(_exact, words=words, num=num, den=den), "u long, v long")
+    pairs = keep(pairs.select("a", "b", "c"), "candidates")
+    found = keep(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), "candidate_sets")
+    parts = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / together).cast("long").alias("parts"))
+    placed = keep(found.join(parts, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")), "placed")
+
+    def at(of: str, to: str) -> DataFrame:
+        return placed.select(F.col("node").alias(of), F.col("part").alias(to), F.col("component").alias(f"{to}_component"))
+
+    keyed = pairs.join(at("a", "pa"), "a").join(at("b", "pb"), "b")
+    keyed = keep(keyed.select(F.col("pa_component").alias("component"), F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi"), "a", "b", "c"), "keyed")
+    key = ["component", "lo", "hi"]
+    wanted = keep(keyed.select(*key, F.col("a").alias("doc_id")).unionByName(keyed.select(*key, F.col("b").alias("doc_id"))).distinct(), "wanted")
+    texts = documents.join(_few(wanted), "doc_id").select(*key, F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text", F.lit(None).cast("long").alias("c"))
+    rows = texts.unionByName(keyed.select(*key, "a", "b", F.lit(None).cast("string").alias("text"), "c"))
+    dealt = rows.repartition(partitions(documents.sparkSession), *key).sortWithinPartitions(*key, F.col("c").desc_nulls_first(), "a", "b")
+    return dealt.select(*key, "a", "b", "text").mapInArrow(partial(_exact, words=words, num=num, den=den), "u long, v long")
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -318,24 +341,22 @@ def ngram_components(documents: DataFrame, words: int = 5, num: int = 80, den: i
         .where(F.col("chain") | (F.col("c") >= need - tail)),
         "pairs",
     )
-    closest = keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"), "closest")
-    links = keep(_linked(closest, docs, words, num, den), "links")
+    links = keep(_linked(pairs, docs, words, num, den), "links")
     found = keep(connected_components(links), "components")
 
-    def comp(of: str, to: str) -> tuple[DataFrame, str, str]:
-        return found.select(F.col("node").alias(of), F.col("component").alias(to)), of, "left"
 
-    rest = pairs.select("a", "b").join(*comp("a", "ca")).join(*comp("b", "cb")).where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(closest, ["a", "b"], "left_anti")
     dense_rows = product.where("b is null").select(F.col("nb").alias("gram"), "a", F.col("na").alias("n"))
-    split = dense_rows.join(*comp("a", "ca")).select("gram", F.col("a").alias("doc"), "n", F.coalesce("ca", "a").alias("comp"))
+    labels = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    split = dense_rows.join(labels, "a", "left").select("gram", F.col("a").alias("doc"), "n", F.coalesce("ca", "a").alias("comp"))
     mixed = split.groupBy("gram").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("gram")
     across = (
         split.join(mixed, "gram", "left_semi").repartition(partitions(spark), "gram").sortWithinPartitions("gram", "n", "doc")
         .mapInArrow(partial(_across, num=num, den=den), "a long, b long").distinct()
     )
-    rest = keep(rest.unionByName(across).distinct(), "rest")
-    more = keep(_linked(rest, docs, words, num, den), "links")
-    final = connected_components(links.unionByName(more)).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+    across = keep(across.withColumn("c", F.lit(0).cast("long")), "across")
+    if not across.isEmpty():
+        links = links.unionByName(keep(_linked(across, docs, words, num, den), "links"))
+    final = (found if across.isEmpty() else connected_components(links)).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     named = rows.select("doc_id", F.col("n").alias("n_shingles"), "signature").join(classes, "signature", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     return named.join(final, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"), "class_id")

@@ -295,7 +295,7 @@ def remove_repeats(documents: DataFrame, length: int = 35) -> DataFrame:
     parts = partitions(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     signs = keep(docs.mapInArrow(_signatures, "doc_id long, n long, signature binary"), "signatures")
-    classes = signs.where(F.col("n") >= length).groupBy("signature").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    classes = keep(signs.where(F.col("n") >= length).groupBy("signature").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "classes")
     copies = keep(signs.join(classes, "signature").select("doc_id", "head"), "copies")
     n_copies = copies.count()
     others = _small(copies.where("doc_id != head").select("doc_id"), 16 * n_copies)
