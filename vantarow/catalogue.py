@@ -1,6 +1,9 @@
-"""Registry of the library's own queries and of the SQL that states the same results."""
+"""The library's own queries and the SQL that states the same results."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from vantarow.plans import detection
+
+_PARTS = (detection.REGISTRY,)
+QUERIES = {name: f for part in _PARTS for name, f in part.queries.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.sql.items()}
