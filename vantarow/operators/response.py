@@ -89,7 +89,7 @@ def plan_hash(plans: DataFrame) -> DataFrame:
     return plans.withColumn("plan_hash", F.sha2(canonical_json({n: json_string(F.col(n)) for n in names}), 256))
 
 
-def request_key(rows: DataFrame, *names: str) -> Column:
+def request_key(*names: str) -> Column:
     return F.substring(F.sha2(canonical_json({n: json_string(F.col(n).cast("string")) for n in names}), 256), 1, 24)
 
 
