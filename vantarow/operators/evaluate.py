@@ -27,7 +27,7 @@ def event_outcomes(windows: DataFrame, incidents: DataFrame, threshold: float |
         F.coalesce(F.max(over & fires), F.lit(False)).alias("detected"), F.min(F.when(over & fires, F.col("start") + g.window)).alias("first_end"),
         F.max_by(fires, F.when(before, F.col("start"))).alias("pre"),
     )
-    return out.select("event_id", "series_id", "detected", F.greatest(F.lit(0), F.col("first_end") - F.col("e_start")).cast("int").alias("minutes"), F.coalesce("pre", F.lit(False)).alias("pre_alarmed"))
+    return out.select("event_id", "series_id", "detected", F.when(F.col("first_end").isNotNull(), F.greatest(F.lit(0), F.col("first_end") - F.col("e_start"))).cast("int").alias("minutes"), F.coalesce("pre", F.lit(False)).alias("pre_alarmed"))
 
 
 def event_peaks(windows: DataFrame, incidents: DataFrame, g: Geometry = Geometry()) -> DataFrame:

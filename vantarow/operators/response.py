@@ -120,7 +120,7 @@ def build_chain(entries: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Link entries of each log (log_id, seq, names) by hash. A log is a fold over its own rows in order, and only that."""
     schema = entries.select("log_id", "seq", *names)
 
-    def fold(_key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         import hashlib
 
         rows = rows.sort_values("seq")
@@ -205,7 +205,7 @@ def rate_limit(requests: DataFrame, per_caller: int = 3, seconds: float = 60.0)
     The decision depends on earlier decisions, so each caller is a fold over its own requests, in order.
     """
 
-    def fold(_key, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(_key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         admitted: list[float] = []
         for rows in parts:
             out = []
@@ -218,7 +218,7 @@ def rate_limit(requests: DataFrame, per_caller: int = 3, seconds: float = 60.0)
                 out.append(ok)
             yield rows.assign(admitted=out)
 
-    def whole(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return next(fold(key, iter([rows.sort_values(["at", "request_id"])])))
 
     return requests.select("caller", "at", "request_id").groupBy("caller").applyInPandas(whole, "caller long, at double, request_id long, admitted boolean")

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vantarow.functions.text import content_words, sentences, tokens
 
@@ -48,12 +49,12 @@ def strip_markup(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(line.rstrip() for line in out.split("\n"))).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_html(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else strip_markup(x))
 
 
-@F.pandas_udf("array<struct<heading:string,body:string,offset:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("body", T.StringType()), T.StructField("offset", T.IntegerType())])))
 def sections(text: pd.Series) -> pd.Series:
     """Parts under headings of level two to four, with the place of each in the text."""
 

@@ -177,7 +177,7 @@ _OUT = (
 pre_w AS (SELECT i.event_id, arg_max(score >= threshold, w.start) AS pre FROM inc i JOIN sw w ON w.series_id = i.series_id AND w.start + 12 <= i.start AND w.label = 0, thr GROUP BY i.event_id),
 outc AS (SELECT i.event_id, i.series_id, coalesce(hit, 0) = 1 AS detected, CASE WHEN hit = 1 THEN greatest(0, minutes) END AS minutes, coalesce(pre, false) AS pre_alarmed FROM inc i LEFT JOIN over_w USING (event_id) LEFT JOIN pre_w USING (event_id))"""
 )
-query("event_outcomes", with_base("SELECT * FROM outc", _OUT))(lambda s, d: outcomes_of(points(s, d)).withColumn("minutes", F.when(F.col("detected"), F.col("minutes"))))
+query("event_outcomes", with_base("SELECT * FROM outc", _OUT))(lambda s, d: outcomes_of(points(s, d)))
 _PEAKS = """peaks AS (SELECT i.event_id, coalesce(max(score), '-infinity'::DOUBLE) AS peak FROM inc i LEFT JOIN sw w ON w.series_id = i.series_id AND w.start < i."end" AND w.start + 12 > i.start GROUP BY i.event_id)"""
 query("event_peaks", with_base("SELECT event_id, round(peak, 6) AS peak FROM peaks", _PEAKS))(lambda s, d: (lambda p: (lambda x: rounded(evaluate.event_peaks(x[1], x[0], G)))(spread_windows(p)))(points(s, d)))
 _EPISODES = """numbered AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY start) AS rn FROM sw),
