@@ -53,7 +53,7 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.nd
 
 
 @lean
-def _frequent(batches: Iterator[pa.RecordBatch], words: int, least: int, every: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch], words: int, least: int, every: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     held, n, seen = [], 0, set()
 
     def out() -> pa.RecordBatch:
@@ -307,7 +307,7 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_IDS else ids
 
 
-def ngram_components(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100, dense: int = 48, least: int = 8, everywhere: int = 32) -> DataFrame:
+def ngram_components(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100, dense: int = 64, least: int = 2, everywhere: int = 24) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of at least num/den of their word n-gram sets.
 
     ``documents``: doc_id (unique long) and text; other columns are ignored, whatever their names. A
