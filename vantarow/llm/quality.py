@@ -170,10 +170,13 @@ def fitted(stats: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, **set
     marked = labels.select(F.col("doc_id").cast("long").alias("__doc"), F.col("quality").cast("int").alias("__quality")).where("__doc is not null and __quality is not null")
     marked = marked.groupBy("__doc").agg(F.min("__quality").alias("__quality"))
     have = features()
+    # the share that gives about the limit goes on, so that what is ordered and collected stays bounded
+    share = int(min(1.0, 1.25 * limit / max(1, marked.count())) * (1 << 31))
+    marked = marked.where(F.pmod(F.xxhash64("__doc"), F.lit(1 << 31)) < share)
     sample = (
         stats.where(~base_failed()).join(marked, stats["doc_id"].cast("long") == marked["__doc"])
         .select("__doc", "__quality", *[c.alias(k) for k, c in have.items()])
-        .orderBy(F.xxhash64("__doc"), "__doc").limit(limit)
+        .orderBy(F.pmod(F.xxhash64("__doc"), F.lit(1 << 31)), "__doc").limit(limit)
     )
     rows = [([float(r[k]) for k in have], r["__quality"] == 0, r["__doc"] * 2654435761 % 2**32 < 2**32 // 3) for r in sample.collect()]
     return learn_rules(rows, list(have), **settings)
