@@ -11,6 +11,7 @@ from functools import lru_cache, wraps
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but these bytes (space and 0x09 to 0x0D).
 WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -38,6 +39,22 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """Rows of the largest ``n``, in whole classes of equal n (of similar n above 4096), at most ``limit`` of them.
+
+    Only the sizes of classes, a few thousand rows, reach the driver; nothing is sorted.
+    """
+    kind = F.when(F.col("n") <= 4096, F.col("n").cast("long")).otherwise((4096 + F.floor(F.log2(F.col("n").cast("double")) * 8)).cast("long"))
+    sizes = sorted(((r["kind"], r["count"]) for r in counts.groupBy(kind.alias("kind")).count().collect()), reverse=True)
+    cut, total = 1 << 40, 0
+    for value, size in sizes:
+        total += size
+        if total > limit:
+            break
+        cut = value
+    return counts.where(kind >= cut)
+
+
 def lean(task: Callable) -> Callable:
     """For functions over Arrow batches: give freed memory back at the end, as workers outlive their tasks."""
 

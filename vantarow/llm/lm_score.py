@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantarow.llm.common import hashed_docs, keep, lean, packed, partitions
+from vantarow.llm.common import hashed_docs, keep, lean, most_frequent, packed, partitions
 from vantarow.llm.substring_dedup import _counts, _Dealer, _named
 
 #: Words of the shared vocabulary; pairs of ids then fit 32 bits.
@@ -201,12 +201,14 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary_of(rows: DataFrame, size: int) -> Vocabulary:
-    """Count the words of all documents; the ``size`` most frequent (ties by hash) make the vocabulary."""
+    """Count the words of all documents; the most frequent, at most ``size`` and whole classes of equal count, make the vocabulary."""
     counts = keep(rows.mapInArrow(_words, "word long, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "words")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     starts = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("target").cast("long")), F.lit(0))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(size).toArrow()
+    top = most_frequent(counts, size).toArrow()
     columns = [c.to_numpy() for c in top.columns]
+    order = np.lexsort((columns[0], -columns[1]))
+    columns = [c[order] for c in columns]
     return Vocabulary(columns[0].view(np.uint64), columns[1], columns[2], tuple(totals), tuple(starts))
 
 

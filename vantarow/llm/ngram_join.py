@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantarow.llm.common import hashed_docs, ints, keep, lean, mix, packed, partitions, rolling, window_rows
+from vantarow.llm.common import hashed_docs, ints, keep, lean, mix, most_frequent, packed, partitions, rolling, window_rows
 from vantarow.llm.graph import connected_components
 
 #: Columns counted often within one task are put last in the order of grams. At most this many are sent
@@ -320,12 +320,8 @@ def ngram_components(documents: DataFrame, words: int = 5, num: int = 80, den: i
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    frequent = (
-        docs.mapInArrow(partial(_frequent, words=words, least=least), "gram long, n long")
-        .groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= everywhere)
-        .orderBy(F.desc("n"), "gram").limit(MAX_FREQUENT)
-    )
-    often = np.sort(frequent.select("gram").toArrow().column(0).to_numpy().view(np.uint64))
+    counts = docs.mapInArrow(partial(_frequent, words=words, least=least), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= everywhere)
+    often = np.sort(most_frequent(keep(counts, "frequent"), MAX_FREQUENT).select("gram").toArrow().column(0).to_numpy().view(np.uint64))
     shared = spark.sparkContext.broadcast(often) if len(often) else None
     rows = keep(docs.mapInArrow(partial(_prefixes, words=words, num=num, den=den, frequent=shared), "doc_id long, n long, signature binary, prefix binary"), "prefixes")
     classes = keep(rows.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("class_id")), "classes")
