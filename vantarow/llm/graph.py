@@ -22,7 +22,8 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
         moved = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
         moved = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where(F.col("u") != F.col("v")).distinct()
+    moved = moved.where(F.col("u") != F.col("v"))
+    return moved.distinct() if small else moved
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

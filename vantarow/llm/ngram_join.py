@@ -280,20 +280,20 @@ def _exact(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) ->
 def _linked(pairs: DataFrame, documents: DataFrame, words: int, num: int, den: int, together: int = 256) -> DataFrame:
     """Links among candidate pairs (a, b; c: the larger, the likelier) that make the same components as all links.
 
-    Documents that candidates connect are compared in groups, so that a text moves once for many pairs. A
-    connected set of more than ``together`` documents is cut into parts, and each pair of parts that
-    candidates name is a group: no group has more than twice as many documents.
+    Pairs whose documents share a least partner are compared in one group, so that a text moves once for
+    many pairs. A group of more than ``together`` documents is cut into parts, and each two parts that
+    candidates name are a group: on average none has more than twice as many documents.
     """
     pairs = keep(pairs.select("a", "b", "c"), "candidates")
-    found = keep(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), "candidate_sets")
-    parts = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / together).cast("long").alias("parts"))
-    placed = keep(found.join(parts, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")), "placed")
-
-    def at(of: str, to: str) -> DataFrame:
-        return placed.select(F.col("node").alias(of), F.col("part").alias(to), F.col("component").alias(f"{to}_component"))
-
-    keyed = pairs.join(at("a", "pa"), "a").join(at("b", "pb"), "b")
-    keyed = keep(keyed.select(F.col("pa_component").alias("component"), F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi"), "a", "b", "c"), "keyed")
+    # the least partner names a group: near copies mostly share one, and any naming gives the same links
+    ends = pairs.select(F.col("a").alias("node"), F.col("a").alias("least")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("least")))
+    named = ends.groupBy("node").agg(F.min("least").alias("least"))
+    keyed = pairs.join(named.select(F.col("node").alias("a"), F.col("least").alias("component")), "a")
+    members = keyed.select("component", F.col("a").alias("m")).unionByName(keyed.select("component", F.col("b").alias("m"))).distinct()
+    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / together).cast("long").alias("parts"))
+    part_a, part_b = F.pmod(F.xxhash64("a"), F.col("parts")), F.pmod(F.xxhash64("b"), F.col("parts"))
+    keyed = keyed.join(sizes, "component")
+    keyed = keep(keyed.select("component", F.least(part_a, part_b).alias("lo"), F.greatest(part_a, part_b).alias("hi"), "a", "b", "c"), "keyed")
     key = ["component", "lo", "hi"]
     wanted = keep(keyed.select(*key, F.col("a").alias("doc_id")).unionByName(keyed.select(*key, F.col("b").alias("doc_id"))).distinct(), "wanted")
     texts = documents.join(_few(wanted), "doc_id").select(*key, F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text", F.lit(None).cast("long").alias("c"))
