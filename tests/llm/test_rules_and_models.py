@@ -86,6 +86,31 @@ def test_scores_against_counting(spark):
     assert lm_score.score(frame(spark, []), target).count() == 0
 
 
+def test_scores_do_not_depend_on_how_many_words_have_ids(spark):
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["of", "the", "a", f"w{r.randint(0, 60)}", f"rare{r.randint(0, 9999)}"]) for _ in range(r.randint(0, 40))) for _ in range(60)] + ["the", "onlyonce", None]
+    docs, members = frame(spark, texts), [i for i in range(len(texts)) if i % 3 == 0]
+    target = spark.createDataFrame([(i,) for i in members], "doc_id long")
+    words = [(t or "").split() for t in texts]
+    models = []
+    for group in (range(len(texts)), members):
+        one, two, before = Counter(), Counter(), Counter()
+        for d in group:
+            before[None] += 1
+            one.update(words[d])
+            two.update(zip([None, *words[d]], words[d]))
+        before.update(one)
+        models.append((one, two, before, sum(one.values()) + len({w for x in words for w in x}) + 1))
+    for size, dense in ((1, 3), (5, 4), (40, 8), (50_000, 512)):
+        got = {x.doc_id: x for x in lm_score.score(docs, target, size=size, dense=dense).collect()}
+        assert len(got) == len(texts)
+        for d, w in enumerate(words):
+            assert got[d].n_tokens == len(w)
+            if w:
+                loss = [sum(-math.log((two[a, b] + 20 * (one[b] + 1) / n) / (before[a] + 20)) for a, b in zip([None, *w], w)) / len(w) for one, two, before, n in models]
+                assert np.allclose([got[d].background_loss, got[d].target_loss], loss), (size, d)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

@@ -1,10 +1,12 @@
 """Cross-entropy difference of two matched bigram models.
 
-Target and background model have one vocabulary (the most frequent words, all else one unknown word), one
-order and one smoothing: p(w|v) = (n(v w) + mu * p(w)) / (n(v) + mu). Words are counted over all documents.
-Pairs of the ``dense`` most frequent words are counted in a table of fixed size and scored where the text
-is; all other pairs meet in blocks by hash, packed, and are counted and scored there. A pair outside the
-table has a word that is rarer than 1 in ``dense``, which bounds what one key can bring to a block.
+Target and background model have one vocabulary (every word of the documents), one order and one smoothing:
+p(w|v) = (n(v w) + mu * p(w)) / (n(v) + mu). Words are counted over all documents. The most frequent have ids
+and counts at every worker. Pairs of the ``dense`` most frequent words are counted in a table of fixed size
+and scored where the text is; all other pairs meet in blocks by hash, packed, and are counted and scored
+there. Words without an id go by their 64-bit hash: all pairs that end in one meet in its block, where they
+make up its count. A pair outside the table has a word that is rarer than 1 in ``dense``, which bounds what
+one key can bring to a block.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantarow.llm.common import hashed_docs, keep, lean, most_frequent, packed, partitions
+from vantarow.llm.common import hashed_docs, keep, lean, mix, most_frequent, packed, partitions
 from vantarow.llm.substring_dedup import _counts, _Dealer, _named
 
-#: Words of the shared vocabulary; pairs of ids then fit 32 bits.
+#: Words with ids; pairs of ids then fit 32 bits. All other words go by hash.
 MAX_VOCABULARY = 60_000
 #: Ids of target documents up to this many are broadcast; beyond, a shuffle join takes their place.
 MAX_IDS = 4_000_000
 UNKNOWN, START = 0, 1
+#: Stands for the start of a text where words go by hash.
+_START_HASH = np.uint64(0x8F1BBCDCCA62C1D6)
 
 
 def _texts(documents: DataFrame, target: DataFrame) -> DataFrame:
@@ -66,20 +70,20 @@ def _words(batches: Iterator[pa.RecordBatch], every: int = 4_000_000) -> Iterato
 
 
 class Vocabulary:
-    """Ids of the most frequent words by rank, from 2; 0 is unknown, 1 the start of a text. Counts of both models."""
+    """Ids of the most frequent words by rank, from 2; 0 is a word without id, 1 the start of a text. Counts of both models.
 
-    def __init__(self, words: np.ndarray, background: np.ndarray, target: np.ndarray, totals: tuple[int, int], starts: tuple[int, int]) -> None:
+    ``totals``: tokens of each model; ``distinct``: different words of all documents.
+    """
+
+    def __init__(self, words: np.ndarray, background: np.ndarray, target: np.ndarray, totals: tuple[int, int], starts: tuple[int, int], distinct: int) -> None:
         order = np.argsort(words)
         self.words, self.ids = words[order], (order + 2).astype(np.uint32)
         self.rough = np.zeros(1 << 20, bool)
         self.rough[(words >> np.uint64(44)).astype(np.int64)] = True
         self.n = [np.r_[all_of - known.sum(), start, known].astype(float) for known, all_of, start in zip((background, target), totals, starts)]
-        # each word once more than seen, so that none has probability 0; starts are never predicted
-        self.p = []
-        for n in self.n:
-            seen = n + 1.0
-            seen[START] = 0.0
-            self.p.append(seen / seen.sum())
+        # each word, and one never seen, once more than seen, so that none has probability 0; starts are never predicted
+        self.size = [all_of + distinct + 1.0 for all_of in totals]
+        self.p = [(n + 1.0) / size for n, size in zip(self.n, self.size)]
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.uint32)
@@ -102,13 +106,28 @@ def _pairs(vocabulary: Vocabulary, hashes: np.ndarray, offs: np.ndarray) -> tupl
     return before, word
 
 
+def _rare(hashes: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Hash of the word before each; its lowest bit says instead whether the word is the last of its text."""
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    some = np.diff(offs) > 0
+    before[offs[:-1][some]] = _START_HASH
+    before &= ~np.uint64(1)
+    before[offs[1:][some] - 1] |= np.uint64(1)
+    return before
+
+
+def _inside(before: np.ndarray, word: np.ndarray, dense: int) -> np.ndarray:
+    return (before < dense) & (word < dense) & (before != UNKNOWN) & (word != UNKNOWN)
+
+
 @lean
 def _dense_counts(batches: Iterator[pa.RecordBatch], vocabulary, dense: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, dense * dense), np.int64)
     for _, flag, hashes, offs in _rows(batches):
         if len(hashes):
             before, word = _pairs(vocabulary.value, hashes, offs)
-            inside = (before < dense) & (word < dense)
+            inside = _inside(before, word, dense)
             key = before[inside].astype(np.int64) * dense + word[inside]
             counts[0] += np.bincount(key, minlength=dense * dense)
             counts[1] += np.bincount(key[np.repeat(flag, np.diff(offs))[inside]], minlength=dense * dense)
@@ -118,17 +137,19 @@ def _dense_counts(batches: Iterator[pa.RecordBatch], vocabulary, dense: int) ->
 
 
 @lean
-def _deal(batches: Iterator[pa.RecordBatch], vocabulary, losses, dense: int, blocks: int, every: int = 700_000) -> Iterator[pa.RecordBatch]:
-    """Cold pairs by block; and for each flush one row of what is known already: tokens and losses of dense pairs."""
-    dealer = _Dealer(blocks, every, False)
+def _deal(batches: Iterator[pa.RecordBatch], vocabulary, losses, dense: int, blocks: int, mu: float, every: int = 700_000) -> Iterator[pa.RecordBatch]:
+    """Cold pairs by block, of ids and of hashes; and for each flush one row of what is known already: tokens and losses."""
+    cold, rare = _Dealer(blocks, 1 << 62, False), _Dealer(blocks, 1 << 62, True)
     known: list[np.ndarray] = []
     table = losses.value
+    room = [np.log(n + mu) for n in vocabulary.value.n]
 
-    def with_known(rows: pa.RecordBatch | None, docs: np.ndarray) -> pa.RecordBatch:
+    def out() -> pa.RecordBatch:
         import zlib
 
         import xxhash
 
+        docs = np.array(cold.docs, np.int64)
         flush = xxhash.xxh3_128_digest(packed(docs))
         extra = pa.RecordBatch.from_pydict(
             {
@@ -138,52 +159,88 @@ def _deal(batches: Iterator[pa.RecordBatch], vocabulary, losses, dense: int, blo
             }
         )
         known.clear()
-        return extra if rows is None else pa.Table.from_batches([rows, extra]).combine_chunks().to_batches()[0]
+        return pa.Table.from_batches([cold.out(), rare.out(), extra]).combine_chunks().to_batches()[0]
+
+    def block_of(key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(blocks)
 
     for ids, flag, hashes, offs in _rows(batches):
         n = np.diff(offs)
         before, word = _pairs(vocabulary.value, hashes, offs) if len(hashes) else (np.empty(0, np.uint32), np.empty(0, np.uint32))
         row = np.repeat(np.arange(len(ids)), n)
-        inside = (before < dense) & (word < dense)
+        inside = _inside(before, word, dense)
         key = before[inside].astype(np.int64) * dense + word[inside]
-        known.append(np.stack([n.astype(float), *[np.bincount(row[inside], weights=table[m][key], minlength=len(ids)) for m in (0, 1)]]))
-        cold = ~inside
-        pair = (before[cold] << np.uint32(16)) | word[cold]
-        block = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(blocks)
+        by_hash = (before == UNKNOWN) | (word == UNKNOWN)
+        # what a word without id brings as the first of a pair is added in its own block
+        led = by_hash & (before != UNKNOWN)
+        sums = [np.bincount(row[inside], weights=table[m][key], minlength=len(ids)) + np.bincount(row[led], weights=room[m][before[led]], minlength=len(ids)) for m in (0, 1)]
+        known.append(np.stack([n.astype(float), *sums]))
         docs = (np.array(ids, np.int64) * 2 + flag).tolist()
-        for rows in dealer.add(docs, np.bincount(row[cold], minlength=len(ids)), block, pair, None):
-            yield with_known(rows, _named(rows.column(2)[0].as_py()))
-    if dealer.docs:
-        docs = np.array(dealer.docs, np.int64)
-        yield with_known(dealer.out() if dealer.n else None, docs)
+        by_id = ~inside & ~by_hash
+        pair = (before[by_id] << np.uint32(16)) | word[by_id]
+        list(cold.add(docs, np.bincount(row[by_id], minlength=len(ids)), block_of(pair.astype(np.uint64)), pair, None))
+        first, second = _rare(hashes, offs)[by_hash], hashes[by_hash]
+        block = block_of(np.where(word[by_hash] == UNKNOWN, second, _pair_key(first, second)))
+        list(rare.add(docs, np.bincount(row[by_hash], minlength=len(ids)), block, second, first))
+        if cold.n + 2 * rare.n >= every:
+            yield out()
+    if cold.docs:
+        yield out()
+
+
+def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix((first >> np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + second)
+
+
+def _id_losses(vocabulary: Vocabulary, raw: list[tuple[bytes, bytes | None]], flags: np.ndarray, mu: float) -> list[np.ndarray]:
+    """Losses of pairs of ids under both models."""
+    kinds, inverse = np.unique(np.frombuffer(b"".join(r[0] for r in raw), np.uint32), return_inverse=True)
+    n = (np.bincount(inverse, minlength=len(kinds)), np.bincount(inverse[flags], minlength=len(kinds)))
+    before, word = (kinds >> np.uint32(16)).astype(np.int64), (kinds & np.uint32(0xFFFF)).astype(np.int64)
+    return [vocabulary.loss(m, before, word, n[m], mu)[inverse] for m in (0, 1)]
+
+
+def _hash_losses(vocabulary: Vocabulary, raw: list[tuple[bytes, bytes | None]], flags: np.ndarray, mu: float) -> list[np.ndarray]:
+    """Losses of pairs by hash, without what their first words bring; with what their second bring as the next pair's first."""
+    second, first = (np.frombuffer(b"".join(r[k] for r in raw), np.uint64) for k in (0, 1))
+    _, at, inverse = np.unique(_pair_key(first, second), return_index=True, return_inverse=True)
+    words, of = np.unique(second[at], return_inverse=True)
+    ids = vocabulary.of(words)
+    follows = (first & np.uint64(1)) == 0
+    out = []
+    for m, seen in enumerate((np.bincount(inverse, minlength=len(at)), np.bincount(inverse[flags], minlength=len(at)))):
+        # all pairs that end in a word without id are here, so they make up its count
+        count = np.where(ids == UNKNOWN, np.bincount(of, weights=seen, minlength=len(words)), vocabulary.n[m][ids])
+        led = np.where(ids == UNKNOWN, np.log(count + mu), 0.0)
+        loss = -np.log(seen + mu * ((count + 1.0) / vocabulary.size[m])[of])
+        out.append(loss[inverse] + led[of][inverse] * follows)
+    return out
 
 
 @lean
 def _score(batches: Iterator[pa.RecordBatch], vocabulary, mu: float) -> Iterator[pa.RecordBatch]:
     """Count the pairs that meet in one partition and hand every flush the losses of its documents."""
-    rows: list[tuple] = []
+    by_id: list[tuple] = []
+    by_hash: list[tuple] = []
     for batch in batches:
         for _, flush, docs, counts, grams, places in zip(*(c.to_pylist() for c in batch.columns)):
             if grams is None:
                 yield pa.RecordBatch.from_pydict({"flush": [flush], "docs": [docs], "sums": [places]})
             else:
-                rows.append((flush, docs, counts, grams))
-    if not rows:
-        return
-    pair = np.frombuffer(b"".join(r[3] for r in rows), np.uint32)
-    flags = np.concatenate([np.repeat((_named(r[1]) & 1).astype(bool), _counts(r[2])) for r in rows])
-    kinds, inverse = np.unique(pair, return_inverse=True)
-    n = (np.bincount(inverse, minlength=len(kinds)), np.bincount(inverse[flags], minlength=len(kinds)))
-    before, word = (kinds >> np.uint32(16)).astype(np.int64), (kinds & np.uint32(0xFFFF)).astype(np.int64)
-    loss = [vocabulary.value.loss(m, before, word, n[m], mu) for m in (0, 1)]
-    at = 0
-    for flush, docs, counts, grams in rows:
-        counts = _counts(counts).astype(np.int64)
-        mine = inverse[at : at + len(grams) // 4]
-        at += len(mine)
-        who = np.repeat(np.arange(len(counts)), counts)
-        sums = np.stack([np.zeros(len(counts)), *[np.bincount(who, weights=loss[m][mine], minlength=len(counts)) for m in (0, 1)]])
-        yield pa.RecordBatch.from_pydict({"flush": [flush], "docs": [docs], "sums": [packed(sums)]})
+                (by_id if places is None else by_hash).append((flush, docs, counts, grams, places))
+    for rows, losses in ((by_id, _id_losses), (by_hash, _hash_losses)):
+        if not rows:
+            continue
+        flags = np.concatenate([np.repeat((_named(r[1]) & 1).astype(bool), _counts(r[2])) for r in rows])
+        loss = losses(vocabulary.value, [r[3:] for r in rows], flags, mu)
+        at = 0
+        for flush, docs, counts, *_ in rows:
+            counts = _counts(counts).astype(np.int64)
+            mine = slice(at, at + int(counts.sum()))
+            at = mine.stop
+            who = np.repeat(np.arange(len(counts)), counts)
+            sums = np.stack([np.zeros(len(counts)), *[np.bincount(who, weights=loss[m][mine], minlength=len(counts)) for m in (0, 1)]])
+            yield pa.RecordBatch.from_pydict({"flush": [flush], "docs": [docs], "sums": [packed(sums)]})
 
 
 @lean
@@ -201,15 +258,15 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary_of(rows: DataFrame, size: int) -> Vocabulary:
-    """Count the words of all documents; the most frequent, at most ``size`` and whole classes of equal count, make the vocabulary."""
+    """Count the words of all documents; the most frequent, at most ``size`` and whole classes of equal count, get ids."""
     counts = keep(rows.mapInArrow(_words, "word long, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "words")
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.count(F.lit(1))).first()
     starts = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("target").cast("long")), F.lit(0))).first()
     top = most_frequent(counts, size).toArrow()
     columns = [c.to_numpy() for c in top.columns]
     order = np.lexsort((columns[0], -columns[1]))
     columns = [c[order] for c in columns]
-    return Vocabulary(columns[0].view(np.uint64), columns[1], columns[2], tuple(totals), tuple(starts))
+    return Vocabulary(columns[0].view(np.uint64), columns[1], columns[2], tuple(totals)[:2], tuple(starts), totals[2])
 
 
 def score(documents: DataFrame, target: DataFrame, size: int = 50_000, mu: float = 20.0, dense: int = 512) -> DataFrame:
@@ -217,6 +274,7 @@ def score(documents: DataFrame, target: DataFrame, size: int = 50_000, mu: float
 
     ``documents``: doc_id (unique long) and text; ``target``: doc_id of the documents that the target model is
     trained on; the background model is trained on all. Other columns are ignored, whatever their names.
+    ``size`` words get ids, all others go by hash; the scores don't depend on it.
     Tokens are runs of ASCII letters and digits and non-ASCII characters, A-Z folded. Texts without tokens
     (null ones too) have 0 tokens and null losses; rows with a null doc_id are ignored; without target
     documents its model knows no word; an empty table gives an empty result.
@@ -238,7 +296,7 @@ def score(documents: DataFrame, target: DataFrame, size: int = 50_000, mu: float
         losses.append(table)
     parts = partitions(spark)
     dealt = rows.mapInArrow(
-        partial(_deal, vocabulary=shared, losses=spark.sparkContext.broadcast(losses), dense=dense, blocks=parts),
+        partial(_deal, vocabulary=shared, losses=spark.sparkContext.broadcast(losses), dense=dense, blocks=parts, mu=mu),
         "block long, flush binary, docs binary, counts binary, grams binary, places binary",
     )
     scored = dealt.repartition(parts, "block").mapInArrow(partial(_score, vocabulary=shared, mu=mu), "flush binary, docs binary, sums binary")
