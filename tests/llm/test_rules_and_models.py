@@ -175,6 +175,21 @@ def test_bin_completion_is_no_worse_than_best_fit_and_optimal_on_small_ones():
     assert packing.complete({}, 10) == []
 
 
+def test_bin_completion_places_many_tiny_pieces_beside_large_ones():
+    r = random.Random(13)
+    cases = [({1500: 1000, 1: 500}, 2048, {}), ({1500: 3, 1: 5000}, 2048, {}), ({1100: 40, 2: 9000, 1: 7}, 2048, {}), ({9: 4, 5: 3, 3: 7, 1: 30}, 20, {"tries": 1})]
+    cases += [({**{r.randint(600, 2048): r.randint(1, 300) for _ in range(12)}, **{k: r.randint(1, 100_000) for k in (1, 2, 3)}}, 2048, {}) for _ in range(6)]
+    for counts, size, search in cases:
+        plan = packing.complete(counts, size, **search)
+        used = Counter()
+        for pattern, times in plan:
+            assert sum(pattern) <= size
+            for x in pattern:
+                used[x] += times
+        assert used == counts
+        assert sum(t for _, t in plan) <= sum(t for _, t in packing.best_fit(counts, size))
+
+
 BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 

@@ -190,7 +190,9 @@ def fillings(left: _Counts, room: int, most: int, tries: int) -> list[tuple[int,
     """Undominated fillings of ``room``, fullest first, then those of fewer and larger lengths.
 
     Lengths are tried from the largest; a filling that another equals in each place or exceeds is
-    dominated and left out, as is one to which a length left could still be added.
+    dominated and left out, as is one to which a length left could still be added. Equal lengths are one step
+    with a multiplicity, so a path has no more steps than different lengths fit. ``tries`` bounds the steps after
+    the first filling, which is always found.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     best, budget = [-1], [tries]
@@ -204,12 +206,12 @@ def fillings(left: _Counts, room: int, most: int, tries: int) -> list[tuple[int,
                 best[0] = max(best[0], total)
                 found.append((total, chosen))
             return total == room and len([1 for t, _ in found if t == room]) >= most
-        while length and budget[0] > 0:
-            left.n[length] -= 1
-            done = walk(room_left - length, length, (*chosen, length))
-            left.n[length] += 1
-            if done:
-                return True
+        while length and (budget[0] > 0 or not found):
+            for times in range(min(int(left.n[length]), room_left // length), 0, -1):
+                if budget[0] <= 0 and found:
+                    return False
+                if walk(room_left - times * length, length - 1, chosen + (length,) * times):
+                    return True
             # all that is filled from here on has lengths below; it can only be undominated if it gets fuller
             length = left.below(length - 1)
             if length and best[0] == room and len(found) >= most:
