@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 #: A value: 16 characters of tokens or more, with a letter and a digit among them.
 _RUN = r"[A-Za-z0-9+/_=.~-]"
 _SOME = rf"(?<!{_RUN}){_RUN}{{16,}}+"
+#: What can stand before a value: key= or key:, the key quoted or not, and opening quotes.
+_KEY = r"""[A-Za-z_][A-Za-z0-9_.-]{0,40}["']?[=:]["']*"""
+#: The longest runs of a word, each with the key before it; a key is one only if a value follows.
+_KEYED = rf"(?<!{_RUN})(?:{_KEY})?{_RUN}{{16,}}+"
 _PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|xox[abprs]-|sk_live_|sk-|AIza|eyJ|glpat-)"
 #: Words that a secret stands beside, and words that other tokens stand beside.
 _CUES = r"(?i)(passw(or)?d|passwd|secret|token|api_?-?key|access_?key|auth|bearer|credential|private_?key)"
@@ -31,7 +35,7 @@ FEATURES = ("length", "transitions", "digits", "upper", "distinct", "hexadecimal
 
 
 def candidates(documents: DataFrame, path: Column) -> DataFrame:
-    """One row per candidate: doc_id, word_index, value, and the features. Whole texts are searched."""
+    """One row per candidate: doc_id, word_index, value, and the features. Whole texts are searched; a word can have several."""
     rows = documents.select("doc_id", F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("text").rlike(_SOME)).select("doc_id", "path", F.split("text", r"\s+").alias("words"))
     found = F.filter(
@@ -39,11 +43,11 @@ def candidates(documents: DataFrame, path: Column) -> DataFrame:
         lambda x: x["word"].rlike(_SOME) & x["word"].rlike("[0-9]") & x["word"].rlike("[A-Za-z]"),
     )
     rows = rows.select("doc_id", "path", F.explode(found).alias("x")).select("doc_id", "path", "x.*")
-    # key=value and key:value: the value is what follows; quotes and closing marks aren't part of it
-    split = F.regexp_extract("word", r"""^["'(\[{<]*([A-Za-z_][A-Za-z0-9_.-]{0,40}["']?[=:])?["']*(.*?)["')\]}>,;.!?#*$%&|]*$""", 1)
-    value = F.regexp_extract("word", r"""^["'(\[{<]*(?:[A-Za-z_][A-Za-z0-9_.-]{0,40}["']?[=:])?["']*(.*?)["')\]}>,;.!?#*$%&|]*$""", 1)
-    rows = rows.select("*", split.alias("key"), value.alias("value"))
-    rows = rows.where((F.length("value") >= 16) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & F.col("value").rlike(rf"^{_RUN}+$"))
+    # a word can hold several, as in JSON, query strings and connection strings; full stops at the end aren't part of a value
+    rows = rows.select("*", F.explode(F.regexp_extract_all("word", F.lit(_KEYED), F.lit(0))).alias("keyed"))
+    part = rf"^((?:{_KEY})?)({_RUN}{{16,}}+)$"
+    rows = rows.select("*", F.regexp_extract("keyed", part, 1).alias("key"), F.regexp_replace(F.regexp_extract("keyed", part, 2), r"[.]+$", "").alias("value"))
+    rows = rows.where((F.length("value") >= 16) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
     length = F.length("value").cast("double")
     low = F.lower("value")
 
