@@ -231,6 +231,23 @@ def test_reliabilities_are_estimated():
     assert p[good] > 0.9 > 0.5 > p[none]
 
 
+def test_a_span_does_not_depend_on_the_rest_of_the_text(spark):
+    import pyarrow as pa
+
+    for t in ("jane at example.com", "jane (at) example.com", "jane[at]example dot com"):
+        alone, beside = pii.find(t)[1], pii.find(t + " ; x [dot] y (at) [at] dot z")[1]
+        assert [x[:4] for x in alone] == [(0, pii.KINDS.index("email"), "email", len(t))] and alone == beside[:1]
+        assert [x[0] for x in pii._rows(pa.array([t]))] == [t]
+
+
+def test_classifier_uses_whole_counts():
+    for seed in (1, 5):
+        g = np.random.default_rng(seed)
+        codes = g.choice(int(np.prod(pii._SHAPE)), 40, replace=False)
+        counts = dict(zip(codes.tolist(), (10 ** g.uniform(3, 5, 40)).astype(int).tolist()))
+        assert np.allclose(pii.learn(counts)[codes], pii.learn({k: 100 * n for k, n in counts.items()})[codes], atol=0.01)
+
+
 def test_urls(spark):
     import duckdb
 

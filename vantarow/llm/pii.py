@@ -35,7 +35,7 @@ _DIGITS = re.compile(r"[0-9]")
 
 #: Wider patterns, each with the kind it proposes and byte strings of which a text must hold one.
 WIDER = (
-    ("email", re.compile(r"(?<![\w.])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,24}){1,4}(?![\w])"), (b"(at)", b"[at]", b" dot ", b"[dot]", b"(dot)")),
+    ("email", re.compile(r"(?<![\w.])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,24}){1,4}(?![\w])"), (b"(at)", b"[at]", b" at ")),
     ("phone", re.compile(r"(?<![\w+.-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-]|\.[0-9])"), None),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), None),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), None),
@@ -228,7 +228,7 @@ def learn(counts: dict[int, int], rounds: int = 60, steps: int = 400) -> np.ndar
     x = np.concatenate([np.ones((len(codes), 1)), np.eye(len(KINDS))[kind], *[(votes == v).astype(float) for v in (1, 2)]], axis=1)
     w = np.zeros(x.shape[1])
     # every code counts a little, so that votes never seen together still get the EM's answer
-    sample = np.minimum(weight, 1e4) + 1e-2
+    sample = weight + 1e-2
     sample /= sample.sum()
     for _ in range(steps):
         z = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
