@@ -81,6 +81,51 @@ def test_components_of_dense_columns(spark):
         assert got_components(spark, texts, **settings) == brute_components(texts)
 
 
+def near_copies(n, words=60, seed=8):
+    """Copies of one text with one to three words changed, many of them below the threshold to each other, among others that share a passage."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    texts = []
+    for k in range(n):
+        w = list(base)
+        for j in r.sample(range(words), r.choice((1, 1, 2, 3))):
+            w[j] = f"x{k}_{j}"
+        texts.append(" ".join(w))
+    return texts + [" ".join(base[: words // 2] + [f"y{k}_{i}" for i in range(words // 2)]) for k in range(n // 8)]
+
+
+def test_large_groups_of_near_copies_stay_linear(spark, monkeypatch):
+    """No step puts out more than a few rows for each place of a document in the matrix, though nearly all pairs are near."""
+    texts = near_copies(500)
+    steps: dict[str, list[int]] = {}
+    kept = ngram_join.keep
+
+    def counted(df, name):
+        out = kept(df, name)
+        steps.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", counted)
+    assert got_components(spark, texts) == brute_components(texts)
+    assert max(steps["cells"]) <= 12 * len(texts)
+    assert max(max(steps[k]) for k in ("forest", "candidates", "keyed", "wanted", "links")) <= 4 * len(texts)
+
+
+def test_components_of_cut_columns(spark):
+    """Columns of over eight rows are cut into parts; what lies outside the largest component meets every part."""
+    texts = near_copies(60)
+    assert got_components(spark, texts, column=8, everywhere=4) == brute_components(texts)
+
+
+def test_components_of_repeated_rows(spark):
+    """A repeated row comes out as often as it goes in; its copies are one document."""
+    texts = corpus(3, n=20)
+    want = brute_components(texts)
+    rows = frame(spark, texts).unionByName(frame(spark, texts[:9]))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(rows).collect()]
+    assert sorted(got) == sorted([(k, *v) for k, v in want.items()] + [(k, *want[k]) for k in range(9)])
+
+
 def test_components_of_nothing(spark):
     assert got_components(spark, []) == {}
     assert got_components(spark, [None, ""]) == {0: (0, 0), 1: (0, 1)}

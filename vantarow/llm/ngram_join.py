@@ -3,12 +3,15 @@
 Documents are rows of a sparse incidence matrix, hashed word n-grams its columns. The product of the
 matrix with its transpose is taken block of columns by block of columns, over the part of each row that
 a size bound leaves: to reach the threshold, two sets must meet within the first
-``n - ceil(t * n) + 1`` grams of one common order. Overlap counts of a pair are summed over the blocks,
-and pairs whose count is below what their two sizes require are discarded before any whole set moves.
-
-Groups don't expand into all pairs: documents with equal sets are one row (the class representative);
-a column with more rows than ``dense`` links neighbours by size first, and only rows that the links
-found so far leave in different components are compared again.
+``n - ceil(t * n) + 1`` grams of one common order. Pairs whose overlap can't reach what their two sizes
+require are discarded inside the block (:mod:`vantarow.llm.proposals`), the overlap counts of the others
+are completed over whole sets and compared with what the sizes require.
+
+Groups don't expand into all pairs: documents with equal sets are one row (the class representative), and
+a block puts forward a spanning forest of the pairs that no bound excludes. Where a count refutes an edge,
+its tree is looked at again, without that pair, until no tree has a refuted edge. A column that a large
+share of all rows holds is cut into parts; rows outside the component that most of a column belongs to
+then meet every part.
 """
 
 from __future__ import annotations
@@ -25,12 +28,15 @@ from pyspark.sql import functions as F
 
 from vantarow.llm.common import hashed_docs, ints, keep, lean, mix, most_frequent, packed, partitions, rolling, window_rows
 from vantarow.llm.graph import connected_components
+from vantarow.llm.proposals import propose, sketch
 
 #: Columns counted often within one task are put last in the order of grams. At most this many are sent
 #: to all tasks; any order is correct, so the limit bounds memory and never changes results.
 MAX_FREQUENT = 1_000_000
-#: Ids are broadcast up to this many (8 bytes each), and joined by a shuffle beyond.
-MAX_IDS = 4_000_000
+#: Ids are broadcast up to this many, and joined by a shuffle beyond.
+MAX_IDS = 1_000_000
+#: Rows of a column that stand in one task; a column with more is cut into parts.
+MAX_COLUMN = 16_384
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -79,7 +85,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], words: int, least: int, every:
 
 @lean
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, frequent) -> Iterator[pa.RecordBatch]:
-    often = frequent.value if frequent is not None else np.empty(0, np.uint64)
+    often = frequent.value[0] if frequent is not None else np.empty(0, np.uint64)
     rough = np.zeros(1 << 20, bool)
     rough[(often >> np.uint64(44)).astype(np.int64)] = True
     for batch in batches:
@@ -91,39 +97,59 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int,
                 at = np.searchsorted(often, grams[maybe])
                 last[maybe] = often[np.minimum(at, len(often) - 1)] == grams[maybe]
             sizes = np.diff(offs)
-            signatures, prefixes = [], []
+            signatures, prefixes, sketches = [], [], []
             for i, n in enumerate(sizes):
                 part, late = grams[offs[i] : offs[i + 1]], last[offs[i] : offs[i + 1]]
                 signatures.append(xxhash.xxh3_128_digest(packed(part)) if n else None)
                 want = int(n) - (num * int(n) + den - 1) // den + 1
                 head = part[~late][:want]
                 prefixes.append(packed(head if len(head) == want else np.concatenate([head, part[late][: want - len(head)]])) if n else None)
+                sketches.append(sketch(part) if n else None)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": ids.slice(a, len(sizes)), "n": sizes.astype(np.int64), "signature": pa.array(signatures, pa.binary()), "prefix": pa.array(prefixes, pa.binary())}
-            )
+                {
+                    "doc_id": ids.slice(a, len(sizes)), "n": sizes.astype(np.int64), "signature": pa.array(signatures, pa.binary()),
+                    "prefix": pa.array(prefixes, pa.binary()), "sketch": pa.array(sketches, pa.binary()),
+                }
+            )
+
+
+def _part(grams: np.ndarray, docs: np.ndarray, hot) -> tuple[np.ndarray, np.ndarray]:
+    """Of each nonzero: the part of its column it belongs to, and how many parts the column has."""
+    part, parts = np.zeros(len(grams), np.int64), np.ones(len(grams), np.int64)
+    if hot is not None and len(hot.value[0]):
+        names, many = hot.value
+        at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+        hit = np.flatnonzero(names[at] == grams)
+        parts[hit] = many[at[hit]]
+        part[hit] = (mix(docs[hit].astype(np.int64).view(np.uint64)) % parts[hit].astype(np.uint64)).astype(np.int64)
+    return part, parts
 
 
 @lean
-def _deal(batches: Iterator[pa.RecordBatch], blocks: int, every: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Pack the nonzeros of the matrix by block of columns: grams as they are, their rows as counts by document."""
+def _deal(batches: Iterator[pa.RecordBatch], blocks: int, hot=None, every: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Pack the nonzeros of the matrix by block of columns: grams and places as they are, rows as counts by document."""
     docs, sizes, grams, n = [], [], [], 0
 
     def out() -> pa.RecordBatch:
-        g, who = np.concatenate(grams), np.repeat(np.arange(len(docs)), [len(x) for x in grams])
-        block = ((g >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
+        g, lengths = np.concatenate(grams), np.array([len(x) for x in grams])
+        who = np.repeat(np.arange(len(docs)), lengths)
+        place = np.arange(len(g)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        part, _ = _part(g, np.array(docs, np.int64)[who], hot)
+        block = (((g >> np.uint64(40)) + mix(part.view(np.uint64)) * (part > 0)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
-        g, who, block = g[order], who[order], block[order]
+        g, who, block, place = g[order], who[order], block[order], place[order]
         cuts = np.searchsorted(block, np.arange(blocks + 1))
         named = zlib.compress(packed(np.diff(np.array(docs, np.int64), prepend=np.int64(0))), 1)
         size = zlib.compress(packed(np.array(sizes, np.int32)), 1)
-        rows = {"block": [], "grams": [], "docs": [], "sizes": [], "counts": []}
+        rows = {"block": [], "grams": [], "docs": [], "sizes": [], "counts": [], "places": []}
         for k in range(blocks):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 counts = zlib.compress(packed(np.bincount(who[a:b], minlength=len(docs)).astype(np.uint32)), 1)
-                for name, value in zip(rows, (k, packed(g[a:b]), named, size, counts)):
+                places = zlib.compress(packed(place[a:b].astype(np.uint32)), 1)
+                for name, value in zip(rows, (k, packed(g[a:b]), named, size, counts, places)):
                     rows[name].append(value)
-        return pa.RecordBatch.from_pydict({"block": pa.array(rows["block"], pa.int64()), **{k: pa.array(rows[k], pa.binary()) for k in ("grams", "docs", "sizes", "counts")}})
+        return pa.RecordBatch.from_pydict({"block": pa.array(rows["block"], pa.int64()), **{k: pa.array(rows[k], pa.binary()) for k in list(rows)[1:]}})
 
     for batch in batches:
         for d, s, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -138,103 +164,48 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: int, every: int = 500_000)
         yield out()
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, chain: bool) -> dict:
-    swap = a > b
-    return {"a": np.where(swap, b, a), "b": np.where(swap, a, b), "na": np.where(swap, nb, na), "nb": np.where(swap, na, nb), "chain": np.full(len(a), chain)}
-
-
 @lean
-def _multiply(batches: Iterator[pa.RecordBatch], num: int, den: int, dense: int) -> Iterator[pa.RecordBatch]:
-    """Overlap counts of the pairs in one block of columns; rows of dense columns come along with b null."""
-    grams, docs, sizes = [], [], []
+def _meet(batches: Iterator[pa.RecordBatch], num: int, den: int, dense: int, hot=None) -> Iterator[pa.RecordBatch]:
+    """Nonzeros of one block of columns that meet another row within the size bounds; those of cut columns all stay."""
+    grams, docs, sizes, places = [], [], [], []
     for batch in batches:
-        for g, named, size, counts in zip(*(c.to_pylist() for c in batch.columns[1:])):
+        for g, named, size, counts, place in zip(*(c.to_pylist() for c in batch.columns[1:])):
             counts = np.frombuffer(zlib.decompress(counts), np.uint32)
             grams.append(g)
             docs.append(np.repeat(np.cumsum(np.frombuffer(zlib.decompress(named), np.int64)), counts))
             sizes.append(np.repeat(np.frombuffer(zlib.decompress(size), np.int32), counts))
+            places.append(np.frombuffer(zlib.decompress(place), np.uint32))
     if not grams:
         return
-    g, doc, size = ints(grams, "u8"), np.concatenate(docs), np.concatenate(sizes).astype(np.int64)
-    del grams, docs, sizes
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("chain", pa.bool_()), ("c", pa.int64())])
+    g, doc, size, place = ints(grams, "u8"), np.concatenate(docs), np.concatenate(sizes).astype(np.int64), np.concatenate(places).astype(np.int64)
+    del grams, docs, sizes, places
     order = np.argsort(g, kind="stable")
     g = g[order]
     same = np.zeros(len(g), bool)
     same[1:] = g[1:] == g[:-1]
     same[:-1] |= same[1:]
-    order, g = order[same], g[same]
-    doc, size = doc[order], size[order]
-    order = np.lexsort((doc, size, g))
-    g, doc, size = g[order], doc[order], size[order]
-    cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, np.int64)
-    length = np.diff(np.r_[cuts, len(g)])
-    run = np.repeat(length, length)
-
-    def emit(i: np.ndarray, j: np.ndarray, chain: bool) -> Iterator[pa.RecordBatch]:
-        fits = (size[i] * den >= size[j] * num) & (doc[i] != doc[j])
-        i, j = i[fits], j[fits]
-        if len(i):
-            p = _pairs(doc[i], doc[j], size[i], size[j], chain)
-            o = np.lexsort((p["b"], p["a"]))
-            p = {k: v[o] for k, v in p.items()}
-            new = np.flatnonzero(np.r_[True, (p["a"][1:] != p["a"][:-1]) | (p["b"][1:] != p["b"][:-1])])
-            yield pa.RecordBatch.from_pydict({**{k: v[new] for k, v in p.items()}, "c": np.diff(np.r_[new, len(o)])}, schema=schema)
-
-    where = np.arange(len(g))
-    few = where[run <= dense]
-    got: list[tuple[np.ndarray, np.ndarray]] = []
-    held_pairs = 0
+    part, parts = _part(g, doc[order], hot)
+    same |= parts > 1
+    order, g, part, parts = order[same], g[same], part[same], parts[same]
+    doc, size, place = doc[order], size[order], place[order]
+    order = np.lexsort((size, part, g))
+    g, part, parts, doc, size, place = (x[order] for x in (g, part, parts, doc, size, place))
+    start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (part[1:] != part[:-1])]) if len(g) else np.empty(0, np.int64)
+    length = np.diff(np.r_[start, len(g)])
+    run, end = np.repeat(length, length), np.repeat(start + length, length)
+    meets = (parts > 1) | (run > dense)
+    where = np.flatnonzero(run <= dense)
     for r in range(1, dense):
-        i = few[few + r < len(g)]
-        i = i[g[i + r] == g[i]]
-        if not len(i):
+        where = where[where + r < end[where]]
+        if not len(where):
             break
-        few = i
-        got.append((i, i + r))
-        held_pairs += len(i)
-        if held_pairs > 2_000_000:
-            yield from emit(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]), False)
-            got, held_pairs = [], 0
-    if got:
-        yield from emit(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]), False)
-    many = where[run > dense]
-    if len(many):
-        i = many[many + 1 < len(g)]
-        i = i[g[i + 1] == g[i]]
-        yield from emit(i, i + 1, True)
-        yield pa.RecordBatch.from_pydict({"a": doc[many], "b": pa.nulls(len(many), pa.int64()), "na": size[many], "nb": g[many].view(np.int64), "chain": np.ones(len(many), bool), "c": np.zeros(len(many), np.int64)}, schema=schema)
-
-
-@lean
-def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of one dense column that lie in different components; rows come sorted by column, then size."""
-    gram, doc, size, comp = None, [], [], []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        d, s, c = np.array(doc), np.array(size), np.array(comp)
-        kinds, counts = np.unique(c, return_counts=True)
-        if len(kinds) < 2:
-            return
-        for i in np.flatnonzero(c != kinds[np.argmax(counts)]):
-            lo, hi = np.searchsorted(s, [(s[i] * num + den - 1) // den, s[i] * den // num + 1], "left")
-            other = np.arange(lo, hi)
-            other = other[c[other] != c[i]]
-            if len(other):
-                p = _pairs(np.full(len(other), d[i]), d[other], np.full(len(other), s[i]), s[other], True)
-                yield pa.RecordBatch.from_pydict({"a": p["a"], "b": p["b"]})
-
-    for batch in batches:
-        for g, d, n, c in zip(*(x.to_pylist() for x in batch.columns)):
-            if g != gram:
-                if gram is not None:
-                    yield from out()
-                gram, doc, size, comp = g, [], [], []
-            doc.append(d)
-            size.append(n)
-            comp.append(c)
-    if gram is not None:
-        yield from out()
+        i, j = where, where + r
+        need = -(-num * (size[i] + size[j]) // (num + den))
+        fits = (doc[i] != doc[j]) & (size[i] * den >= size[j] * num) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
+        meets[i[fits]] = meets[j[fits]] = True
+    for a in range(0, len(g), 1 << 20):
+        m = np.flatnonzero(meets[a : a + (1 << 20)]) + a
+        yield pa.RecordBatch.from_pydict({"gram": g[m].view(np.int64), "part": part[m], "parts": parts[m], "doc": doc[m], "n": size[m], "place": place[m]})
 
 
 @lean
@@ -307,55 +278,112 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_IDS else ids
 
 
-def ngram_components(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100, dense: int = 64, least: int = 2, everywhere: int = 24) -> DataFrame:
+def _settle(cells: DataFrame, labels: DataFrame | None, sketches: DataFrame, documents: DataFrame, words: int, num: int, den: int, dense: int) -> DataFrame | None:
+    """Labels (node, component) after all pairs that meet in ``cells`` (gram, part, doc, n, place, home) are settled.
+
+    Every round counts the edges that the blocks put forward. A tree all of whose edges hold is one
+    component; the rows of the others come again, without the refuted pairs and with more edges a row.
+    """
+    spark = documents.sparkSession
+    refuted, forests, now = None, 1, cells
+    while True:
+        if labels is None:
+            now = now.withColumn("comp", F.col("doc"))
+        else:
+            named = labels.select(F.col("node").alias("doc"), F.col("component").alias("comp"))
+            now = now.drop("comp").join(named, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        now = now if refuted is None and labels is None else keep(now, "cells")
+        rows = now.join(sketches, "doc").select("gram", "part", "doc", "n", "place", "comp", "home", "sketch", F.lit(None).cast("long").alias("other"))
+        if refuted is not None:
+            gone = refuted.select("gram", "part", F.col("a").alias("doc"), *(F.lit(0).cast("long").alias(c) for c in ("n", "place", "comp")), F.lit(False).alias("home"), F.lit(None).cast("binary").alias("sketch"), F.col("b").alias("other"))
+            rows = rows.unionByName(gone)
+        dealt = rows.repartition(partitions(spark), "gram", "part").sortWithinPartitions("gram", "part", "n", "doc")
+        forest = keep(dealt.mapInArrow(partial(propose, num=num, den=den, dense=dense, forests=forests), "gram long, part long, task long, tree long, a long, b long, apart long"), "forest")
+        if forest.isEmpty():
+            return labels
+        links = keep(_linked(forest.groupBy("a", "b").agg((-F.min("apart")).alias("c")), documents, words, num, den), "links")
+        before = labels
+        edges = links if labels is None else links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        labels = keep(connected_components(edges), "labels")
+        named = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        judged = forest.join(named("a"), "a", "left").join(named("b"), "b", "left").withColumn("fails", F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+        judged = keep(judged.select("gram", "part", "task", "tree", "a", "b", "fails"), "judged")
+        wrong = judged.where("fails").select("gram", "part", "a", "b")
+        if wrong.isEmpty():
+            return labels
+        trees = judged.where("fails").select("task", "tree").distinct()
+        again = judged.join(trees, ["task", "tree"], "left_semi")
+        again = again.select(F.col("a").alias("doc")).unionByName(again.select(F.col("b").alias("doc"))).distinct()
+        if before is not None:
+            again = again.join(before.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left").select(F.coalesce("comp", "doc").alias("comp")).distinct()
+        else:
+            again = again.select(F.col("doc").alias("comp"))
+        now = now.join(again, "comp", "left_semi")
+        refuted = wrong if refuted is None else refuted.unionByName(wrong)
+        forests *= 4
+
+
+def _meet_parts(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Cells of cut columns, each row outside the most common component of its column repeated for every part."""
+    if labels is None:
+        named = cells.withColumn("comp", F.col("doc"))
+    else:
+        named = cells.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    counts = named.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    most = counts.groupBy("gram").agg(F.max_by("comp", F.struct("rows", "comp")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    outside = F.col("comp") != F.col("most")
+    to = F.explode(F.when(outside, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part")))
+    met = named.join(most, "gram").select("gram", "part", "doc", "n", "place", to.alias("to"))
+    return met.select("gram", F.col("to").alias("part"), "doc", "n", "place", (F.col("to") == F.col("part")).alias("home"))
+
+
+def ngram_components(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100, dense: int = 64, least: int = 2, everywhere: int = 24, column: int = MAX_COLUMN) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of at least num/den of their word n-gram sets.
 
-    ``documents``: doc_id (unique long) and text; other columns are ignored, whatever their names. A
-    document with fewer than ``words`` words is one gram, its whole sequence; one without words (or a null
-    text) has an empty set, links with nothing and is its own component. Repeated texts share a class.
-    Rows with a null doc_id are ignored. Returns doc_id, n_shingles, class_id (least doc_id with the same
-    set), component_id (least doc_id reachable). An empty table gives an empty result.
-    ``dense``: rows of a column from which it isn't expanded into pairs at once; ``least`` and
-    ``everywhere``: counts, in a task and in all, from which a column is put last in the order.
+    ``documents``: doc_id (long, one text for each) and text; other columns are ignored, whatever their names.
+    A document with fewer than ``words`` words is one gram, its whole sequence; one without words (or a null
+    text) has an empty set, links with nothing and is its own component. Repeated texts share a class; a
+    repeated row is returned as often as it comes. Rows with a null doc_id are ignored. Returns doc_id,
+    n_shingles, class_id (least doc_id with the same set), component_id (least doc_id reachable). An empty
+    table gives an empty result. ``dense``: rows of a column from which not all of its pairs are looked at
+    while one component holds most of them; ``least`` and ``everywhere``: counts, in a task and in all, from
+    which a column is put last in the order; ``column``: rows from which a column is cut into parts.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     counts = docs.mapInArrow(partial(_frequent, words=words, least=least), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= everywhere)
-    often = np.sort(most_frequent(keep(counts, "frequent"), MAX_FREQUENT).select("gram").toArrow().column(0).to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast(often) if len(often) else None
-    rows = keep(docs.mapInArrow(partial(_prefixes, words=words, num=num, den=den, frequent=shared), "doc_id long, n long, signature binary, prefix binary"), "prefixes")
+    table = most_frequent(keep(counts, "frequent"), MAX_FREQUENT).select("gram", "n").toArrow()
+    often, times = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+    order = np.argsort(often)
+    often, times = often[order], times[order]
+    shared = spark.sparkContext.broadcast((often,)) if len(often) else None
+    large = times > column
+    hot = spark.sparkContext.broadcast((often[large], -(-times[large] // column))) if large.any() else None
+    rows = keep(docs.mapInArrow(partial(_prefixes, words=words, num=num, den=den, frequent=shared), "doc_id long, n long, signature binary, prefix binary, sketch binary"), "prefixes")
     classes = keep(rows.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("class_id")), "classes")
-    copies = keep(rows.select("doc_id", "signature").join(classes, "signature").where("doc_id != class_id").select("doc_id"), "copies")
-    heads = rows.where("n > 0").join(_few(copies), "doc_id", "left_anti").select("doc_id", "n", "prefix")
-    dealt = heads.mapInArrow(partial(_deal, blocks=partitions(spark)), "block long, grams binary, docs binary, sizes binary, counts binary").repartition(partitions(spark), "block")
-    product = keep(dealt.mapInArrow(partial(_multiply, num=num, den=den, dense=dense), "a long, b long, na long, nb long, chain boolean, c long"), "product")
-    need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den)).cast("long")
-    tail = F.greatest(F.ceil(F.lit(num) * F.col("na") / den), F.ceil(F.lit(num) * F.col("nb") / den)).cast("long") - 1
-    pairs = keep(
-        product.where("b is not null").groupBy("a", "b")
-        .agg(F.sum(F.when(F.col("chain"), 0).otherwise(F.col("c"))).alias("c"), F.max("chain").alias("chain"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        .where(F.col("chain") | (F.col("c") >= need - tail)),
-        "pairs",
-    )
-    links = keep(_linked(pairs, docs, words, num, den), "links")
-    found = keep(connected_components(links), "components")
-
-
-    dense_rows = product.where("b is null").select(F.col("nb").alias("gram"), "a", F.col("na").alias("n"))
-    labels = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    split = dense_rows.join(labels, "a", "left").select("gram", F.col("a").alias("doc"), "n", F.coalesce("ca", "a").alias("comp"))
-    mixed = split.groupBy("gram").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("gram")
-    across = (
-        split.join(mixed, "gram", "left_semi").repartition(partitions(spark), "gram").sortWithinPartitions("gram", "n", "doc")
-        .mapInArrow(partial(_across, num=num, den=den), "a long, b long").distinct()
-    )
-    across = keep(across.withColumn("c", F.lit(0).cast("long")), "across")
-    if not across.isEmpty():
-        links = links.unionByName(keep(_linked(across, docs, words, num, den), "links"))
-    final = (found if across.isEmpty() else connected_components(links)).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
-    named = rows.select("doc_id", F.col("n").alias("n_shingles"), "signature").join(classes, "signature", "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return named.join(final, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"), "class_id")
+    copies = keep(rows.select("doc_id", "signature").join(classes, "signature").where("doc_id != class_id").select("doc_id", "class_id").distinct(), "copies")
+    heads = rows.where("n > 0").join(_few(copies.select("doc_id")), "doc_id", "left_anti")
+    dealt = heads.select("doc_id", "n", "prefix").mapInArrow(partial(_deal, blocks=partitions(spark), hot=hot), "block long, grams binary, docs binary, sizes binary, counts binary, places binary")
+    cells = dealt.repartition(partitions(spark), "block").mapInArrow(partial(_meet, num=num, den=den, dense=dense, hot=hot), "gram long, part long, parts long, doc long, n long, place long")
+    cells = keep(cells, "cells")
+    sketches = rows.where("n > 0").join(_few(cells.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "sketch")
+    sketches = keep(sketches.dropDuplicates(["doc"]), "sketches")
+    own = cells.select("gram", "part", "doc", "n", "place", F.lit(True).alias("home"))
+    labels = _settle(own, None, sketches, docs, words, num, den, dense)
+    if hot is not None:
+        cut = cells.where("parts > 1").select("gram", "part", "parts", "doc", "n", "place")
+        labels = _settle(_meet_parts(cut, labels), labels, sketches, docs, words, num, den, dense)
+    # only documents that are a copy or linked have another name than their own: these few, not all rows, are joined
+    final = copies.select("doc_id", "class_id")
+    if labels is not None:
+        moved = labels.where("node != component").select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+        final = final.join(moved, "class_id", "left").select("doc_id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+        final = final.unionByName(moved.select(F.col("class_id").alias("doc_id"), "class_id", "component_id"))
+    else:
+        final = final.withColumn("component_id", F.col("class_id"))
+    final = keep(final, "named")
+    named = rows.select("doc_id", F.col("n").alias("n_shingles")).join(_few(final), "doc_id", "left")
+    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def one_of_each(documents: DataFrame, **settings) -> DataFrame:
