@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +25,13 @@ _ODD = 0x9E3779B97F4A7C15
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own in a local session that sets none."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/checkpoints/vantarow")
         base = spark.sparkContext.getCheckpointDir()
     return base
@@ -77,6 +83,19 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def even_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """One key for each of ``parts`` partitions, in their order: dealt by these, each task of a repartition gets one block.
+
+    Hashes of the numbers 0 to ``parts`` - 1 themselves would leave a third of the tasks empty and others with several.
+    """
+    to = F.pmod(F.hash("id"), F.lit(parts))
+    found = spark.range(0, parts * 32, 1, 1).groupBy(to.alias("part")).agg(F.min("id").alias("key")).collect()
+    keys = np.arange(parts, dtype=np.int64) + parts * 32
+    for row in found:
+        keys[row["part"]] = row["key"]
+    return keys
+
+
 @lru_cache(maxsize=8)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
@@ -216,6 +235,33 @@ def window_rows(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, rows
 
 
+def thin(values: np.ndarray) -> bytes:
+    return zlib.compress(packed(values), 1)
+
+
+def thick(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), kind)
+
+
+def owners(who: np.ndarray, names: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Of entries sorted by their rows ``who``: which rows have some, the names of those and how many; packed.
+
+    Only rows that occur are named, so what a block repeats grows with its entries, not with the number of blocks.
+    """
+    some, counts = np.unique(who, return_counts=True)
+    return thin(np.diff(some, prepend=0).astype(np.uint32)), thin(np.diff(names[some], prepend=names.dtype.type(0))), thin(counts.astype(np.uint32))
+
+
+def owned(rows: bytes, names: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(thick(rows, np.uint32)).astype(np.int64), np.cumsum(thick(names, np.int64)), thick(counts, np.uint32).astype(np.int64)
+
+
+def flush_name(docs: np.ndarray, number: int) -> bytes:
+    """Names what a task packed at once; the same if the task runs again, another one where another task has equal documents."""
+    context = TaskContext.get()
+    return xxhash.xxh3_128_digest(packed(docs) + f"{context.partitionId() if context else 0}/{number}".encode())
+
+
 def packed(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 

@@ -16,7 +16,6 @@ then meet every part.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantarow.llm.common import hashed_docs, ints, keep, lean, mix, most_frequent, packed, partitions, rolling, window_rows
+from vantarow.llm.common import even_keys, hashed_docs, ints, keep, lean, mix, most_frequent, owned, owners, packed, partitions, rolling, thick, thin, window_rows
 from vantarow.llm.graph import connected_components
 from vantarow.llm.proposals import propose, sketch
 
@@ -125,31 +124,31 @@ def _part(grams: np.ndarray, docs: np.ndarray, hot) -> tuple[np.ndarray, np.ndar
     return part, parts
 
 
+_DEALT = "block long, grams binary, rows binary, docs binary, counts binary, sizes binary, places binary"
+
+
 @lean
-def _deal(batches: Iterator[pa.RecordBatch], blocks: int, hot=None, every: int = 500_000) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], keys: np.ndarray, hot=None, every: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Pack the nonzeros of the matrix by block of columns: grams and places as they are, rows as counts by document."""
     docs, sizes, grams, n = [], [], [], 0
+    blocks = np.uint64(len(keys))
 
     def out() -> pa.RecordBatch:
         g, lengths = np.concatenate(grams), np.array([len(x) for x in grams])
+        names, size = np.array(docs, np.int64), np.array(sizes, np.int32)
         who = np.repeat(np.arange(len(docs)), lengths)
         place = np.arange(len(g)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        part, _ = _part(g, np.array(docs, np.int64)[who], hot)
-        block = (((g >> np.uint64(40)) + mix(part.view(np.uint64)) * (part > 0)) % np.uint64(blocks)).astype(np.int64)
+        part, _ = _part(g, names[who], hot)
+        block = (((g >> np.uint64(40)) + mix(part.view(np.uint64)) * (part > 0)) % blocks).astype(np.int64)
         order = np.argsort(block, kind="stable")
         g, who, block, place = g[order], who[order], block[order], place[order]
-        cuts = np.searchsorted(block, np.arange(blocks + 1))
-        named = zlib.compress(packed(np.diff(np.array(docs, np.int64), prepend=np.int64(0))), 1)
-        size = zlib.compress(packed(np.array(sizes, np.int32)), 1)
-        rows = {"block": [], "grams": [], "docs": [], "sizes": [], "counts": [], "places": []}
-        for k in range(blocks):
-            a, b = cuts[k], cuts[k + 1]
-            if a < b:
-                counts = zlib.compress(packed(np.bincount(who[a:b], minlength=len(docs)).astype(np.uint32)), 1)
-                places = zlib.compress(packed(place[a:b].astype(np.uint32)), 1)
-                for name, value in zip(rows, (k, packed(g[a:b]), named, size, counts, places)):
-                    rows[name].append(value)
-        return pa.RecordBatch.from_pydict({"block": pa.array(rows["block"], pa.int64()), **{k: pa.array(rows[k], pa.binary()) for k in list(rows)[1:]}})
+        cuts = np.searchsorted(block, np.arange(len(keys) + 1))
+        made = []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = slice(cuts[k], cuts[k + 1])
+            made.append((int(keys[k]), packed(g[mine]), *owners(who[mine], names), thin(size[np.unique(who[mine])]), thin(place[mine].astype(np.uint32))))
+        columns = list(zip(*made))
+        return pa.RecordBatch.from_pydict({"block": pa.array(columns[0], pa.int64()), **{k: pa.array(c, pa.binary()) for k, c in zip(("grams", "rows", "docs", "counts", "sizes", "places"), columns[1:])}})
 
     for batch in batches:
         for d, s, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -169,12 +168,12 @@ def _meet(batches: Iterator[pa.RecordBatch], num: int, den: int, dense: int, hot
     """Nonzeros of one block of columns that meet another row within the size bounds; those of cut columns all stay."""
     grams, docs, sizes, places = [], [], [], []
     for batch in batches:
-        for g, named, size, counts, place in zip(*(c.to_pylist() for c in batch.columns[1:])):
-            counts = np.frombuffer(zlib.decompress(counts), np.uint32)
+        for _, g, rows, named, counts, size, place in zip(*(c.to_pylist() for c in batch.columns)):
+            _, named, counts = owned(rows, named, counts)
             grams.append(g)
-            docs.append(np.repeat(np.cumsum(np.frombuffer(zlib.decompress(named), np.int64)), counts))
-            sizes.append(np.repeat(np.frombuffer(zlib.decompress(size), np.int32), counts))
-            places.append(np.frombuffer(zlib.decompress(place), np.uint32))
+            docs.append(np.repeat(named, counts))
+            sizes.append(np.repeat(thick(size, np.int32), counts))
+            places.append(thick(place, np.uint32))
     if not grams:
         return
     g, doc, size, place = ints(grams, "u8"), np.concatenate(docs), np.concatenate(sizes).astype(np.int64), np.concatenate(places).astype(np.int64)
@@ -320,7 +319,7 @@ def _settle(cells: DataFrame, labels: DataFrame | None, sketches: DataFrame, doc
             again = again.select(F.col("doc").alias("comp"))
         now = now.join(again, "comp", "left_semi")
         refuted = wrong if refuted is None else refuted.unionByName(wrong)
-        forests *= 4
+        forests *= 16
 
 
 def _meet_parts(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -363,7 +362,7 @@ def ngram_components(documents: DataFrame, words: int = 5, num: int = 80, den: i
     classes = keep(rows.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("class_id")), "classes")
     copies = keep(rows.select("doc_id", "signature").join(classes, "signature").where("doc_id != class_id").select("doc_id", "class_id").distinct(), "copies")
     heads = rows.where("n > 0").join(_few(copies.select("doc_id")), "doc_id", "left_anti")
-    dealt = heads.select("doc_id", "n", "prefix").mapInArrow(partial(_deal, blocks=partitions(spark), hot=hot), "block long, grams binary, docs binary, sizes binary, counts binary, places binary")
+    dealt = heads.select("doc_id", "n", "prefix").mapInArrow(partial(_deal, keys=even_keys(spark, partitions(spark)), hot=hot), _DEALT)
     cells = dealt.repartition(partitions(spark), "block").mapInArrow(partial(_meet, num=num, den=den, dense=dense, hot=hot), "gram long, part long, parts long, doc long, n long, place long")
     cells = keep(cells, "cells")
     sketches = rows.where("n > 0").join(_few(cells.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "sketch")
