@@ -12,7 +12,6 @@ passage in a million documents costs a million entries. Hashes have 64 bits in t
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -22,11 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantarow.llm.common import hashed_docs, keep, lean, mix, packed, partitions, rolling, texts_of, window_rows
+from vantarow.llm.common import even_keys, flush_name, hashed_docs, keep, lean, mix, owned, owners, packed, partitions, rolling, texts_of, thick, thin, window_rows
 
 #: Up to this many bytes of ids or marks are broadcast; beyond, a shuffle join takes their place.
 MAX_BROADCAST = 48 << 20
-_DEALT = "block long, flush binary, docs binary, counts binary, grams binary, places binary"
+#: Entries that are packed at once.
+EVERY = 1_000_000
+_DEALT = "block long, flush binary, rows binary, docs binary, counts binary, grams binary, places binary"
 
 
 @lean
@@ -49,8 +50,9 @@ def _probes(offs: np.ndarray, hashes: np.ndarray, length: int, block: int) -> tu
 class _Dealer:
     """Collects entries of documents and packs them by block of hash values."""
 
-    def __init__(self, blocks: int, every: int, places: bool) -> None:
-        self.blocks, self.every, self.places = blocks, every, places
+    def __init__(self, keys: np.ndarray, every: int, places: bool) -> None:
+        self.keys, self.blocks, self.every, self.places = keys, len(keys), every, places
+        self.number = 0
         self.clear()
 
     def clear(self) -> None:
@@ -75,29 +77,21 @@ class _Dealer:
         block, gram, who = block[order], gram[order], who[order]
         place = np.concatenate(self.place)[order] if self.places else None
         cuts = np.searchsorted(block, np.arange(self.blocks + 1))
-        named = zlib.compress(packed(np.diff(docs, prepend=np.int64(0))), 1)
-        flush = xxhash.xxh3_128_digest(packed(docs))
-        rows = {k: [] for k in ("block", "flush", "docs", "counts", "grams", "places")}
-        for k in range(self.blocks):
-            a, b = cuts[k], cuts[k + 1]
-            if a < b:
-                rows["block"].append(k)
-                rows["flush"].append(flush)
-                rows["docs"].append(named)
-                rows["counts"].append(zlib.compress(packed(np.bincount(who[a:b], minlength=len(docs)).astype(np.uint32)), 1))
-                rows["grams"].append(packed(gram[a:b]))
-                rows["places"].append(packed(place[a:b]) if self.places else None)
+        flush = flush_name(docs, self.number)
+        self.number += 1
+        made = []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = slice(cuts[k], cuts[k + 1])
+            made.append((int(self.keys[k]), flush, *owners(who[mine], docs), packed(gram[mine]), packed(place[mine]) if self.places else None))
+        columns = list(zip(*made)) or [()] * 7
         self.clear()
-        return pa.RecordBatch.from_pydict({"block": pa.array(rows["block"], pa.int64()), **{k: pa.array(v, pa.binary()) for k, v in rows.items() if k != "block"}})
-
-
-def _named(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(raw), np.int64))
+        return pa.RecordBatch.from_pydict({"block": pa.array(columns[0], pa.int64()), **{k: pa.array(v, pa.binary()) for k, v in zip(("flush", "rows", "docs", "counts", "grams", "places"), columns[1:])}})
 
 
 @lean
-def _deal_probes(batches: Iterator[pa.RecordBatch], length: int, block: int, blocks: int, every: int = 500_000) -> Iterator[pa.RecordBatch]:
-    dealer = _Dealer(blocks, every, False)
+def _deal_probes(batches: Iterator[pa.RecordBatch], length: int, block: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    blocks = len(keys)
+    dealer = _Dealer(keys, EVERY, False)
     for batch in batches:
         ids = batch.column(0)
         for a, b, hashes, offs in hashed_docs(batch.column(1)):
@@ -121,8 +115,8 @@ def _match(batches: Iterator[pa.RecordBatch], anchors: bool) -> Iterator[pa.Reco
     if not rows:
         return
     kind = np.uint32 if anchors else np.uint64
-    sizes = np.array([len(r[4]) // kind().itemsize for r in rows])
-    grams = np.frombuffer(b"".join(r[4] for r in rows), kind)
+    sizes = np.array([len(r[5]) // kind().itemsize for r in rows])
+    grams = np.frombuffer(b"".join(r[5] for r in rows), kind)
     if anchors:
         # the block is part of the value: entries of other blocks in this partition mustn't meet
         key = (np.repeat(np.array([r[0] for r in rows], np.uint64), sizes) << np.uint64(32)) | grams
@@ -139,25 +133,18 @@ def _match(batches: Iterator[pa.RecordBatch], anchors: bool) -> Iterator[pa.Reco
     hit = np.empty(len(grams), bool)
     hit[order] = np.repeat(good, length)
     at = 0
-    for (block, flush, docs, counts, _, places), n in zip(rows, sizes):
+    for (block, flush, who, docs, counts, _, places), n in zip(rows, sizes):
         mine = hit[at : at + n]
         at += n
         if mine.any():
             marks = packed(np.frombuffer(places, np.uint32)[mine]) if places is not None else packed(np.packbits(mine))
-            kept = counts if places is None else zlib.compress(packed(np.add.reduceat(np.r_[mine, False], _edges(counts)).astype(np.uint32) * (_counts(counts) > 0)), 1)
-            yield pa.RecordBatch.from_pydict({"block": [block], "flush": [flush], "docs": [docs], "counts": [kept], "marks": [marks]})
-
-
-def _counts(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), np.uint32)
-
+            if places is not None:
+                each = thick(counts, np.uint32).astype(np.int64)
+                counts = thin(np.add.reduceat(mine.astype(np.int64), np.cumsum(each) - each).astype(np.uint32))
+            yield pa.RecordBatch.from_pydict({"block": [block], "flush": [flush], "rows": [who], "docs": [docs], "counts": [counts], "marks": [marks]})
 
-def _edges(raw: bytes) -> np.ndarray:
-    counts = _counts(raw).astype(np.int64)
-    return np.cumsum(counts) - counts
 
-
-_MARKED = "block long, flush binary, docs binary, counts binary, marks binary"
+_MARKED = "block long, flush binary, rows binary, docs binary, counts binary, marks binary"
 
 
 @lean
@@ -165,58 +152,57 @@ def _by_doc(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[pa.Re
     """Gather the marks of each flush and hand every document those of its own."""
     flushes: dict[bytes, list[tuple]] = {}
     for batch in batches:
-        for block, flush, docs, counts, marks in zip(*(c.to_pylist() for c in batch.columns)):
-            flushes.setdefault(flush, []).append((block, docs, counts, marks))
+        for block, flush, who, docs, counts, marks in zip(*(c.to_pylist() for c in batch.columns)):
+            flushes.setdefault(flush, []).append((block, who, docs, counts, marks))
     for rows in flushes.values():
         rows.sort(key=lambda r: r[0])
-        yield make(_named(rows[0][1]), rows)
+        yield make([(block, *owned(who, docs, counts), marks) for block, who, docs, counts, marks in rows])
 
 
-def _bitmaps(docs: np.ndarray, rows: list[tuple]) -> pa.RecordBatch:
-    """Per document, the blocks with hits: (block, number of entries) and their bits, in the order of blocks."""
+def _bitmaps(rows: list[tuple]) -> pa.RecordBatch:
+    """Per document, the keys of blocks with hits and the bits of its entries there."""
     out: dict[int, list] = {}
-    for block, _, counts, marks in rows:
-        counts = _counts(counts).astype(np.int64)
+    names: dict[int, int] = {}
+    for block, who, docs, counts, marks in rows:
         bits = np.unpackbits(np.frombuffer(marks, np.uint8))[: counts.sum()]
         ends = np.cumsum(counts)
-        some = np.add.reduceat(np.r_[bits, 0].astype(np.int64), ends - counts) * (counts > 0)
-        for i in np.flatnonzero(some):
-            out.setdefault(i, []).append((block, np.packbits(bits[ends[i] - counts[i] : ends[i]])))
+        some = np.add.reduceat(bits.astype(np.int64), ends - counts)
+        for i in np.flatnonzero(some).tolist():
+            names[int(who[i])] = int(docs[i])
+            out.setdefault(int(who[i]), []).append((block, np.packbits(bits[ends[i] - counts[i] : ends[i]])))
     ids = sorted(out)
     return pa.RecordBatch.from_pydict(
         {
-            "doc_id": docs[ids] if ids else np.empty(0, np.int64),
-            "blocks": pa.array([packed(np.array([b for b, _ in out[i]], np.uint32)) for i in ids], pa.binary()),
+            "doc_id": pa.array([names[i] for i in ids], pa.int64()),
+            "blocks": pa.array([packed(np.array([b for b, _ in out[i]], np.int64)) for i in ids], pa.binary()),
             "bits": pa.array([b"".join(packed(x) for _, x in out[i]) for i in ids], pa.binary()),
         }
     )
 
 
-def _spans(docs: np.ndarray, rows: list[tuple], length: int) -> pa.RecordBatch:
+def _spans(rows: list[tuple], length: int) -> pa.RecordBatch:
     """Per document, the word spans that repeated windows cover."""
-    who = np.concatenate([np.repeat(np.arange(len(docs)), _counts(r[2])) for r in rows])
-    at = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows]).astype(np.int64)
+    who = np.concatenate([np.repeat(r[1], r[3]) for r in rows])
+    name = np.concatenate([np.repeat(r[2], r[3]) for r in rows])
+    at = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows]).astype(np.int64)
     order = np.lexsort((at, who))
-    who, at = who[order], at[order]
-    first = np.r_[True, (who[1:] != who[:-1]) | (at[1:] > at[:-1] + length)] if len(at) else np.empty(0, bool)
-    begin = np.flatnonzero(first)
+    who, at, name = who[order], at[order], name[order]
+    begin = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (at[1:] > at[:-1] + length)])
     end = np.r_[begin[1:], len(at)] - 1
     spans = np.column_stack([at[begin], at[end] + length]).astype(np.uint32)
-    owner = who[begin]
-    cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(owner) else np.array([0])
-    return pa.RecordBatch.from_pydict(
-        {"doc_id": docs[owner[cuts[:-1]]] if len(owner) else np.empty(0, np.int64), "spans": pa.array([packed(spans[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())}
-    )
+    cuts = np.flatnonzero(np.r_[True, who[begin][1:] != who[begin][:-1], True])
+    return pa.RecordBatch.from_pydict({"doc_id": name[begin][cuts[:-1]], "spans": pa.array([packed(spans[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
 
-def _hit_places(grams: np.ndarray, named: bytes, bits: bytes, blocks: int) -> np.ndarray:
+def _hit_places(grams: np.ndarray, named: bytes, bits: bytes, blocks: int, number: dict[int, int]) -> np.ndarray:
     """Invert the packing for one document: which of its rolling windows hit."""
     block = ((grams >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
     order = np.argsort(block, kind="stable")
     cuts = np.searchsorted(block[order], np.arange(blocks + 1))
     hit = np.zeros(len(grams), bool)
     raw, at = np.frombuffer(bits, np.uint8), 0
-    for k in np.frombuffer(named, np.uint32):
+    for key in np.frombuffer(named, np.int64).tolist():
+        k = number[key]
         mine = order[cuts[k] : cuts[k + 1]]
         size = (len(mine) + 7) // 8
         hit[mine] = np.unpackbits(raw[at : at + size])[: len(mine)].astype(bool)
@@ -225,9 +211,10 @@ def _hit_places(grams: np.ndarray, named: bytes, bits: bytes, blocks: int) -> np
 
 
 @lean
-def _deal_windows(batches: Iterator[pa.RecordBatch], length: int, block: int, blocks: int, every: int = 500_000) -> Iterator[pa.RecordBatch]:
+def _deal_windows(batches: Iterator[pa.RecordBatch], length: int, block: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Extend hits: every window of full length whose own aligned block was hit."""
-    dealer = _Dealer(blocks, every, True)
+    blocks, number = len(keys), {int(k): i for i, k in enumerate(keys)}
+    dealer = _Dealer(keys, EVERY, True)
     for batch in batches:
         ids, named, bits = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
         for a, b, hashes, offs in hashed_docs(batch.column(1)):
@@ -237,7 +224,7 @@ def _deal_windows(batches: Iterator[pa.RecordBatch], length: int, block: int, bl
                 n = int(hi - lo)
                 if n < length or bits[i] is None:
                     continue
-                hit = _hit_places(mix(short[lo : hi - block + 1]), named[i], bits[i], blocks)
+                hit = _hit_places(mix(short[lo : hi - block + 1]), named[i], bits[i], blocks, number)
                 start = np.arange(n - length + 1)
                 aligned = (start + block - 1) // block * block
                 start = start[hit[aligned]]
@@ -249,8 +236,8 @@ def _deal_windows(batches: Iterator[pa.RecordBatch], length: int, block: int, bl
 
 
 @lean
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
+    for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
         ids, spans, whole = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist()
         data, offs = texts_of(batch.column(1))
         raw = data.tobytes()
@@ -271,10 +258,10 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             n_removed.append(len(words) - len(rest))
             out = b" ".join(rest)
             digests.append(hashlib.sha256(out).hexdigest())
-            kept.append(out)
-        yield pa.RecordBatch.from_pydict(
-            {"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
-        )
+            if texts:
+                kept.append(out)
+        columns = {"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+        yield pa.RecordBatch.from_pydict(columns | ({"kept": pa.array(kept, pa.binary()).cast(pa.string())} if texts else {}))
 
 
 def _small(df: DataFrame, size: int) -> DataFrame:
@@ -282,43 +269,46 @@ def _small(df: DataFrame, size: int) -> DataFrame:
     return F.broadcast(df) if size <= MAX_BROADCAST else df
 
 
-def remove_repeats(documents: DataFrame, length: int = 35) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 35, texts: bool = True) -> DataFrame:
     """Remove every word that a window of ``length`` words covers whose word sequence also starts elsewhere.
 
-    ``documents``: doc_id (unique long) and text; other columns are ignored, whatever their names. Words are
-    runs of anything but ASCII white space. All copies of a repeat go; windows are judged on the input. Null
-    and empty texts have no words; rows with a null doc_id are ignored; an empty table gives an empty
-    result. Returns doc_id, n_words, n_removed, kept_sha256 and kept (kept words joined by one space).
+    ``documents``: doc_id (long, one text for each) and text; other columns are ignored, whatever their names.
+    Words are runs of anything but ASCII white space. All copies of a repeat go; windows are judged on the
+    input. Null and empty texts have no words; rows with a null doc_id are ignored; an empty table gives an
+    empty result. A repeated row is a document beside the other: both come out, and both lose every window.
+    Returns doc_id, n_words, n_removed, kept_sha256 and kept (kept words joined by one space), without ``kept``
+    if ``texts`` is false: then the texts don't leave the workers.
     """
     spark = documents.sparkSession
     block = (length + 1) // 2
     parts = partitions(spark)
+    keys = even_keys(spark, parts)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     signs = keep(docs.mapInArrow(_signatures, "doc_id long, n long, signature binary"), "signatures")
     classes = keep(signs.where(F.col("n") >= length).groupBy("signature").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "classes")
-    copies = keep(signs.join(classes, "signature").select("doc_id", "head"), "copies")
+    copies = keep(signs.join(classes, "signature").select("doc_id", "head").distinct(), "copies")
     n_copies = copies.count()
     others = _small(copies.where("doc_id != head").select("doc_id"), 16 * n_copies)
     heads = docs.join(others, "doc_id", "left_anti")
     if 16 * n_copies > MAX_BROADCAST:
         heads = heads.sortWithinPartitions("doc_id")
-    dealt = heads.mapInArrow(partial(_deal_probes, length=length, block=block, blocks=parts), _DEALT).repartition(parts, "block")
+    dealt = heads.mapInArrow(partial(_deal_probes, length=length, block=block, keys=keys), _DEALT).repartition(parts, "block")
     marked = dealt.mapInArrow(partial(_match, anchors=True), _MARKED).repartition(parts, "flush")
-    hits = keep(marked.mapInArrow(partial(_by_doc, make=_bitmaps), "doc_id long, blocks binary, bits binary"), "hits")
+    hits = keep(marked.mapInArrow(partial(_by_doc, make=_bitmaps), "doc_id long, blocks binary, bits binary").dropDuplicates(["doc_id"]), "hits")
     size = hits.agg(F.coalesce(F.sum(F.length("bits") + F.length("blocks") + 24), F.lit(0))).first()[0]
     around = docs.join(_small(hits, size), "doc_id").select("doc_id", "text", "blocks", "bits")
     if size > MAX_BROADCAST:
         around = around.sortWithinPartitions("doc_id")
-    windows = around.mapInArrow(partial(_deal_windows, length=length, block=block, blocks=parts), _DEALT).repartition(parts, "block")
+    windows = around.mapInArrow(partial(_deal_windows, length=length, block=block, keys=keys), _DEALT).repartition(parts, "block")
     again = windows.mapInArrow(partial(_match, anchors=False), _MARKED).repartition(parts, "flush")
-    spans = keep(again.mapInArrow(partial(_by_doc, make=partial(_spans, length=length)), "doc_id long, spans binary"), "spans")
+    spans = keep(again.mapInArrow(partial(_by_doc, make=partial(_spans, length=length)), "doc_id long, spans binary").dropDuplicates(["doc_id"]), "spans")
     marks = keep(spans.join(copies.select("doc_id", F.lit(True).alias("whole")), "doc_id", "full").select("doc_id", "spans", F.coalesce("whole", F.lit(False)).alias("whole")), "marks")
     size = marks.agg(F.coalesce(F.sum(F.coalesce(F.length("spans"), F.lit(0)) + 32), F.lit(0))).first()[0]
     return docs.join(_small(marks, size), "doc_id", "left").select("doc_id", "text", "spans", "whole").mapInArrow(
-        partial(_cut, length=length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+        partial(_cut, length=length, texts=texts), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
     )
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """What remains of every document of ``documents``, as digests; see :func:`remove_repeats`."""
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
