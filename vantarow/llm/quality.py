@@ -22,8 +22,11 @@ MAX_IDS = 4_000_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_chars")
 
 
-def text_stats(documents: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every text. Null and empty texts have none of anything."""
+def text_stats(documents: DataFrame, mask: int = -1) -> DataFrame:
+    """doc_id and the statistics of every text. Null and empty texts have none of anything.
+
+    ``mask``: bits of a window's hash that are used; the counts are exact with any, fewer only cost time.
+    """
     rows = documents.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     inner = F.btrim("text", F.lit(_SPACE))
     rows = rows.select(
@@ -46,15 +49,20 @@ def text_stats(documents: DataFrame) -> DataFrame:
     # hash of each three-word window above, its place below: equal windows are neighbours once sorted
     windows = F.expr(
         "CASE WHEN n_words >= 3 THEN sort_array(transform(sequence(0, size(words) - 3), i -> "
-        "shiftleft(xxhash64(get(hashes, i), get(hashes, i + 1), get(hashes, i + 2)), bits) | cast(i AS bigint))) ELSE array() END"
+        f"shiftleft(xxhash64(get(hashes, i), get(hashes, i + 1), get(hashes, i + 2)) & {mask}L, bits) | cast(i AS bigint))) ELSE array() END"
     ).cast("array<bigint>")
     rows = rows.select("*", windows.alias("sorted")).drop("hashes")
+    near = "(shiftright({a}, bits) = shiftright({b}, bits))"
     same = (
-        "(shiftright({a}, bits) = shiftright({b}, bits) AND "
+        f"({near} AND "
         + " AND ".join(f"get(words, cast({{a}} & (shiftleft(1L, bits) - 1L) AS int) + {k}) = get(words, cast({{b}} & (shiftleft(1L, bits) - 1L) AS int) + {k})" for k in range(3))
         + ")"
     )
-    again = F.expr(f"filter(sorted, (x, k) -> coalesce({same.format(a='x', b='get(sorted, k - 1)')}, false) OR coalesce({same.format(a='x', b='get(sorted, k + 1)')}, false))")
+    # a neighbour of equal hash and other words means that hashes collide: only then all windows are compared
+    sides = ("get(sorted, k - 1)", "get(sorted, k + 1)")
+    beside = " OR ".join(f"coalesce({same.format(a='x', b=side)}, false)" for side in sides)
+    collide = " OR ".join(f"coalesce({near.format(a='x', b=side)}, false)" for side in sides)
+    again = F.expr(f"filter(sorted, (x, k) -> {beside} OR (({collide}) AND exists(sorted, y -> y != x AND {same.format(a='x', b='y')})))")
     rows = rows.select(*[c for c in rows.columns if c not in ("sorted", "words")], again.alias("again"))
     covered = F.expr(
         "aggregate(sort_array(transform(again, x -> x & (shiftleft(1L, bits) - 1L))), "
