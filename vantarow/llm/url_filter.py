@@ -17,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): the rules of the query.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Rules up to this many become one expression; more are joined by suffixes of the host.
-MAX_INLINE = 128
+MAX_INLINE = 32
 
 _CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -38,6 +38,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def parsed(rows: DataFrame, url: Column) -> DataFrame:
+    """Adds host, path and node, each computed once a row: expressions over them don't repeat the patterns they come from."""
+    rest = rows.select("*", F.inline(F.array(F.struct(_rest(url).alias("__rest")))))
+    names = F.struct(
+        F.coalesce(F.translate(F.regexp_extract("__rest", r"^[^/?#]*", 0), UPPER, LOWER), F.lit("")).alias("host"),
+        F.coalesce(F.regexp_extract("__rest", r"^[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"),
+        F.coalesce(F.regexp_extract("__rest", r"^[^?#]*(\?[^#]*)", 1), F.lit("")).alias("__query"),
+    )
+    whole = rest.select(*[c for c in rest.columns if c != "__rest"], F.inline(F.array(names)))
+    node = F.when(F.col("host") != "", F.concat("host", F.when(F.col("path") == "", "/").otherwise(F.col("path")), "__query"))
+    return whole.withColumn("node", node).drop("__query")
+
+
 def node_of(url: Column) -> Column:
     """What names a document: host, path and query, without scheme and fragment; null if there is no host."""
     host, path = host_of(url), path_of(url)
@@ -57,11 +70,12 @@ def judged(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
         return df.withColumns({"rule": F.lit(None).cast("string"), "ruled": F.lit(None).cast("string")})
     if len(ranked) <= MAX_INLINE:
         chosen: Column | None = None
-        for verdict, host, path in ranked:
+        for place, (_, host, path) in enumerate(ranked):
             fits = ((F.col("host") == host) | F.col("host").endswith(f".{host}")) & F.col("path").startswith(path)
-            value = F.struct(F.lit(host + path).alias("rule"), F.lit(verdict).alias("ruled"))
-            chosen = F.when(fits, value) if chosen is None else chosen.when(fits, value)
-        return df.withColumn("__r", chosen).withColumns({"rule": F.col("__r.rule"), "ruled": F.col("__r.ruled")}).drop("__r")
+            chosen = F.when(fits, place) if chosen is None else chosen.when(fits, place)
+        rules_of, verdicts = (F.array(*[F.lit(x) for x in xs]) for xs in ([h + p for _, h, p in ranked], [v for v, _, _ in ranked]))
+        placed = df.select("*", F.inline(F.array(F.struct(chosen.alias("__place")))))
+        return placed.withColumns({"rule": F.get(rules_of, F.col("__place")), "ruled": F.get(verdicts, F.col("__place"))}).drop("__place")
     table = df.sparkSession.createDataFrame([(h, p, v, i) for i, (v, h, p) in enumerate(ranked)], "rule_host string, rule_path string, ruled string, place int")
     most = max(h.count(".") + 1 for _, h, _ in ranked)
     named = df.select("host", "path").distinct()
@@ -114,12 +128,12 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
         more = redirects.select(node_of(F.col("source")).alias("u"), node_of(F.col("target")).alias("v"))
         edges = edges.unionByName(more.where("u is not null and v is not null and u != v")).distinct()
     edges = keep(edges, "aliases")
-    own = judged(rows.select("page_id", node_of(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), list(rules))
+    own = judged(parsed(rows.select("page_id", "url"), F.col("url")).select("page_id", "node", "host", "path"), list(rules))
     if edges.isEmpty():
         return own.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
     members = connected_components(edges)
     named = F.concat(F.lit("x://"), F.col("node"))
-    members = judged(members.select("node", "component", host_of(named).alias("host"), path_of(named).alias("path")), list(rules))
+    members = judged(parsed(members.select("node", "component"), named).select("component", F.col("node"), "host", "path"), list(rules))
     decided = members.groupBy("component").agg(F.max(F.col("ruled") == "allow").alias("allowed"), F.max(F.col("ruled") == "block").alias("blocked"))
     passed = members.join(decided.where("blocked and not coalesce(allowed, false)").select("component"), "component", "left_semi").select("node", F.lit("block").alias("passed"))
     return own.join(passed, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "passed", F.lit("allow")).alias("verdict"))
