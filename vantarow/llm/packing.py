@@ -186,6 +186,17 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], i
     return [(p, t) for patterns in free.values() for p, t in patterns.items()]
 
 
+def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the lengths of ``b`` fit, first fit decreasing, into bins as large as those of ``a``: then ``a`` is never worse."""
+    room = sorted(a, reverse=True)
+    for x in sorted(b, reverse=True):
+        k = next((i for i, y in enumerate(room) if y >= x), None)
+        if k is None:
+            return False
+        room[k] -= x
+    return True
+
+
 def fillings(left: _Counts, room: int, most: int, tries: int) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room``, fullest first, then those of fewer and larger lengths.
 
@@ -220,54 +231,49 @@ def fillings(left: _Counts, room: int, most: int, tries: int) -> list[tuple[int,
 
     walk(room, room, ())
     ranked = sorted(set(found), key=lambda x: (-x[0], len(x[1]), tuple(-y for y in x[1])))
-    return [x for _, x in ranked[:most]]
+    out: list[tuple[int, ...]] = []
+    for _, x in ranked:
+        if len(out) < most and not any(_dominates(y, x) for y in out):
+            out.append(x)
+    return out
 
 
-def complete(counts: dict[int, int], size: int, most: int = 3, tries: int = 400, nodes: int = 6000) -> list[tuple[tuple[int, ...], int]]:
-    """Bin completion: patterns of lengths, each with its multiplicity, in as few bins as the search finds.
+def lower_bound(counts: dict[int, int], size: int) -> int:
+    """Bins that no packing can do without: total length, and the waste bounds of dual feasible functions.
 
-    Branches over the ``most`` best fillings around the largest length left. A filling is used at once as
-    often as the counts allow. A branch is cut when its bins, with the least that its remaining lengths
-    need (total over size), can't beat the incumbent. Ends early on a plan that meets that bound at the
-    root. ``tries`` and ``nodes`` bound the work; they depend on no input.
+    How many pieces of at least some length fit into a bin gives one. A function that gives each length a share of
+    a bin, so that what fits into a bin never sums to over 1, gives another by its sum. Two kinds are tried: lengths over ``size - e`` take a whole bin and those under ``e``
+    nothing (for every e up to half a bin), and lengths rounded to k-ths of a bin (up to 1/20), alone and over
+    the first kind.
     """
+    lengths = np.array(sorted(k for k in counts if counts[k] > 0), np.int64)
+    if not len(lengths):
+        return 0
+    n = np.array([counts[k] for k in lengths.tolist()], np.int64)
+    best = -(-int((lengths * n).sum()) // size)
+    # so many pieces are at least this long, and so many of those fit into one bin
+    best = max(best, int((-(-np.cumsum(n[::-1]) // (size // lengths[::-1]))).max()))
+    cuts = np.unique(np.r_[1, lengths[lengths <= size // 2], size - lengths[lengths > size // 2] + 1])
+    for cut in cuts[(cuts >= 1) & (cuts <= size // 2)].tolist():
+        shares = np.where(lengths > size - cut, size, np.where(lengths < cut, 0, lengths))
+        best = max(best, -(-int((shares * n).sum()) // size))
+    for k in range(1, 21):
+        # in units of 1 / (size * k): a length that is a whole number of (k + 1)-ths keeps its share
+        whole = (lengths * (k + 1)) % size == 0
+        rounded = np.where(whole, lengths * k, (lengths * (k + 1)) // size * size)
+        best = max(best, -(-int((rounded * n).sum()) // (size * k)))
+        for cut in cuts[(cuts >= 1) & (cuts <= size // 2)].tolist()[:: max(1, len(cuts) // 64)]:
+            shares = np.where(lengths > size - cut, size * k, np.where(lengths < cut, 0, rounded))
+            best = max(best, -(-int((shares * n).sum()) // (size * k)))
+    return best
+
+
+def _search(counts: dict[int, int], size: int, most: int, tries: int, nodes: int, least: int) -> list[tuple[tuple[int, ...], int]]:
+    """Depth-first branch and bound over fillings, from best-fit decreasing as the first incumbent."""
     best = best_fit(counts, size)
     best_bins = sum(t for _, t in best)
-    total = sum(k * v for k, v in counts.items())
-    least = -(-total // size)
     left = _Counts(counts, size)
-    budget = [nodes]
-
-    def search(bins: int, tokens: int, plan: list) -> bool:
-        nonlocal best, best_bins
-        # follow first choices in a loop, so that depth costs no stack; branch points are kept for later
-        stack = [(bins, tokens, plan, None)]
-        while stack and budget[0] > 0:
-            bins, tokens, plan, restore = stack.pop()
-            if restore is not None:
-                left.n[:] = restore
-            while budget[0] > 0:
-                budget[0] -= 1
-                if bins + -(-tokens // size) >= best_bins:
-                    break
-                big = left.below(size)
-                if not big:
-                    best, best_bins = plan_list(plan), bins
-                    if best_bins == least:
-                        return True
-                    break
-                left.n[big] -= 1
-                options = fillings(left, size - big, most, tries)
-                left.n[big] += 1
-                for other in options[:0:-1]:
-                    if len(stack) < 64:
-                        snapshot = left.n.copy()
-                        b, t = use(big, other)
-                        stack.append((bins + t, tokens - t * sum(b), (plan, (b, t)), left.n.copy()))
-                        left.n[:] = snapshot
-                pattern, times = use(big, options[0])
-                bins, tokens, plan = bins + times, tokens - times * sum(pattern), (plan, (pattern, times))
-        return False
+    budget = nodes
 
     def use(big: int, filling: tuple[int, ...]) -> tuple[tuple[int, ...], int]:
         pattern = (big, *filling)
@@ -283,7 +289,57 @@ def complete(counts: dict[int, int], size: int, most: int = 3, tries: int = 400,
             out.append(step)
         return out[::-1]
 
-    search(0, total, ())
+    # first choices are followed in a loop, so that depth costs no stack; branch points are kept for later
+    stack = [(0, sum(k * v for k, v in counts.items()), (), None)]
+    while stack and budget > 0 and best_bins > least:
+        bins, tokens, plan, restore = stack.pop()
+        if restore is not None:
+            left.n[:] = restore
+        while budget > 0:
+            budget -= 1
+            if bins + -(-tokens // size) >= best_bins:
+                break
+            big = left.below(size)
+            if not big:
+                best, best_bins = plan_list(plan), bins
+                break
+            left.n[big] -= 1
+            options = fillings(left, size - big, most, tries)
+            left.n[big] += 1
+            for other in options[:0:-1]:
+                if len(stack) < 64:
+                    snapshot = left.n.copy()
+                    b, t = use(big, other)
+                    stack.append((bins + t, tokens - t * sum(b), (plan, (b, t)), left.n.copy()))
+                    left.n[:] = snapshot
+            pattern, times = use(big, options[0])
+            bins, tokens, plan = bins + times, tokens - times * sum(pattern), (plan, (pattern, times))
+    return best
+
+
+def complete(counts: dict[int, int], size: int, most: int = 3, tries: int = 300, nodes: int = 3000) -> list[tuple[tuple[int, ...], int]]:
+    """Bin completion: patterns of lengths, each with its multiplicity, in as few bins as the search finds.
+
+    Branches over the ``most`` best undominated fillings around the largest length left. A filling is used at
+    once as often as the counts allow. A branch is cut when its bins, with the least that its remaining lengths
+    need, can't beat the incumbent; the search ends on a plan that meets :func:`lower_bound`. Where it doesn't
+    get there, further incumbents set the largest lengths apart (they take best-fit bins of their own) and
+    search over the others. ``tries`` and ``nodes`` bound the work; they depend on no input.
+    """
+    least = lower_bound(counts, size)
+    best = _search(counts, size, most, tries, nodes, least)
+    bins = sum(t for _, t in best)
+    lengths = sorted((k for k in counts if counts[k] > 0), reverse=True)
+    for k in range(1, 13):
+        if bins <= least or len(lengths) < 3:
+            break
+        apart = {x: counts[x] for x in lengths[: max(1, len(lengths) * k // 40)]}
+        rest = {x: counts[x] for x in lengths if x not in apart}
+        own = best_fit(apart, size)
+        used = sum(t for _, t in own)
+        plan = own + _search(rest, size, most, tries, nodes // 12, max(lower_bound(rest, size), least - used))
+        if sum(t for _, t in plan) < bins:
+            best, bins = plan, sum(t for _, t in plan)
     return best
 
 
@@ -327,7 +383,8 @@ def pack(documents: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, s
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = keep(docs.mapInArrow(partial(_cut, path=tokenizer, size=size, end=end), schema), "pieces")
     # a length that a third of all pieces share is ranked in many parts: each part counts its own, offsets join them
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(256)))
+    salts = max(256, pieces.count() // 20_000)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = groups.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("length", "salt", "before")
     counts = {int(r["length"]): int(r["n"]) for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
