@@ -1,17 +1,22 @@
 """Personal data by weak supervision.
 
 Base patterns give spans that always stand. Wider patterns propose more: each candidate, base ones
-included, gets votes from regex, checksum, gazetteer, context and boundary labelers (for, against or none).
-Dawid-Skene expectation-maximisation over the counts of all vote patterns in the corpus estimates what
-each labeler's votes are worth; a logistic classifier trained on the resulting soft labels decides on the
-candidates. Vote patterns are few (a fixed number), so the counts that reach the driver have a fixed bound,
-while they cover every candidate of every document.
+included, gets votes from regex, checksum, gazetteer, context, boundary and backing labelers (for, against
+or none). Dawid-Skene expectation-maximisation over the counts of all vote patterns in the corpus estimates
+what each labeler's votes are worth, and gives each candidate a soft label. A logistic span classifier is
+trained on these labels; it doesn't see the votes but what the labelers don't look at: the span's shape
+(lengths, digits, capitals, separators) and the words beside it. Its verdict decides on what is added.
+
+Vote patterns are few (a fixed number), so the counts that reach the driver have a fixed bound, while they
+cover every candidate of every document; the classifier is fitted on a bounded sample of candidates.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,8 +28,12 @@ from pyspark.sql import functions as F
 from vantarow.llm.common import keep, lean, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "address", "birth", "iban", "name", "ssn")
-LABELERS = ("form", "checksum", "gazetteer", "context", "boundary")
+LABELERS = ("form", "checksum", "gazetteer", "context", "boundary", "backing")
 _SHAPE = (len(KINDS), *(3,) * len(LABELERS))
+#: Weights of the span classifier: features are hashed to so many.
+WIDTH = 1 << 12
+#: The most candidates that the span classifier is fitted on, chosen by hash; votes are counted over all.
+MAX_SAMPLE = 20_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -57,9 +66,22 @@ CUES = {
     "ssn": ("ssn", "social", "security", "insurance"),
 }
 ANTI_CUES = ("version", "figure", "section", "isbn", "order", "page", "chapter", "release", "model", "serial", "build", "part", "table")
-#: Common given names, and endings of host names.
-GIVEN_NAMES = frozenset("Adam Alice Anna Antonio Carlos Carmen Charles Claire David Elena Emily Emma Fatima Hans Heinrich Isabel James Jean Jennifer John Jose Juan Julia Karl Laura Linda Luis Maria Marie Mary Michael Mohammed Nicolas Olga Patricia Paul Peter Pierre Robert Sarah Sophie Thomas William".split())
-ENDINGS = frozenset("com net org edu gov io de fr es uk eu us ch at it nl info biz".split())
+#: Common given names of several languages, and endings of host names.
+GIVEN_NAMES = frozenset((
+    "Adam", "Agnes", "Ahmed", "Aisha", "Albert", "Alejandro", "Alex", "Alexander", "Alice", "Amanda", "Amir", "Amy", "Ana", "Andrea", "Andrew", "Angela", "Anna", "Anne", "Anthony", "Antoine",
+    "Antonio", "Arthur", "Barbara", "Beatriz", "Ben", "Benjamin", "Brian", "Camille", "Carla", "Carlos", "Carmen", "Caroline", "Catherine", "Charles", "Charlotte", "Chen", "Chloe", "Chris", "Christian", "Claire",
+    "Clara", "Daniel", "David", "Deborah", "Denis", "Diana", "Diego", "Dieter", "Dorothy", "Edward", "Elena", "Elizabeth", "Emily", "Emma", "Eric", "Ernst", "Eva", "Fatima", "Felix", "Fernando",
+    "Florian", "Francesca", "Francisco", "Frank", "Franz", "Gabriel", "George", "Gerhard", "Giovanni", "Giulia", "Grace", "Hannah", "Hans", "Heinrich", "Helen", "Helga", "Henry", "Hugo", "Ibrahim", "Ingrid",
+    "Irina", "Isabel", "Ivan", "Jack", "Jacob", "Jacques", "James", "Jan", "Jane", "Javier", "Jean", "Jennifer", "Jessica", "Joan", "Johannes", "John", "Jonas", "Jorge", "Jose", "Joseph",
+    "Juan", "Julia", "Julie", "Karen", "Karl", "Katharina", "Kevin", "Klaus", "Laura", "Lea", "Leon", "Lin", "Linda", "Lisa", "Louis", "Louise", "Lucas", "Lucia", "Luis", "Lukas",
+    "Manuel", "Marco", "Margaret", "Maria", "Marie", "Mario", "Mark", "Marta", "Martin", "Mary", "Matthew", "Max", "Mehmet", "Mei", "Michael", "Miguel", "Mohammed", "Monika", "Nancy", "Natalia",
+    "Nicolas", "Nina", "Olga", "Oliver", "Omar", "Pablo", "Patricia", "Paul", "Pedro", "Peter", "Philipp", "Pierre", "Rachel", "Raj", "Richard", "Robert", "Rosa", "Ruth", "Samuel", "Sandra",
+    "Sara", "Sarah", "Sergei", "Simon", "Sofia", "Sophie", "Stefan", "Susan", "Thomas", "Ursula", "Victor", "Walter", "Wei", "William", "Wolfgang", "Yuki", "Yusuf", "Zoe",
+))
+ENDINGS = frozenset((
+    "com", "net", "org", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "io", "ai", "app", "dev", "co", "me", "tv", "eu", "us", "uk", "ca", "au", "nz", "ie", "de", "at", "ch", "fr", "be",
+    "nl", "lu", "es", "pt", "it", "gr", "pl", "cz", "sk", "hu", "ro", "bg", "se", "no", "dk", "fi", "is", "ee", "lv", "lt", "ru", "ua", "tr", "il", "ae", "in", "cn", "jp", "kr", "sg", "br", "mx", "ar", "cl", "za",
+))
 
 
 def _luhn(digits: str) -> bool:
@@ -109,7 +131,7 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def _votes(text: str, kind: str, start: int, end: int, base: bool) -> int:
-    """Code of kind and votes (0 none, 1 for, 2 against by labeler)."""
+    """Code of kind and votes (0 none, 1 for, 2 against by labeler). Backing speaks against what no other evidence is for."""
     body = text[start:end]
     before = re.findall(r"[a-z-]+", text[max(0, start - 48) : start].lower())[-6:]
     form = 1 if base else 0
@@ -135,28 +157,57 @@ def _votes(text: str, kind: str, start: int, end: int, base: bool) -> int:
         gazetteer = 1
     context = 1 if any(w in CUES[kind] for w in before) else 2 if any(w in ANTI_CUES for w in before) else 0
     beside = text[start - 1 : start] + text[end : end + 1]
-    boundary = 2 if any(c.isalnum() or c in "_=/" for c in beside) else 1
+    boundary = 2 if any(c.isalnum() or c in "_=/" for c in beside) else 0
+    backing = 0 if form or 1 in (checksum, gazetteer, context) else 2
     code = KINDS.index(kind)
-    for vote in (form, checksum, gazetteer, context, boundary):
+    for vote in (form, checksum, gazetteer, context, boundary, backing):
         code = code * 3 + vote
     return code
 
 
-def find(text: str, raw: bytes | None = None) -> tuple[list, list[tuple[int, int, str, int, int]]]:
-    """Base spans, and candidates with the codes of their votes; a candidate beside base never overlaps one, nor a longer one."""
+def _class(ch: str) -> str:
+    return "" if not ch else "0" if ch.isdigit() else "A" if ch.isupper() else "a" if ch.isalpha() else " " if ch.isspace() else ch
+
+
+def _features(text: str, kind: str, start: int, end: int) -> list[int]:
+    """Hashed features of a span's shape and its neighbours, each with the kind."""
+    body = text[start:end]
+    digits = [c for c in body if c.isdigit()]
+    before = re.findall(r"\w+", text[max(0, start - 40) : start].lower())[-2:]
+    after = re.findall(r"\w+", text[end : end + 24].lower())[:1]
+    found = {
+        "kind": "", "length": min(len(body) // 4, 9), "digits": 4 * len(digits) // max(1, len(body)), "different": min(len(set(digits)), 6), "capitals": min(sum(c.isupper() for c in body), 4),
+        "marks": "".join(sorted({c for c in body if not c.isalnum()}))[:6], "first": _class(body[:1]), "last": _class(body[-1:]), "left": _class(text[start - 1 : start]), "right": _class(text[end : end + 1]),
+        "before": before[-1] if before else "", "second": before[0] if len(before) > 1 else "", "after": after[0] if after else "", "opens": not text[:start].strip() if start < 8 else text[start - 1] == "\n",
+    }
+    return [zlib.crc32(f"{kind}|{k}|{v}".encode()) % WIDTH for k, v in found.items()]
+
+
+Span = tuple[int, int, str, int, int, list[int]]
+
+
+def find(text: str, raw: bytes | None = None) -> tuple[list, list[Span]]:
+    """Base spans, and candidates with the codes of their votes and features; one beside base never overlaps one, nor a longer one."""
     raw = text.encode() if raw is None else raw
     base = base_spans(text)
-    found = [(*x, _votes(text, x[2], x[0], x[3], True)) for x in base]
-    taken = [(a, b) for a, _, _, b in base]
+    found = [(*x, _votes(text, x[2], x[0], x[3], True), _features(text, x[2], x[0], x[3])) for x in base]
+    taken: list[tuple[int, int]] = []
+    for a, _, _, b in base:
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     wider = []
     some_digit = _DIGITS.search(text)
     for kind, pattern, needs in WIDER:
         if any(n in raw for n in needs) if needs else some_digit:
             wider += [(m.start(), KINDS.index(kind), kind, m.end()) for m in pattern.finditer(text)]
     for x in sorted(wider, key=lambda x: (x[0] - x[3], x)):
-        if not any(x[0] < b and a < x[3] for a, b in taken):
-            taken.append((x[0], x[3]))
-            found.append((*x, _votes(text, x[2], x[0], x[3], False)))
+        # what is taken is disjoint and sorted: only the two neighbours can overlap
+        at = bisect_left(taken, (x[0], x[3]))
+        if (at == 0 or taken[at - 1][1] <= x[0]) and (at == len(taken) or taken[at][0] >= x[3]):
+            insort(taken, (x[0], x[3]))
+            found.append((*x, _votes(text, x[2], x[0], x[3], False), _features(text, x[2], x[0], x[3])))
     return base, found
 
 
@@ -179,34 +230,34 @@ def _rows(column: pa.Array) -> Iterator[tuple[str | None, bytes]]:
         yield (raw.decode() if maybe or any(n in raw for n in _NEEDS) else None), raw
 
 
-_SPAN = "array<struct<start:int,rank:int,kind:string,end:int,code:int>>"
+_SPAN = "array<struct<start:int,rank:int,kind:string,end:int,code:int,features:array<int>>>"
+_FOUND = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("code", pa.int32()), ("features", pa.list_(pa.int32()))]))
 
 
 @lean
-def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    none = hashlib.sha256(b"").hexdigest()
-    span = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("code", pa.int32())]))
-    for batch in batches:
-        counts, digests, spans = [[], [], [], []], [], []
-        for text, raw in _rows(batch.column(1)):
-            base, found = find(text, raw) if text is not None else ([], [])
-            for k in range(4):
-                counts[k].append(sum(x[1] == k for x in base))
-            digests.append(hashlib.sha256(_written(base).encode()).hexdigest() if base else none)
-            spans.append([dict(zip(("start", "rank", "kind", "end", "code"), x)) for x in found])
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **{f"n_{KINDS[k]}": pa.array(counts[k], pa.int64()) for k in range(4)}, "base_sha256": pa.array(digests, pa.string()), "found": pa.array(spans, span)})
+def _detect(batches: Iterator[pa.RecordBatch], at: str, to: str) -> Iterator[pa.RecordBatch]:
+    """Adds the candidates of the text in column ``at`` as column ``to``."""
+    for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
+        spans = []
+        for text, raw in _rows(batch.column(batch.schema.get_field_index(at))):
+            found = find(text, raw)[1] if text is not None else []
+            spans.append([dict(zip(("start", "rank", "kind", "end", "code", "features"), x)) for x in found])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _FOUND)], names=[*batch.schema.names, to])
+
+
+def _parts() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and votes of every code."""
+    parts = np.array(np.unravel_index(np.arange(int(np.prod(_SHAPE))), _SHAPE)).T
+    return parts[:, 0], parts[:, 1:]
 
 
-def learn(counts: dict[int, int], rounds: int = 60, steps: int = 400) -> np.ndarray:
+def soft_labels(counts: dict[int, int], rounds: int = 60) -> np.ndarray:
     """Probability that a candidate is personal data, for every code, from counts of codes.
 
-    EM over votes given the unknown truth (Dawid-Skene with abstention; one prior by kind, smoothed), then
-    logistic regression on votes and kind against the soft labels, weighted by counts.
+    EM over votes given the unknown truth (Dawid-Skene with abstention; one prior by kind, smoothed).
     """
-    codes = np.arange(int(np.prod(_SHAPE)))
-    parts = np.array(np.unravel_index(codes, _SHAPE)).T
-    kind, votes = parts[:, 0], parts[:, 1:]
-    weight = np.zeros(len(codes))
+    kind, votes = _parts()
+    weight = np.zeros(len(kind))
     for code, n in counts.items():
         weight[code] = n
     # few candidates say little: the labelers' votes are taken to be mostly right at first
@@ -225,30 +276,58 @@ def learn(counts: dict[int, int], rounds: int = 60, steps: int = 400) -> np.ndar
                 given[y, j] = seen / seen.sum()
         hits = np.bincount(kind, weights=weight * p, minlength=len(KINDS))
         prior = np.clip((hits + 10) / (np.bincount(kind, weights=weight, minlength=len(KINDS)) + 20), 0.02, 0.98)
-    x = np.concatenate([np.ones((len(codes), 1)), np.eye(len(KINDS))[kind], *[(votes == v).astype(float) for v in (1, 2)]], axis=1)
-    w = np.zeros(x.shape[1])
-    # every code counts a little, so that votes never seen together still get the EM's answer
-    sample = weight + 1e-2
-    sample /= sample.sum()
+    return p
+
+
+def span_classifier(features: np.ndarray, label: np.ndarray, steps: int = 600, rate: float = 0.5, shrink: float = 1e-5) -> np.ndarray:
+    """Weights of a logistic model of soft labels over rows of hashed features (full-batch AdaGrad); zeros without rows."""
+    w, grown = np.zeros(WIDTH), np.full(WIDTH, 1e-8)
+    if not len(features):
+        return w
     for _ in range(steps):
-        z = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (sample * (z - p)) + 1e-4 * w
-        hess = (x * (sample * np.maximum(z * (1 - z), 1e-6))[:, None]).T @ x + 1e-4 * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-
-
-def accepted(found: DataFrame, least: float) -> list[int]:
-    """Codes whose candidates are taken; ``found``: arrays of candidates. At most one row per code is collected."""
-    counts = {int(r["code"]): int(r["n"]) for r in found.select(F.explode("found").alias("x")).groupBy(F.col("x.code").alias("code")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    p = learn(counts)
-    parts = np.array(np.unravel_index(np.arange(len(p)), _SHAPE)).T
-    # a form of its own proves nothing: one labeler beside boundary must vote for it, and none against
-    backed = (parts[:, 2:5] == 1).any(axis=1) & ~(parts[:, 2:] == 2).any(axis=1)
-    return [int(c) for c in np.flatnonzero((p >= least) & backed)]
+        off = 1 / (1 + np.exp(-np.clip(w[features].sum(axis=1), -30, 30))) - label
+        grad = np.bincount(features.ravel(), weights=np.repeat(off, features.shape[1]), minlength=WIDTH) / len(features) + shrink * w
+        grown += grad * grad
+        w -= rate * grad / np.sqrt(grown)
+    return w
+
+
+def fitted(found: DataFrame, key: list[str], sample: int = MAX_SAMPLE) -> np.ndarray:
+    """The span classifier's weights; ``found``: arrays of candidates in column ``found``.
+
+    At most one row per code of votes, and ``sample`` candidates chosen by hash, are collected.
+    """
+    each = found.select(*key, F.explode("found").alias("x"))
+    counts = {int(r["code"]): int(r["n"]) for r in each.groupBy(F.col("x.code").alias("code")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    p = soft_labels(counts)
+    share = int(min(1.0, 1.2 * sample / max(1, sum(counts.values()))) * (1 << 31))
+    draw = F.pmod(F.xxhash64(*key, "x.start", "x.kind"), F.lit(1 << 31))
+    rows = each.select(draw.alias("draw"), F.col("x.code").alias("code"), F.col("x.features").alias("features")).where(F.col("draw") <= share).orderBy("draw", "code", "features").limit(sample).collect()
+    return span_classifier(np.array([r["features"] for r in rows], np.int64).reshape(len(rows), -1), p[[int(r["code"]) for r in rows]])
+
+
+def _stands(found: list[dict], weights: np.ndarray, least: float) -> list[tuple[int, int, str, int]]:
+    """Base spans and those that the classifier accepts: (start, rank, kind, end), sorted."""
+    limit = np.log(least / (1 - least))
+    form = 3 ** (len(LABELERS) - 1)
+    return sorted((x["start"], x["rank"], x["kind"], x["end"]) for x in found if x["code"] // form % 3 == 1 or weights[x["features"]].sum() >= limit)
+
+
+@lean
+def _report(batches: Iterator[pa.RecordBatch], weights, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in (whole.slice(k, 4096) for whole in batches for k in range(0, whole.num_rows, 4096)):
+        form = 3 ** (len(LABELERS) - 1)
+        out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")}
+        for found in batch.column(1).to_pylist():
+            base = sorted((x["start"], x["rank"], x["kind"], x["end"]) for x in found if x["code"] // form % 3 == 1)
+            spans = _stands(found, weights.value, least) if found else []
+            for k in range(4):
+                out[f"n_{KINDS[k]}"].append(sum(x[1] == k for x in base))
+            out["base_sha256"].append(hashlib.sha256(_written(base).encode()).hexdigest())
+            out["spans"].append(_written(spans))
+            out["n_added"].append(len(spans) - len(base))
+        kinds = {k: pa.string() if k in ("base_sha256", "spans") else pa.int64() for k in out}
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **{k: pa.array(v, kinds[k]) for k, v in out.items()}})
 
 
 def _docs(documents: DataFrame) -> DataFrame:
@@ -260,49 +339,50 @@ def personal_data(documents: DataFrame, least: float = 0.8) -> DataFrame:
 
     ``documents``: doc_id and text; other columns are ignored, whatever their names. Null and empty texts
     have no spans; rows with a null doc_id and repeated rows get a row each; an empty table gives an empty
-    result. Offsets are code points, ends exclusive. Returns doc_id, n_email, n_ip, n_card, n_phone,
-    base_sha256, spans (kind:start:end of base and added spans, by start, then kind), n_added.
+    result. Offsets are code points, ends exclusive; of candidates that start together the longer one, of
+    equal ones the kind listed first. Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans
+    (kind:start:end of base and added spans, by start, then kind), n_added.
     """
-    found = keep(_docs(documents).mapInArrow(_detect, f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found {_SPAN}"), "found")
-    codes = accepted(found, least)
-
-    def stands(x):
-        form = F.floor(x["code"] / F.lit(3 ** (len(LABELERS) - 1))) % 3
-        return (form == 1) | x["code"].isin(codes) if codes else form == 1
-
-    spans = F.sort_array(F.filter("found", stands))
-    return found.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
-        F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
-        (F.size(spans) - F.col("n_email") - F.col("n_ip") - F.col("n_card") - F.col("n_phone")).cast("long").alias("n_added"),
-    )
+    docs = _docs(documents)
+    found = docs.mapInArrow(partial(_detect, at="text", to="found"), f"doc_id long, text string, found {_SPAN}").select("doc_id", "found")
+    found = keep(found, "found")
+    weights = documents.sparkSession.sparkContext.broadcast(fitted(found, ["doc_id"]))
+    return found.mapInArrow(partial(_report, weights=weights, least=least), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 @lean
-def _redact(batches: Iterator[pa.RecordBatch], codes: frozenset[int]) -> Iterator[pa.RecordBatch]:
+def _redact(batches: Iterator[pa.RecordBatch], text: str, found: str, weights, least: float) -> Iterator[pa.RecordBatch]:
     for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
-        at = batch.schema.get_field_index("text")
+        at, of = (batch.schema.get_field_index(k) for k in (text, found))
         out = []
-        for (text, raw), null in zip(_rows(batch.column(at)), batch.column(at).is_null().to_pylist()):
-            if null or text is None:
-                out.append(None if null else raw.decode())
+        for old, spans in zip(batch.column(at).to_pylist(), batch.column(of).to_pylist()):
+            if not spans:
+                out.append(old)
                 continue
-            base, found = find(text, raw)
             pieces, last = [], 0
-            for start, _, kind, end in sorted([*base, *[x[:4] for x in found if x[4] in codes and x[:4] not in base]]):
+            for start, _, kind, end in _stands(spans, weights.value, least):
                 if end <= last:
                     continue
-                pieces += [text[last : max(start, last)], f"[{kind.upper()}]" if start >= last else ""]
+                pieces += [old[last : max(start, last)], f"[{kind.upper()}]" if start >= last else ""]
                 last = end
-            out.append("".join([*pieces, text[last:]]))
-        yield batch.set_column(at, "text", pa.array(out, batch.schema.field(at).type))
+            out.append("".join([*pieces, old[last:]]))
+        columns = [pa.array(out, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns) if k != of]
+        yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != found])
 
 
 def redact(documents: DataFrame, least: float = 0.8) -> DataFrame:
-    """The documents with each span of personal data replaced by its kind in brackets; all columns stay, null texts too."""
-    found = _docs(documents).mapInArrow(_detect, f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found {_SPAN}")
-    codes = frozenset(accepted(found, least))
-    return documents.mapInArrow(partial(_redact, codes=codes), documents.schema)
+    """The documents with each span of personal data replaced by its kind in brackets.
+
+    All rows and columns stay, null texts too; repeated rows are redacted alike; an empty table gives an empty
+    result. Texts are searched once: rows are written with their candidates and read again for the verdicts.
+    """
+    column = "__found"
+    while column in documents.columns:
+        column += "_"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    seen = keep(documents.mapInArrow(partial(_detect, at="text", to=column), f"{schema}, `{column}` {_SPAN}"), "found")
+    weights = documents.sparkSession.sparkContext.broadcast(fitted(seen.select("doc_id", F.col(column).alias("found")), ["doc_id"]))
+    return seen.mapInArrow(partial(_redact, text="text", found=column, weights=weights, least=least), schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
