@@ -94,7 +94,7 @@ def _folder(path: Column) -> Column:
 def scan_licences(documents: DataFrame, path: Column, least: float = 0.6) -> DataFrame:
     """Own and effective licence of every document.
 
-    ``documents``: doc_id (unique long) and text; ``path``: expression for the slash-separated path of the file
+    ``documents``: doc_id (long, one text for each) and text; ``path``: expression for the slash-separated path of the file
     (null: the root). Other columns are ignored, whatever their names. Null and empty texts have no notice;
     rows with a null doc_id are ignored; of several notices the most similar counts, of equal ones the first
     template; of several licence files in one folder too, then the first path. An empty table gives an empty
@@ -122,6 +122,12 @@ def scan_licences(documents: DataFrame, path: Column, least: float = 0.6) -> Dat
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    """Licence of every document of ``documents``, filed as source/language/doc_id.txt; see :func:`scan_licences`."""
-    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    """Licence of every document of ``documents``; see :func:`scan_licences`.
+
+    The table has no paths: documents are filed as source/language/doc_id.txt, those of fewer than 400 characters
+    that speak of licensing as licence files (LICENSE-doc_id) of the same folder.
+    """
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    number = F.col("doc_id").cast("string")
+    mostly = (F.length("text") < 400) & _cued(F.col("text"))
+    return scan_licences(documents, F.concat_ws("/", "source", "lang", F.when(mostly, F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number, F.lit(".txt")))))
