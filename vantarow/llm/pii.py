@@ -303,7 +303,7 @@ def fitted(found: DataFrame, key: list[str], sample: int = MAX_SAMPLE) -> np.nda
     share = int(min(1.0, 1.2 * sample / max(1, sum(counts.values()))) * (1 << 31))
     draw = F.pmod(F.xxhash64(*key, "x.start", "x.kind"), F.lit(1 << 31))
     rows = each.select(draw.alias("draw"), F.col("x.code").alias("code"), F.col("x.features").alias("features")).where(F.col("draw") <= share).orderBy("draw", "code", "features").limit(sample).collect()
-    return span_classifier(np.array([r["features"] for r in rows], np.int64).reshape(len(rows), -1), p[[int(r["code"]) for r in rows]])
+    return span_classifier(np.array([r["features"] for r in rows], np.int64), p[[int(r["code"]) for r in rows]] if rows else np.empty(0))
 
 
 def _stands(found: list[dict], weights: np.ndarray, least: float) -> list[tuple[int, int, str, int]]:

@@ -37,7 +37,10 @@ FEATURES = ("length", "transitions", "digits", "upper", "distinct", "hexadecimal
 
 
 def candidates(documents: DataFrame, path: Column) -> DataFrame:
-    """One row per candidate: doc_id, word_index, value, and the features. Whole texts are searched; a word can have several."""
+    """One row per candidate: doc_id, word_index, value, and the features. Whole texts are searched; a word can have several.
+
+    A run right before = or : and another run is the name of that, not a candidate.
+    """
     rows = documents.select("doc_id", F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("text").rlike(_SOME)).select("doc_id", "path", F.split("text", r"\s+").alias("words"))
 
