@@ -7,13 +7,84 @@ from vantarow.operators import response, retrieval, windows
 from vantarow.sources import telemetry
 
 
+def stripped(spark, *pages):
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, page string")
+    return [r.page for r in retrieval.strip_html(rows, "page").orderBy("i").collect()]
+
+
 def test_markup(spark):
-    strip = retrieval.strip_markup
-    assert strip("a<script>x</script><style>y</style><!-- z -->b") == "ab"
-    assert strip("<table><tr><td>Name</td><td>Meaning</td></tr><tr><td>up</td><td>1 if alive</td></tr></table>").replace("\n\n", "\n").split("\n")[0].strip() == "| Name | Meaning"
-    for same in ("kubectl get <pod-name>", "plain page", "```\n<b>x</b>\n```"):
-        assert strip(same) == same
-    assert strip("<p>a &mdash; b &lt;c&gt; &amp; d</p>") == "a — b &lt;c&gt; &amp; d"
+    pairs = [
+        ("one<script async>do(this)</script><style>b{}</style><!-- not\nseen -->two<template><p>x</p></template>", "onetwo"),
+        ("<table><tr><th>Key</th><th>Value</th></tr><tr><td>cpu</td><td>4</td></tr></table>", "\n\n | Key | Value\n\n | cpu | 4\n\n"),
+        ('See <em>the</em> <a title="1 > 0" href=\'x\'>manual</a>.', "See the manual."),
+        ("run it on <host-name> or <zone>", "run it on <host-name> or <zone>"),
+        ("<p>5 &lt; 6 &amp; caf&eacute; &#8364;&#x20AC; &nosuch; &#128;</p>", "\n5 &lt; 6 &amp; café €€ &nosuch; €\n"),
+        ("a &nbsp; b  \n\n\n\n", "a &nbsp; b  \n\n\n\n"),
+        ("<b>x</b>  \n\n\n\ny", "x\n\ny"),
+        ("<BR/>a<unknown title=\"<p>\">b", "\na<unknown title=\"<p>\">b"),
+        ("say ``` in a line <b>here</b>", "say ``` in a line here"),
+        (None, None), ("", ""),
+    ]
+    assert stripped(spark, *[p for p, _ in pairs]) == [w for _, w in pairs]
+
+
+def test_fences_stay(spark):
+    code = "```text\n<div>kept</div>\n```"
+    pages = [code, f"<p>before</p>\n{code}", f"{code}\n<i>after</i>", f"<i>a</i>\n{code}\n{code}\n\n<i>b</i>", "<i>x</i>\n~~~\n<i>never closed</i>\n"]
+    assert stripped(spark, *pages) == [code, f"\nbefore\n\n{code}", f"{code}\nafter", f"a\n{code}\n{code}\n\nb", "x\n~~~\n<i>never closed</i>\n"]
+
+
+def test_chunks_follow_headings(spark):
+    text = "intro " * 30 + "\n## First part\n" + "word " * 300 + "\n#### Second\n" + "<script>track()</script>" + "tail " * 40 + "\n# not a part\n## Short\nx"
+    rows = spark.createDataFrame([(7, text, "url")], "doc_id long, text string, url string")
+    got = retrieval.chunk_documents(rows).orderBy("offset").collect()
+    assert [r.heading for r in got] == ["", "First part", "First part", "Second"] and {r.url for r in got} == {"url"}
+    assert not any("track" in r.piece for r in got) and "# not a part" in got[-1].piece
+    import hashlib
+
+    assert all(r.chunk_id == hashlib.sha1(f"7:{r.offset}".encode()).hexdigest()[:16] for r in got)
+
+
+def test_search_of_blocks_of_queries(spark, monkeypatch):
+    """Scores of the product of matrices equal postings joined and summed, whatever the block of queries."""
+    import random
+
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(0, 30)))) for i in range(80)] + [(99, None)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(r.choice("abcdefghz") * r.randint(1, 3) for _ in range(6))) for i in range(12)] + [(50, ""), (51, "zzz")], "query_id long, query string")
+    weights = retrieval.bm25_weights(docs)
+    terms = asked.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
+    summed = weights.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), 9).alias("score"))
+    want = sorted(map(tuple, retrieval.top_k(summed, 5, "chunk_id").collect()))
+    for most in (10_000, 5):
+        monkeypatch.setattr(retrieval, "MAX_QUERIES", most)
+        got = sorted(map(tuple, retrieval.bm25_search(docs, asked, 5).collect()))
+        assert [(q, c, k) for q, c, _, k in got] == [(q, c, k) for q, c, _, k in want]
+        assert all(abs(a[2] - b[2]) < 1e-8 for a, b in zip(got, want))
+
+
+def test_hash_embedding(spark):
+    import hashlib
+    import math
+
+    rows = spark.createDataFrame([(1, "Ab cab cab"), (2, ""), (3, None)], "i int, t string").select("i", retrieval.hash_embedding(64)("t").alias("e")).collect()
+    want = [0.0] * 64
+    padded = " ab cab cab "
+    for i in range(len(padded) - 3):
+        want[int.from_bytes(hashlib.blake2b(padded[i : i + 4].encode(), digest_size=4).digest(), "little") % 64] += 1
+    norm = math.sqrt(sum(x * x for x in want))
+    got = {r.i: r.e for r in rows}
+    assert all(abs(a - b / norm) < 1e-6 for a, b in zip(got[1], want)) and sum(got[2]) == sum(got[3]) == 0
+
+
+def test_passages_and_intervals(spark):
+    docs = spark.createDataFrame([(1, "x one two three four y"), (2, "one two four"), (3, "zz")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "one two three four"), (2, "zz")], "query_id long, query string")
+    relevant = retrieval.holding(docs, asked)
+    assert sorted(map(tuple, relevant.collect())) == [(1, 1), (2, 3)]
+    hits = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (2, 3, 2)], "query_id long, doc_id long, rank int")
+    row = retrieval.ablation({"a": hits}, relevant, (1, 3), replicates=50).first()
+    assert (row.mrr, row.hit_1, row.hit_3) == (0.75, 0.5, 1.0) and row.hit_1_low <= 0.5 <= row.hit_1_high and row.hit_3_low == 1.0
 
 
 def test_markdown_and_title(spark):
@@ -33,7 +104,7 @@ def test_chunks_overlap(spark):
 def test_bm25_and_rerank(spark):
     docs = spark.createDataFrame([("memory", "memory leak limit"), ("rollout", "rollout restart of a deployment rollout"), ("network", "packet loss")], "chunk_id string, text string")
     q = spark.createDataFrame([(1, "rollout restart"), (2, "zzz")], "query_id int, query string")
-    hits = retrieval.bm25_search(retrieval.bm25_weights(docs), q, 3).collect()
+    hits = retrieval.bm25_search(docs, q, 3).collect()
     assert [(r.query_id, r.chunk_id, r.rank) for r in hits] == [(1, "rollout", 1)]
 
 

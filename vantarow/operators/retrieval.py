@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import html
-import re
+from collections.abc import Callable, Iterator
+from html import entities
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vantarow.functions.text import content_words, sentences, tokens
 
@@ -18,53 +19,135 @@ from vantarow.functions.text import content_words, sentences, tokens
 MAX_QUERIES = 10_000
 
 
-_FENCE = re.compile(r"(```.*?```|~~~.*?~~~)", re.S)
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-#: Tags that are taken out; anything else in angle brackets is text.
+#: Elements whose tags are taken out, by what they leave; any other name in angle brackets is a placeholder that stays.
 _CELLS = ("td", "th")
-_BLOCKS = ("address", "article", "aside", "blockquote", "br", "dd", "details", "div", "dl", "dt", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "thead", "tfoot", "tr", "ul")
-_INLINE = ("a", "abbr", "article", "b", "body", "caption", "center", "cite", "code", "col", "colgroup", "del", "em", "font", "head", "html", "i", "img", "ins", "kbd", "link", "mark", "meta", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "title", "u", "var")
-_TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)\b[^<>]*>")
+_BLOCKS = (
+    "blockquote", "br", "caption", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "ol", "p", "pre", "section", "summary", "table", "tbody",
+    "tfoot", "thead", "tr", "ul",
+)
+_INLINE = (
+    "a", "abbr", "audio", "b", "center", "cite", "code", "col", "colgroup", "del", "em", "embed", "font", "i", "iframe", "img", "input", "ins", "kbd", "mark", "object", "q", "s", "samp", "small", "source", "span",
+    "strong", "sub", "sup", "u", "var", "video",
+)
+#: Elements that no reader sees, and the entities that stay because they escape markup.
+_UNSEEN = ("noscript", "script", "style", "template")
+_ESCAPES = ("lt", "gt", "amp")
+
+_COMMENT = r"<!--.*?-->"
+_REMOVED = "(?is)" + "|".join([_COMMENT, *(rf"<{name}\b[^>]*+>.*?</{name}\s*>" for name in _UNSEEN)])
+#: A tag: its name ends where no letter, digit or underscore follows; quoted attribute values can hold anything.
+_TAG = r"""</?[A-Za-z][A-Za-z0-9]*+(?![\p{L}\p{N}_])[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
+_ENTITY = r"&(?:#[0-9]+|#x[0-9a-fA-F]+|[a-zA-Z]+);"
+#: A fenced block: from a line that opens with a fence to the next such line, or to the end.
+_FENCE_LINE = r"^[^\S\n]*(?:```|~~~)[^\n]*"
+_FENCED = rf"(?dm){_FENCE_LINE}(?:(?s:.*?)\n{_FENCE_LINE}$|(?s:.*)\z)"
+_NAMED = {name[:-1]: char for name, char in entities.html5.items() if name.endswith(";")}
+#: Names that also count without a semicolon, longest first.
+_SHORT = sorted((name for name in entities.html5 if not name.endswith(";")), key=lambda x: (-len(x), x))
+
+
+def _characters(spark) -> DataFrame:
+    """One row: characters by entity name, and by number where it isn't the character's own."""
+    numbers = {f"#{n}": bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)} | {"#0": "\ufffd", "#13": "\r"}
+    pairs = sorted((_NAMED | {n: c if c != "\ufffd" or n == "#0" else chr(int(n[1:])) for n, c in numbers.items()}).items())
+    return spark.createDataFrame([(dict(pairs),)], "__characters map<string,string>")
+
+
+def _character(entity: Column) -> Column:
+    """What an entity stands for; itself if it is none, or escapes markup."""
+    body = F.substring(entity, 2, F.length(entity) - 2)
+    number = F.when(body.startswith("#x"), F.conv(F.substr(body, F.lit(3)), 16, 10).try_cast("bigint")).when(body.startswith("#"), F.substr(body, F.lit(2)).try_cast("bigint"))
+    own = F.col("__characters")[F.when(body.startswith("#"), F.concat(F.lit("#"), number.cast("string"))).otherwise(body)]
+    bad = number.isNull() | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    none = number.between(1, 8) | number.between(14, 31) | (number == 11) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    char = F.when(bad, "\ufffd").when(none, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    short = F.regexp_extract(body, f"^(?:{'|'.join(_SHORT)})", 0)
+    legacy = F.when(short != "", F.concat(F.col("__characters")[short], F.substr(body, F.length(short) + 1), F.lit(";"))).otherwise(entity)
+    return F.when(F.lower(body).isin(*_ESCAPES), entity).otherwise(F.coalesce(own, F.when(body.startswith("#"), char), legacy))
+
+
+def _woven(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """``text`` with every match of ``pattern`` changed, in one pass."""
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), F.concat(matches, F.array(F.lit(""))), lambda part, match: F.concat(part, match)), "")
+
+
+def _left_by(tag: Column) -> Column:
+    name = F.lower(F.regexp_extract(tag, "^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    return F.when(name.isin(*_CELLS), F.when(tag.startswith("</"), "").otherwise(" | ")).when(name.isin(*_BLOCKS), "\n").when(name.isin(*_INLINE), "").otherwise(tag)
+
+
+def strip_html(df: DataFrame, column: str, into: str | None = None) -> DataFrame:
+    """Replaces a column of pages (or adds ``into``) by what a reader would read; all steps are expressions.
+
+    Fenced blocks stay as they are. Elsewhere hidden elements and comments go with their contents, cells become
+    bars, blocks new lines, inline tags nothing; then entities are decoded but for those that escape markup, and
+    the white space that tags leave is tidied. Prose without markup is returned as it is; a null stays null.
+    """
+    text = F.col(column)
+    rows = df.crossJoin(F.broadcast(_characters(df.sparkSession))).withColumns({"__fences": F.regexp_extract_all(text, F.lit(_FENCED), F.lit(0)), "__pieces": F.split(text, _FENCED, -1)})
+    last = F.size("__pieces") - 1
 
+    def bare(piece: Column, i: Column) -> Column:
+        inner = F.when((i > 0) & piece.startswith("\n"), F.substr(piece, F.lit(2))).otherwise(piece)
+        return F.when((i < last) & inner.endswith("\n"), F.left(inner, F.length(inner) - 1)).otherwise(inner)
 
-def strip_markup(text: str) -> str:
-    """Text of a page: hidden elements go with their contents, cells become bars, blocks new lines, fences stay.
+    rows = rows.withColumn("__prose", F.transform("__pieces", bare))
+    rows = rows.withColumn("__seen", F.transform("__prose", lambda x: F.regexp_replace(x, _REMOVED, "")))
+    rows = rows.withColumn("__plain", F.transform("__seen", lambda x: _woven(x, _TAG, _left_by)))
+    rows = rows.withColumn("__decoded", F.zip_with("__prose", "__plain", lambda old, new: F.when(old == new, old).otherwise(_woven(new, _ENTITY, _character))))
+    tidy = F.zip_with("__prose", F.arrays_zip("__plain", "__decoded"), lambda old, x: F.when(old == x["__plain"], old).otherwise(F.regexp_replace(F.regexp_replace(x["__decoded"], "[ \t]+\n", "\n"), "\n{3,}", "\n\n")))
+    rows = rows.withColumn("__tidy", tidy)
 
-    Entities are decoded but for the three that escape markup. A text without known markup is returned as it is.
-    """
+    def framed(x: Column, i: Column) -> Column:
+        piece = F.get("__pieces", i)
+        alone = (piece == "\n") & (i > 0) & (i < last)
+        before = F.when((i > 0) & piece.startswith("\n"), "\n").otherwise("")
+        after = F.when((i < last) & piece.endswith("\n") & ~alone, "\n").otherwise("")
+        return F.concat(before, x, after)
+
+    whole = F.array_join(F.zip_with(F.transform("__tidy", framed), F.concat("__fences", F.array(F.lit(""))), lambda prose, fence: F.concat(prose, fence)), "")
+    return rows.withColumn(into or column, whole).drop("__characters", "__fences", "__pieces", "__prose", "__seen", "__plain", "__decoded", "__tidy")
 
-    def tag(m: re.Match) -> str:
-        name = m[1].lower()
-        return " | " if name in _CELLS and not m[0].startswith("</") else "\n" if name in _BLOCKS else "" if name in _INLINE or name in _CELLS else m[0]
 
-    def plain(part: str) -> str:
-        bare = _TAG.sub(tag, _HIDDEN.sub("", part))
-        kept = re.sub(r"&(lt|gt|amp);", lambda m: f"\0{m[1]}\0", bare)
-        return re.sub("\0(lt|gt|amp)\0", lambda m: f"&{m[1]};", html.unescape(kept))
+_HEADING = r"(?m)^(#{2,4})\s+(.+)$"
 
-    known = any(m[1].lower() in _CELLS + _BLOCKS + _INLINE for m in _TAG.finditer(text))
-    if not known and not _HIDDEN.search(text) and "&" not in text:
-        return text
-    out = "".join(part if k % 2 else plain(part) for k, part in enumerate(_FENCE.split(text)))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(line.rstrip() for line in out.split("\n"))).strip()
 
+def sections(df: DataFrame, column: str) -> DataFrame:
+    """One row for each part under a heading of level two to four: adds heading, body and offset (where the body begins).
 
-@F.pandas_udf(T.StringType())
-def strip_html(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else strip_markup(x))
+    What stands before the first heading is a part without one; a text without headings is one part.
+    """
+    text = F.col(column)
+    rows = df.withColumns({"__bodies": F.split(text, _HEADING, -1), "__marks": F.regexp_extract_all(text, F.lit(_HEADING), F.lit(0)), "__heads": F.regexp_extract_all(text, F.lit(_HEADING), F.lit(2))})
+    # a body begins after all bodies and marks before it
+    lengths = F.zip_with("__bodies", F.concat("__marks", F.array(F.lit(""))), lambda body, mark: F.length(body) + F.length(mark))
+    rows = rows.withColumn("__lengths", lengths)
+    part = F.transform(
+        "__bodies",
+        lambda body, i: F.struct(
+            F.when(i > 0, F.regexp_replace(F.get("__heads", i - 1), r"^\s+|\s+$", "")).otherwise("").alias("heading"), body.alias("body"), F.aggregate(F.slice("__lengths", 1, i), F.lit(0), lambda a, x: a + x).alias("offset"), i.alias("i")
+        ),
+    )
+    rows = rows.withColumn("__part", F.explode(part)).where((F.col("__part.i") > 0) | (F.col("__part.body") != "") | (F.size("__marks") == 0))
+    return rows.select("*", F.col("__part.heading").alias("heading"), F.col("__part.body").alias("body"), F.col("__part.offset").cast("int").alias("offset")).drop("__bodies", "__marks", "__heads", "__lengths", "__part")
+
+
+def chunk_documents(documents: DataFrame, text: str = "text", **sizes) -> DataFrame:
+    """Retrievable passages of documents (doc_id, a text and anything that rides along): markup out, parts by heading, windows, ids.
+
+    Adds chunk_id, heading, offset (in the text without markup) and piece; the text itself goes.
+    """
+    return chunks(sections(strip_html(documents, text), text).drop(text), **sizes)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("body", T.StringType()), T.StructField("offset", T.IntegerType())])))
-def sections(text: pd.Series) -> pd.Series:
-    """Parts under headings of level two to four, with the place of each in the text."""
+def citation(title: Column, heading: Column) -> Column:
+    return F.when(heading != "", F.concat_ws(" - ", title, heading)).otherwise(title)
 
-    def cut(x: str | None) -> list[dict]:
-        if x is None:
-            return []
-        marks = [(0, 0, "")] + [(m.start(), m.end(), m[1].strip()) for m in re.finditer(r"(?m)^#{2,4}[ \t]+(.+)$", x)] + [(len(x), len(x), "")]
-        return [{"heading": h, "body": x[end:following[0]], "offset": end} for (_, end, h), following in zip(marks[:-1], marks[1:]) if x[end : following[0]].strip()]
 
-    return text.map(cut)
+def search_text(title: Column, heading: Column, text: Column) -> Column:
+    """What is indexed of a chunk: its text with the headings in front."""
+    return F.concat(title, F.lit(". "), F.when(heading != "", F.concat(heading, F.lit(". "))).otherwise(""), text)
 
 
 def chunks(parts: DataFrame, size: int = 1200, overlap: int = 200, least: int = 120) -> DataFrame:
@@ -102,11 +185,67 @@ def bm25_weights(docs: DataFrame, key: str = "chunk_id", text: str = "text", k1:
     return tf.join(df, "term").join(lengths, key).crossJoin(F.broadcast(sums)).select(key, "term", weight.alias("weight"))
 
 
-def bm25_search(postings: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    """Top k of each query (query_id, query): distinct query terms, positive scores, ties by key."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    scores = postings.join(terms, "term").groupBy("query_id", key).agg(F.round(F.sum("weight"), 9).alias("score")).where("score > 0")
-    return top_k(scores, k, key)
+class _Scorer:
+    """BM25 of a block of queries over batches of tokenised rows, as the product of two sparse matrices; ties by key."""
+
+    def __init__(self, terms: list[str], idf: np.ndarray, ids: np.ndarray, owner: np.ndarray, queries: np.ndarray, average: float, k: int, k1: float, b: float) -> None:
+        self.terms, self.idf, self.queries, self.average, self.k, self.k1, self.b = terms, idf, queries, average, k, k1, b
+        order = np.argsort(ids, kind="stable")
+        self.owner = owner[order]
+        self.cuts = np.searchsorted(ids[order], np.arange(len(terms) + 1))
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, n = pa.array(self.terms, pa.string()), len(self.queries)
+        step = max(64, 4_000_000 // max(1, n))
+        for whole in batches:
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                batch = batch.take(pc.sort_indices(batch.column(0)))
+                column = batch.column(1).fill_null([])
+                length = np.diff(column.offsets.to_numpy())
+                at = pc.index_in(column.flatten(), value_set=vocabulary)
+                known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                term = at.drop_null().to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(length)), length)[known]
+                code, tf = np.unique(row * len(self.terms) + term, return_counts=True)
+                row, term = code // len(self.terms), code % len(self.terms)
+                weight = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[row] / self.average))
+                times = np.diff(self.cuts)[term]
+                first = np.cumsum(times) - times
+                query = self.owner[np.arange(times.sum()) - np.repeat(first, times) + np.repeat(self.cuts[term], times)]
+                score = np.bincount(np.repeat(row, times) * n + query, weights=np.repeat(weight, times), minlength=len(length) * n).reshape(-1, n).round(9)
+                best = np.argsort(-score, axis=0, kind="stable")[: self.k]
+                value = np.take_along_axis(score, best, axis=0)
+                keep = np.flatnonzero((value > 0).ravel())
+                which = np.tile(np.arange(n), len(best))[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(self.queries[which]), batch.column(0).take(pa.array(best.ravel()[keep])), pa.array(value.ravel()[keep])], names=["query_id", batch.schema.names[0], "score"])
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Top k rows of ``docs`` for each query (query_id, query): distinct query terms, positive scores, ties by key.
+
+    Only the queries' terms are counted. Queries, a stated set, go to every task in blocks of bounded size; each
+    task scores its own rows and hands on its best k, so no posting of a frequent term is shuffled.
+    """
+    rows = docs.select(key, tokens(F.col(text)).alias("tokens"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    sums = rows.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(docs.dtypes)[key]}, score double"
+    blocks, out = max(1, -(-queries.count() // MAX_QUERIES)), None
+    for block in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        # two tables of a block of queries: bounded by their terms
+        pairs = some.orderBy("term", "query_id").toArrow()
+        if not pairs.num_rows:
+            continue
+        terms, ids = np.unique(pairs["term"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        known, owner = np.unique(pairs["query_id"].to_numpy(zero_copy_only=False), return_inverse=True)
+        vocabulary = docs.sparkSession.createDataFrame([(t,) for t in terms.tolist()], "term string")
+        df = dict(rows.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow().to_pandas().itertuples(index=False, name=None))
+        have = np.array([df.get(t, 0) for t in terms.tolist()], float)
+        scorer = _Scorer(terms.tolist(), np.log(1.0 + (sums[0] - have + 0.5) / (have + 0.5)), ids, owner, known, sums[1] or 1.0, k, k1, b)
+        found = top_k(rows.mapInArrow(scorer, schema), k, key)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], f"{schema}, rank int") if out is None else out
 
 
 def top_k(scores: DataFrame, k: int, key: str) -> DataFrame:
@@ -165,23 +304,78 @@ def retrieval_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...]
 
 
 def hash_embedding(dimensions: int = 512, gram: int = 4):
-    """Unit vectors of hashed character n-grams (blake2b, little-endian, modulo the dimensions), as an Arrow function."""
+    """Unit vectors of hashed character n-grams (blake2b, little-endian, modulo the dimensions), as an Arrow function.
+
+    A batch hashes each distinct gram once; counts and norms are array operations over all its rows.
+    """
 
     @F.pandas_udf("array<float>")
     def embed(text: pd.Series) -> pd.Series:
-        def one(x: str | None) -> list[float]:
-            v = np.zeros(dimensions, np.float32)
-            padded = f" {(x or '').lower()} "
-            for i in range(max(0, len(padded) - gram + 1)):
-                v[int.from_bytes(hashlib.blake2b(padded[i : i + gram].encode(), digest_size=4).digest(), "little") % dimensions] += 1
-            norm = float(np.linalg.norm(v))
-            return (v / norm if norm else v).tolist()
-
-        return text.map(one)
+        padded = [f" {x.lower()} " for x in text.fillna("")]
+        places = np.array([max(0, len(x) - gram + 1) for x in padded], np.int64)
+        grams, inverse = np.unique(np.array([x[i : i + gram] for x, n in zip(padded, places) for i in range(n)], dtype=f"<U{gram}"), return_inverse=True)
+        bucket = np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=4).digest(), "little") % dimensions for g in grams.tolist()], np.int64)
+        row = np.repeat(np.arange(len(padded)), places)
+        counts = np.bincount(row * dimensions + bucket[inverse], minlength=len(padded) * dimensions).reshape(-1, dimensions).astype(np.float32)
+        norm = np.linalg.norm(counts, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(counts, norm, out=counts, where=norm > 0)), dtype=object)
 
     return embed
 
 
+def hybrid_search(rankings: dict[str, DataFrame], k: int, key: str, constant: int = 60) -> DataFrame:
+    """Fused ranking of several searches, each to its own depth; see :func:`rrf`."""
+    return rrf(list(rankings.values()), k, key, constant)
+
+
+def no_rerank(hits: DataFrame, k: int, key: str) -> DataFrame:
+    """The identity among rerankers: the first k as they are."""
+    return hits.where(F.col("rank") <= k).select("query_id", key, "score", "rank")
+
+
+def ablation(configurations: dict[str, DataFrame], relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), replicates: int = 2000) -> DataFrame:
+    """Metrics of several configurations (hits: query_id, doc_id, rank) side by side, with intervals of their hit rates."""
+    out = None
+    for name, hits in configurations.items():
+        row = retrieval_metrics(hits, relevant, ks).crossJoin(hit_intervals(hits, relevant, ks, replicates)).select(F.lit(name).alias("configuration"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def hit_intervals(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """Bootstrap percentile intervals (2.5 and 97.5) of the hit rate at each k, over queries.
+
+    Draws are md5 of (seed, replicate, place), so that the intervals are the same on every engine. A replicate
+    needs only how many of its draws hit: queries are numbered in order of their id, draws meet them in a join.
+    """
+    first = relevant.select("query_id").distinct().join(hits.join(relevant.distinct(), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first")), "query_id", "left")
+    # queries are a stated set: numbering them takes one task
+    numbered = first.withColumn("i", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("long"))
+    n = numbered.agg(F.count(F.lit(1)).alias("n"))
+    spark = hits.sparkSession
+    draws = spark.range(replicates).select(F.col("id").alias("b")).crossJoin(F.broadcast(n)).where("n > 0").select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n"))
+    means = draws.select("b", drawn.alias("i")).join(numbered, "i").groupBy("b").agg(*[F.avg((F.coalesce(F.col("first") <= k, F.lit(False))).cast("double")).alias(f"m_{k}") for k in ks])
+    return means.agg(*[F.round(F.percentile(f"m_{k}", F.lit(q)), 6).alias(f"hit_{k}_{name}") for k in ks for q, name in ((0.025, "low"), (0.975, "high"))])
+
+
+def holding(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """Pairs (query_id, doc_id) of passages (query_id, query) and the documents that hold their text.
+
+    Candidates meet on the rarest inner token of each passage, which a document that holds it has as a token of
+    its own; then texts are compared. Passages of fewer than three tokens are compared with all documents.
+    """
+    asked = passages.select("query_id", "query", tokens(F.col("query")).alias("t"))
+    inner = asked.where("size(t) >= 3").select("query_id", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term"))
+    words = documents.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    counts = words.join(F.broadcast(inner.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = inner.join(counts, "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("r")).select("query_id", F.col("r.term").alias("term"))
+    found = words.join(F.broadcast(rarest), "term").select("query_id", "doc_id")
+    long = found.join(documents.select("doc_id", "text"), "doc_id").join(F.broadcast(passages), "query_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    short = F.broadcast(asked.where("size(t) < 3").select("query_id", "query"))
+    return long.unionByName(documents.join(short, F.col("text").contains(F.col("query"))).select("query_id", "doc_id")).distinct()
+
+
 def groundedness_sentences(answers: DataFrame, least: int = 3) -> DataFrame:
     """Every scorable sentence of answers (answer_id, answer, context): support and the first eight missing words."""
     rows = answers.select("answer_id", F.posexplode(sentences(F.col("answer"))).alias("position", "sentence"), content_words(F.col("context")).alias("__have"))

@@ -15,21 +15,44 @@ query = REGISTRY.query
 
 
 def chunked(s: SparkSession, d: str) -> DataFrame:
-    """Chunks of the documents: chunk_id, doc_id, offset, text."""
-    rows = table(s, d, "documents").select("doc_id", F.col("text").alias("body"), F.lit(0).alias("offset"))
-    return retrieval.chunks(rows).select("chunk_id", "doc_id", "offset", F.col("piece").alias("text"))
+    """Chunks of the documents: chunk_id, doc_id, heading, offset, text."""
+    return retrieval.chunk_documents(table(s, d, "documents").select("doc_id", "text")).select("chunk_id", "doc_id", "heading", "offset", F.col("piece").alias("text"))
 
 
 def test_queries(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 _WS = "'^\\s+|\\s+$'"
-_CHUNKS = f"""bodies AS (SELECT doc_id, regexp_replace(text, {_WS}, '', 'g') AS body FROM documents),
-pieces AS (SELECT doc_id, body, unnest(CASE WHEN length(body) <= 1200 THEN [0] ELSE range(0, length(body), 1000) END) AS s FROM bodies WHERE length(body) > 0),
-chunks AS (SELECT substr(sha1(doc_id || ':' || s), 1, 16) AS chunk_id, doc_id, CAST(s AS INT) AS "offset", regexp_replace(substr(body, CAST(s + 1 AS INT), 1200), {_WS}, '', 'g') AS text FROM pieces WHERE s = 0 OR length(body) - s >= 120),
+#: What tags leave is marked with noncharacters, so that no step makes a tag out of what another left.
+_MARKS = {"|": "chr(64976)", "n": "chr(64977)", "": "chr(64978)"}
+
+
+def _strip_sql(source: str, key: str, column: str, name: str) -> str:
+    """CTEs that end in ``name`` (key, t): pages as a reader would read them, for texts without fences and with few entities."""
+    attributes = """(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+    removed = "(?is)<!--.*?-->|" + "|".join(f"<{n}\\b[^>]*>.*?</{n}\\s*>" for n in ("noscript", "script", "style", "template"))
+    out = "seen"
+    for start, names, left in (("<", retrieval._CELLS, "|"), ("</", retrieval._CELLS, ""), ("</?", retrieval._BLOCKS, "n"), ("</?", retrieval._INLINE, "")):
+        out = f"regexp_replace({out}, '(?i){start}(?:{'|'.join(names)})\\b{attributes}', {_MARKS[left]}, 'g')"
+    plain = f"replace(replace(replace({out}, {_MARKS['|']}, ' | '), {_MARKS['n']}, chr(10)), {_MARKS['']}, '')"
+    decoded = "replace(replace(replace(plain, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"')"
+    tidy = f"regexp_replace(regexp_replace({decoded}, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"{name}_0 AS (SELECT {key}, {column} AS old, regexp_replace({column}, '{removed}', '', 'g') AS seen FROM {source}), {name}_1 AS (SELECT {key}, old, {plain} AS plain FROM {name}_0), {name} AS (SELECT {key}, CASE WHEN plain = old THEN old ELSE {tidy} END AS t FROM {name}_1)"
+
+
+_HEAD = "'(?m)^(#{2,4})\\s+(.+)$'"
+_SECTIONS = f"""cut AS (SELECT doc_id, string_split_regex(t, {_HEAD}) AS bodies, regexp_extract_all(t, {_HEAD}, 0) AS marks, regexp_extract_all(t, {_HEAD}, 2) AS heads FROM stripped),
+parts AS (SELECT doc_id, i, CASE WHEN i > 1 THEN regexp_replace(heads[i - 1], {_WS}, '', 'g') ELSE '' END AS heading, bodies[i] AS part, coalesce(list_sum(list_transform(range(1, i), lambda j: length(bodies[j]) + length(marks[j]))), 0) AS base, len(marks) AS n FROM (SELECT *, unnest(range(1, len(bodies) + 1)) AS i FROM cut)),
+bodies AS (SELECT doc_id, heading, base, regexp_replace(part, {_WS}, '', 'g') AS body FROM parts WHERE i > 1 OR part != '' OR n = 0)"""
+_CHUNKS = f"""{_strip_sql('documents', 'doc_id', 'text', 'stripped')}, {_SECTIONS},
+pieces AS (SELECT doc_id, heading, base, body, unnest(CASE WHEN length(body) <= 1200 THEN [0] ELSE range(0, length(body), 1000) END) AS s FROM bodies WHERE length(body) > 0),
+chunks AS (SELECT substr(sha1(doc_id || ':' || CAST(base + s AS INT)), 1, 16) AS chunk_id, doc_id, heading, CAST(base + s AS INT) AS "offset", regexp_replace(substr(body, CAST(s + 1 AS INT), 1200), {_WS}, '', 'g') AS text FROM pieces WHERE s = 0 OR length(body) - s >= 120),
 ck AS (SELECT * FROM chunks WHERE length(text) >= 120)"""
-query("chunk_documents", f"WITH {_CHUNKS} SELECT chunk_id, doc_id, \"offset\", length(text) AS length, md5(text) AS digest FROM ck")(lambda s, d: chunked(s, d).select("chunk_id", "doc_id", "offset", F.length("text").alias("length"), F.md5("text").alias("digest")))
+query("chunk_documents", f"WITH {_CHUNKS} SELECT chunk_id, doc_id, heading, \"offset\", length(text) AS length, md5(text) AS digest FROM ck")(lambda s, d: chunked(s, d).select("chunk_id", "doc_id", "heading", "offset", F.length("text").alias("length"), F.md5("text").alias("digest")))
+query("chunk_provenance", f"WITH {_CHUNKS} SELECT chunk_id, 'Page ' || doc_id || CASE WHEN heading != '' THEN ' - ' || heading ELSE '' END AS citation, md5('Page ' || doc_id || '. ' || CASE WHEN heading != '' THEN heading || '. ' ELSE '' END || text) AS search_text FROM ck")(
+    lambda s, d: (lambda title: chunked(s, d).select("chunk_id", retrieval.citation(title, F.col("heading")).alias("citation"), F.md5(retrieval.search_text(title, F.col("heading"), F.col("text"))).alias("search_text")))(F.concat(F.lit("Page "), F.col("doc_id").cast("string")))
+)
 query("chunk_ids", "SELECT doc_id, substr(sha1(doc_id || ':' || n_chars), 1, 16) AS chunk_id FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", retrieval.chunk_id(F.col("doc_id"), F.col("n_chars")).alias("chunk_id")))
 query("tokenise", "SELECT doc_id, len(t) AS n, array_to_string(t[1:5], ' ') AS first FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)")(
     lambda s, d: table(s, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.array_join(F.slice("t", 1, 5), " ").alias("first"))
@@ -42,56 +65,66 @@ tf AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS
 ln AS (SELECT chunk_id, len(t) AS length FROM tk), sums AS (SELECT count(*) AS n, avg(length) AS avg_length FROM ln),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 post AS (SELECT chunk_id, term, ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length)) AS weight FROM tf JOIN df USING (term) JOIN ln USING (chunk_id), sums),
-q AS (SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark),
+q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM q),
 sc AS (SELECT query_id, chunk_id, round(sum(weight), 9) AS score FROM post JOIN qt USING (term) GROUP BY ALL HAVING sum(weight) > 0),
 hits AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc) WHERE rank <= {{k}})"""
-query("bm25_weights", f"WITH {_BM25.format(k=10)} SELECT term, count(*) AS chunks, round(sum(weight), 6) AS total FROM post WHERE length(term) >= 4 GROUP BY term")(
-    lambda s, d: retrieval.bm25_weights(chunked(s, d)).where(F.length("term") >= 4).groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.sum("weight"), 6).alias("total"))
+
+
+def _bm25(k: int) -> str:
+    return _BM25.replace("{k}", str(k))
+
+
+query("bm25_weights", f"WITH {_bm25(10)} SELECT term, count(*) AS chunks, round(sum(weight), 6) AS total FROM post GROUP BY term")(
+    lambda s, d: retrieval.bm25_weights(chunked(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.sum("weight"), 6).alias("total"))
 )
 
 
 def bm25_hits(s: SparkSession, d: str, k: int) -> DataFrame:
-    return retrieval.bm25_search(retrieval.bm25_weights(chunked(s, d)), test_queries(s, d), k)
+    return retrieval.bm25_search(chunked(s, d).select("chunk_id", "text"), test_queries(s, d), k)
 
 
-query("bm25_topk", f"WITH {_BM25.format(k=10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits")(lambda s, d: bm25_hits(s, d, 10).withColumn("score", F.round("score", 6)))
-_DENSE = """dq AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 20),
+query("bm25_topk", f"WITH {_bm25(10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits")(lambda s, d: bm25_hits(s, d, 10).withColumn("score", F.round("score", 6)))
+_DENSE = """dq AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
 ds AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(e, embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6) AS score FROM dq, embeddings WHERE vec_id != query_id),
 dh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ds) WHERE rank <= {k})"""
 
 
 def dense_hits(s: SparkSession, d: str, k: int) -> DataFrame:
     e = table(s, d, "embeddings")
-    found = retrieval.dense_search(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), k + 1)
+    found = retrieval.dense_search(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k + 1)
     return retrieval.top_k(found.where("vec_id != query_id").select("query_id", "vec_id", "score"), k, "vec_id")
 
 
 query("dense_topk", f"WITH {_DENSE.format(k=10)} SELECT query_id, vec_id, score, rank FROM dh")(lambda s, d: dense_hits(s, d, 10))
 
 
-def near_labels(s: SparkSession, d: str, k: int) -> DataFrame:
-    """A second ranking of the vectors: by closeness of ids, for fusion."""
-    e = table(s, d, "embeddings").select("vec_id")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"))
-    near = e.crossJoin(F.broadcast(q)).where("vec_id != query_id").select("query_id", "vec_id", (-F.abs(F.col("vec_id") - F.col("query_id"))).cast("double").alias("score"))
-    return retrieval.top_k(near, k, "vec_id")
+def lexical_hits(s: SparkSession, d: str, k: int) -> DataFrame:
+    """BM25 of the documents for each whole text of the query set (the ids of vectors that 20 divides), without itself."""
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    queries = rows.join(F.broadcast(table(s, d, "embeddings").where("vec_id % 20 = 0").select("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("text").alias("query"))
+    found = retrieval.bm25_search(rows, queries, k + 1, "vec_id")
+    return retrieval.top_k(found.where("vec_id != query_id").select("query_id", "vec_id", "score"), k, "vec_id")
 
 
-_RRF = _DENSE.format(k=50) + """, nh AS (SELECT * FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS rank FROM dq, embeddings WHERE vec_id != query_id) WHERE rank <= 50),
-u AS (SELECT query_id, vec_id, 0 AS source, rank FROM dh UNION ALL SELECT query_id, vec_id, 1, rank FROM nh),
+_RRF = _DENSE.format(k=50) + """, tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tk) GROUP BY ALL), sums AS (SELECT count(*) AS n, avg(coalesce(len(t), 0)) AS avg_length FROM tk), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+qt AS (SELECT DISTINCT doc_id AS query_id, term FROM tf JOIN dq ON dq.query_id = doc_id),
+ls AS (SELECT query_id, f.doc_id AS vec_id, round(sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(t) / avg_length))), 9) AS score FROM qt JOIN tf f USING (term) JOIN df USING (term) JOIN tk ON tk.doc_id = f.doc_id, sums WHERE f.doc_id != query_id GROUP BY ALL),
+nh AS (SELECT * FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ls) WHERE rank <= 50),
+u AS (SELECT query_id, vec_id, 0 AS source, rank FROM nh UNION ALL SELECT query_id, vec_id, 1, rank FROM dh),
 fu AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(source * 1000 + rank) AS first FROM u GROUP BY ALL),
 fh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, vec_id) AS rank FROM fu) WHERE rank <= 10)"""
 query("hybrid_rrf", f"WITH {_RRF} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM fh")(
-    lambda s, d: retrieval.rrf([dense_hits(s, d, 50), near_labels(s, d, 50)], 10, "vec_id").withColumn("score", F.round("score", 6))
+    lambda s, d: retrieval.hybrid_search({"lexical": lexical_hits(s, d, 50), "dense": dense_hits(s, d, 50)}, 10, "vec_id").withColumn("score", F.round("score", 6))
 )
 query(
     "rerank_length_penalty",
-    f"WITH {_BM25.format(k=30)}, rr AS (SELECT query_id, chunk_id, round((1.0::DOUBLE / rank) * (0.5::DOUBLE + 0.5::DOUBLE * least(length(text) / 600.0::DOUBLE, 1)), 9) AS score, rank AS old FROM hits JOIN ck USING (chunk_id)) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank FROM rr) WHERE rank <= 5",
+    f"WITH {_bm25(30)}, rr AS (SELECT query_id, chunk_id, round((1.0::DOUBLE / rank) * (0.5::DOUBLE + 0.5::DOUBLE * least(length(text) / 600.0::DOUBLE, 1)), 9) AS score, rank AS old FROM hits JOIN ck USING (chunk_id)) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank FROM rr) WHERE rank <= 5",
 )(lambda s, d: retrieval.rerank_length_penalty(bm25_hits(s, d, 30).join(chunked(s, d).select("chunk_id", "text"), "chunk_id"), 5, "chunk_id").withColumn("score", F.round("score", 6)))
 query(
     "retrieval_metrics",
-    f"WITH {_BM25.format(k=10)}, rel AS (SELECT q.query_id, d.doc_id FROM q JOIN documents d ON contains(d.text, q.query)), fd AS (SELECT r.query_id, r.doc_id, min(h.rank) AS rank FROM rel r LEFT JOIN (SELECT query_id, doc_id, rank FROM hits JOIN ck USING (chunk_id)) h ON h.query_id = r.query_id AND h.doc_id = r.doc_id GROUP BY ALL), "
+    f"WITH {_bm25(10)}, rel AS (SELECT q.query_id, d.doc_id FROM q JOIN documents d ON contains(d.text, q.query)), fd AS (SELECT r.query_id, r.doc_id, min(h.rank) AS rank FROM rel r LEFT JOIN (SELECT query_id, doc_id, rank FROM hits JOIN ck USING (chunk_id)) h ON h.query_id = r.query_id AND h.doc_id = r.doc_id GROUP BY ALL), "
     "pq AS (SELECT query_id, min(rank) AS first, count(*) AS n, "
     + ", ".join(f"sum(CASE WHEN rank <= {k} THEN 1 ELSE 0 END) AS got_{k}" for k in (1, 3, 5, 10))
     + " FROM fd GROUP BY query_id) SELECT count(*) AS queries, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, "
@@ -103,13 +136,24 @@ query(
 def metrics_of(s: SparkSession, d: str) -> DataFrame:
     """Retrieval metrics where a document that holds a query's text is relevant to it."""
     queries = test_queries(s, d)
-    relevant = table(s, d, "documents").join(F.broadcast(queries), F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    relevant = retrieval.holding(table(s, d, "documents"), queries)
     hits = bm25_hits(s, d, 10).join(chunked(s, d).select("chunk_id", "doc_id"), "chunk_id")
     return retrieval.retrieval_metrics(hits, relevant)
 
 
-query("strip_html_pages")(lambda s, d: table(s, d, "pages").select("page_id", retrieval.strip_html("html").alias("text")))
-query("html_sections")(lambda s, d: table(s, d, "pages").select("page_id", F.explode(retrieval.sections(retrieval.strip_html("html"))).alias("x")).select("page_id", "x.*"))
+_PAGES = _strip_sql("pages", "page_id", "html", "stripped")
+query("strip_html_pages", f"WITH {_PAGES} SELECT page_id, length(t) AS length, md5(t) AS digest FROM stripped")(lambda s, d: retrieval.strip_html(table(s, d, "pages").select("page_id", "html"), "html").select("page_id", F.length("html").alias("length"), F.md5("html").alias("digest")))
+_PAGE_PARTS = f"WITH {_PAGES}, " + _SECTIONS.replace("doc_id", "page_id").replace("FROM stripped", "FROM (SELECT page_id, '## Top' || chr(10) || replace(t, '. ', chr(10) || '### Part ' || chr(10)) AS t FROM stripped)")
+query("html_sections", f"{_PAGE_PARTS} SELECT page_id, heading, CAST(base AS INT) AS \"offset\", md5(body) AS digest FROM bodies")(lambda s, d: page_sections(s, d))
+
+
+def page_sections(s: SparkSession, d: str) -> DataFrame:
+    """Parts of pages without their markup, after a heading was put in front and between sentences."""
+    pages = retrieval.strip_html(table(s, d, "pages").select("page_id", "html"), "html")
+    marked = pages.select("page_id", F.concat(F.lit("## Top\n"), F.replace("html", F.lit(". "), F.lit("\n### Part \n"))).alias("t"))
+    return retrieval.sections(marked, "t").select("page_id", "heading", "offset", F.md5(F.regexp_replace("body", r"^\s+|\s+$", "")).alias("digest"))
+
+
 query(
     "hidden_elements",
     r"""SELECT page_id, md5(regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g')) AS digest FROM pages""",
@@ -122,7 +166,21 @@ query(
     lambda s, d: table(s, d, "documents").select("doc_id", F.concat(F.lit("---\ntitle: Page "), F.col("doc_id").cast("string"), F.lit("\n---\n{{< note >}}\n\n\n\n# Head\n<!-- x -->"), F.col("text")).alias("t"))
     .select("doc_id", F.md5(text.clean_markdown(F.col("t"))).alias("digest"), text.title(F.col("t")).alias("title"))
 )
-query("hash_embed")(lambda s, d: table(s, d, "benchmark").select("item_id", retrieval.hash_embedding()("text").alias("e")).select("item_id", F.size("e").alias("n"), F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm")))
+query("hash_embed")(lambda s, d: table(s, d, "benchmark").select("item_id", retrieval.hash_embedding()("text").alias("e")).select("item_id", F.size("e").alias("n"), F.md5(F.array_join(F.transform("e", lambda x: F.format_string("%.6f", x)), ",")).alias("digest")))
+
+
+def configurations(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Lexical, dense (hashed n-grams) and fused rankings of the chunks for the benchmark's items, ten each."""
+    chunks, queries = chunked(s, d), test_queries(s, d)
+    embed = retrieval.hash_embedding()
+    lexical = retrieval.bm25_search(chunks.select("chunk_id", "text"), queries, 50)
+    dense = retrieval.dense_search(chunks.select("chunk_id", embed("text").alias("embedding")), queries.select("query_id", embed("query").alias("embedding")), 50, "chunk_id")
+    fused = retrieval.hybrid_search({"lexical": lexical, "dense": dense}, 10, "chunk_id")
+    named = {"bm25": retrieval.no_rerank(lexical, 10, "chunk_id"), "dense": retrieval.no_rerank(dense, 10, "chunk_id"), "hybrid": fused}
+    return {k: v.join(chunks.select("chunk_id", "doc_id"), "chunk_id") for k, v in named.items()}
+
+
+query("retrieval_ablation")(lambda s, d: retrieval.ablation(configurations(s, d), retrieval.holding(table(s, d, "documents"), test_queries(s, d)), replicates=200))
 
 
 def answers(s: SparkSession, d: str) -> DataFrame:
@@ -217,11 +275,11 @@ def audit_log(s: SparkSession, d: str) -> DataFrame:
 
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(s, d, "events").select(F.col("user_id").alias("log_id"), (F.row_number().over(order) - 1).alias("seq"), F.col("event_type").alias("principal"), F.col("props").alias("decision"), F.col("event_id").alias("at"))
-    return response.build_chain(rows.where("seq < 20"), AUDIT)
+    return response.build_chain(rows, AUDIT)
 
 
 _CHAIN = """ev AS (SELECT user_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_type || '|' || props || '|' || event_id AS payload FROM events),
-chain(log_id, seq, hash) AS (SELECT log_id, seq, sha256(repeat('0', 64) || '|' || payload) FROM ev WHERE seq = 0 UNION ALL SELECT e.log_id, e.seq, sha256(c.hash || '|' || e.payload) FROM chain c JOIN ev e ON e.log_id = c.log_id AND e.seq = c.seq + 1 WHERE e.seq < 20)"""
+chain(log_id, seq, hash) AS (SELECT log_id, seq, sha256(repeat('0', 64) || '|' || payload) FROM ev WHERE seq = 0 UNION ALL SELECT e.log_id, e.seq, sha256(c.hash || '|' || e.payload) FROM chain c JOIN ev e ON e.log_id = c.log_id AND e.seq = c.seq + 1)"""
 query("audit_chain_build", f"WITH RECURSIVE {_CHAIN} SELECT log_id, seq, hash AS entry_hash FROM chain")(lambda s, d: audit_log(s, d).select("log_id", "seq", "entry_hash"))
 query("audit_chain_verify", f"WITH RECURSIVE {_CHAIN} SELECT log_id, CASE WHEN log_id % 3 = 0 AND max(seq) >= 2 THEN 2 END AS first_broken, count(*) AS entries, arg_max(hash, seq) AS head FROM chain GROUP BY log_id")(
     lambda s, d: response.verify_chain(audit_log(s, d).withColumn("principal", F.when((F.col("log_id") % 3 == 0) & (F.col("seq") == 2), F.lit("edited")).otherwise(F.col("principal"))), AUDIT)
