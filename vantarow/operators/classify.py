@@ -135,3 +135,23 @@ def predict(train: DataFrame, test: DataFrame, columns: list[str], trees: int =
 def fold(event_id, folds: int = 5):
     """Fold of an event, so that its windows stay together."""
     return F.pmod(F.hash(event_id), F.lit(folds))
+
+
+def macro_f1_interval(votes: DataFrame, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """Bootstrap percentile interval (2.5 and 97.5) of macro F1 over events (key, truth, predicted).
+
+    Draws are md5 of (seed, replicate, place). Events are numbered in one task: they are incidents, not windows.
+    """
+    numbered = votes.withColumn("i", (F.row_number().over(Window.orderBy("key")) - 1).cast("long"))
+    n = F.broadcast(votes.agg(F.count(F.lit(1)).alias("n")))
+    places = votes.sparkSession.range(replicates).select(F.col("id").alias("b")).crossJoin(n).where("n > 0").select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n"))
+    cells = places.select("b", drawn.alias("i")).join(numbered, "i").groupBy("b", "truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    sides = cells.select("b", F.explode(F.array(F.struct(F.col("truth").alias("c"), F.col("n").alias("t"), F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0).alias("tp")), F.struct(F.col("predicted").alias("c"), F.col("n").alias("t"), F.lit(0).cast("long").alias("tp")))).alias("x")).select("b", "x.*")
+    f1 = sides.groupBy("b", "c").agg((2.0 * F.sum("tp") / F.sum("t")).alias("f1")).groupBy("b").agg(F.avg("f1").alias("f1"))
+    return f1.agg(F.round(F.percentile("f1", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("f1", F.lit(0.975)), 6).alias("high"))
+
+
+def most_important(importances: DataFrame, most: int = 12) -> DataFrame:
+    """The largest importances (name, importance); ties by name."""
+    return importances.orderBy(F.desc("importance"), "name").limit(most)

@@ -191,3 +191,23 @@ def seed_spread(reports: DataFrame) -> DataFrame:
     """Mean and sample deviation of the curve area by family (a name without its [s<n>]), for two runs or more."""
     family = reports.withColumn("family", F.regexp_replace("detector", r"\[s\d+\]", ""))
     return family.groupBy("family").agg(F.count(F.lit(1)).alias("runs"), F.avg("curve_auc").alias("mean_auc"), F.stddev_samp("curve_auc").alias("std_auc"), (F.max("curve_auc") - F.min("curve_auc")).alias("spread")).where("runs > 1")
+
+
+def patience(errors: DataFrame) -> DataFrame:
+    """Of every epoch of a run (run, epoch, error): the best error so far, and how many epochs ago it was reached first."""
+    order = Window.partitionBy("run").orderBy("epoch")
+    before = F.min("error").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = errors.withColumn("__better", F.when(before.isNull() | (F.col("error") < before), F.col("epoch")))
+    return rows.select("run", "epoch", F.min("error").over(order).alias("best"), (F.col("epoch") - F.max("__better").over(order)).alias("waited"))
+
+
+def selection_criterion(windows: DataFrame) -> DataFrame:
+    """What a model can be chosen by: mean score over all windows, over normal ones, and average precision."""
+    means = windows.agg(F.avg("score").alias("over_all"), F.avg(F.when(F.col("label") == 0, F.col("score"))).alias("over_normal"))
+    return means.crossJoin(average_precision(windows))
+
+
+def against(report: DataFrame, incumbent: str) -> DataFrame:
+    """Every detector's area beside the incumbent's, best first."""
+    one = F.broadcast(report.where(F.col("detector") == incumbent).select(F.col("curve_auc").alias("__theirs")))
+    return report.crossJoin(one).select("detector", "curve_auc", F.round(F.col("curve_auc") - F.col("__theirs"), 6).alias("delta")).orderBy(F.desc("curve_auc"), "detector")

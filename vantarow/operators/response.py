@@ -78,9 +78,23 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit("}"))
 
 
+#: Characters that JSON writes in a short form.
+_SHORT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
 def json_string(text: Column) -> Column:
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit('"'))
+    """JSON text of a string in ASCII: other characters, and control characters, as their UTF-16 units."""
+
+    def one(char: Column) -> Column:
+        units = F.regexp_replace(F.lower(F.hex(F.encode(char, "UTF-16BE"))), "(.{4})", "\\\\u$1")
+        out = F.when(char.rlike(r"^[\x20\x21\x23-\x5B\x5D-\x7E]$"), char)
+        for raw, short in _SHORT.items():
+            out = out.when(char == F.lit(raw), F.lit(short))
+        return out.otherwise(units)
+
+    plain = text.rlike(r"^[\x20\x21\x23-\x5B\x5D-\x7E]*$")
+    written = F.when(plain, text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), ""))
+    return F.concat(F.lit('"'), written, F.lit('"'))
 
 
 def plan_hash(plans: DataFrame) -> DataFrame:
@@ -116,23 +130,28 @@ def audit_payload(names: tuple[str, ...]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
 
 
-def build_chain(entries: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Link entries of each log (log_id, seq, names) by hash. A log is a fold over its own rows in order, and only that."""
+def build_chain(entries: DataFrame, names: tuple[str, ...], head: str | None = None) -> DataFrame:
+    """Link entries of each log (log_id, seq, names) by hash. A log is a fold over its own rows in order, and only that.
+
+    ``head``: column with the hash that the first entry of a log follows; null, or no column, is the genesis hash.
+    """
     schema = entries.select("log_id", "seq", *names)
+    begin = F.coalesce(F.col(head), F.lit(GENESIS)) if head else F.lit(GENESIS)
+    rows_in = entries.select("log_id", "seq", *names, audit_payload(names).alias("__payload"), begin.alias("__begin"))
 
     def fold(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         import hashlib
 
         rows = rows.sort_values("seq")
-        last, before, own = GENESIS, [], []
+        last, before, own = rows["__begin"].iloc[0], [], []
         for payload in rows["__payload"]:
             before.append(last)
             last = hashlib.sha256(f"{last}|{payload}".encode()).hexdigest()
             own.append(last)
-        return rows.drop(columns="__payload").assign(previous_hash=before, entry_hash=own)
+        return rows.drop(columns=["__payload", "__begin"]).assign(previous_hash=before, entry_hash=own)
 
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields)
-    return schema.withColumn("__payload", audit_payload(names)).groupBy("log_id").applyInPandas(fold, f"{typed}, previous_hash string, entry_hash string")
+    return rows_in.groupBy("log_id").applyInPandas(fold, f"{typed}, previous_hash string, entry_hash string")
 
 
 def verify_chain(log: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -90,8 +90,22 @@ def cut_points(points: DataFrame, fractions: dict[str, float]) -> DataFrame:
     return near.select("series_id", "name", "target", "cut")
 
 
+def checked_fractions(train: float, validation: float) -> None:
+    if not (0 < train < 1 and 0 < validation < 1 and train + validation < 1):
+        raise ValueError("train and validation are shares of the whole and leave some for the test")
+
+
+def remaining(everything: DataFrame, *taken: DataFrame) -> DataFrame:
+    """Distinct rows that no other table has: what is left to train on."""
+    rows = everything.distinct()
+    for part in taken:
+        rows = rows.join(part, rows.columns, "left_anti")
+    return rows
+
+
 def split_time_based(points: DataFrame, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """Chronological splits by series, cut at normal steps so that no incident is cut; t is rebased in each."""
+    checked_fractions(train, validation)
     cuts = cut_points(points, {"a": train, "b": train + validation}).groupBy("series_id").agg(F.max(F.when(F.col("name") == "a", F.col("cut"))).alias("a"), F.max(F.when(F.col("name") == "b", F.col("cut"))).alias("b"))
     split = F.when(F.col("t") < F.col("a"), "train").when(F.col("t") < F.col("b"), "validation").otherwise("test")
     offset = F.when(F.col("t") < F.col("a"), 0).when(F.col("t") < F.col("b"), F.col("a")).otherwise(F.col("b"))
@@ -101,6 +115,7 @@ def split_time_based(points: DataFrame, train: float = 0.7, validation: float =
 
 def split_held_out(points: DataFrame, seed: int = 42, train: float = 0.55, validation: float = 0.15) -> DataFrame:
     """Whole series by split, in the order of a hash of (seed, series). One small row per series is ordered."""
+    checked_fractions(train, validation)
     names = points.select("series_id").distinct().withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("series_id"))))
     order, total = F.row_number().over(Window.orderBy("h", "series_id")), F.count(F.lit(1)).over(Window.partitionBy())
     ranked = names.select("series_id", order.alias("k"), total.alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vantarow.operators import classify, detectors, evaluate, series, windows
 from vantarow.operators.series import Geometry
 from vantarow.plans.registry import Registry
+from vantarow.sinks import store
 from vantarow.sources.telemetry import METRICS, metric_points, synthetic_metrics, table
 
 REGISTRY = Registry()
@@ -16,8 +17,15 @@ query = REGISTRY.query
 G = Geometry(window=12, stride=2, day=24, repage=6)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """A table that several branches of a plan read is written once, not computed in each."""
+    path = store.workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
-    return metric_points(table(spark, d, "events"))
+    return settled(metric_points(table(spark, d, "events")), "points")
 
 
 def incidents_of(p: DataFrame) -> DataFrame:
@@ -35,9 +43,9 @@ def scaled(p: DataFrame) -> DataFrame:
 
 def spread_windows(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Incidents, and windows with labels and rounded window_spread scores."""
-    found = incidents_of(p)
+    found = settled(incidents_of(p), "incidents")
     scores = detectors.window_spread(scaled(p), G).withColumn("score", F.round("score", 9))
-    return found, evaluate.scored_windows(windows.window_index(p, found, G), scores)
+    return found, settled(evaluate.scored_windows(windows.window_index(p, found, G), scores), "windows")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -46,15 +54,17 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 _METRIC_SQL = "n_events, mean_value, max_value, error_rate"
 BASE = """
-raw AS (SELECT 'svc-' || lpad(CAST(user_id % 8 AS VARCHAR), 2, '0') AS series_id, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000) AS INT) AS t, value, event_type FROM events),
-by_hour AS (SELECT series_id, t, count(*) AS n_events, avg(value) AS mean_value, max(value) AS max_value, avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) AS error_rate FROM raw WHERE t BETWEEN 0 AND 719 GROUP BY ALL),
-grid AS (SELECT 'svc-' || lpad(CAST(s AS VARCHAR), 2, '0') AS series_id, CAST(h AS INT) AS t FROM range(8) a(s), range(720) b(h)),
+timed AS (SELECT 'svc-' || lpad(CAST(user_id % 8 AS VARCHAR), 2, '0') AS series_id, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000) AS INT) AS h, value, event_type FROM events),
+hz AS (SELECT min(h) AS lo, max(h) - min(h) + 1 AS hours FROM timed),
+raw AS (SELECT series_id, h - lo AS t, value, event_type FROM timed, hz),
+by_hour AS (SELECT series_id, t, count(*) AS n_events, avg(value) AS mean_value, max(value) AS max_value, avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) AS error_rate FROM raw GROUP BY ALL),
+grid AS (SELECT 'svc-' || lpad(CAST(s AS VARCHAR), 2, '0') AS series_id, CAST(h AS INT) AS t FROM (SELECT s, unnest(range(hours)) AS h FROM range(8) a(s), hz)),
 dense AS (SELECT g.series_id, g.t, coalesce(n_events, 0)::DOUBLE AS n_events, coalesce(mean_value, 0) AS mean_value, coalesce(max_value, 0) AS max_value, coalesce(error_rate, 0) AS error_rate FROM grid g LEFT JOIN by_hour USING (series_id, t)),
 mp AS (SELECT *, CASE WHEN max_value >= (SELECT quantile_cont(max_value, 0.99) FROM dense) THEN 1 ELSE 0 END AS point_label FROM dense),
 islands AS (SELECT series_id, t, t - row_number() OVER (PARTITION BY series_id ORDER BY t) AS island FROM mp WHERE point_label = 1),
 spans AS (SELECT series_id, min(t) AS start, max(t) + 1 AS "end" FROM islands GROUP BY series_id, island),
 inc AS (SELECT CAST(row_number() OVER (ORDER BY series_id, start) - 1 AS INT) AS event_id, series_id, start, "end" FROM spans),
-targets AS (SELECT s.series_id, n.name, CAST(floor(720 * n.fraction) AS INT) AS target FROM (SELECT DISTINCT series_id FROM mp) s, (VALUES ('a', 0.7::DOUBLE), ('b', (0.7::DOUBLE + 0.15::DOUBLE))) n(name, fraction)),
+targets AS (SELECT s.series_id, n.name, CAST(floor(hours * n.fraction) AS INT) AS target FROM hz, (SELECT DISTINCT series_id FROM mp) s, (VALUES ('a', 0.7::DOUBLE), ('b', (0.7::DOUBLE + 0.15::DOUBLE))) n(name, fraction)),
 cut_rows AS (SELECT series_id, name, target, t, row_number() OVER (PARTITION BY series_id, name ORDER BY abs(t - target), t) AS k FROM targets JOIN mp USING (series_id) WHERE point_label = 0),
 cuts AS (SELECT series_id, max(CASE WHEN name = 'a' THEN t END) AS a, max(CASE WHEN name = 'b' THEN t END) AS b FROM cut_rows WHERE k = 1 GROUP BY series_id),
 sp AS (SELECT mp.series_id, CASE WHEN t < a THEN 'train' WHEN t < b THEN 'validation' ELSE 'test' END AS split, CASE WHEN t < a THEN t WHEN t < b THEN t - a ELSE t - b END AS t, t AS original_t, n_events, mean_value, max_value, error_rate, point_label FROM mp JOIN cuts USING (series_id)),
@@ -63,7 +73,7 @@ st AS (SELECT position, metric, avg(v) AS mean, CASE WHEN stddev_pop(v) < 1e-8 T
 wide AS (SELECT max(CASE WHEN position = 0 THEN mean END) AS m0, max(CASE WHEN position = 0 THEN std END) AS s0, max(CASE WHEN position = 1 THEN mean END) AS m1, max(CASE WHEN position = 1 THEN std END) AS s1,
   max(CASE WHEN position = 2 THEN mean END) AS m2, max(CASE WHEN position = 2 THEN std END) AS s2, max(CASE WHEN position = 3 THEN mean END) AS m3, max(CASE WHEN position = 3 THEN std END) AS s3 FROM st),
 z AS (SELECT series_id, t, point_label, (n_events - m0) / s0 AS z0, (mean_value - m1) / s1 AS z1, (max_value - m2) / s2 AS z2, (error_rate - m3) / s3 AS z3 FROM mp, wide),
-starts AS (SELECT s.series_id, CAST(w.x AS INT) AS start FROM (SELECT DISTINCT series_id FROM mp) s, range(0, 709, 2) w(x)),
+starts AS (SELECT series_id, CAST(unnest(range(0, hours - 11, 2)) AS INT) AS start FROM (SELECT DISTINCT series_id FROM mp), hz),
 owners AS (SELECT s.series_id, s.start, i.event_id, row_number() OVER (PARTITION BY s.series_id, s.start ORDER BY least(i."end", s.start + 12) - greatest(i.start, s.start) DESC, i.event_id) AS k FROM starts s LEFT JOIN inc i ON i.series_id = s.series_id AND s.start < i."end" AND s.start + 12 > i.start),
 idx AS (SELECT series_id, start, CASE WHEN event_id IS NULL THEN 0 ELSE 1 END AS label, coalesce(event_id, -1) AS event_id FROM owners WHERE k = 1),
 wz AS (SELECT s.series_id, s.start, z.t, z.z0, z.z1, z.z2, z.z3 FROM starts s JOIN z ON z.series_id = s.series_id AND z.t >= s.start AND z.t < s.start + 12),
@@ -151,7 +161,9 @@ query("fusion_score", with_base("SELECT series_id, start, round(max((score - med
 
 
 def normal_points(p: DataFrame) -> DataFrame:
-    return scaled(p).where("t < 504")
+    """What the train split holds: steps before each series' first cut."""
+    cut = series.cut_points(p, {"a": 0.7}).select("series_id", "cut")
+    return scaled(p).join(F.broadcast(cut), "series_id").where("t < cut").drop("cut")
 
 
 query("detect_isolation_forest")(lambda s, d: (lambda p: rounded(detectors.isolation_forest(normal_points(p), scaled(p), G)))(points(s, d)))
@@ -234,11 +246,11 @@ query(
 
 def compared(p: DataFrame) -> DataFrame:
     """One report row for each statistic detector: area, duty and page rate at its own budget threshold."""
-    inc = incidents_of(p)
-    index = windows.window_index(p, inc, G)
+    inc = settled(incidents_of(p), "incidents")
+    index, z = settled(windows.window_index(p, inc, G), "index"), settled(scaled(p), "scaled")
     rows = None
     for name in ("max_deviation", "window_spread", "naive_residual"):
-        sw = evaluate.scored_windows(index, detectors.STATISTICS[name](scaled(p), G).withColumn("score", F.round("score", 9)))
+        sw = settled(evaluate.scored_windows(index, detectors.STATISTICS[name](z, G).withColumn("score", F.round("score", 9))), "windows")
         row = evaluate.roc_auc(sw).crossJoin(evaluate.average_precision(sw)).crossJoin(evaluate.curve_auc(evaluate.detection_curve(sw, inc, p, G))).select(F.lit(name).alias("detector"), "*")
         rows = row if rows is None else rows.unionByName(row)
     return rows

@@ -14,24 +14,31 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def metric_points(events: DataFrame, n_series: int = 8, hours: int = 720, quantile: float = 0.99) -> DataFrame:
+def metric_points(events: DataFrame, n_series: int = 8, quantile: float = 0.99) -> DataFrame:
     """Dense hourly grid of metrics by series, with a point label: max_value in its upper tail.
 
-    One shuffle on (series, hour) with partial aggregation; the grid joins in with its own small side.
+    ``n_series``: how many series the users are dealt to. Steps count from the first hour that has an event to the
+    last. One shuffle on (series, hour) with partial aggregation; the grid joins in with its own small side.
     """
     spark = events.sparkSession
-    hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(EPOCH).cast("timestamp"))) / F.lit(3_600_000_000)).cast("int")
+    hour = _hour(F.col("ts"))
+    # the range is one row, of the table's statistics where the file has them
+    ends = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select(*[hour_of.alias(n) for n, hour_of in (("lo", _hour(F.col("lo"))), ("hi", _hour(F.col("hi"))))])
     by_hour = (
-        events.select(series_name(F.pmod("user_id", F.lit(n_series))).alias("series_id"), hour.alias("t"), "value", "event_type")
-        .where(F.col("t").between(0, hours - 1)).groupBy("series_id", "t")
+        events.select(series_name(F.pmod("user_id", F.lit(n_series))).alias("series_id"), hour.alias("h"), "value", "event_type").groupBy("series_id", "h")
         .agg(F.count(F.lit(1)).alias("n_events"), F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.avg((F.col("event_type") == "error").cast("double")).alias("error_rate"))
     )
-    grid = spark.range(n_series).select(series_name(F.col("id")).alias("series_id"), F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("t"))
-    dense = grid.join(by_hour, ["series_id", "t"], "left").select("series_id", "t", *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in METRICS])
+    names = spark.range(n_series).select(series_name(F.col("id")).alias("series_id"))
+    grid = names.crossJoin(F.broadcast(ends.where("lo is not null"))).select("series_id", "lo", F.explode(F.sequence("lo", "hi")).alias("h"))
+    dense = grid.join(by_hour, ["series_id", "h"], "left").select("series_id", (F.col("h") - F.col("lo")).alias("t"), *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in METRICS])
     cut = dense.agg(F.percentile("max_value", F.lit(quantile)).alias("cut"))
     return dense.crossJoin(F.broadcast(cut)).select("series_id", "t", *METRICS, (F.col("max_value") >= F.col("cut")).cast("int").alias("point_label"))
 
 
+def _hour(ts: Column) -> Column:
+    return F.floor((F.unix_micros(ts.cast("timestamp")) - F.unix_micros(F.lit(EPOCH).cast("timestamp"))) / F.lit(3_600_000_000)).cast("int")
+
+
 def series_name(number: Column) -> Column:
     return F.concat(F.lit("svc-"), F.lpad(number.cast("string"), 2, "0"))
 
