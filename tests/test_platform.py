@@ -104,3 +104,20 @@ def test_selection(spark):
     votes = spark.createDataFrame([(i, "a" if i % 2 else "b", "a" if i % 2 else "b") for i in range(10)], "key int, truth string, predicted string")
     assert tuple(classify.macro_f1_interval(votes, 20).first()) == (1.0, 1.0)
     assert files.settings(spark, {"threshold": "0.5"}) == {"threshold": "0.5"}
+
+
+def test_no_event_is_left_out_of_the_clusters(spark):
+    """Signatures beyond the fit's bound join the nearest cluster."""
+    rows = spark.createDataFrame([(i, [1, 1, 0, 0]) for i in range(5)] + [(i, [0, 0, 1, 1]) for i in range(5, 9)] + [(9, [1, 0, 0, 0]), (10, [0, 0, 0, 1])], "event_id int, signature array<int>")
+    for limit in (2, 5000):
+        got = {r.event_id: r.cluster for r in classify.archetype_clusters(rows, 2, limit).collect()}
+        assert len(got) == 11 and got[9] == got[0] != got[5] == got[10]
+
+
+def test_classes_default_and_seeds_have_families(spark):
+    rows = classify.with_class(spark.createDataFrame([(1,), (2,)], "event_id int"), spark.createDataFrame([(1, "disk")], "event_id int, label string"))
+    assert {r.event_id: r.cause for r in rows.collect()} == {1: "disk", 2: "other"}
+    reports = spark.createDataFrame([("a[s1]", 0.5, 0.1, 0.5, 0.0, 9.0), ("a[s2]", 0.7, 0.0, 0.5, 0.6, None), ("b", 0.7, 0.3, 0.0, 0.0, 3.0)], "detector string, curve_auc double, pre_alarmed_share double, detection_rate double, worst_duty double, median_minutes double")
+    spread = evaluate.seed_spread(reports).collect()
+    assert [(r.family, r.runs, round(r.mean_auc, 6), round(r.spread, 6)) for r in spread] == [("a", 2, 0.6, 0.2)]
+    assert [r.detector for r in evaluate.standing_alarms(reports).collect()] == ["a[s2]"] and evaluate.chosen_detector(reports).first().detector == "b"

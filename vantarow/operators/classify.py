@@ -16,17 +16,17 @@ def signature_matrix(incidents: DataFrame, n: int) -> DataFrame:
 
 
 def archetype_clusters(signatures: DataFrame, k: int = 6, limit: int = 5000) -> DataFrame:
-    """Average-linkage clusters of at most ``limit`` signatures by cosine distance: (event_id, cluster).
+    """Average-linkage clusters of signatures by cosine distance: (event_id, cluster).
 
-    Distinct signatures are few (2**n at most, and far fewer in use), so equal ones are one weighted point:
-    the fit runs on those, in one task, and every event is assigned by a join.
+    Equal signatures are one weighted point. The ``limit`` most frequent ones are linked, in one task (the bound of
+    the fit); every other signature joins the cluster that it is nearest to on average. No event is left out.
     """
     kinds = signatures.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    linked = kinds.orderBy(F.desc("n"), "signature").limit(limit)
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        rows = rows.sort_values("n", ascending=False, kind="stable").head(limit)
         rows = rows.assign(__s=rows["signature"].map(lambda s: "".join(map(str, s)))).sort_values("__s")
         x = np.array(rows["signature"].tolist(), float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -48,8 +48,19 @@ def archetype_clusters(signatures: DataFrame, k: int = 6, limit: int = 5000) ->
             out[members] = c
         return pd.DataFrame({"signature": rows["signature"], "cluster": out})
 
-    assigned = kinds.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(lambda rows: link(rows[["signature", "n"]]), "signature array<int>, cluster int")
-    return signatures.join(assigned, "signature").select("event_id", "cluster")
+    fitted = linked.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(lambda rows: link(rows[["signature", "n"]]), "signature array<int>, cluster int")
+
+    def unit(signature):
+        norm = F.sqrt(F.aggregate(signature, F.lit(0.0), lambda a, x: a + x * x))
+        return F.transform(signature, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+    # the mean cosine to the members of a cluster is the product with the mean of their unit vectors: k rows
+    each = fitted.join(linked, "signature").select("cluster", "n", F.posexplode(unit(F.col("signature"))).alias("d", "x"))
+    means = each.groupBy("cluster", "d").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("m")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda v: v["m"]).alias("mean"))
+    rest = kinds.join(fitted.select("signature"), "signature", "left_anti").crossJoin(F.broadcast(means))
+    near = rest.withColumn("cosine", F.aggregate(F.zip_with(unit(F.col("signature")), "mean", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))
+    nearest = near.groupBy("signature").agg(F.max_by("cluster", F.struct(F.round("cosine", 9), -F.col("cluster"))).alias("cluster"))
+    return signatures.join(fitted.unionByName(nearest), "signature").select("event_id", "cluster")
 
 
 def archetypes(signatures: DataFrame, clusters: DataFrame, n: int, support: int = 20) -> DataFrame:

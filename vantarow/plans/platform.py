@@ -369,3 +369,29 @@ query(
 query("largest_shares", "SELECT p_brand AS name, sum(p_retailprice::DOUBLE) AS importance FROM part GROUP BY p_brand ORDER BY importance DESC, name LIMIT 12")(
     lambda s, d: classify.most_important(table(s, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.sum(F.col("p_retailprice").cast("double")).alias("importance")), 12)
 )
+
+
+def pretended_reports(s: SparkSession, d: str) -> DataFrame:
+    """Report rows from the parts: two seeds of each brand are runs of one family."""
+    k = F.col("p_partkey")
+    rows = table(s, d, "part").select(
+        F.concat("p_brand", F.lit("[s"), k.cast("string"), F.lit("]")).alias("detector"), F.round(F.col("p_retailprice").cast("double") / 2500, 6).alias("curve_auc"), (F.pmod(k, F.lit(10)) / 10.0).alias("pre_alarmed_share"),
+        F.pmod(k, F.lit(2)).cast("double").alias("detection_rate"), (F.pmod(k, F.lit(7)) / 10.0).alias("worst_duty"), F.when(k % 3 != 0, F.pmod(k, F.lit(60)).cast("double")).alias("median_minutes"),
+    )
+    return rows
+
+
+_REPORTS = "rp AS (SELECT p_brand || '[s' || p_partkey || ']' AS detector, p_brand, round(p_retailprice::DOUBLE / 2500, 6) AS curve_auc, p_partkey % 10 / 10.0::DOUBLE AS pre_alarmed_share, p_partkey % 2 AS detection_rate, p_partkey % 7 / 10.0::DOUBLE AS worst_duty, CASE WHEN p_partkey % 3 != 0 THEN p_partkey % 60 END AS median_minutes FROM part)"
+query("seed_spread", f"WITH {_REPORTS} SELECT p_brand AS family, count(*) AS runs, round(avg(curve_auc), 6) AS mean_auc, round(stddev_samp(curve_auc), 6) AS std_auc, round(max(curve_auc) - min(curve_auc), 6) AS spread FROM rp GROUP BY p_brand HAVING count(*) > 1")(lambda s, d: rounded(evaluate.seed_spread(pretended_reports(s, d))))
+query("standing_alarms", f"WITH {_REPORTS} SELECT detector FROM rp WHERE detection_rate > 0 AND (pre_alarmed_share >= 0.2 OR worst_duty >= 0.5)")(lambda s, d: evaluate.standing_alarms(pretended_reports(s, d)).select("detector"))
+query("chosen_of_reports", f"WITH {_REPORTS} SELECT arg_max(detector, (round(curve_auc, 9), -coalesce(median_minutes, 1e9), detector)) AS detector FROM rp")(lambda s, d: evaluate.chosen_detector(pretended_reports(s, d)))
+query("class_of_event", "SELECT o_orderkey AS event_id, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'other' END AS cause FROM orders JOIN customer ON o_custkey = c_custkey")(
+    lambda s, d: classify.with_class(table(s, d, "orders").select(F.col("o_custkey").alias("event_id"), "o_orderkey"), table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("event_id"), F.col("c_mktsegment").alias("label"))).select(F.col("o_orderkey").alias("event_id"), "cause")
+)
+query("rule_answers", "SELECT event_id, CASE WHEN contains(event_type, 'err') THEN 'failed' WHEN contains(event_type, 'r') THEN 'other' ELSE 'fine' END AS answer FROM events")(lambda s, d: table(s, d, "events").select("event_id", kno.text.one_of(F.col("event_type"), {"err": "failed", "r": "other"}, "fine").alias("answer")))
+query("json_payloads", "SELECT conv_id, turn, md5('{\"a\": ' || turn || '}') AS digest FROM conversations")(
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.md5(kno.text.json_payload(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Here:\n```json\n{\"a\": "), F.col("turn").cast("string"), F.lit("}\n``` done"))).otherwise(F.concat(F.lit("it is {\"a\": "), F.col("turn").cast("string"), F.lit("} so"))))).alias("digest"))
+)
+query("overall_risk", f"WITH {kno._PLANS}, c AS (SELECT plan_id AS case_id, {kno._P.format('risk_level')} AS a, {kno._P.format('risk_floor')} AS f, CASE WHEN plan_id % 5 != 0 THEN plan_id // 7 % 3 + 1 ELSE 3 END AS s FROM lv) SELECT case_id, ['low', 'medium', 'high'][CAST(greatest(a, f, s) AS INT)] AS overall FROM c")(
+    lambda s, d: response.overall_risk(kno.cases(s, d)).select("case_id", "overall")
+)
