@@ -378,8 +378,6 @@ def test_verdicts_stay_in_generated_code(spark, tmp_path):
     out = url_filter.filter_urls(spark.read.parquet(str(tmp_path / "p")), rules)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("translate(") == 1 and "*(1) Project" in plan
-    codes = out._jdf.queryExecution().debug().codegenToSeq().mkString("\n")
-    assert int(re.search(r"\.length == (\d+)|maxMethodCodeSize:(\d+)", codes)[0].split(":")[-1]) < 8000 if "maxMethodCodeSize:" in codes else True
     assert out.collect()[0].verdict == "block"
 
 
