@@ -14,27 +14,46 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base nor the learned rules reject."""
+    """Documents that neither the base nor the learned rules reject.
+
+    Null and empty texts fail the base and go; a row without an id can't be named as rejected and stays. Without
+    usable labels only the base rejects; repeated rows are judged alike; an empty table gives an empty result.
+    """
     return quality.good_ones(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the least doc_id, of each group linked by five-word shingles (Jaccard 0.8 or more)."""
+    """One document, of the least doc_id, of each group linked by five-word shingles (Jaccard 0.8 or more).
+
+    Texts without words link with nothing and stay, as do rows without an id; rows that repeat the document that
+    stays, id included, stay too. An empty table gives an empty result.
+    """
     return ngram_join.one_of_each(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item: none has half of an item's tokens in its tiles of five tokens or more.
+
+    Null and empty texts leak nothing; null and empty items are in no document; of repeated rows all go or stay; rows
+    without an id stay. Without documents or items nothing goes.
+    """
     return decontaminate.clean_ones(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with spans of personal data replaced by their kinds; n_chars follows the new text."""
+    """All documents, with spans of personal data replaced by their kinds; n_chars follows the new text.
+
+    Null texts stay null (their n_chars too), empty ones empty; repeated rows are redacted alike; where spans overlap
+    the one that starts first is named, of equal starts the kind that is listed first. An empty table stays empty.
+    """
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 2048 tokens."""
+    """Pieces of the documents and their places in sequences of 2048 tokens.
+
+    Null and empty texts are one end token; repeated rows are packed each; an empty table gives an empty result.
+    """
     return packing.pack(docs, packing.tokenizer_path())
 
 
