@@ -265,7 +265,7 @@ def _compared_sql() -> str:
 
 
 query("detector_comparison", _compared_sql())(lambda s, d: rounded(compared(points(s, d))))
-query("chosen_detector")(lambda s, d: (lambda p: evaluate.chosen_detector(compared(p).withColumn("median_minutes", F.lit(None).cast("double"))))(points(s, d)))
+query("chosen_detector", f"WITH c AS ({_compared_sql()}) SELECT arg_max(detector, (curve_auc, detector)) AS detector FROM c")(lambda s, d: (lambda p: evaluate.chosen_detector(compared(p).withColumn("median_minutes", F.lit(None).cast("double"))))(points(s, d)))
 _BOOT = """ranked_v AS (SELECT row_number() OVER (ORDER BY key) - 1 AS i, value FROM vals), n AS (SELECT count(*) AS n FROM vals),
 draws AS (SELECT b, CAST(('0x' || substr(md5('42:' || b || ':' || k), 1, 8)) AS BIGINT) % n AS i FROM range(500) x(b), range(200) y(k), n WHERE k < n),
 stat AS (SELECT b, avg(value) AS s FROM draws JOIN ranked_v USING (i) GROUP BY b)"""

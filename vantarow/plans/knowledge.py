@@ -312,7 +312,13 @@ query(
     "SELECT stage, a[CAST(least(floor(len(a) * 0.5), len(a) - 1) AS INT) + 1] AS p50, a[CAST(least(floor(len(a) * 0.95), len(a) - 1) AS INT) + 1] AS p95, n FROM (SELECT event_type AS stage, list_sort(list(value) FILTER (k <= 1000)) AS a, count(*) AS n FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) GROUP BY event_type)",
 )(lambda s, d: response.stage_latency(table(s, d, "events").select(F.col("event_type").alias("stage"), F.col("event_id").alias("seq"), F.col("value").alias("ms"))))
 query("event_counters", "SELECT event_type AS name, count(*) AS n FROM events GROUP BY event_type")(lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("n")))
-query("rate_limit_admissions")(lambda s, d: response.rate_limit(table(s, d, "events").select(F.col("user_id").alias("caller"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("request_id")), 2, 3600.0))
+query(
+    "rate_limit_admissions",
+    """WITH RECURSIVE ev AS (SELECT user_id AS caller, epoch_us(ts) / 1e6 AS x, event_id AS request_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r(caller, rn, x, request_id, held, admitted) AS (SELECT caller, rn, x, request_id, [x], true FROM ev WHERE rn = 1
+UNION ALL SELECT caller, rn, x, request_id, CASE WHEN len(live) < 2 THEN list_append(live, x) ELSE live END, len(live) < 2 FROM (SELECT e.*, list_filter(r.held, lambda y: y > e.x - 3600) AS live FROM r JOIN ev e ON e.caller = r.caller AND e.rn = r.rn + 1))
+SELECT caller, x AS "at", request_id, admitted FROM r""",
+)(lambda s, d: response.rate_limit(table(s, d, "events").select(F.col("user_id").alias("caller"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("request_id")), 2, 3600.0))
 query(
     "first_decision",
     "WITH c AS (SELECT user_id AS incident_id, event_type AS principal, ts AS claimed_at, value < 20 AS waiting, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS later FROM events) SELECT incident_id, arg_min(principal, (claimed_at, principal)) AS principal, min(claimed_at) AS claimed_at FROM c WHERE NOT (waiting AND later IS NOT NULL AND epoch(date_trunc('second', later)) - epoch(date_trunc('second', claimed_at)) >= 900) GROUP BY incident_id",
