@@ -166,3 +166,22 @@ def macro_f1_interval(votes: DataFrame, replicates: int = 2000, seed: int = 42)
 def most_important(importances: DataFrame, most: int = 12) -> DataFrame:
     """The largest importances (name, importance); ties by name."""
     return importances.orderBy(F.desc("importance"), "name").limit(most)
+
+
+def split_search(events: DataFrame, seeds: int = 40, train: float = 0.6, validation: float = 0.15, enough: int = 5) -> DataFrame:
+    """Class coverage of held-out splits by seed, all seeds in one plan; rows: series_id, event_id, cause.
+
+    Series go to splits in the order of md5(seed:series). The chosen seed is the first that covers ``enough`` events of
+    every class in every split, else the first of those that cover the most. Returns seed, coverage, chosen.
+    """
+    names = events.select("series_id").distinct().crossJoin(F.broadcast(events.sparkSession.range(seeds).select(F.col("id").cast("int").alias("seed"))))
+    order = Window.partitionBy("seed").orderBy(F.md5(F.concat_ws(":", F.col("seed").cast("string"), "series_id")), "series_id")
+    ranked = names.select("seed", "series_id", F.row_number().over(order).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("seed")).alias("n"))
+    part = F.when(F.col("k") <= F.floor(F.col("n") * train), "train").when(F.col("k") <= F.floor(F.col("n") * (train + validation)), "validation").otherwise("test")
+    counts = ranked.withColumn("split", part).join(events, "series_id").groupBy("seed", "split", "cause").agg(F.countDistinct("event_id").alias("n"))
+    # a pair that is missing covers nothing: fewer pairs than splits times classes mean 0
+    pairs = events.agg((F.countDistinct("cause") * 3).alias("pairs"))
+    covered = counts.groupBy("seed").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("have")).crossJoin(F.broadcast(pairs))
+    rows = covered.select("seed", F.when(F.col("have") == F.col("pairs"), F.col("least")).otherwise(0).cast("long").alias("coverage"))
+    best = rows.agg(F.max_by("seed", F.struct(F.least("coverage", F.lit(enough)), -F.col("seed"))).alias("__best"))
+    return rows.crossJoin(F.broadcast(best)).select("seed", "coverage", (F.col("seed") == F.col("__best")).alias("chosen"))

@@ -395,3 +395,14 @@ query("json_payloads", "SELECT conv_id, turn, md5('{\"a\": ' || turn || '}') AS
 query("overall_risk", f"WITH {kno._PLANS}, c AS (SELECT plan_id AS case_id, {kno._P.format('risk_level')} AS a, {kno._P.format('risk_floor')} AS f, CASE WHEN plan_id % 5 != 0 THEN plan_id // 7 % 3 + 1 ELSE 3 END AS s FROM lv) SELECT case_id, ['low', 'medium', 'high'][CAST(greatest(a, f, s) AS INT)] AS overall FROM c")(
     lambda s, d: response.overall_risk(kno.cases(s, d)).select("case_id", "overall")
 )
+query(
+    "split_search",
+    with_base(
+        "SELECT seed, coverage, seed = (SELECT arg_max(seed, (least(coverage, 5), -seed)) FROM cov) AS chosen FROM cov",
+        "ev AS (SELECT series_id, event_id, 'c' || (event_id % 2) AS cause FROM inc), seeds AS (SELECT CAST(x AS INT) AS seed FROM range(12) r(x)), "
+        "rk AS (SELECT seed, series_id, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || series_id), series_id) AS k, count(*) OVER (PARTITION BY seed) AS n FROM seeds, (SELECT DISTINCT series_id FROM ev)), "
+        "pt AS (SELECT seed, series_id, CASE WHEN k <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN k <= floor(n * (0.6::DOUBLE + 0.15::DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM rk), "
+        "ct AS (SELECT seed, split, cause, count(DISTINCT event_id) AS n FROM pt JOIN ev USING (series_id) GROUP BY ALL), "
+        "cov AS (SELECT seed, CASE WHEN count(*) = (SELECT count(DISTINCT cause) * 3 FROM ev) THEN min(n) ELSE 0 END AS coverage FROM ct GROUP BY seed)",
+    ),
+)(lambda s, d: classify.split_search(det.incidents_of(points(s, d)).select("series_id", "event_id", F.concat(F.lit("c"), F.pmod("event_id", F.lit(2)).cast("string")).alias("cause")), 12))
