@@ -121,3 +121,15 @@ def test_classes_default_and_seeds_have_families(spark):
     spread = evaluate.seed_spread(reports).collect()
     assert [(r.family, r.runs, round(r.mean_auc, 6), round(r.spread, 6)) for r in spread] == [("a", 2, 0.6, 0.2)]
     assert [r.detector for r in evaluate.standing_alarms(reports).collect()] == ["a[s2]"] and evaluate.chosen_detector(reports).first().detector == "b"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from vantarow.__main__ import main
+
+    main(["--list"])
+    assert "triage" in capsys.readouterr().out.split()
+    spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "event_type string, value double").write.parquet(str(tmp_path / "t/events.parquet"))
+    main(["event_counters", str(tmp_path / "t"), "--out", str(tmp_path / "out")])
+    assert {(r.name, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 2), ("b", 1)}
+    with pytest.raises(SystemExit):
+        main(["event_counters"])
