@@ -149,26 +149,40 @@ def isolation_forest(train: DataFrame, test: DataFrame, g: Geometry, metrics=MET
     return summary_stats(test, g, metrics).mapInPandas(score, "series_id string, start int, score double")
 
 
+def centred_windows(points: DataFrame, g: Geometry, metrics=METRICS) -> DataFrame:
+    """Windows as one vector each (values, features), every metric less its mean in the window."""
+    from pyspark.ml.functions import array_to_vector
+
+    def centre(m: str) -> Column:
+        mean = F.aggregate(F.col(m), F.lit(0.0), lambda a, x: a + x) / F.size(m)
+        return F.transform(m, lambda x: x - mean)
+
+    arrays = window_arrays(points, g, metrics)
+    return arrays.select("series_id", "start", F.flatten(F.array(*[centre(m) for m in metrics])).alias("values")).withColumn("features", array_to_vector("values"))
+
+
+def _residuals(fit: DataFrame, scored: DataFrame, components: int, width: int) -> DataFrame:
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    model = PCA(k=min(components, width), inputCol="features", outputCol="projected").fit(fit)
+    rows = model.transform(scored).withColumn("projected", vector_to_array("projected"))
+    # for orthonormal components the residual's energy is the window's less the projection's
+    energy = F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x) - F.aggregate("projected", F.lit(0.0), lambda a, x: a + x * x)
+    return rows.select("series_id", "start", F.sqrt(F.greatest(energy, F.lit(0.0)) / F.lit(float(width))).alias("score"))
+
+
 def pca_residual(train: DataFrame, test: DataFrame, g: Geometry, metrics=METRICS, components: int = 4) -> DataFrame:
     """Root mean square of what the leading principal components of centred normal windows leave.
 
     A linear stand-in for a reconstruction network; Spark's own PCA and projections, no Python rows.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    return _residuals(centred_windows(train, g, metrics), centred_windows(test, g, metrics), components, g.window * len(metrics))
 
-    def centre(points: DataFrame) -> DataFrame:
-        arrays = window_arrays(points, g, metrics)
-        flat = F.flatten(F.array(*[_centre(m) for m in metrics]))
-        return arrays.select("series_id", "start", flat.alias("values")).withColumn("features", array_to_vector("values"))
 
-    def _centre(m: str) -> Column:
-        mean = F.aggregate(F.col(m), F.lit(0.0), lambda a, x: a + x) / F.size(m)
-        return F.transform(m, lambda x: x - mean)
-
-    model = PCA(k=min(components, g.window * len(metrics)), inputCol="features", outputCol="projected").fit(centre(train))
-    weights = model.pc.toArray()
-    scored = model.transform(centre(test)).withColumn("projected", vector_to_array("projected"))
-    # for orthonormal components the residual's energy is the window's less the projection's
-    energy = F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x) - F.aggregate("projected", F.lit(0.0), lambda a, x: a + x * x)
-    return scored.select("series_id", "start", F.sqrt(F.greatest(energy, F.lit(0.0)) / F.lit(float(len(weights)))).alias("score"))
+def pca_holdout(train: DataFrame, g: Geometry, metrics=METRICS, components: int = 4, every: int = 10) -> DataFrame:
+    """How well components of nine tenths of the normal windows reconstruct the tenth that a hash holds out: windows and mean error of both."""
+    held = F.pmod(F.xxhash64("series_id", "start"), F.lit(every)) == 0
+    rows = centred_windows(train, g, metrics)
+    errors = _residuals(rows.where(~held), rows, components, g.window * len(metrics)).withColumn("held", held)
+    return errors.groupBy("held").agg(F.count(F.lit(1)).alias("windows"), F.avg("score").alias("error"))

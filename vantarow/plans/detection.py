@@ -167,6 +167,7 @@ def normal_points(p: DataFrame) -> DataFrame:
 
 
 query("detect_isolation_forest")(lambda s, d: (lambda p: rounded(detectors.isolation_forest(normal_points(p), scaled(p), G)))(points(s, d)))
+query("pca_holdout")(lambda s, d: (lambda p: rounded(detectors.pca_holdout(normal_points(p), G)))(points(s, d)))
 query("detect_pca_residual")(lambda s, d: (lambda p: rounded(detectors.pca_residual(normal_points(p), scaled(p), G)))(points(s, d)))
 
 _THR = "thr AS (SELECT round(quantile_cont(score, 0.9), 9) AS threshold FROM sw)"
