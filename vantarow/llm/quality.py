@@ -62,7 +62,7 @@ def text_stats(documents: DataFrame, mask: int = -1) -> DataFrame:
     sides = ("get(sorted, k - 1)", "get(sorted, k + 1)")
     beside = " OR ".join(f"coalesce({same.format(a='x', b=side)}, false)" for side in sides)
     collide = " OR ".join(f"coalesce({near.format(a='x', b=side)}, false)" for side in sides)
-    again = F.expr(f"filter(sorted, (x, k) -> {beside} OR (({collide}) AND exists(sorted, y -> y != x AND {same.format(a='x', b='y')})))")
+    again = F.expr(f"filter(sorted, (x, k) -> ({collide}) AND ({beside} OR exists(sorted, y -> y != x AND {same.format(a='x', b='y')})))")
     rows = rows.select(*[c for c in rows.columns if c not in ("sorted", "words")], again.alias("again"))
     covered = F.expr(
         "aggregate(sort_array(transform(again, x -> x & (shiftleft(1L, bits) - 1L))), "
