@@ -45,6 +45,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     """Rows of the largest ``n``, in whole classes of equal n (of similar n above 4096), at most ``limit`` of them.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vantarow.llm import decontaminate, licence, lm_score, merkle, ngram_join, packing, pii, quality, secrets, substring_dedup, url_filter
+from vantarow.llm import decontaminate, licence, lm_score, merkle, ngram_join, packing, pii, quality, secrets, substring_dedup, url_filter, vector_codes
 
 QUERIES = {
     "op1_licence_scan": licence.op1,
@@ -16,8 +16,10 @@ QUERIES = {
     "op9_url_filter": url_filter.op9,
     "op10_secret_scan": secrets.op10,
     "op11_merkle_manifest": merkle.op11,
+    "op12_vector_codes": vector_codes.op12,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_url_filter": url_filter.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
