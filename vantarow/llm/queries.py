@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vantarow.llm import decontaminate, licence, lm_score, merkle, ngram_join, packing, pii, quality, secrets, substring_dedup, url_filter, vector_codes
+from vantarow.llm import chat_tree, decontaminate, licence, lm_score, merkle, ngram_join, packing, pii, quality, secrets, substring_dedup, url_filter, vector_codes
 
 QUERIES = {
     "op1_licence_scan": licence.op1,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_secret_scan": secrets.op10,
     "op11_merkle_manifest": merkle.op11,
     "op12_vector_codes": vector_codes.op12,
+    "op13_chat_format": chat_tree.op13,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_url_filter": url_filter.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
+    "op13_chat_format": chat_tree.ORACLE,
 }
