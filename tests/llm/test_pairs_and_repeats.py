@@ -117,6 +117,21 @@ def test_components_of_cut_columns(spark):
     assert got_components(spark, texts, column=8, everywhere=4) == brute_components(texts)
 
 
+def test_parts_of_cut_columns_stay_linear(spark, monkeypatch):
+    """Short pages of one template with a word of their own: no two can reach the threshold, so no row is sent to other parts."""
+    rows = {}
+    for n in (500, 1000, 2000):
+        made = []
+        meet = ngram_join._meet_parts
+        monkeypatch.setattr(ngram_join, "_meet_parts", lambda *a, made=made, meet=meet: made.append(meet(*a)) or made[-1])
+        texts = [f"the page you asked for own{k} is not here any more" for k in range(n)]
+        got = got_components(spark, texts, column=64, everywhere=4)
+        assert all(c == k for k, (_, c) in got.items())
+        rows[n] = made[0].count() if made else 0
+        monkeypatch.setattr(ngram_join, "_meet_parts", meet)
+    assert rows[1000] <= 2.2 * max(rows[500], 500) and rows[2000] <= 2.2 * max(rows[1000], 1000)
+
+
 def test_components_of_repeated_rows(spark):
     """A repeated row comes out as often as it goes in; its copies are one document."""
     texts = corpus(3, n=20)

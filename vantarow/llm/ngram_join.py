@@ -22,12 +22,12 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantarow.llm.common import even_keys, hashed_docs, ints, keep, lean, mix, most_frequent, owned, owners, packed, partitions, rolling, thick, thin, window_rows
+from vantarow.llm.common import even_keys, hashed_docs, ints, keep, lean, mix, most_frequent, owned, owners, packed, partitions, remove, rolling, thick, thin, window_rows, written
 from vantarow.llm.graph import connected_components
-from vantarow.llm.proposals import propose, sketch
+from vantarow.llm.proposals import WIDER, propose, sketch
 
 #: Columns counted often within one task are put last in the order of grams. At most this many are sent
 #: to all tasks; any order is correct, so the limit bounds memory and never changes results.
@@ -96,7 +96,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int,
                 at = np.searchsorted(often, grams[maybe])
                 last[maybe] = often[np.minimum(at, len(often) - 1)] == grams[maybe]
             sizes = np.diff(offs)
-            signatures, prefixes, sketches = [], [], []
+            signatures, prefixes, sketches, wide = [], [], [], []
             for i, n in enumerate(sizes):
                 part, late = grams[offs[i] : offs[i + 1]], last[offs[i] : offs[i + 1]]
                 signatures.append(xxhash.xxh3_128_digest(packed(part)) if n else None)
@@ -104,10 +104,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int,
                 head = part[~late][:want]
                 prefixes.append(packed(head if len(head) == want else np.concatenate([head, part[late][: want - len(head)]])) if n else None)
                 sketches.append(sketch(part) if n else None)
+                wide.append(sketch(part, WIDER) if n else None)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": ids.slice(a, len(sizes)), "n": sizes.astype(np.int64), "signature": pa.array(signatures, pa.binary()),
-                    "prefix": pa.array(prefixes, pa.binary()), "sketch": pa.array(sketches, pa.binary()),
+                    "prefix": pa.array(prefixes, pa.binary()), "sketch": pa.array(sketches, pa.binary()), "wide": pa.array(wide, pa.binary()),
                 }
             )
 
@@ -281,7 +282,7 @@ def _settle(cells: DataFrame, labels: DataFrame | None, sketches: DataFrame, doc
     """Labels (node, component) after all pairs that meet in ``cells`` (gram, part, doc, n, place, home) are settled.
 
     Every round counts the edges that the blocks put forward. A tree all of whose edges hold is one
-    component; the rows of the others come again, without the refuted pairs and with more edges a row.
+    component; the rows of the others come again, without the refuted pairs, with wide sketches and more edges a row.
     """
     spark = documents.sparkSession
     refuted, forests, now = None, 1, cells
@@ -292,7 +293,8 @@ def _settle(cells: DataFrame, labels: DataFrame | None, sketches: DataFrame, doc
             named = labels.select(F.col("node").alias("doc"), F.col("component").alias("comp"))
             now = now.drop("comp").join(named, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         now = now if refuted is None and labels is None else keep(now, "cells")
-        rows = now.join(sketches, "doc").select("gram", "part", "doc", "n", "place", "comp", "home", "sketch", F.lit(None).cast("long").alias("other"))
+        shown = sketches.select("doc", F.col("sketch" if refuted is None else "wide").alias("sketch"))
+        rows = now.join(shown, "doc").select("gram", "part", "doc", "n", "place", "comp", "home", "sketch", F.lit(None).cast("long").alias("other"))
         if refuted is not None:
             gone = refuted.select("gram", "part", F.col("a").alias("doc"), *(F.lit(0).cast("long").alias(c) for c in ("n", "place", "comp")), F.lit(False).alias("home"), F.lit(None).cast("binary").alias("sketch"), F.col("b").alias("other"))
             rows = rows.unionByName(gone)
@@ -319,20 +321,33 @@ def _settle(cells: DataFrame, labels: DataFrame | None, sketches: DataFrame, doc
             again = again.select(F.col("doc").alias("comp"))
         now = now.join(again, "comp", "left_semi")
         refuted = wrong if refuted is None else refuted.unionByName(wrong)
-        forests *= 16
+        forests *= 2
 
 
-def _meet_parts(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Cells of cut columns, each row outside the most common component of its column repeated for every part."""
+def _meet_parts(cells: DataFrame, labels: DataFrame | None, num: int = 80, den: int = 100) -> DataFrame:
+    """Cells of cut columns, each row outside the most common component of its column repeated for the parts it can meet.
+
+    A part holds nothing for a row if none of its sizes is near enough, or if what is left of both rows after the column
+    falls short of the overlap that their sizes require: then the row isn't sent there.
+    """
     if labels is None:
         named = cells.withColumn("comp", F.col("doc"))
     else:
         named = cells.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     counts = named.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("rows"))
     most = counts.groupBy("gram").agg(F.max_by("comp", F.struct("rows", "comp")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    held = named.groupBy("gram", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("rest"))
+    shapes = held.groupBy("gram").agg(F.collect_list(F.struct("part", "low", "high", "rest")).alias("shapes"))
+    size, rest = F.col("n"), F.col("n") - F.col("place")
+
+    def meets(shape: Column) -> Column:
+        low = F.greatest(shape["low"], F.ceil(size * num / den).cast("long"))
+        need = F.ceil((size + low) * num / (num + den)).cast("long")
+        return (shape["part"] == F.col("part")) | ((low <= shape["high"]) & (low * num <= size * den) & (rest >= need) & (shape["rest"] >= need))
+
     outside = F.col("comp") != F.col("most")
-    to = F.explode(F.when(outside, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part")))
-    met = named.join(most, "gram").select("gram", "part", "doc", "n", "place", to.alias("to"))
+    to = F.explode(F.when(outside, F.transform(F.filter("shapes", meets), lambda x: x["part"])).otherwise(F.array("part")))
+    met = named.join(most.join(shapes, "gram"), "gram").select("gram", "part", "doc", "n", "place", to.alias("to"))
     return met.select("gram", F.col("to").alias("part"), "doc", "n", "place", (F.col("to") == F.col("part")).alias("home"))
 
 
@@ -358,20 +373,22 @@ def ngram_components(documents: DataFrame, words: int = 5, num: int = 80, den: i
     shared = spark.sparkContext.broadcast((often,)) if len(often) else None
     large = times > column
     hot = spark.sparkContext.broadcast((often[large], -(-times[large] // column))) if large.any() else None
-    rows = keep(docs.mapInArrow(partial(_prefixes, words=words, num=num, den=den, frequent=shared), "doc_id long, n long, signature binary, prefix binary, sketch binary"), "prefixes")
+    rows, prefixes = written(docs.mapInArrow(partial(_prefixes, words=words, num=num, den=den, frequent=shared), "doc_id long, n long, signature binary, prefix binary, sketch binary, wide binary"), "prefixes")
     classes = keep(rows.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("class_id")), "classes")
     copies = keep(rows.select("doc_id", "signature").join(classes, "signature").where("doc_id != class_id").select("doc_id", "class_id").distinct(), "copies")
     heads = rows.where("n > 0").join(_few(copies.select("doc_id")), "doc_id", "left_anti")
     dealt = heads.select("doc_id", "n", "prefix").mapInArrow(partial(_deal, keys=even_keys(spark, partitions(spark)), hot=hot), _DEALT)
     cells = dealt.repartition(partitions(spark), "block").mapInArrow(partial(_meet, num=num, den=den, dense=dense, hot=hot), "gram long, part long, parts long, doc long, n long, place long")
     cells = keep(cells, "cells")
-    sketches = rows.where("n > 0").join(_few(cells.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "sketch")
+    sketches = rows.where("n > 0").join(_few(cells.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "sketch", "wide")
     sketches = keep(sketches.dropDuplicates(["doc"]), "sketches")
+    rows = keep(rows.select("doc_id", "n"), "sizes")
+    remove(spark, prefixes)
     own = cells.select("gram", "part", "doc", "n", "place", F.lit(True).alias("home"))
     labels = _settle(own, None, sketches, docs, words, num, den, dense)
     if hot is not None:
         cut = cells.where("parts > 1").select("gram", "part", "parts", "doc", "n", "place")
-        labels = _settle(_meet_parts(cut, labels), labels, sketches, docs, words, num, den, dense)
+        labels = _settle(_meet_parts(cut, labels, num, den), labels, sketches, docs, words, num, den, dense)
     # only documents that are a copy or linked have another name than their own: these few, not all rows, are joined
     final = copies.select("doc_id", "class_id")
     if labels is not None:

@@ -2,8 +2,8 @@
 
 A block is a set of columns of the incidence matrix with their rows. Every pair of rows that meet in a
 column is bounded from above by the sizes, by the places of the column in both rows, and by parity
-sketches: each set folded to at least as many bits as it has elements, a bit being the parity of the
-elements that fall on it. Two sets differ in at least as many elements as their sketches differ in
+sketches: each set folded to at least as many bits as it has elements (in later rounds, for the few rows
+that come again, to WIDER times as many), a bit being the parity of the elements that fall on it. Two sets differ in at least as many elements as their sketches differ in
 bits, so no pair above the threshold is lost. Of what survives, only the edges of a spanning forest
 leave the block, however large a group of near copies is.
 """
@@ -23,9 +23,13 @@ HELD = 2_000_000
 FOREST = pa.schema([(k, pa.int64()) for k in ("gram", "part", "task", "tree", "a", "b", "apart")])
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """Parities of how many grams fall on each bit; a power of two of bits, at least as many as grams."""
-    width = max(64, 1 << (len(grams) - 1).bit_length())
+#: Bits of a wide sketch for one of a narrow sketch.
+WIDER = 8
+
+
+def sketch(grams: np.ndarray, wider: int = 1) -> bytes:
+    """Parities of how many grams fall on each bit; a power of two of bits, at least ``wider`` times as many as grams."""
+    width = wider * max(64, 1 << (len(grams) - 1).bit_length())
     at = (grams & np.uint64(width - 1)).astype(np.int64)
     return packed(np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little"))
 
