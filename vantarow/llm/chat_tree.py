@@ -99,7 +99,9 @@ def _chains(turns: DataFrame) -> DataFrame:
     sizes = turns.groupBy("conv").agg(F.max("ord").alias("n"))
     places = turns.select("conv", "ord", "a", "b").join(sizes, "conv")
     owners = places.groupBy("ord", "a", "b").agg(F.min(F.struct((-F.col("n")).alias("n"), "conv")).alias("own"))
-    met = places.join(owners.select("ord", "a", "b", F.col("own.conv").alias("owner")), ["ord", "a", "b"])
+    # written, so that no aggregate stands between shuffle and join: a node that many conversations share can be split
+    owners = keep(owners.select("ord", "a", "b", F.col("own.conv").alias("owner")), "owners")
+    met = places.join(owners, ["ord", "a", "b"])
     fork = F.max(F.when(F.col("owner") != F.col("conv"), F.struct("ord", "owner"))).alias("fork")
     return met.groupBy("conv").agg(F.max("n").alias("n"), fork).select("conv", "n", F.coalesce("fork.ord", F.lit(0)).alias("shared"), F.col("fork.owner").alias("parent"))
 
