@@ -166,7 +166,9 @@ def prefix_trees(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, D
     above_ = F.coalesce("above", F.array().cast("array<struct<first_node: bigint, last_node: bigint, start: bigint, end: bigint>>"))
     chain = F.struct(F.col("node0").alias("first_node"), (F.col("node0") + at - 1).alias("last_node"), F.col("token0").alias("start"), (F.col("token0") + before).alias("end"))
     position = F.aggregate("above", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]) + before
-    made = nodes.join(sizes.select("conv", "ord", "after"), ["conv", "ord"]).join(frame.withColumn("above", above_), "conv")
+    # all that is small meets first: tokens move once
+    frame = sizes.join(frame.withColumn("above", above_), "conv")
+    made = nodes.drop("size").join(frame, ["conv", "ord"])
     out = made.select(
         "tree_id", (F.col("node0") + at).alias("node_id"), (F.col("token0") + before).alias("start"), "tokens",
         F.sequence(position.cast("int"), (position + F.col("size") - 1).cast("int")).alias("position_ids"), "loss_from", "loss_to",
