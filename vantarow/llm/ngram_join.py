@@ -321,7 +321,7 @@ def _settle(cells: DataFrame, labels: DataFrame | None, sketches: DataFrame, doc
             again = again.select(F.col("doc").alias("comp"))
         now = now.join(again, "comp", "left_semi")
         refuted = wrong if refuted is None else refuted.unionByName(wrong)
-        forests *= 2
+        forests *= 4 if forests == 1 else 16
 
 
 def _meet_parts(cells: DataFrame, labels: DataFrame | None, num: int = 80, den: int = 100) -> DataFrame:

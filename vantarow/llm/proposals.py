@@ -24,7 +24,7 @@ FOREST = pa.schema([(k, pa.int64()) for k in ("gram", "part", "task", "tree", "a
 
 
 #: Bits of a wide sketch for one of a narrow sketch.
-WIDER = 8
+WIDER = 4
 
 
 def sketch(grams: np.ndarray, wider: int = 1) -> bytes:
