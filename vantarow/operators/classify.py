@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OTHER = "other"
@@ -148,17 +150,38 @@ def fold(event_id, folds: int = 5):
     return F.pmod(F.hash(event_id), F.lit(folds))
 
 
+#: Means from which a Poisson number is taken as a rounded normal one, and terms of its series below.
+POISSON_NORMAL, POISSON_TERMS = 30, 90
+
+
+def poisson(mean: Column, first: Column, second: Column) -> Column:
+    """A Poisson number of ``mean`` from two uniform ones in (0, 1): by its series, or for large means by a normal one."""
+    logs, total = [], 0.0
+    for k in range(POISSON_TERMS):
+        total += math.log(k) if k > 1 else 0.0
+        logs.append(F.lit(total))
+    chances = F.transform(F.array(*logs), lambda f, k: F.exp(k * F.log(mean) - mean - f))
+    below = F.aggregate(chances, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + (a["sum"] + x < first).cast("int")).alias("n")), lambda a: a["n"])
+    normal = F.sqrt(-2.0 * F.log(first)) * F.cos(2.0 * math.pi * second)
+    return F.when(mean < POISSON_NORMAL, below.cast("long")).otherwise(F.greatest(F.lit(0), F.floor(mean + F.sqrt(mean) * normal + 0.5)).cast("long"))
+
+
 def macro_f1_interval(votes: DataFrame, replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """Bootstrap percentile interval (2.5 and 97.5) of macro F1 over events (key, truth, predicted).
+    """Bootstrap percentile interval (2.5 and 97.5) of macro F1 over events (truth, predicted).
 
-    Draws are md5 of (seed, replicate, place). Events are numbered in one task: they are incidents, not windows.
+    A resampled event counts a Poisson number of times, so a cell of the confusion matrix counts a Poisson number of its size:
+    a replicate is a few numbers, however many events there are. Draws are md5 of (seed, replicate, truth, predicted, 1 or 2).
     """
-    numbered = votes.withColumn("i", (F.row_number().over(Window.orderBy("key")) - 1).cast("long"))
-    n = F.broadcast(votes.agg(F.count(F.lit(1)).alias("n")))
-    places = votes.sparkSession.range(replicates).select(F.col("id").alias("b")).crossJoin(n).where("n > 0").select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n"))
-    cells = places.select("b", drawn.alias("i")).join(numbered, "i").groupBy("b", "truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    sides = cells.select("b", F.explode(F.array(F.struct(F.col("truth").alias("c"), F.col("n").alias("t"), F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0).alias("tp")), F.struct(F.col("predicted").alias("c"), F.col("n").alias("t"), F.lit(0).cast("long").alias("tp")))).alias("x")).select("b", "x.*")
+    cells = votes.groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    rows = votes.sparkSession.range(replicates).select(F.col("id").alias("b")).crossJoin(F.broadcast(cells))
+
+    def uniform(which: int) -> Column:
+        key = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), "truth", "predicted", F.lit(str(which)))
+        return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+    drawn = rows.select("b", "truth", "predicted", poisson(F.col("n").cast("double"), uniform(1), uniform(2)).alias("n")).where("n > 0")
+    hit = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)
+    sides = drawn.select("b", F.explode(F.array(F.struct(F.col("truth").alias("c"), F.col("n").alias("t"), hit.alias("tp")), F.struct(F.col("predicted").alias("c"), F.col("n").alias("t"), F.lit(0).cast("long").alias("tp")))).alias("x")).select("b", "x.*")
     f1 = sides.groupBy("b", "c").agg((2.0 * F.sum("tp") / F.sum("t")).alias("f1")).groupBy("b").agg(F.avg("f1").alias("f1"))
     return f1.agg(F.round(F.percentile("f1", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("f1", F.lit(0.975)), 6).alias("high"))
 

@@ -268,15 +268,15 @@ def _compared_sql() -> str:
 query("detector_comparison", _compared_sql())(lambda s, d: rounded(compared(points(s, d))))
 query("chosen_detector", f"WITH c AS ({_compared_sql()}) SELECT arg_max(detector, (curve_auc, detector)) AS detector FROM c")(lambda s, d: (lambda p: evaluate.chosen_detector(compared(p).withColumn("median_minutes", F.lit(None).cast("double"))))(points(s, d)))
 _BOOT = """ranked_v AS (SELECT row_number() OVER (ORDER BY key) - 1 AS i, value FROM vals), n AS (SELECT count(*) AS n FROM vals),
-draws AS (SELECT b, CAST(('0x' || substr(md5('42:' || b || ':' || k), 1, 8)) AS BIGINT) % n AS i FROM range(500) x(b), range(200) y(k), n WHERE k < n),
+draws AS (SELECT b, CAST(('0x' || substr(md5('42:' || b || ':' || k), 1, 8)) AS BIGINT) % n AS i FROM range(2000) x(b), range(200) y(k), n WHERE k < n),
 stat AS (SELECT b, avg(value) AS s FROM draws JOIN ranked_v USING (i) GROUP BY b)"""
 _BOOT_OUT = "SELECT round((SELECT avg(value) FROM vals), 6) AS estimate, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM stat"
 query("bootstrap_detection_ci", with_base(_BOOT_OUT, f"{_OUT}, vals AS (SELECT event_id AS key, detected::INT::DOUBLE AS value FROM outc), {_BOOT}"))(
-    lambda s, d: rounded(evaluate.bootstrap(outcomes_of(points(s, d)).select(F.col("event_id").alias("key"), F.col("detected").cast("double").alias("value")), replicates=500))
+    lambda s, d: rounded(evaluate.bootstrap(outcomes_of(points(s, d)).select(F.col("event_id").alias("key"), F.col("detected").cast("double").alias("value")), replicates=2000))
 )
 _DELTA = "vals AS (SELECT o.event_id AS key, o.detected::INT::DOUBLE - (CASE WHEN p.peak >= 3 THEN 1.0 ELSE 0 END) AS value FROM outc o JOIN peaks p USING (event_id))"
 query("paired_delta_ci", with_base(_BOOT_OUT, f"{_OUT}, {_PEAKS}, {_DELTA}, {_BOOT}"))(
-    lambda s, d: (lambda p: (lambda x: rounded(evaluate.paired_delta(outcomes_of(p), evaluate.event_peaks(x[1], x[0], G).select("event_id", (F.col("peak") >= 3).alias("detected")), replicates=500)))(spread_windows(p)))(points(s, d))
+    lambda s, d: (lambda p: (lambda x: rounded(evaluate.paired_delta(outcomes_of(p), evaluate.event_peaks(x[1], x[0], G).select("event_id", (F.col("peak") >= 3).alias("detected")), replicates=2000)))(spread_windows(p)))(points(s, d))
 )
 
 

@@ -180,7 +180,7 @@ def configurations(s: SparkSession, d: str) -> dict[str, DataFrame]:
     return {k: v.join(chunks.select("chunk_id", "doc_id"), "chunk_id") for k, v in named.items()}
 
 
-query("retrieval_ablation")(lambda s, d: retrieval.ablation(configurations(s, d), retrieval.holding(table(s, d, "documents"), test_queries(s, d)), replicates=200))
+query("retrieval_ablation")(lambda s, d: retrieval.ablation(configurations(s, d), retrieval.holding(table(s, d, "documents"), test_queries(s, d))))
 
 
 def answers(s: SparkSession, d: str) -> DataFrame:

@@ -106,9 +106,8 @@ def appended_log(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "events").select(F.col("user_id").alias("log_id"), F.col("event_type").alias("principal"), F.col("props").alias("decision"), F.col("event_id").alias("at"))
     path = store.workspace(s, "audit")
     empty = s.createDataFrame([], "log_id long, seq long, principal string, decision string, at long, previous_hash string, entry_hash string")
-    half = F.col("at") % 4 < 4
     cut = table(s, d, "events").agg(F.floor(F.max("event_id") / 2).alias("cut"))
-    early, late = (rows.crossJoin(F.broadcast(cut)).where(half & (F.col("at") <= F.col("cut"))).drop("cut"), rows.crossJoin(F.broadcast(cut)).where(half & (F.col("at") > F.col("cut"))).drop("cut"))
+    early, late = (rows.crossJoin(F.broadcast(cut)).where(F.col("at") <= F.col("cut")).drop("cut"), rows.crossJoin(F.broadcast(cut)).where(F.col("at") > F.col("cut")).drop("cut"))
     store.append_audit(empty, early, kno.AUDIT).write.mode("append").parquet(path)
     store.append_audit(s.read.parquet(path), late, kno.AUDIT).write.mode("append").parquet(path)
     return s.read.parquet(path).select("log_id", "seq", "entry_hash")
@@ -359,13 +358,25 @@ query(
     "against_incumbent",
     f"WITH c AS ({det._compared_sql()}) SELECT c.detector, c.curve_auc, round(c.curve_auc - i.curve_auc, 6) AS delta FROM c, (SELECT curve_auc FROM c WHERE detector = 'window_spread') i ORDER BY c.curve_auc DESC, c.detector",
 )(lambda s, d: evaluate.against(rounded(det.compared(points(s, d))), "window_spread"))
+def _poisson_sql(mean: str, first: str, second: str) -> str:
+    """DuckDB form of :func:`classify.poisson`."""
+    terms = classify.POISSON_TERMS
+    chance = f"exp(k * ln({mean}) - {mean} - lgamma(k + 1))"
+    series = f"(SELECT count(*) FROM (SELECT sum(c) OVER (ORDER BY k) AS upto FROM (SELECT k, {chance} AS c FROM range({terms}) s(k))) WHERE upto < {first})"
+    return f"CASE WHEN {mean} < {classify.POISSON_NORMAL} THEN {series} ELSE greatest(0, floor({mean} + sqrt({mean}) * sqrt(-2 * ln({first})) * cos(2 * pi() * {second}) + 0.5))::BIGINT END"
+
+
+_U = "(CAST(('0x' || substr(md5('42:' || b || ':' || truth || ':' || predicted || ':{}'), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
 query(
     "vote_macro_f1_ci",
-    "WITH v AS (SELECT o_orderkey AS key, o_orderstatus AS truth, CASE WHEN o_orderkey % 4 = 0 THEN 'F' ELSE o_orderstatus END AS predicted FROM orders WHERE o_orderkey % 50 = 0), n AS (SELECT count(*) AS n FROM v), r AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS i FROM v), d AS (SELECT b, CAST(('0x' || substr(md5('42:' || b || ':' || k), 1, 8)) AS BIGINT) % n AS i FROM range(50) x(b), n, LATERAL (SELECT unnest(range(n)) AS k)), j AS (SELECT b, truth, predicted FROM d JOIN r USING (i)), "
-    "t AS (SELECT b, truth AS c, count(*) AS t, sum((truth = predicted)::INT) AS tp FROM j GROUP BY ALL), p AS (SELECT b, predicted AS c, count(*) AS p FROM j GROUP BY ALL), f AS (SELECT b, avg(coalesce(2.0::DOUBLE * coalesce(tp, 0) / nullif(coalesce(t, 0) + coalesce(p, 0), 0), 0)) AS f1 FROM t FULL JOIN p USING (b, c) GROUP BY b) SELECT round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high FROM f",
-)(
-    lambda s, d: classify.macro_f1_interval(table(s, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("truth"), F.when(F.col("o_orderkey") % 4 == 0, "F").otherwise(F.col("o_orderstatus")).alias("predicted")), replicates=50)
-)
+    f"""WITH v AS (SELECT o_orderstatus AS truth, CASE WHEN o_orderkey % 4 = 0 THEN 'F' ELSE o_orderstatus END AS predicted FROM orders),
+cells AS (SELECT truth, predicted, count(*)::DOUBLE AS m FROM v GROUP BY ALL),
+u AS (SELECT b, truth, predicted, m, {_U.format(1)} AS u1, {_U.format(2)} AS u2 FROM range(2000) x(b), cells),
+d AS (SELECT b, truth, predicted, {_poisson_sql('m', 'u1', 'u2')} AS n FROM u),
+t AS (SELECT b, truth AS c, sum(n) AS t, sum(CASE WHEN truth = predicted THEN n ELSE 0 END) AS tp FROM d WHERE n > 0 GROUP BY ALL), p AS (SELECT b, predicted AS c, sum(n) AS p FROM d WHERE n > 0 GROUP BY ALL),
+f AS (SELECT b, avg(2.0::DOUBLE * coalesce(tp, 0) / (coalesce(t, 0) + coalesce(p, 0))) AS f1 FROM t FULL JOIN p USING (b, c) GROUP BY b)
+SELECT round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high FROM f""",
+)(lambda s, d: classify.macro_f1_interval(table(s, d, "orders").select(F.col("o_orderstatus").alias("truth"), F.when(F.col("o_orderkey") % 4 == 0, "F").otherwise(F.col("o_orderstatus")).alias("predicted"))))
 query("largest_shares", "SELECT p_brand AS name, sum(p_retailprice::DOUBLE) AS importance FROM part GROUP BY p_brand ORDER BY importance DESC, name LIMIT 12")(
     lambda s, d: classify.most_important(table(s, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.sum(F.col("p_retailprice").cast("double")).alias("importance")), 12)
 )

@@ -103,10 +103,11 @@ def write_page(spark: SparkSession, title: str, body: str, path: str) -> None:
 def append_audit(log: DataFrame, entries: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """New entries (log_id, names, and at for their order) behind what a log holds, chained to its last hash.
 
-    One writer appends at a time; a log without entries starts at the genesis hash.
+    Entries of one time go by their fields. One writer appends at a time (see :mod:`vantarow.sinks.audit_log` for many); a
+    log without entries starts at the genesis hash.
     """
     heads = log.groupBy("log_id").agg(F.max("seq").alias("last"), F.max_by("entry_hash", "seq").alias("head"))
-    numbered = entries.withColumn("__n", F.row_number().over(Window.partitionBy("log_id").orderBy("at")) - 1).join(heads, "log_id", "left")
+    numbered = entries.withColumn("__n", F.row_number().over(Window.partitionBy("log_id").orderBy("at", *names)) - 1).join(heads, "log_id", "left")
     rows = numbered.withColumn("seq", (F.coalesce("last", F.lit(-1)) + 1 + F.col("__n")).cast("long"))
     return response.build_chain(rows, names, head="head")
 
