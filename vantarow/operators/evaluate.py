@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantarow.operators.ranks import order_statistics, sums_before
 from vantarow.operators.series import Geometry
 
 
@@ -58,8 +59,8 @@ def normal_days(points: DataFrame, g: Geometry = Geometry()) -> Column | DataFra
 
 def threshold_candidates(scores: DataFrame, n: int = 200, top: float = 100.0) -> DataFrame:
     """Distinct percentiles of the scores, evenly from 50 to ``top``."""
-    marks = F.array(*[F.lit((50.0 + (top - 50.0) * i / (n - 1)) / 100.0) for i in range(n)])
-    return scores.agg(F.percentile("score", marks).alias("q")).select(F.explode("q").alias("threshold")).select(F.round("threshold", 9).alias("threshold")).distinct()
+    shares = [(50.0 + (top - 50.0) * i / (n - 1)) / 100.0 for i in range(n)]
+    return order_statistics(scores, "score", shares).select(F.round("value", 9).alias("threshold")).distinct()
 
 
 def pages_per_threshold(windows: DataFrame, thresholds: DataFrame, points: DataFrame, g: Geometry = Geometry()) -> DataFrame:
@@ -97,10 +98,17 @@ def alarm_duty(windows: DataFrame, threshold: float | Column) -> DataFrame:
 
 
 def window_prf(windows: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Precision, recall and F1 of windows at every threshold; 0 where undefined."""
-    rows = windows.crossJoin(F.broadcast(thresholds)).groupBy("threshold").agg(
-        F.sum(((F.col("score") >= F.col("threshold")) & (F.col("label") == 1)).cast("long")).alias("tp"), F.sum((F.col("score") >= F.col("threshold")).cast("long")).alias("fired"), F.sum("label").alias("positives")
-    )
+    """Precision, recall and F1 of windows at every threshold; 0 where undefined.
+
+    A window counts once, at the highest threshold that it reaches; sums from above make the rest. Thresholds are few: they
+    go to the tasks as one sorted array.
+    """
+    marks = F.broadcast(thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("marks")))
+    reached = F.aggregate("marks", F.lit(0), lambda n, x: n + (F.col("score") >= x).cast("int"))
+    counts = windows.crossJoin(marks).groupBy(reached.alias("k")).agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
+    places = thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("marks")).select(F.posexplode("marks").alias("i", "threshold"))
+    above = places.join(F.broadcast(counts), F.col("k") > F.col("i"), "left").groupBy("threshold").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("fired"))
+    rows = above.crossJoin(F.broadcast(windows.agg(F.sum("label").alias("positives"), F.count(F.lit(1)).alias("__n")))).where("__n > 0")
     p, r = F.coalesce(F.try_divide(F.col("tp"), F.col("fired")), F.lit(0.0)), F.coalesce(F.try_divide(F.col("tp"), F.col("positives")), F.lit(0.0))
     return rows.select("threshold", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
@@ -118,16 +126,15 @@ def _by_score(rows: DataFrame) -> DataFrame:
 
 def roc_auc(rows: DataFrame) -> DataFrame:
     """Area under ROC with ties counted half (Mann-Whitney); null without both classes. Rows: score, label."""
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = _by_score(rows).select("pos", "neg", (F.col("pos") * below + F.col("pos") * F.col("neg") / 2).alias("u"))
-    return u.agg(F.try_divide(F.sum("u"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
+    steps = sums_before(_by_score(rows), ["score"], ("neg",), "roc").select("pos", "neg", (F.col("pos") * F.col("neg_before") + F.col("pos") * F.col("neg") / 2).alias("u"))
+    return steps.agg(F.try_divide(F.sum("u"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """Step-wise average precision; null without positives or negatives."""
-    order = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = _by_score(rows).select("pos", "neg", F.sum("pos").over(order).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(order).alias("seen"))
-    total = steps.agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    placed = sums_before(_by_score(rows), [F.col("score").desc()], ("pos", "neg"), "precision")
+    tp, seen = F.col("pos_before") + F.col("pos"), F.col("pos_before") + F.col("pos") + F.col("neg_before") + F.col("neg")
+    total = placed.agg(F.sum(F.col("pos") * tp / seen).alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return total.select(F.when(F.col("n") > 0, F.try_divide("area", F.col("p").cast("double"))).alias("average_precision"))
 
 

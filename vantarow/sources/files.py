@@ -7,30 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantarow.sources.telemetry import read_annotations, read_matrix, read_point_labels
+from vantarow.sources.machines import read_machines
 
 WINDOW = "window_id string, series_id string, columns array<string>, values array<array<double>>"
 
 
 def load_machine(spark: SparkSession, root: str, machine: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Points (series_id, split, t, metrics, point_label) and annotation spans of one machine.
-
-    The train part has no labels and counts as normal; the test part must have as many labels as rows, else
-    ValueError. Series are named machine/train and machine/test.
-    """
-    train = read_matrix(spark, f"{root}/train/{machine}.txt", names).withColumn("point_label", F.lit(0))
-    test, labels = read_matrix(spark, f"{root}/test/{machine}.txt", names), read_point_labels(spark, f"{root}/test_label/{machine}.txt")
-    rows, marks = test.count(), labels.count()
-    if rows != marks:
-        raise ValueError(f"{machine}: {rows} rows and {marks} labels")
-    parts = [train.withColumn("split", F.lit("train")), test.join(labels, "t").withColumn("split", F.lit("test"))]
-    points = reduce(DataFrame.unionByName, [p.select(F.concat(F.lit(f"{machine}/"), "split").alias("series_id"), "split", "t", *names, "point_label") for p in parts])
-    return points, read_annotations(spark, f"{root}/interpretation_label/{machine}.txt").withColumn("series_id", F.lit(f"{machine}/test"))
+    """Points and annotation spans of one machine; see :func:`vantarow.sources.machines.read_machines`."""
+    return load_machines(spark, root, [machine], names)
 
 
 def load_machines(spark: SparkSession, root: str, machines: list[str], names: list[str]) -> tuple[DataFrame, DataFrame]:
-    loaded = [load_machine(spark, root, m, names) for m in machines]
-    return tuple(reduce(DataFrame.unionByName, part) for part in zip(*loaded))
+    found = read_machines(spark, root, names, machines)
+    return found.points, found.spans
 
 
 def wanted_paths(files: DataFrame, prefixes: tuple[str, ...], suffix: str = ".md", index: str = "_index.md") -> DataFrame:

@@ -55,13 +55,13 @@ def read_point_labels(spark: SparkSession, path: str) -> DataFrame:
     return read_matrix(spark, path, ["point_label"]).select("t", F.col("point_label").cast("int").alias("point_label"))
 
 
-def parse_annotations(lines: DataFrame) -> DataFrame:
-    """``start-end:dim,dim`` lines (column value) to spans; lines without a colon are skipped, dims sorted."""
+def parse_annotations(lines: DataFrame, *more: str) -> DataFrame:
+    """``start-end:dim,dim`` lines (column value) to spans, with columns ``more``; lines without a colon are skipped, dims sorted."""
     text = F.trim("value")
     span, dims = F.split_part(text, F.lit(":"), F.lit(1)), F.split_part(text, F.lit(":"), F.lit(2))
     return lines.where(text.contains(":")).select(
         F.split_part(span, F.lit("-"), F.lit(1)).cast("int").alias("start"), F.split_part(span, F.lit("-"), F.lit(2)).cast("int").alias("end"),
-        F.array_sort(F.transform(F.filter(F.split(dims, ","), lambda d: F.trim(d) != ""), lambda d: F.trim(d).cast("int"))).alias("dims"),
+        F.array_sort(F.transform(F.filter(F.split(dims, ","), lambda d: F.trim(d) != ""), lambda d: F.trim(d).cast("int"))).alias("dims"), *more,
     )
 
 
