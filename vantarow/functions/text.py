@@ -22,12 +22,14 @@ def sentences(text: Column) -> Column:
 
 
 #: Words without evidential weight.
-FILLER = tuple(
-    "the and for that this with from have has had are was were been being will would should could can may might must not but its "
-    "their there here then than when where which who whom whose why how all any both each few more most other some such only own same too very just also "
-    "into over under about after before because while during against between through above below down out off again further once "
-    "you your they them our ours use used using make makes made need needs likely probable probably appears seems suggests indicates consider".split()
-)
+FILLER = (
+    "the", "and", "for", "that", "this", "with", "from", "have", "has", "had", "are", "was", "were", "been", "being", "will", "would", "should",
+    "could", "can", "may", "might", "must", "not", "but", "its", "their", "there", "here", "then", "than", "when", "where", "which", "who", "whom",
+    "whose", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "only", "own", "same", "too", "very", "just",
+    "also", "into", "over", "under", "about", "after", "before", "because", "while", "during", "against", "between", "through", "above", "below",
+    "down", "out", "off", "again", "further", "once", "you", "your", "they", "them", "our", "ours", "use", "used", "using", "make", "makes", "made",
+    "need", "needs", "likely", "probable", "probably", "appears", "seems", "suggests", "indicates", "consider",
+)
 
 
 def content_words(text: Column) -> Column:

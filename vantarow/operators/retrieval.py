@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantarow.functions.text import content_words, sentences, tokens
+from vantarow.sinks.store import workspace
 
 #: Queries are a stated set: up to this many vectors or terms go to every task, more are taken in blocks.
 MAX_QUERIES = 10_000
+#: Products of postings and queries that a task holds at a time.
+SLICE = 1 << 21
 
 
 #: Elements whose tags are taken out, by what they leave; any other name in angle brackets is a placeholder that stays.
@@ -29,15 +32,15 @@ _INLINE = (
     "a", "abbr", "audio", "b", "center", "cite", "code", "col", "colgroup", "del", "em", "embed", "font", "i", "iframe", "img", "input", "ins", "kbd", "mark", "object", "q", "s", "samp", "small", "source", "span",
     "strong", "sub", "sup", "u", "var", "video",
 )
-#: Elements that no reader sees, and the entities that stay because they escape markup.
-_UNSEEN = ("noscript", "script", "style", "template")
+#: What no reader sees, a tag, an entity (as patterns), and the entities that stay because they escape markup.
+_HIDDEN = r"<(script|style|template|noscript)\b[^>]*>.*?</\1\s*>|<!--.*?-->"
+_TAG = r"""</?([a-zA-Z][a-zA-Z0-9]*)\b(?:[^>"']|"[^"]*"|'[^']*')*/?>"""
+_ENTITY = r"&(#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);"
 _ESCAPES = ("lt", "gt", "amp")
 
-_COMMENT = r"<!--.*?-->"
-_REMOVED = "(?is)" + "|".join([_COMMENT, *(rf"<{name}\b[^>]*+>.*?</{name}\s*>" for name in _UNSEEN)])
-#: A tag: its name ends where no letter, digit or underscore follows; quoted attribute values can hold anything.
-_TAG = r"""</?[A-Za-z][A-Za-z0-9]*+(?![\p{L}\p{N}_])[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
-_ENTITY = r"&(?:#[0-9]+|#x[0-9a-fA-F]+|[a-zA-Z]+);"
+#: Java's word boundary knows ASCII alone, and its engine recurses for each turn of a group: runs are taken whole, for good.
+_TAG_JAVA = _TAG.replace(r"\b", r"(?![\p{L}\p{N}_])").replace("""[^>"']|""", """[^>"']++|""").replace(")*/?>", ")*+>")
+_HIDDEN_JAVA = "(?is)" + _HIDDEN
 #: A fenced block: from a line that opens with a fence to the next such line, or to the end.
 _FENCE_LINE = r"^[^\S\n]*(?:```|~~~)[^\n]*"
 _FENCED = rf"(?dm){_FENCE_LINE}(?:(?s:.*?)\n{_FENCE_LINE}$|(?s:.*)\z)"
@@ -85,7 +88,9 @@ def strip_html(df: DataFrame, column: str, into: str | None = None) -> DataFrame
     the white space that tags leave is tidied. Prose without markup is returned as it is; a null stays null.
     """
     text = F.col(column)
-    rows = df.crossJoin(F.broadcast(_characters(df.sparkSession))).withColumns({"__fences": F.regexp_extract_all(text, F.lit(_FENCED), F.lit(0)), "__pieces": F.split(text, _FENCED, -1)})
+    # a text with neither mark has nothing to take out or to decode, and skips all steps
+    marked = text.contains("<") | text.contains("&")
+    rows = df.crossJoin(F.broadcast(_characters(df.sparkSession))).withColumns({"__fences": F.when(marked, F.regexp_extract_all(text, F.lit(_FENCED), F.lit(0))), "__pieces": F.when(marked, F.split(text, _FENCED, -1))})
     last = F.size("__pieces") - 1
 
     def bare(piece: Column, i: Column) -> Column:
@@ -93,8 +98,8 @@ def strip_html(df: DataFrame, column: str, into: str | None = None) -> DataFrame
         return F.when((i < last) & inner.endswith("\n"), F.left(inner, F.length(inner) - 1)).otherwise(inner)
 
     rows = rows.withColumn("__prose", F.transform("__pieces", bare))
-    rows = rows.withColumn("__seen", F.transform("__prose", lambda x: F.regexp_replace(x, _REMOVED, "")))
-    rows = rows.withColumn("__plain", F.transform("__seen", lambda x: _woven(x, _TAG, _left_by)))
+    rows = rows.withColumn("__seen", F.transform("__prose", lambda x: F.regexp_replace(x, _HIDDEN_JAVA, "")))
+    rows = rows.withColumn("__plain", F.transform("__seen", lambda x: _woven(x, _TAG_JAVA, _left_by)))
     rows = rows.withColumn("__decoded", F.zip_with("__prose", "__plain", lambda old, new: F.when(old == new, old).otherwise(_woven(new, _ENTITY, _character))))
     tidy = F.zip_with("__prose", F.arrays_zip("__plain", "__decoded"), lambda old, x: F.when(old == x["__plain"], old).otherwise(F.regexp_replace(F.regexp_replace(x["__decoded"], "[ \t]+\n", "\n"), "\n{3,}", "\n\n")))
     rows = rows.withColumn("__tidy", tidy)
@@ -107,7 +112,7 @@ def strip_html(df: DataFrame, column: str, into: str | None = None) -> DataFrame
         return F.concat(before, x, after)
 
     whole = F.array_join(F.zip_with(F.transform("__tidy", framed), F.concat("__fences", F.array(F.lit(""))), lambda prose, fence: F.concat(prose, fence)), "")
-    return rows.withColumn(into or column, whole).drop("__characters", "__fences", "__pieces", "__prose", "__seen", "__plain", "__decoded", "__tidy")
+    return rows.withColumn(into or column, F.when(marked, whole).otherwise(text)).drop("__characters", "__fences", "__pieces", "__prose", "__seen", "__plain", "__decoded", "__tidy")
 
 
 _HEADING = r"(?m)^(#{2,4})\s+(.+)$"
@@ -209,10 +214,16 @@ class _Scorer:
                 code, tf = np.unique(row * len(self.terms) + term, return_counts=True)
                 row, term = code // len(self.terms), code % len(self.terms)
                 weight = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[row] / self.average))
-                times = np.diff(self.cuts)[term]
-                first = np.cumsum(times) - times
-                query = self.owner[np.arange(times.sum()) - np.repeat(first, times) + np.repeat(self.cuts[term], times)]
-                score = np.bincount(np.repeat(row, times) * n + query, weights=np.repeat(weight, times), minlength=len(length) * n).reshape(-1, n).round(9)
+                score = np.zeros(len(length) * n)
+                reach = np.cumsum(np.diff(self.cuts)[term])
+                # postings meet their queries in slices of bounded size, however many queries hold a term
+                edges = np.searchsorted(reach, np.arange(0, (reach[-1] if len(reach) else 0) + SLICE, SLICE), "right")
+                for a, b in zip(edges[:-1].tolist(), [*edges[1:-1].tolist(), len(term)]):
+                    times = np.diff(self.cuts)[term[a:b]]
+                    first = np.cumsum(times) - times
+                    query = self.owner[np.arange(times.sum()) - np.repeat(first, times) + np.repeat(self.cuts[term[a:b]], times)]
+                    np.add.at(score, np.repeat(row[a:b], times) * n + query, np.repeat(weight[a:b], times))
+                score = score.reshape(-1, n).round(9)
                 best = np.argsort(-score, axis=0, kind="stable")[: self.k]
                 value = np.take_along_axis(score, best, axis=0)
                 keep = np.flatnonzero((value > 0).ravel())
@@ -220,13 +231,20 @@ class _Scorer:
                 yield pa.RecordBatch.from_arrays([pa.array(self.queries[which]), batch.column(0).take(pa.array(best.ravel()[keep])), pa.array(value.ravel()[keep])], names=["query_id", batch.schema.names[0], "score"])
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Texts are cut and tokenised once: average, frequencies and scores read the same table."""
+    path = workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Top k rows of ``docs`` for each query (query_id, query): distinct query terms, positive scores, ties by key.
 
     Only the queries' terms are counted. Queries, a stated set, go to every task in blocks of bounded size; each
     task scores its own rows and hands on its best k, so no posting of a frequent term is shuffled.
     """
-    rows = docs.select(key, tokens(F.col(text)).alias("tokens"))
+    rows = written(docs.select(key, tokens(F.col(text)).alias("tokens")), "tokens")
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     sums = rows.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
     schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(docs.dtypes)[key]}, score double"

@@ -15,7 +15,11 @@ query = REGISTRY.query
 
 
 def chunked(s: SparkSession, d: str) -> DataFrame:
-    """Chunks of the documents: chunk_id, doc_id, heading, offset, text."""
+    """Chunks of the documents: chunk_id, doc_id, heading, offset, text. Written once, as searches and joins read them several times."""
+    return retrieval.written(_chunks(s, d), "chunks")
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
     return retrieval.chunk_documents(table(s, d, "documents").select("doc_id", "text")).select("chunk_id", "doc_id", "heading", "offset", F.col("piece").alias("text"))
 
 
@@ -49,9 +53,9 @@ _CHUNKS = f"""{_strip_sql('documents', 'doc_id', 'text', 'stripped')}, {_SECTION
 pieces AS (SELECT doc_id, heading, base, body, unnest(CASE WHEN length(body) <= 1200 THEN [0] ELSE range(0, length(body), 1000) END) AS s FROM bodies WHERE length(body) > 0),
 chunks AS (SELECT substr(sha1(doc_id || ':' || CAST(base + s AS INT)), 1, 16) AS chunk_id, doc_id, heading, CAST(base + s AS INT) AS "offset", regexp_replace(substr(body, CAST(s + 1 AS INT), 1200), {_WS}, '', 'g') AS text FROM pieces WHERE s = 0 OR length(body) - s >= 120),
 ck AS (SELECT * FROM chunks WHERE length(text) >= 120)"""
-query("chunk_documents", f"WITH {_CHUNKS} SELECT chunk_id, doc_id, heading, \"offset\", length(text) AS length, md5(text) AS digest FROM ck")(lambda s, d: chunked(s, d).select("chunk_id", "doc_id", "heading", "offset", F.length("text").alias("length"), F.md5("text").alias("digest")))
+query("chunk_documents", f"WITH {_CHUNKS} SELECT chunk_id, doc_id, heading, \"offset\", length(text) AS length, md5(text) AS digest FROM ck")(lambda s, d: _chunks(s, d).select("chunk_id", "doc_id", "heading", "offset", F.length("text").alias("length"), F.md5("text").alias("digest")))
 query("chunk_provenance", f"WITH {_CHUNKS} SELECT chunk_id, 'Page ' || doc_id || CASE WHEN heading != '' THEN ' - ' || heading ELSE '' END AS citation, md5('Page ' || doc_id || '. ' || CASE WHEN heading != '' THEN heading || '. ' ELSE '' END || text) AS search_text FROM ck")(
-    lambda s, d: (lambda title: chunked(s, d).select("chunk_id", retrieval.citation(title, F.col("heading")).alias("citation"), F.md5(retrieval.search_text(title, F.col("heading"), F.col("text"))).alias("search_text")))(F.concat(F.lit("Page "), F.col("doc_id").cast("string")))
+    lambda s, d: (lambda title: _chunks(s, d).select("chunk_id", retrieval.citation(title, F.col("heading")).alias("citation"), F.md5(retrieval.search_text(title, F.col("heading"), F.col("text"))).alias("search_text")))(F.concat(F.lit("Page "), F.col("doc_id").cast("string")))
 )
 query("chunk_ids", "SELECT doc_id, substr(sha1(doc_id || ':' || n_chars), 1, 16) AS chunk_id FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", retrieval.chunk_id(F.col("doc_id"), F.col("n_chars")).alias("chunk_id")))
 query("tokenise", "SELECT doc_id, len(t) AS n, array_to_string(t[1:5], ' ') AS first FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)")(
@@ -80,8 +84,11 @@ query("bm25_weights", f"WITH {_bm25(10)} SELECT term, count(*) AS chunks, round(
 )
 
 
-def bm25_hits(s: SparkSession, d: str, k: int) -> DataFrame:
-    return retrieval.bm25_search(chunked(s, d).select("chunk_id", "text"), test_queries(s, d), k)
+def bm25_hits(s: SparkSession, d: str, k: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Best chunks of the benchmark's items, with columns ``more`` of them."""
+    chunks = chunked(s, d)
+    hits = retrieval.bm25_search(chunks.select("chunk_id", "text"), test_queries(s, d), k)
+    return hits.join(chunks.select("chunk_id", *more), "chunk_id") if more else hits
 
 
 query("bm25_topk", f"WITH {_bm25(10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits")(lambda s, d: bm25_hits(s, d, 10).withColumn("score", F.round("score", 6)))
@@ -121,7 +128,7 @@ query("hybrid_rrf", f"WITH {_RRF} SELECT query_id, vec_id, round(score, 6) AS sc
 query(
     "rerank_length_penalty",
     f"WITH {_bm25(30)}, rr AS (SELECT query_id, chunk_id, round((1.0::DOUBLE / rank) * (0.5::DOUBLE + 0.5::DOUBLE * least(length(text) / 600.0::DOUBLE, 1)), 9) AS score, rank AS old FROM hits JOIN ck USING (chunk_id)) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank FROM rr) WHERE rank <= 5",
-)(lambda s, d: retrieval.rerank_length_penalty(bm25_hits(s, d, 30).join(chunked(s, d).select("chunk_id", "text"), "chunk_id"), 5, "chunk_id").withColumn("score", F.round("score", 6)))
+)(lambda s, d: retrieval.rerank_length_penalty(bm25_hits(s, d, 30, ("text",)), 5, "chunk_id").withColumn("score", F.round("score", 6)))
 query(
     "retrieval_metrics",
     f"WITH {_bm25(10)}, rel AS (SELECT q.query_id, d.doc_id FROM q JOIN documents d ON contains(d.text, q.query)), fd AS (SELECT r.query_id, r.doc_id, min(h.rank) AS rank FROM rel r LEFT JOIN (SELECT query_id, doc_id, rank FROM hits JOIN ck USING (chunk_id)) h ON h.query_id = r.query_id AND h.doc_id = r.doc_id GROUP BY ALL), "
@@ -137,7 +144,7 @@ def metrics_of(s: SparkSession, d: str) -> DataFrame:
     """Retrieval metrics where a document that holds a query's text is relevant to it."""
     queries = test_queries(s, d)
     relevant = retrieval.holding(table(s, d, "documents"), queries)
-    hits = bm25_hits(s, d, 10).join(chunked(s, d).select("chunk_id", "doc_id"), "chunk_id")
+    hits = bm25_hits(s, d, 10, ("doc_id",))
     return retrieval.retrieval_metrics(hits, relevant)
 
 

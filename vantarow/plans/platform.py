@@ -289,7 +289,7 @@ query(
 
 
 def shown_passages(s: SparkSession, d: str) -> DataFrame:
-    hits = kno.bm25_hits(s, d, 30).join(kno.chunked(s, d).select("chunk_id", F.col("doc_id").cast("string").alias("citation"), "text"), "chunk_id")
+    hits = kno.bm25_hits(s, d, 30, ("doc_id", "text")).withColumn("citation", F.col("doc_id").cast("string")).drop("doc_id")
     return agents.passages(hits, 5).select("query_id", F.md5("passages").alias("digest"), F.size("citations").alias("n"))
 
 
