@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantarow.functions import text
-from vantarow.operators import response, retrieval, windows
+from vantarow.operators import plugins, response, retrieval, windows
 from vantarow.plans.registry import Registry
 from vantarow.sources.telemetry import table
 
@@ -383,3 +383,17 @@ def label_auc(s: SparkSession, d: str) -> DataFrame:
 
     rows = table(s, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score")).join(table(s, d, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
     return evaluate.roc_auc(rows).select(F.round("roc_auc", 6).alias("roc_auc"))
+
+
+def plugged(s: SparkSession, d: str) -> DataFrame:
+    """Lexical hits of the benchmark's items, thirty deep, put in order by a plugged-in pair scorer."""
+    search = plugins.Reranked(plugins.Lexical(), plugins.Plugin("vantarow.operators.plugins:SharedWords"), 30)
+    return search.search(chunked(s, d).select("chunk_id", "text"), test_queries(s, d), 5)
+
+
+query(
+    "plugin_rerank",
+    f"WITH {_bm25(30)}, pw AS (SELECT query_id, chunk_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS b FROM hits JOIN ck USING (chunk_id) JOIN q USING (query_id)), "
+    "ps AS (SELECT query_id, chunk_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a)::DOUBLE END, 9) AS score FROM pw) SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ps) WHERE rank <= 5",
+)(plugged)
+query("plugin_encode")(lambda s, d: plugins.Dense(plugins.Plugin("vantarow.operators.plugins:HashedWords", {"dimensions": 128})).search(chunked(s, d).select("chunk_id", "text"), test_queries(s, d), 5).withColumn("score", F.round("score", 6)))
