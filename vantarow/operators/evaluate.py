@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantarow.operators.intervals import last_before, overlaps
 from vantarow.operators.ranks import order_statistics, sums_before
 from vantarow.operators.series import Geometry
 
@@ -17,25 +18,28 @@ def scored_windows(index: DataFrame, scores: DataFrame) -> DataFrame:
     return index.join(scores, ["series_id", "start"])
 
 
+def _met(windows: DataFrame, incidents: DataFrame, g: Geometry) -> DataFrame:
+    """Incidents (event_id, e_start) with every window that overlaps them (start, score)."""
+    events = incidents.select("series_id", "event_id", F.col("start").alias("o_start"), F.col("end").alias("o_end"))
+    spans = windows.select("series_id", "start", (F.col("start") + g.window).alias("end"), "score")
+    return overlaps(spans, events, "series_id", 4 * g.window)
+
+
 def event_outcomes(windows: DataFrame, incidents: DataFrame, threshold: float | Column, g: Geometry = Geometry()) -> DataFrame:
     """Per incident: detected, minutes to the end of the first firing window, and whether an alarm stood before it."""
-    events = incidents.select("event_id", "series_id", F.col("start").alias("e_start"), F.col("end").alias("e_end"))
-    rows = events.join(windows.select("series_id", "start", "score", "label"), "series_id", "left")
-    over = (F.col("start") < F.col("e_end")) & (F.col("start") + g.window > F.col("e_start"))
-    fires = F.col("score") >= threshold
-    before = (F.col("start") + g.window <= F.col("e_start")) & (F.col("label") == 0)
-    out = rows.groupBy("event_id", "series_id", "e_start").agg(
-        F.coalesce(F.max(over & fires), F.lit(False)).alias("detected"), F.min(F.when(over & fires, F.col("start") + g.window)).alias("first_end"),
-        F.max_by(fires, F.when(before, F.col("start"))).alias("pre"),
-    )
-    return out.select("event_id", "series_id", "detected", F.when(F.col("first_end").isNotNull(), F.greatest(F.lit(0), F.col("first_end") - F.col("e_start"))).cast("int").alias("minutes"), F.coalesce("pre", F.lit(False)).alias("pre_alarmed"))
+    first = _met(windows, incidents, g).where(F.col("score") >= threshold).groupBy("event_id").agg(F.min(F.col("start") + g.window).alias("first_end"))
+    events = incidents.select(F.col("event_id").alias("__id"), "series_id", F.col("start").alias("e_start"), (F.col("start") - g.window).alias("limit"))
+    normal = windows.where("label = 0").select("series_id", "start", (F.col("score") >= threshold).alias("fires"))
+    stood = last_before(events, normal, "series_id", 4 * g.window, "start", "fires", "limit", "pre")
+    rows = stood.withColumnRenamed("__id", "event_id").join(first, "event_id", "left")
+    found = F.col("first_end").isNotNull()
+    return rows.select("event_id", "series_id", found.alias("detected"), F.when(found, F.greatest(F.lit(0), F.col("first_end") - F.col("e_start"))).cast("int").alias("minutes"), F.coalesce("pre", F.lit(False)).alias("pre_alarmed"))
 
 
 def event_peaks(windows: DataFrame, incidents: DataFrame, g: Geometry = Geometry()) -> DataFrame:
     """Largest score of the windows that overlap an incident; -inf where none does."""
-    events = incidents.select("event_id", F.col("series_id").alias("e_series"), F.col("start").alias("e_start"), F.col("end").alias("e_end"))
-    on = (F.col("series_id") == F.col("e_series")) & (F.col("start") < F.col("e_end")) & (F.col("start") + g.window > F.col("e_start"))
-    return events.join(windows.select("series_id", "start", "score"), on, "left").groupBy("event_id").agg(F.coalesce(F.max("score"), F.lit(float("-inf"))).alias("peak"))
+    peaks = _met(windows, incidents, g).groupBy("event_id").agg(F.max("score").alias("peak"))
+    return incidents.select("event_id").join(peaks, "event_id", "left").select("event_id", F.coalesce("peak", F.lit(float("-inf"))).alias("peak"))
 
 
 def _ordered(windows: DataFrame) -> DataFrame:

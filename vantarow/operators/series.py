@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantarow.operators.intervals import overlaps
 from vantarow.sources.telemetry import METRICS, global_event_ids
 
 NORMAL_EVENT = -1
@@ -43,11 +44,11 @@ def annotation_spans(points: DataFrame, stats: DataFrame, least: float = 3.0) ->
     return runs(flags, ["series_id", "dim"])
 
 
-def attach_dims(incidents: DataFrame, spans: DataFrame) -> DataFrame:
-    """Union of the dimensions of all spans that overlap a run (equi key on the series, then the interval test)."""
-    s = spans.select(F.col("series_id").alias("s_series"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), "dim")
-    on = (F.col("series_id") == F.col("s_series")) & (F.col("start") < F.col("s_end")) & (F.col("s_start") < F.col("end"))
-    return incidents.join(s, on, "left").groupBy("event_id", "series_id", "start", "end").agg(F.array_sort(F.collect_set("dim")).alias("dims"))
+def attach_dims(incidents: DataFrame, spans: DataFrame, width: int = 256) -> DataFrame:
+    """Union of the dimensions of all spans that overlap a run; see :func:`intervals.overlaps`."""
+    s = spans.select("series_id", F.col("start").alias("o_start"), F.col("end").alias("o_end"), "dim")
+    met = overlaps(incidents.select("event_id", "series_id", "start", "end"), s, "series_id", width).groupBy("event_id").agg(F.array_sort(F.collect_set("dim")).alias("dims"))
+    return incidents.join(met, "event_id", "left").select("event_id", "series_id", "start", "end", F.coalesce("dims", F.array().cast("array<int>")).alias("dims"))
 
 
 def event_track(points: DataFrame, incidents: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantarow.operators.intervals import overlaps
 from vantarow.operators.series import NORMAL_EVENT, Geometry
 from vantarow.sources.telemetry import METRICS
 
@@ -20,11 +21,12 @@ def window_index(points: DataFrame, incidents: DataFrame, g: Geometry = Geometry
     """
     sizes = points.groupBy("series_id").agg((F.max("t") + 1).alias("n")).where(F.col("n") >= g.window)
     starts = sizes.select("series_id", F.explode(F.sequence(F.lit(0), F.col("n") - g.window, F.lit(g.stride))).alias("start"))
-    events = incidents.select(F.col("series_id").alias("e_series"), "event_id", F.col("start").alias("e_start"), F.col("end").alias("e_end"))
-    on = (F.col("series_id") == F.col("e_series")) & (F.col("start") < F.col("e_end")) & (F.col("start") + g.window > F.col("e_start"))
-    cover = F.least("e_end", F.col("start") + g.window) - F.greatest("e_start", "start")
-    owner = starts.join(events, on, "left").groupBy("series_id", "start").agg(F.max_by("event_id", F.struct(cover, -F.col("event_id"))).alias("event_id"))
-    return owner.select("series_id", "start", F.col("event_id").isNotNull().cast("int").alias("label"), F.coalesce("event_id", F.lit(NORMAL_EVENT)).alias("event_id"))
+    events = incidents.select("series_id", "event_id", F.col("start").alias("o_start"), F.col("end").alias("o_end"))
+    met = overlaps(starts.withColumn("end", F.col("start") + g.window), events, "series_id", 4 * g.window)
+    cover = F.least("o_end", "end") - F.greatest("o_start", "start")
+    owner = met.groupBy("series_id", "start").agg(F.max_by("event_id", F.struct(cover, -F.col("event_id"))).alias("event_id"))
+    rows = starts.join(owner, ["series_id", "start"], "left")
+    return rows.select("series_id", "start", F.col("event_id").isNotNull().cast("int").alias("label"), F.coalesce("event_id", F.lit(NORMAL_EVENT)).alias("event_id"))
 
 
 def over_windows(points: DataFrame, g: Geometry, columns: dict, part: int = PART) -> DataFrame:
