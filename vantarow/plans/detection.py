@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantarow.operators import classify, detectors, evaluate, series, windows
+from vantarow.operators import classify, compare, detectors, evaluate, series, windows
 from vantarow.operators.series import Geometry
 from vantarow.plans.registry import Registry
 from vantarow.sinks import store
@@ -385,3 +385,45 @@ query(
 )(
     lambda s, d: table(s, d, "events").withColumn("last", F.col("ts")).groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("session_start"), F.max("ts").alias("session_last")).select("user_id", "session_start", "session_last", "n")
 )
+
+
+def split_report(s: SparkSession, d: str) -> DataFrame:
+    """Three statistics on a split by time: thresholds from validation, figures from test, beside window_spread."""
+    p = points(s, d)
+    parts = compare.pieces(p, incidents_of(p), G)
+    found = compare.run_split(parts, {n: detectors.STATISTICS[n] for n in ("max_deviation", "window_spread", "naive_residual")}, G, 0.05)
+    return rounded(found.select("detector", "threshold", "events", "detection_rate", "pages", "pages_per_day", "roc_auc", "curve_auc", "validation_curve_auc", "delta"))
+
+
+def _split_sql() -> str:
+    """The same in SQL: every detector's tables shadow those of the whole series."""
+    base = f"""{_SI}, pz AS (SELECT sp.split || '/' || sp.series_id AS series_id, sp.split, sp.t, sp.point_label, z0, z1, z2, z3 FROM sp JOIN z ON z.series_id = sp.series_id AND z.t = sp.original_t),
+pst AS (SELECT series_id, split, CAST(unnest(range(0, n - 11, 2)) AS INT) AS start FROM (SELECT series_id, split, max(t) + 1 AS n FROM pz GROUP BY ALL)),
+pin AS (SELECT event_id, split || '/' || series_id AS series_id, split, start, "end" FROM si),
+pidx AS (SELECT s.series_id, s.split, s.start, max(CASE WHEN i.event_id IS NULL THEN 0 ELSE 1 END) AS label FROM pst s LEFT JOIN pin i ON i.series_id = s.series_id AND s.start < i."end" AND s.start + 12 > i.start GROUP BY ALL),
+pwz AS (SELECT s.series_id, s.start, pz.t, z0, z1, z2, z3 FROM pst s JOIN pz ON pz.series_id = s.series_id AND pz.t >= s.start AND pz.t < s.start + 12)"""
+    out = _OUT.replace(f"{_THR}, ", "")
+    rows = []
+    for name in ("max_deviation", "window_spread", "naive_residual"):
+        sql = _DETECT[name] if name != "window_spread" else "SELECT series_id, start, round(greatest(stddev_pop(z0), stddev_pop(z1), stddev_pop(z2), stddev_pop(z3)), 9) AS score FROM wz GROUP BY series_id, start"
+        base += f", sc_{name} AS (WITH wz AS (SELECT * FROM pwz) {sql})"
+
+        def of(split: str, name=name) -> str:
+            return (
+                f"sw AS (SELECT pidx.series_id, pidx.start, label, score FROM pidx JOIN sc_{name} USING (series_id, start) WHERE split = '{split}'), inc AS (SELECT event_id, series_id, start, \"end\" FROM pin WHERE split = '{split}'), "
+                f"days AS (SELECT greatest(sum(CASE WHEN point_label = 0 THEN 1 ELSE 0 END) / 24.0, 1e-9) AS days FROM pz WHERE split = '{split}')"
+            )
+
+        base += f", pick_{name} AS (WITH {of('validation')}, {_candidates(200)}, {_RATES}, {_PICK} SELECT threshold FROM pick), vauc_{name} AS (WITH {of('validation')}, {_CURVE}, {_AUC} SELECT curve_auc FROM auc)"
+        base += f", tauc_{name} AS (WITH {of('test')}, {_CURVE}, {_AUC} SELECT curve_auc FROM auc), troc_{name} AS (WITH {of('test')}, {_ROC} SELECT roc_auc FROM roc)"
+        base += f", out_{name} AS (WITH {of('test')}, thr AS (SELECT threshold FROM pick_{name}), {out} SELECT * FROM outc)"
+        base += f", rate_{name} AS (WITH {of('test')}, cand AS (SELECT threshold FROM pick_{name}), {_RATES} SELECT * FROM rates)"
+        delta = "NULL::DOUBLE" if name == "window_spread" else f"round((SELECT avg(a.detected::INT - b.detected::INT) FROM out_{name} a JOIN out_window_spread b USING (event_id)), 6)"
+        rows.append(
+            f"SELECT '{name}' AS detector, round(threshold, 6) AS threshold, (SELECT count(*) FROM out_{name}) AS events, round((SELECT avg(detected::INT) FROM out_{name}), 6) AS detection_rate, pages::BIGINT AS pages, round(pages_per_day, 6) AS pages_per_day, "
+            f"round((SELECT roc_auc FROM troc_{name}), 6) AS roc_auc, round((SELECT curve_auc FROM tauc_{name}), 6) AS curve_auc, round((SELECT curve_auc FROM vauc_{name}), 6) AS validation_curve_auc, {delta} AS delta FROM rate_{name}"
+        )
+    return with_base(" UNION ALL ".join(rows), base)
+
+
+query("split_report", _split_sql())(split_report)
