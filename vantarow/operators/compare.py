@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantarow.operators import detectors, evaluate, series, windows
+from vantarow.operators import detectors, evaluate, networks, series, windows
 from vantarow.operators.detectors import Detector
 from vantarow.operators.series import Geometry
 from vantarow.sinks.store import workspace
+from vantarow.sources.telemetry import METRICS
 
 INCUMBENT = "window_spread"
 
@@ -88,3 +89,46 @@ def run_split(parts: Pieces, members: dict[str, Detector], g: Geometry = Geometr
     if deltas is None:
         return reports.select("*", *[F.lit(None).cast("double").alias(c) for c in ("delta", "delta_low", "delta_high")])
     return reports.join(F.broadcast(deltas), "detector", "left")
+
+
+@dataclass
+class Built:
+    """A detector that is ready: its name, its scores of all windows of all splits, its threshold, and what went wrong on the way."""
+
+    name: str
+    scores: DataFrame
+    threshold: float
+    notes: list[str]
+
+
+def _fitted(kind: str, parts: Pieces, g: Geometry, how: networks.Descent) -> DataFrame:
+    if kind in detectors.STATISTICS:
+        return detectors.STATISTICS[kind](parts.scaled, g)
+    if kind not in ("conv_autoencoder", "max_fusion"):
+        raise ValueError(f"no detector {kind!r}")
+    rows = networks.flat_windows(parts.scaled, g).join(parts.index.select("series_id", "start", "label", "split"), ["series_id", "start"])
+    rows = _written(rows, "flat")
+    normal = rows.where("split = 'train' and label = 0").select("series_id", "start", "v", "draw")
+    fitted = networks.fit_conv(normal, len(METRICS), g.window, how)
+    conv = networks.scores(fitted, rows.select("series_id", "start", "v", "draw"))
+    if kind == "conv_autoencoder":
+        return conv
+    both = detectors.all_scores(parts.scaled, g, {"naive_residual": detectors.naive_residual})
+    return fused(parts, _written(both.unionByName(conv.select(F.lit("conv_autoencoder").alias("detector"), "series_id", "start", F.round("score", 9).alias("score"))), "members"))
+
+
+def build_detector(kind: str, parts: Pieces, g: Geometry = Geometry(), budget: float = 1.0, how: networks.Descent = networks.Descent()) -> Built:
+    """The detector ``kind`` fitted on normal windows of train, its threshold from validation within ``budget``.
+
+    Where a fit fails, whatever the reason, :data:`INCUMBENT` takes its place and the notes say why: a service starts anyway.
+    """
+    notes: list[str] = []
+    try:
+        name, scores = kind, _written(_fitted(kind, parts, g, how), "scores")
+    except Exception as e:  # noqa: BLE001
+        notes.append(f"could not fit {kind}, {INCUMBENT} takes its place: {type(e).__name__}: {e}".splitlines()[0])
+        name, scores = INCUMBENT, _written(detectors.STATISTICS[INCUMBENT](parts.scaled, g), "scores")
+    scores = scores.withColumn("score", F.round("score", 9))
+    points, _, index = parts.of("validation")
+    threshold = evaluate.threshold_at_budget(evaluate.scored_windows(index, scores), points, budget, g).first()["threshold"]
+    return Built(name, scores, float(threshold), notes)

@@ -427,3 +427,14 @@ pwz AS (SELECT s.series_id, s.start, pz.t, z0, z1, z2, z3 FROM pst s JOIN pz ON
 
 
 query("split_report", _split_sql())(split_report)
+
+
+def built(s: SparkSession, d: str) -> DataFrame:
+    """Detectors as a service builds them: one that can be fitted and one that can't, which falls back."""
+    p = points(s, d)
+    parts = compare.pieces(p, incidents_of(p), G)
+    found = [(kind, compare.build_detector(kind, parts, G, 0.05)) for kind in ("naive_residual", "no_such_detector")]
+    return s.createDataFrame([(kind, b.name, round(b.threshold, 6), len(b.notes)) for kind, b in found], "asked string, detector string, threshold double, notes long")
+
+
+query("built_detectors", f"WITH r AS ({_split_sql()}) SELECT 'naive_residual' AS asked, detector, threshold, 0 AS notes FROM r WHERE detector = 'naive_residual' UNION ALL SELECT 'no_such_detector', detector, threshold, 1 FROM r WHERE detector = 'window_spread'")(built)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantarow.operators import agents, classify, evaluate, response, series
+from vantarow.operators import agents, classify, evaluate, response, retrieval, series
 from vantarow.plans import detection as det
 from vantarow.plans import knowledge as kno
 from vantarow.plans.detection import G, points, rounded, with_base
@@ -417,3 +417,41 @@ query(
         "cov AS (SELECT seed, CASE WHEN count(*) = (SELECT count(DISTINCT cause) * 3 FROM ev) THEN min(n) ELSE 0 END AS coverage FROM ct GROUP BY seed)",
     ),
 )(lambda s, d: classify.split_search(det.incidents_of(points(s, d)).select("series_id", "event_id", F.concat(F.lit("c"), F.pmod("event_id", F.lit(2)).cast("string")).alias("cause")), 12))
+
+
+def investigated(s: SparkSession, d: str) -> DataFrame:
+    """One plan from symptoms to a report: the items of the benchmark are reports of symptoms, passages found for them feed the
+    diagnosis and the plan, and the report names their sources. The provider answers from the first passage, or not at all."""
+    hits = kno.bm25_hits(s, d, 5, ("doc_id", "text")).withColumn("citation", F.concat(F.lit("page "), F.col("doc_id").cast("string"))).drop("doc_id")
+    found = agents.passages(hits, 3)
+    k = F.col("item_id")
+    cause = F.when(k % 3 != 0, F.concat(F.lit("disk_"), (k % 3).cast("string")))
+    incidents = table(s, d, "benchmark").select(k.alias("incident_id"), F.col("text").alias("symptoms"), cause.alias("cause"))
+    rows = incidents.join(found.withColumnRenamed("query_id", "incident_id"), "incident_id", "left")
+    rows = retrieval.written(rows, "investigations")
+    first = lambda prompt: F.regexp_extract(prompt, r"\[1\] (page [0-9]+)\n", 1)
+
+    def explains(prompt):
+        return F.when(first(prompt) != "", F.concat(F.lit('{"cause": "quota", "explanation": "as in '), first(prompt), F.lit('", "confidence": "high"}')))
+
+    def plans_(prompt):
+        return F.when(first(prompt) != "", F.concat(F.lit('{"immediate_action": "read '), first(prompt), F.lit('", "short_term_fix": "clean", "long_term_fix": "grow", "risk_level": "low"}')))
+
+    diagnosed_ = agents.diagnose(rows, explains)
+    asked = diagnosed_.join(rows.select("incident_id", "passages", "citations"), "incident_id")
+    planned = agents.remediate(asked, plans_).select("incident_id", "immediate_action", "risk_level")
+    told = asked.join(planned, "incident_id").withColumn("status", F.lit("complete"))
+    cited = F.coalesce("citations", F.array().cast("array<struct<chunk_id:string,title:string>>"))
+    ids = F.array_join(F.transform(cited, lambda c: c["chunk_id"]), ",")
+    reports_ = agents.report(told.withColumn("citations", cited))
+    return told.join(reports_, "incident_id").select("incident_id", "cause", "explanation", "confidence", "degraded", "immediate_action", "risk_level", ids.alias("chunk_ids"), F.md5("report").alias("digest"))
+
+
+query(
+    "investigations",
+    f"""WITH {kno._bm25(5)}, three AS (SELECT query_id, rank, chunk_id, doc_id FROM hits JOIN ck USING (chunk_id) WHERE rank <= 3),
+f AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids, string_agg(rank || '. page ' || doc_id, chr(10) ORDER BY rank) AS sources, 'page ' || any_value(doc_id) FILTER (rank = 1) AS first FROM three GROUP BY query_id),
+r AS (SELECT item_id AS incident_id, CASE WHEN first IS NOT NULL THEN 'quota' WHEN item_id % 3 != 0 THEN 'disk_' || (item_id % 3) ELSE 'unknown' END AS cause, coalesce('as in ' || first, 'no explanation is available') AS explanation,
+  CASE WHEN first IS NULL THEN 'low' ELSE 'high' END AS confidence, first IS NULL AS degraded, coalesce('read ' || first, 'a person must decide') AS immediate_action, CASE WHEN first IS NULL THEN 'high' ELSE 'low' END AS risk_level, coalesce(chunk_ids, '') AS chunk_ids, sources FROM benchmark LEFT JOIN f ON query_id = item_id)
+SELECT incident_id, cause, explanation, confidence, degraded, immediate_action, risk_level, chunk_ids, md5('# Incident ' || incident_id || chr(10) || chr(10) || 'Status: complete' || chr(10) || chr(10) || '## Cause' || chr(10) || chr(10) || replace(cause, '_', ' ') || '. ' || explanation || chr(10) || chr(10) || '## Action' || chr(10) || chr(10) || immediate_action || ' (risk: ' || risk_level || ')' || coalesce(chr(10) || chr(10) || '## Sources' || chr(10) || chr(10) || sources, '')) AS digest FROM r""",
+)(investigated)
