@@ -1,18 +1,13 @@
-"""Sums over all rows that come before a row in a sorted order, for tables of any size and groups of any share."""
+"""Counted broadcasts beside the sums over sorted runs that the library has."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
-
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
 
-from vantarow.llm.common import keep, partitions
+from vantarow.operators.ranks import sums_before
+
+__all__ = ["MAX_BROADCAST", "counted", "sums_before"]
 
 #: Counted tables of at most so many rows are broadcast; larger ones meet their partners in a shuffle.
 MAX_BROADCAST = 100_000
@@ -21,42 +16,3 @@ MAX_BROADCAST = 100_000
 def counted(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if it has few rows."""
     return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
-
-
-def _run(batches: Iterator[pa.RecordBatch], weights: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Running sums inside one sorted run."""
-    run = TaskContext.get().partitionId()
-    carry = dict.fromkeys(weights, 0)
-    for batch in batches:
-        columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        for w in weights:
-            values = columns[w].to_numpy(zero_copy_only=False).astype(np.int64)
-            after = np.cumsum(values) + carry[w]
-            columns[f"{w}_before"] = pa.array(after - values)
-            carry[w] = int(after[-1]) if len(after) else carry[w]
-        columns["run"] = pa.array(np.full(batch.num_rows, run, np.int32))
-        yield pa.RecordBatch.from_pydict(columns)
-
-
-def sums_before(df: DataFrame, order: list[str | Column], weights: tuple[str, ...], name: str) -> DataFrame:
-    """``df`` and for each column w of ``weights`` (long, not null) a column w_before: its sum over all earlier rows.
-
-    Rows are dealt by range and sorted (``order`` should be a total order; rows that tie in all of it come in any one
-    order), each sorted run is summed as it streams by and written; only the totals of runs reach the driver.
-    """
-    spark = df.sparkSession
-    schema = StructType(list(df.schema.fields))
-    for w in weights:
-        schema = schema.add(f"{w}_before", LongType())
-    schema = schema.add("run", IntegerType())
-    runs = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    runs = keep(runs.mapInArrow(partial(_run, weights=weights), schema), name)
-    totals = sorted(runs.groupBy("run").agg(*[F.sum(w).alias(w) for w in weights]).collect(), key=lambda r: r["run"])
-    offsets, at = [], dict.fromkeys(weights, 0)
-    for row in totals:
-        offsets.append((row["run"], *[at[w] for w in weights]))
-        for w in weights:
-            at[w] += int(row[w])
-    earlier = spark.createDataFrame(offsets, "run int, " + ", ".join(f"{w}_offset long" for w in weights))
-    joined = runs.join(F.broadcast(earlier), "run")
-    return joined.select(*df.columns, *[(F.col(f"{w}_before") + F.col(f"{w}_offset")).alias(f"{w}_before") for w in weights])
