@@ -313,7 +313,15 @@ query(
 query("orphan_check", with_base("SELECT series_id, count(*) AS orphans FROM idx WHERE label = 1 AND event_id NOT IN (SELECT event_id FROM inc WHERE event_id % 5 != 0) GROUP BY series_id"))(
     lambda s, d: (lambda p: (lambda inc: series.orphans(windows.window_index(p, inc, G), inc.where("event_id % 5 != 0")))(incidents_of(p)))(points(s, d))
 )
-query("synthetic_metrics")(lambda s, d: rounded(synthetic_metrics(s)))
+
+
+def generated(s: SparkSession, d: str) -> DataFrame:
+    """Generated traffic of as many series and steps as the events give."""
+    size = points(s, d).agg(F.countDistinct("series_id").alias("n"), (F.max("t") + 1).alias("steps")).first()
+    return synthetic_metrics(s, scenarios=size["n"], steps=max(32, (size["steps"] or 0) // 16 * 16))
+
+
+query("synthetic_metrics")(lambda s, d: rounded(generated(s, d)))
 query("signature_matrix", with_base("SELECT event_id, array_to_string(list_transform([1, 2, 3, 4], lambda x: CASE WHEN list_contains(dims, x) THEN 1 ELSE 0 END), '') AS signature FROM dims WHERE len(dims) > 0", _SPANS))(
     lambda s, d: classify.signature_matrix(with_dims(points(s, d)), 4).withColumn("signature", F.array_join(F.transform("signature", lambda x: x.cast("string")), ""))
 )
@@ -354,18 +362,6 @@ query("class_coverage", with_base("SELECT min(coalesce(n, 0)) AS coverage FROM (
 )
 
 
-def predictions(s: SparkSession, d: str) -> DataFrame:
-    """Causes of incident windows by a forest, trained on four folds of events and held against the fifth."""
-    p = synthetic_metrics(s, scenarios=8, steps=1440, events=4)
-    names = ("cpu", "memory", "latency", "disk")
-    g = Geometry(window=60, stride=20)
-    rows = windows.features(p, g, names).join(p.where("cause != 'normal'").select("series_id", F.col("t").alias("start"), "cause", F.floor(F.col("t") / 360).cast("int").alias("slot")), ["series_id", "start"])
-    rows = rows.withColumn("fold", classify.fold(F.concat_ws("/", "series_id", F.col("slot").cast("string"))))
-    columns = [f"{m}_{k}" for m in names for k in ("mean", "std", "min", "max", "slope", "half_diff")]
-    return classify.predict(rows.where("fold != 0"), rows.where("fold = 0"), columns).select("series_id", "start", "cause", "predicted")
-
-
-query("classifier_predictions")(predictions)
 query(
     "report_rollup",
     "SELECT n_name AS source, o_orderpriority AS strategy, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price, grouping(n_name) * 2 + grouping(o_orderpriority) AS level FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, o_orderpriority)",

@@ -95,6 +95,13 @@ def round_trip(s: SparkSession, d: str) -> DataFrame:
     return a.join(b, KEY).select(*KEY, ((F.col("a") == F.col("b")) & (F.col("ca") == F.col("cb"))).alias("same"))
 
 
+def forest_predictions(s: SparkSession, d: str) -> DataFrame:
+    """Causes of incident windows by a forest that was fitted on four folds of events and is held against the fifth."""
+    rows = prepared(s, d).drop("weight")
+    return classify.predict(rows.where("fold != 0"), rows.where("fold = 0"), FEATURES).select("series_id", "start", "cause", "predicted")
+
+
+query("classifier_predictions")(forest_predictions)
 query("boosted_out_of_fold")(lambda s, d: out_of_fold(s, d).select("series_id", "start", "event_id", "fold", "cause", "predicted"))
 query("boosted_beside_forest")(beside_forest)
 query("parameter_trials")(lambda s, d: search.search(prepared(s, d), FEATURES, KEY, trials=6, together=6))
