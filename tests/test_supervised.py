@@ -191,6 +191,10 @@ def test_order_statistics(spark):
     want = np.percentile([v for v in values if v is not None], [100 * s for s in shares])
     assert [got[s] for s in shares] == pytest.approx(list(want))
     assert ranks.order_statistics(df.where("score is null"), "score", shares).count() == 0
+    two = df.select("score", F.lit("a").alias("kind")).unionByName(df.select((F.col("score") * -1).alias("score"), F.lit("b").alias("kind")))
+    both = {(x.kind, x.share): x.value for x in ranks.order_statistics(two, "score", [0.25, 1.0], by="kind").collect()}
+    low = np.percentile([-v for v in values if v is not None], 25)
+    assert both == {("a", 0.25): pytest.approx(got[0.25]), ("a", 1.0): got[1.0], ("b", 0.25): pytest.approx(low), ("b", 1.0): -got[0.0]}
     one = ranks.order_statistics(spark.createDataFrame([(3.0,)], "score double"), "score", [0.0, 0.5, 1.0]).collect()
     assert [x.value for x in one] == [3.0] * 3
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vantarow.operators.ranks import order_statistics
 from vantarow.operators.series import Geometry
 from vantarow.operators.windows import over_windows, summary_stats, window_arrays
 from vantarow.sources.telemetry import METRICS
@@ -71,8 +72,9 @@ def all_scores(points: DataFrame, g: Geometry, detectors: dict[str, Detector] |
 
 def fusion_scale(scores: DataFrame) -> DataFrame:
     """Median and interquartile range of each detector over the scores that it is given (normal training windows)."""
-    q = scores.groupBy("detector").agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select("detector", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    q = order_statistics(scores, "score", [0.25, 0.5, 0.75], by="detector").groupBy("detector").pivot("share", [0.25, 0.5, 0.75]).agg(F.first("value"))
+    low, middle, high = q.columns[1:]
+    return q.select("detector", F.col(f"`{middle}`").alias("median"), (F.col(f"`{high}`") - F.col(f"`{low}`")).alias("iqr"))
 
 
 def max_fusion(scores: DataFrame, scale: DataFrame) -> DataFrame:

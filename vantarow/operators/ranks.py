@@ -62,20 +62,27 @@ def numbered(df: DataFrame, order: list[str | Column], to: str) -> DataFrame:
     return ranked.withColumnRenamed("__one_before", to).drop("__one")
 
 
-def order_statistics(values: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """Exact percentiles (share, value), interpolated between neighbours; none of an empty column. Nulls don't count.
+def order_statistics(values: DataFrame, column: str, shares: list[float], by: str | None = None) -> DataFrame:
+    """Exact percentiles (share, value; with ``by``, of each of its few values), interpolated between neighbours.
 
-    Equal values are one row with a count before anything is sorted; each run looks up the ranks that fall into it.
+    An empty column has none; nulls don't count. Equal values are one row with a count before anything is sorted; each run
+    looks up the ranks that fall into it, and only those rows reach the driver.
     """
-    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    placed = sums_before(counts, ["value"], ("n",), "ranks")
-    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     spark = values.sparkSession
-    if not total:
-        return spark.createDataFrame([], "share double, value double")
-    places = [(float(s), min(int(s * (total - 1)), total - 1), s * (total - 1)) for s in shares]
-    ranks = sorted({r for _, low, at in places for r in (low, min(low + 1, total - 1))})
+    group = F.col(by) if by else F.lit(0)
+    kind = values.schema[by].dataType.simpleString() if by else "int"
+    counts = values.where(F.col(column).isNotNull()).groupBy(group.alias("of"), F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    placed = sums_before(counts, ["of", "value"], ("n",), "ranks")
+    groups = placed.groupBy("of").agg(F.min("n_before").alias("first"), F.sum("n").alias("total")).collect()
+    places = []
+    for g in groups:
+        last = g["total"] - 1
+        for s in shares:
+            low = min(int(s * last), last)
+            places.append((g["of"], float(s), g["first"] + low, g["first"] + min(low + 1, last), s * last - low))
+    ranks = sorted({r for p in places for r in p[2:4]})
     inside = F.filter(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda r: (r >= F.col("n_before")) & (r < F.col("n_before") + F.col("n")))
-    held = {row["rank"]: row["value"] for row in placed.select(F.explode(inside).alias("rank"), "value").collect()}
-    rows = [(s, float(held[low]) + (float(held[min(low + 1, total - 1)]) - float(held[low])) * (at - low)) for s, low, at in places]
-    return spark.createDataFrame(rows, "share double, value double")
+    held = {row["rank"]: float(row["value"]) for row in placed.select(F.explode(inside).alias("rank"), "value").collect()} if ranks else {}
+    rows = [(of, s, held[low] + (held[high] - held[low]) * part) for of, s, low, high, part in places]
+    found = spark.createDataFrame(rows, f"of {kind}, share double, value double")
+    return found.withColumnRenamed("of", by) if by else found.drop("of")
