@@ -381,6 +381,23 @@ def test_verdicts_stay_in_generated_code(spark, tmp_path):
     assert out.collect()[0].verdict == "block"
 
 
+def test_nothing_falls_out_of_generated_code(spark, tmp_path):
+    """Spark is told to fail where it would fall back to interpreted rows: pages with aliases, redirects and many rules."""
+    pages = [(1, "http://a.net/es/", '<link rel="canonical" href="/x">'), (2, "http://b.org/p/q?z#f", '<meta http-equiv="refresh" content="0; url=../r">'), (3, "http://a.net/x", ""), (4, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    redirects = spark.createDataFrame([("http://c.org/1", "http://a.net/es/")], "source string, target string")
+    rules = [*url_filter.RULES, *[("block", f"z{i}.org", "/") for i in range(url_filter.MAX_INLINE - 5)]]
+    settings = {"spark.sql.codegen.fallback": "false", "spark.sql.codegen.factoryMode": "CODEGEN_ONLY"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.read.parquet(str(tmp_path / "p")), rules, redirects).collect()}
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+
+
 def test_connected_components(spark):
     r = random.Random(9)
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(30)] + [(300, 300), (None, 5)]

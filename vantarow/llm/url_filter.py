@@ -30,14 +30,6 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise(F.lit(""))
 
 
-def host_of(url: Column) -> Column:
-    return F.coalesce(F.translate(F.regexp_extract(_rest(url), r"^[^/?#]*", 0), UPPER, LOWER), F.lit(""))
-
-
-def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
-
-
 def parsed(rows: DataFrame, url: Column) -> DataFrame:
     """Adds host, path and node, each computed once a row: expressions over them don't repeat the patterns they come from."""
     rest = rows.select("*", F.inline(F.array(F.struct(_rest(url).alias("__rest")))))
@@ -51,13 +43,6 @@ def parsed(rows: DataFrame, url: Column) -> DataFrame:
     return whole.withColumn("node", node).drop("__query")
 
 
-def node_of(url: Column) -> Column:
-    """What names a document: host, path and query, without scheme and fragment; null if there is no host."""
-    host, path = host_of(url), path_of(url)
-    query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), query))
-
-
 def _ranked(rules: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
     """Longest first; of equal length, the longer host, then allow."""
     return sorted(set(rules), key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "allow", r))
@@ -88,28 +73,42 @@ def judged(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return df.join(best, ["host", "path"], "left")
 
 
-def _absolute(url: Column, target: Column) -> Column:
-    """Resolve a link against the url of its page."""
-    root = F.concat(F.substring_index(url, "://", 1), F.lit("://"), host_of(url))
-    folder = F.regexp_extract(path_of(url), r"^(.*/)", 1)
+def _absolute(target: Column) -> Column:
+    """Resolve a link against its page (columns scheme, host and folder)."""
+    root = F.concat("scheme", F.lit("://"), "host")
     return (
         F.when(F.instr(target, "://") > 0, target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
         .when(target.startswith("/"), F.concat(root, target))
-        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), target))
+        .otherwise(F.concat(root, "folder", target))
     )
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row: what uses them doesn't repeat their expressions."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _edges(rows: DataFrame, source: str, target: str) -> DataFrame:
+    """Edges (u, v) between the documents that two columns of urls name."""
+    u = parsed(rows.select(F.col(source).alias("__u"), F.col(target).alias("__v")), F.col("__u")).select("__v", F.col("node").alias("u"))
+    both = _once(parsed(u, F.col("__v")).select("u", "node"), v=F.col("node"))
+    return both.where("u != v").select("u", "v").distinct()
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """Redirect and canonical-link edges (u, v) between documents, from the html of pages."""
     low = F.lower("html")
-    some = pages.where(low.contains("canonical") | low.contains("http-equiv")).where(node_of(F.col("url")).isNotNull())
+    some = pages.select("url", "html").where(low.contains("canonical") | low.contains("http-equiv"))
+    page = parsed(some, F.col("url")).where("host != ''")
+    folder = F.regexp_extract("path", r"^(.*/)", 1)
+    page = _once(page, scheme=F.substring_index("url", "://", 1), folder=F.when(folder == "", "/").otherwise(folder))
     targets = F.array(
         F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1),
         F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _TARGET, 1),
     )
-    found = some.select("url", F.explode(targets).alias("target")).where("target != ''")
-    return found.select(node_of(F.col("url")).alias("u"), node_of(_absolute(F.col("url"), F.col("target"))).alias("v")).where("u != v").distinct()
+    found = page.select("url", "scheme", "host", "folder", F.explode(targets).alias("target")).where("target != ''")
+    return _edges(_once(found, to=_absolute(F.col("target"))), "url", "to")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -125,8 +124,7 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     edges = alias_edges(rows)
     if redirects is not None:
-        more = redirects.select(node_of(F.col("source")).alias("u"), node_of(F.col("target")).alias("v"))
-        edges = edges.unionByName(more.where("u is not null and v is not null and u != v")).distinct()
+        edges = edges.unionByName(_edges(redirects, "source", "target")).distinct()
     edges = keep(edges, "aliases")
     own = judged(parsed(rows.select("page_id", "url"), F.col("url")).select("page_id", "node", "host", "path"), list(rules))
     if edges.isEmpty():
