@@ -9,6 +9,7 @@ import pytest
 from vantarow.operators import compare, evaluate, series
 from vantarow.operators.networks import Descent
 from vantarow.operators.series import Geometry
+from vantarow.sinks import store
 from vantarow.sources.telemetry import METRICS
 
 G = Geometry(window=12, stride=2, day=24, repage=6)
@@ -56,3 +57,12 @@ def test_split_run_with_fusion(parts):
     assert set(rows) == {"window_spread", "naive_residual", "max_fusion"}
     assert rows["window_spread"].delta is None and all(rows[n].delta_low <= rows[n].delta <= rows[n].delta_high for n in ("naive_residual", "max_fusion"))
     assert all(r.events > 0 and 0 <= r.detection_rate <= 1 for r in rows.values())
+
+
+def test_page_of_a_split_run(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0.5, 1.0, 0.5, 0.4, 0.1), ("b", 0.75, 2.0, 1.0, 2.5, None)], "detector string, curve_auc double, threshold double, detection_rate double, pages_per_day double, delta double")
+    store.comparison_page(spark, rows, 1.0, str(tmp_path / "page"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "page")).collect() if r.value]
+    assert lines[0] == "# Detectors on a split" and "Best area: b (0.750)." in lines and lines[-1].endswith("b page more often.")
+    assert [x.split(" | ")[0] for x in lines if x.startswith("| ")] == ["| detector", "| b", "| a"] and "| b | 0.750 | 2.000 | 1.000 | 2.500 |  |" in lines
+    store.comparison_page(spark, rows.where("false"), 1.0, str(tmp_path / "none"))

@@ -6,6 +6,7 @@ import argparse
 
 from vantarow import catalogue
 from vantarow.session import session
+from vantarow.sources.files import settings
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -21,11 +22,14 @@ def main(arguments: list[str] | None = None) -> None:
         return
     if not asked.query or not asked.directory:
         parser.error("a query and a directory are needed")
-    result = catalogue.QUERIES[asked.query](session(master=asked.master), asked.directory)
+    spark = session(master=asked.master)
+    # of the session: spark.vantarow.rows, spark.vantarow.truncate
+    shown = settings(spark, {"rows": "20", "truncate": "false"})
+    result = catalogue.QUERIES[asked.query](spark, asked.directory)
     if asked.out:
         result.write.parquet(asked.out)
     else:
-        result.show(20, truncate=False)
+        result.show(int(shown["rows"]), truncate=shown["truncate"].lower() == "true")
 
 
 if __name__ == "__main__":

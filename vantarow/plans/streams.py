@@ -49,3 +49,30 @@ o AS (SELECT thread_id, min(ts) AS opened FROM e WHERE kind = 'opened' GROUP BY
 f AS (SELECT e.thread_id, arg_min(e.kind, (e.ts, e.kind, CAST(e.event_id AS VARCHAR))) AS kind, arg_min(e.event_id, (e.ts, e.kind, CAST(e.event_id AS VARCHAR))) AS event_id, min(e.ts) AS decided, any_value(opened) AS opened FROM e JOIN o USING (thread_id) WHERE e.kind <> 'opened' AND e.ts >= o.opened GROUP BY e.thread_id)
 SELECT thread_id, 2 AS version, CASE kind WHEN 'approve' THEN 'complete' ELSE 'rejected' END AS status, CAST(event_id AS VARCHAR) AS principal FROM f WHERE epoch_ms(decided) - epoch_ms(opened) < 86400000""",
 )(gates)
+
+
+def updates(s: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of updates, written batch by batch as JSON lines and read back."""
+    where = store.workspace(s, "updates")
+    rows = table(s, d, "events").select("event_id", "event_type", "user_id")
+    rows.write.parquet(f"{where}/in")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    store.stream_updates(stream, f"{where}/out", f"{where}/at").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(rows.schema).json(f"{where}/out").select("event_id", "event_type", "user_id")
+
+
+query("streamed_updates", "SELECT event_id, event_type, user_id FROM events")(updates)
+
+
+def page(s: SparkSession, d: str) -> DataFrame:
+    """A report page of events by type, written and read back line by line."""
+    rows = table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value")).orderBy("event_type")
+    where = store.workspace(s, "page")
+    store.write_page(s, "Events", store.markdown_table(rows, ["event_type", "n", "mean_value"]), where)
+    return s.read.text(where).where("value != ''")
+
+
+query(
+    "report_page",
+    "SELECT '# Events' AS value UNION ALL SELECT '| event_type | n | mean_value |' UNION ALL SELECT '|---|---|---|' UNION ALL SELECT '| ' || event_type || ' | ' || count(*) || ' | ' || printf('%.3f', round(avg(value), 6)) || ' |' FROM events GROUP BY event_type",
+)(page)

@@ -100,6 +100,20 @@ def write_page(spark: SparkSession, title: str, body: str, path: str) -> None:
     spark.createDataFrame([(f"# {title}\n\n{body}\n",)], "value string").coalesce(1).write.text(path)
 
 
+def comparison_page(spark: SparkSession, rows: DataFrame, budget: float, path: str) -> None:
+    """Page of a split run's report rows (detector, curve_auc, threshold, detection_rate, pages_per_day, delta): best area first.
+
+    Says which detector is best, what each detects and pages at its threshold, and which differ from the incumbent.
+    """
+    ordered = rows.orderBy(F.desc("curve_auc"), "detector")
+    table_ = markdown_table(ordered, ["detector", "curve_auc", "threshold", "detection_rate", "pages_per_day", "delta"])
+    over = [r["detector"] for r in ordered.where(F.col("pages_per_day") > budget).collect()]
+    best = ordered.first()
+    lines = [f"Best area: {best['detector']} ({best['curve_auc']:.3f})." if best else "No detector was run.", "", table_, ""]
+    lines.append(f"Thresholds were chosen for {budget:g} pages a day; on the test split " + (f"{', '.join(over)} page more often." if over else "none pages more often."))
+    write_page(spark, "Detectors on a split", "\n".join(lines), path)
+
+
 def append_audit(log: DataFrame, entries: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """New entries (log_id, names, and at for their order) behind what a log holds, chained to its last hash.
 
