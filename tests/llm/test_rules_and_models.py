@@ -430,7 +430,21 @@ def brute_licences(rows, least=0.6):
     """TF-IDF cosines by dictionaries, and a walk up the folders."""
     cue = lambda t: any(c in t.lower() for c in licence.CUES)
     terms = lambda t: re.findall(r"[^\W_]+(?:[.][0-9]+)*", t.lower())
-    found = {d: [x.strip(" ") for x in re.split(r"(?<=[.!?])\s+|\n+", t or "") if cue(x)] for d, t, _ in rows}
+    sentences = lambda xs: [y for x in xs for y in re.split(r"(?<=[.!?])\s+", x)]
+
+    def parts(t, path):
+        blocks = [[]]
+        for line in (t or "").split("\n"):  # lines without a letter or digit part blocks
+            if re.search(r"[^\W_]", line):
+                blocks[-1].append(line.rstrip() if not blocks[-1] else re.sub(r"^[\W_]+", "", line).rstrip())
+            elif blocks[-1]:
+                blocks.append([])
+        blocks = [" ".join(b) for b in blocks if b]
+        whole = [" ".join(blocks)] if re.match(licence.FILE_NAMES, path.rsplit("/", 1)[-1]) else []
+        every = sentences((t or "").split("\n")) + sentences(blocks) + [b for b in blocks if len(sentences([b])) > 1] + whole
+        return {re.sub(r"^[\W_]+", "", x).rstrip(" \t\r\n") for x in every if cue(x)}
+
+    found = {d: parts(t, path) for d, t, path in rows}
     every = [x for xs in found.values() for x in xs]
     df = Counter(w for x in every for w in set(terms(x)))
 
@@ -481,6 +495,77 @@ def test_licences_of_a_tree(spark):
     assert sum(x[3] is not None for x in got.values()) > 100
 
 
+#: Textbook notices as files wrap them.
+WRAPPED = (
+    ("Apache-2.0", """/*
+ * Copyright 2021 A. Body
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */
+int main() { return 0; }
+"""),
+    ("BSD-3-Clause", """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions
+// are met:
+// 1. Redistributions of source code must retain the above copyright
+//    notice, this list of conditions and the following disclaimer.
+package x
+"""),
+    ("MIT", """# Permission is hereby granted, free of charge, to any person obtaining a
+# copy of this software and associated documentation files (the "Software"),
+# to deal in the Software without restriction, including without limitation
+# the rights to use, copy, modify, merge, publish, distribute, sublicense,
+# and/or sell copies of the Software, and to permit persons to whom the
+# Software is furnished to do so, subject to the following conditions:
+#
+# The above copyright notice and this permission notice shall be included
+# in all copies or substantial portions of the Software.
+import sys
+"""),
+    ("GPL-3.0", """-- This program is free software: you can redistribute it and/or modify
+-- it under the terms of the GNU General Public License as published by
+-- the Free Software Foundation, either version 3 of the License, or
+-- (at your option) any later version.
+"""),
+    ("MPL-2.0", """;; This Source Code Form is subject to the terms of the Mozilla
+;; Public License, v. 2.0. If a copy of the MPL was not distributed
+;; with this file, you can obtain one.
+"""),
+    ("Proprietary", "<!-- Some Firm, all rights\n  reserved. -->\r\n<p>text</p>"),
+)
+
+
+def test_wrapped_notices(spark):
+    """Headers over several lines, behind comment leaders, alone and in files of other words; as by dictionaries."""
+    r = random.Random(31)
+    rows = []
+    for k in range(60):
+        name, header = WRAPPED[k % len(WRAPPED)]
+        code = "\n".join(" ".join(r.choice(("alpha", "beta;", "x = 1", "the", "of", "licensed")) for _ in range(9)) for _ in range(r.choice((0, 3, 30))))
+        rows.append((k, f"{header}{code}" if k % 2 else header.replace("\n", "\r\n") + code, f"d{k}/a.c" if k % 5 else f"d{k}/LICENSE"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, file string")
+    got = {x.doc_id: (x.licence, x.similarity) for x in licence.scan_licences(df, F.col("file")).collect()}
+    want = brute_licences(rows)
+    assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()} == {k: WRAPPED[k % len(WRAPPED)][0] for k in range(60)}
+    assert not [(k, got[k], want[k]) for k in got if abs(got[k][1] - want[k][1]) > 1e-6]
+
+
+def test_one_long_line_that_speaks_of_licensing(spark):
+    """A notice of three million characters is scored once, and its terms don't carry it along."""
+    words = " ".join(f"w{k % 5000}" for k in range(550_000))
+    df = spark.createDataFrame([(1, f"licensed {words}", "a/LICENSE"), (2, "x\n" * 200_000 + "Released under the MIT License.", "a/b.txt")], "doc_id long, text string, file string")
+    got = {x.doc_id: x.licence for x in licence.scan_licences(df, F.col("file")).collect()}
+    assert got == {1: None, 2: "MIT"}
+
+
 def plain_candidates(text):
     """Runs of sixteen or more token characters of a word with a letter and a digit, found character by character."""
     run = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.~-")
