@@ -66,13 +66,18 @@ def _cued(text: Column, cues=CUES) -> Column:
     return out
 
 
-def _vectors(rows: DataFrame, keys: list[str], df: DataFrame, n: int) -> DataFrame:
-    """Rows of keys, term and weight (tf * idf) with unit norm; terms that no notice has get the largest idf."""
-    tf = rows.select(*keys, F.explode(_terms(F.col("notice"))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = F.log(F.lit(1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
-    weighed = tf.join(df, "term", "left").withColumn("w", F.col("tf") * idf)
-    norm = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norm, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
+def _bags(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys, term and tf of each row's notice, counted in runs of the sorted terms, so that nothing is shuffled."""
+    terms = rows.select(*keys, F.array_sort(_terms(F.col("notice"))).alias("terms")).where(F.size("terms") > 0)
+    ids = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    runs = terms.select(*keys, "terms", ids.alias("first"))
+    run = F.transform("first", lambda at, j: F.struct(F.get("terms", at).alias("term"), (F.coalesce(F.get("first", j + 1), F.size("terms")) - at).alias("tf")))
+    return runs.select(*keys, F.inline(run))
+
+
+def _idf(n: int) -> Column:
+    """Of a term in ``df`` of n notices; terms that no notice has get the largest."""
+    return F.log(F.lit(1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
 
 
 def notices(documents: DataFrame, least: float = 0.6) -> DataFrame:
@@ -94,14 +99,19 @@ def notices(documents: DataFrame, least: float = 0.6) -> DataFrame:
     some = F.array_distinct(F.filter(F.transform(parts, lambda x: F.rtrim(F.regexp_replace(x, r"^[^\p{L}\p{N}]+", ""), F.lit(" \t\r\n"))), lambda x: _cued(x, CUES)))
     found = maybe.select("doc_id", F.explode(some).alias("notice"))
     # a notice can be a whole long text: from here on its hash stands for it
-    found = keep(found.select("doc_id", F.md5("notice").alias("kind"), "notice"), "notices")
+    found = keep(found.select("doc_id", F.xxhash64("notice").alias("kind"), "notice"), "notices")
     kinds = keep(found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("notice").alias("notice")), "kinds")
     n = int(kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    df = kinds.select("n", F.explode(F.array_distinct(_terms(F.col("notice")))).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
-    templates = spark.createDataFrame([(i, licence, text) for i, (licence, text) in enumerate(TEMPLATES)], "template int, licence string, notice string")
-    # the templates' vectors are a table of fixed size
-    known = F.broadcast(_vectors(templates, ["template", "licence"], df, n).select("template", "licence", "term", F.col("w").alias("v")))
-    scores = _vectors(kinds, ["kind"], df, n).join(known, "term").groupBy("kind", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("similarity"))
+    df = _bags(kinds, "n").groupBy("term").agg(F.sum("n").alias("df"))
+    templates = _bags(spark.createDataFrame([(i, licence, text) for i, (licence, text) in enumerate(TEMPLATES)], "template int, licence string, notice string"), "template", "licence")
+    weighed = templates.join(df, "term", "left").withColumn("idf", _idf(n)).withColumn("w", F.col("tf") * F.col("idf"))
+    norm = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # the templates' vectors are a table of fixed size, written once
+    known = F.broadcast(keep(weighed.join(norm, "template").select("template", "licence", "term", (F.col("idf") * F.col("w") / F.col("norm")).alias("v")), "templates"))
+    # products need the templates' terms only, lengths need all: a notice's terms are in one task, so one sum of each is sent
+    dots = _bags(kinds, "kind").join(known, "term").groupBy("kind", "template", "licence").agg(F.sum(F.col("tf") * F.col("v")).alias("dot"))
+    lengths = _bags(kinds, "kind").join(df, "term").withColumn("w", F.col("tf") * _idf(n)).groupBy("kind").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    scores = dots.join(lengths, "kind").select("kind", "template", "licence", (F.col("dot") / F.col("length")).alias("similarity"))
     best = scores.groupBy("kind").agg(F.max(F.struct(F.round("similarity", 9).alias("similarity"), (-F.col("template")).alias("order"), "licence")).alias("b"))
     best = keep(best.where(F.col("b.similarity") >= least).select("kind", F.col("b.licence").alias("licence"), F.col("b.similarity").alias("similarity"), F.col("b.order").alias("order")), "best")
     return (
