@@ -111,6 +111,56 @@ def test_large_groups_of_near_copies_stay_linear(spark, monkeypatch):
     assert max(max(steps[k]) for k in ("forest", "candidates", "keyed", "wanted", "links")) <= 4 * len(texts)
 
 
+def test_columns_with_equal_rows_are_one(spark, monkeypatch):
+    """Pairs of near copies share dozens of columns that hold these two rows alone: one of them is used, and no link is lost."""
+    r = random.Random(12)
+    texts = []
+    for k in range(150):
+        w = [f"p{k}_{i}" for i in range(200)]
+        v = list(w)
+        for j in r.sample(range(200), r.choice((1, 2, 3, 4, 5))):
+            v[j] = f"q{k}_{j}"
+        texts += [" ".join(w), " ".join(v)]
+    cells, kept = [], ngram_join.keep
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "cells":
+            cells.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", counted)
+    assert got_components(spark, texts) == brute_components(texts)
+    assert max(cells) <= 2 * len(texts)
+
+
+def test_the_first_of_columns_with_equal_rows_stays(spark):
+    """The one with the least places; columns over the bound (with a name of their own) all stay, as do parts of one."""
+    columns = [
+        (50, None, 0, 1, [1, 2, 3], [9, 9, 8], [4, 3, 1]), (60, None, 0, 1, [1, 2, 3], [9, 9, 8], [2, 1, 0]), (40, None, 0, 1, [1, 2, 3], [9, 9, 8], [3, 2, 1]),
+        (70, None, 0, 1, [1, 2], [9, 9], [5, 5]),
+        (80, 80, 0, 2, [1, 2, 3], [9, 9, 8], [6, 6, 3]), (80, 80, 1, 2, [1, 2, 3], [9, 9, 8], [6, 6, 3]), (90, 90, 0, 1, [1, 2, 3], [9, 9, 8], [7, 7, 4]),
+    ]
+    got = sorted(tuple(r) for r in ngram_join._unlike(spark.createDataFrame(columns, ngram_join._COLUMNS)).collect())
+    assert got == sorted((g, part, parts, *cell) for k, (g, _, part, parts, *lists) in enumerate(columns) if k not in (0, 2) for cell in zip(*lists))
+
+
+def test_pairs_at_the_threshold(spark):
+    """Similarities of the threshold and just below it."""
+    r = random.Random(13)
+    texts = []
+    for k in range(80):
+        n = r.randrange(40, 90)
+        shared = [f"s{k}_{i}" for i in range(n + 4)]
+        own = n // 4 + r.choice((-1, 0, 0, 1, 2))
+        left = r.randrange(own + 1)
+        texts += [" ".join([f"l{k}_{i}" for i in range(left)] + shared), " ".join(shared + [f"r{k}_{i}" for i in range(own - left)])]
+    want = brute_components(texts)
+    assert 0.2 * len(texts) < sum(c != i for i, (_, c) in want.items()) < 0.45 * len(texts)
+    for settings in ({}, {"dense": 2}, {"column": 2, "everywhere": 2}):
+        assert got_components(spark, texts, **settings) == want
+
+
 def test_components_of_cut_columns(spark):
     """Columns of over eight rows are cut into parts; what lies outside the largest component meets every part."""
     texts = near_copies(60)

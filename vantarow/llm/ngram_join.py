@@ -11,7 +11,7 @@ Groups don't expand into all pairs: documents with equal sets are one row (the c
 a block puts forward a spanning forest of the pairs that no bound excludes. Where a count refutes an edge,
 its tree is looked at again, without that pair, until no tree has a refuted edge. A column that a large
 share of all rows holds is cut into parts; rows outside the component that most of a column belongs to
-then meet every part.
+then meet every part. Of columns with equal rows, as near copies have them by the dozen, one is used.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ MAX_FREQUENT = 1_000_000
 MAX_IDS = 1_000_000
 #: Rows of a column that stand in one task; a column with more is cut into parts.
 MAX_COLUMN = 16_384
+#: Rows of a column that stand in one list; a longer column is several lists.
+PIECE = 1_024
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -166,7 +168,10 @@ def _deal(batches: Iterator[pa.RecordBatch], keys: np.ndarray, hot=None, every:
 
 @lean
 def _meet(batches: Iterator[pa.RecordBatch], num: int, den: int, dense: int, hot=None) -> Iterator[pa.RecordBatch]:
-    """Nonzeros of one block of columns that meet another row within the size bounds; those of cut columns all stay."""
+    """Columns of one block, each with the rows that meet another one within the size bounds; those of cut columns all stay.
+
+    ``own`` tells a column of over ``dense`` rows, or a part of a cut one, from all others; it comes in pieces.
+    """
     grams, docs, sizes, places = [], [], [], []
     for batch in batches:
         for _, g, rows, named, counts, size, place in zip(*(c.to_pylist() for c in batch.columns)):
@@ -193,7 +198,8 @@ def _meet(batches: Iterator[pa.RecordBatch], num: int, den: int, dense: int, hot
     start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (part[1:] != part[:-1])]) if len(g) else np.empty(0, np.int64)
     length = np.diff(np.r_[start, len(g)])
     run, end = np.repeat(length, length), np.repeat(start + length, length)
-    meets = (parts > 1) | (run > dense)
+    long = (parts > 1) | (run > dense)
+    meets = long.copy()
     where = np.flatnonzero(run <= dense)
     for r in range(1, dense):
         where = where[where + r < end[where]]
@@ -203,9 +209,33 @@ def _meet(batches: Iterator[pa.RecordBatch], num: int, den: int, dense: int, hot
         need = -(-num * (size[i] + size[j]) // (num + den))
         fits = (doc[i] != doc[j]) & (size[i] * den >= size[j] * num) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
         meets[i[fits]] = meets[j[fits]] = True
-    for a in range(0, len(g), 1 << 20):
-        m = np.flatnonzero(meets[a : a + (1 << 20)]) + a
-        yield pa.RecordBatch.from_pydict({"gram": g[m].view(np.int64), "part": part[m], "parts": parts[m], "doc": doc[m], "n": size[m], "place": place[m]})
+    m = np.flatnonzero(meets)
+    m = m[np.lexsort((doc[m], part[m], g[m]))]
+    g, part, parts, doc, size, place, long = (x[m] for x in (g, part, parts, doc, size, place, long))
+    start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (part[1:] != part[:-1])]) if len(g) else np.empty(0, np.int64)
+    length = np.diff(np.r_[start, len(g)])
+    start = np.sort(np.concatenate([start, *(np.arange(s + PIECE, s + n, PIECE) for s, n in zip(start[length > PIECE], length[length > PIECE]))]))
+    for a in range(0, len(start), 4096):
+        s = start[a : a + 4096]
+        to = int(start[a + 4096]) if a + 4096 < len(start) else len(g)
+        offsets = pa.array(np.r_[s, to] - s[0], pa.int32())
+        lists = {k: pa.ListArray.from_arrays(offsets, pa.array(x[s[0] : to].astype(kind))) for k, x, kind in (("docs", doc, np.int64), ("sizes", size, np.int32), ("places", place, np.int32))}
+        name = g[s].view(np.int64)
+        yield pa.RecordBatch.from_pydict({"gram": name, "own": pa.array(name, mask=~long[s]), "part": part[s], "parts": parts[s], **lists})
+
+
+_COLUMNS = "gram long, own long, part long, parts long, docs array<long>, sizes array<int>, places array<int>"
+
+
+def _unlike(columns: DataFrame) -> DataFrame:
+    """Cells of the columns, of those with equal rows the first in the order of grams.
+
+    A pair is bounded by the column that it meets first in. An earlier one with the same rows would be an earlier
+    meeting, so that column is never the one left out.
+    """
+    first = columns.groupBy("own", "part", "parts", "docs", "sizes").agg(F.min(F.struct("places", "gram")).alias("first"))
+    cells = first.select("first.gram", "part", "parts", F.inline(F.arrays_zip("docs", "sizes", "first.places")).alias("doc", "n", "place"))
+    return cells.select("gram", "part", "parts", "doc", F.col("n").cast("long"), F.col("place").cast("long"))
 
 
 @lean
@@ -378,8 +408,8 @@ def ngram_components(documents: DataFrame, words: int = 5, num: int = 80, den: i
     copies = keep(rows.select("doc_id", "signature").join(classes, "signature").where("doc_id != class_id").select("doc_id", "class_id").distinct(), "copies")
     heads = rows.where("n > 0").join(_few(copies.select("doc_id")), "doc_id", "left_anti")
     dealt = heads.select("doc_id", "n", "prefix").mapInArrow(partial(_deal, keys=even_keys(spark, partitions(spark)), hot=hot), _DEALT)
-    cells = dealt.repartition(partitions(spark), "block").mapInArrow(partial(_meet, num=num, den=den, dense=dense, hot=hot), "gram long, part long, parts long, doc long, n long, place long")
-    cells = keep(cells, "cells")
+    columns = dealt.repartition(partitions(spark), "block").mapInArrow(partial(_meet, num=num, den=den, dense=dense, hot=hot), _COLUMNS)
+    cells = keep(_unlike(columns), "cells")
     sketches = rows.where("n > 0").join(_few(cells.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "sketch", "wide")
     sketches = keep(sketches.dropDuplicates(["doc"]), "sketches")
     rows = keep(rows.select("doc_id", "n"), "sizes")
