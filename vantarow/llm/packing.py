@@ -12,16 +12,19 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantarow.llm.common import _pieces, keep, lean, packed, scan, texts_of
+from vantarow.llm.common import STEP, _pieces, keep, lean, packed, scan, texts_of
 
-#: Distinct units whose ids a worker remembers.
-MEMO = 1_500_000
+#: Distinct units, and ids of them, that a worker remembers.
+MEMO, MEMO_IDS = 1_500_000, 7_500_000
+#: Units that the tokenizer gets in one call; what it returns takes a hundred times the room of the ids.
+CALL = 4096
 #: Strings that the tokenizer takes whole out of a text; texts with one are encoded in one call.
 _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 _LETTER = np.zeros(256, bool)
@@ -36,34 +39,38 @@ class _Memo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
-        self.begin = self.size = np.empty(0, np.int64)
-        self.pool = np.empty(0, np.uint32)
+        self.begin = self.size = np.empty(0, np.uint32)
+        self.pool = np.empty(0, self.kind)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def at(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Positions of distinct ``keys`` in the memo; unknown ones are encoded in one batch."""
+        """Positions of distinct, sorted ``keys`` in the memo; unknown ones are encoded, a bounded number at a time."""
         at = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
         inner = at < len(self.keys)
         new[inner] = self.keys[at[inner]] != keys[inner]
         if new.any():
-            if len(self.keys) + new.sum() > MEMO and len(self.keys):
+            if len(self.keys) and (len(self.keys) + new.sum() > MEMO or len(self.pool) > MEMO_IDS):
                 self.clear()
                 return self.at(keys, raw, starts, ends)
-            units = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            all_keys = np.concatenate([self.keys, keys[new]])
-            begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes) - sizes])
-            self.pool = np.concatenate([self.pool, np.array([y for x in ids for y in x], np.uint32)])
-            order = np.argsort(all_keys, kind="stable")
-            self.keys, self.begin, self.size = all_keys[order], begin[order], np.concatenate([self.size, sizes])[order]
+            firsts, lasts = starts[new].tolist(), ends[new].tolist()
+            sizes, pool = [], [self.pool]
+            for k in range(0, len(firsts), CALL):
+                units = [raw[a:b].decode() for a, b in zip(firsts[k : k + CALL], lasts[k : k + CALL])]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+                sizes += map(len, ids)
+                pool.append(np.fromiter(chain.from_iterable(ids), self.kind))
+            size = np.array(sizes, np.uint32)
+            begin = len(self.pool) + np.cumsum(size, dtype=np.int64) - size
+            self.pool = np.concatenate(pool)
+            self.keys, self.begin, self.size = (np.insert(old, at[new], more) for old, more in ((self.keys, keys[new]), (self.begin, begin), (self.size, size)))
             at = np.searchsorted(self.keys, keys)
         return at
 
@@ -89,14 +96,14 @@ def _encode(part: np.ndarray, cuts: np.ndarray, memo: _Memo) -> list[np.ndarray]
         return [np.empty(0, np.uint32)] * (len(cuts) - 1)
     keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     at = memo.at(keys, part.tobytes(), starts[first], ends[first])
-    begin, size = memo.begin[at][inverse], memo.size[at][inverse]
+    begin, size = (x[at].astype(np.int64)[inverse] for x in (memo.begin, memo.size))
     ends_at = np.cumsum(size)
-    ids = memo.pool[np.arange(ends_at[-1]) + np.repeat(begin - (ends_at - size), size)]
+    ids = memo.pool[np.arange(ends_at[-1]) + np.repeat(begin - (ends_at - size), size)].astype(np.uint32)
     edges = np.r_[0, ends_at][owner]
     return [ids[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
 
-def token_ids(column: pa.Array, path: str, step: int = 1 << 21) -> Iterator[tuple[int, np.ndarray]]:
+def token_ids(column: pa.Array, path: str, step: int = STEP) -> Iterator[tuple[int, np.ndarray]]:
     """Row and token ids of every text of a column, equal to encoding each whole text."""
     memo = _memo(path)
     data, offs = texts_of(column)
