@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantarow.functions.text import content_words, sentences, tokens
+from vantarow.operators import nearest
 from vantarow.sinks.store import workspace
 
 #: Queries are a stated set: up to this many vectors or terms go to every task, more are taken in blocks.
@@ -277,15 +278,17 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
 
     Queries go to every task in blocks of bounded size; corpus vectors never move but as scored candidates.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // MAX_QUERIES))
+    blocks = max(1, -(-queries.count() // MAX_QUERIES))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(vectors.dtypes)[key]}, score double"
     out = None
     for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", F.col("embedding").alias("__q"))
-        dot = F.aggregate(F.zip_with("embedding", "__q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-        found = top_k(vectors.crossJoin(F.broadcast(part)).select("query_id", key, F.round(dot, 6).alias("score")), k, key)
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding").toArrow().combine_chunks()
+        if not asked.num_rows:
+            continue
+        dots = nearest.Dots(asked["embedding"].combine_chunks(), asked["query_id"].combine_chunks(), k)
+        found = top_k(vectors.select(key, "embedding").mapInArrow(dots, schema), k, key)
         out = found if out is None else out.unionByName(found)
-    return out
+    return vectors.sparkSession.createDataFrame([], f"{schema}, rank int") if out is None else out
 
 
 def rrf(rankings: list[DataFrame], k: int, key: str, constant: int = 60) -> DataFrame:
