@@ -45,3 +45,42 @@ def test_halves_round_as_in_sql():
     x = np.array([0.0000005, -0.0000005, 2.5e-6, 0.1234565, 1.0000005, -3.0000015, 1e300, math.inf, 123456789012.1234567])
     want = [r[0] for r in duckdb.connect().execute("select round(x, 6) from (select unnest(?) as x)", [x.tolist()]).fetchall()]
     assert nearest.rounded(x, 1e6).tolist() == want
+
+
+def test_whole_texts_as_queries(spark, monkeypatch):
+    """Frequent terms go by the dense product, rare ones by postings; copies tie, a null text counts as an empty one."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choice(words[: r.choice((6, 60))]) for _ in range(r.randint(1, 80))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, texts[i % 120]) for i in range(300)] + [(300, None), (301, "")], "vec_id long, text string").repartition(6)
+    queries = docs.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), F.col("text").alias("query"))
+    split = [(t or "").split() for t in ([texts[i % 120] for i in range(300)] + [None, ""])]
+    n, average = len(split), sum(map(len, split)) / len(split)
+    df = {w: sum(w in t for t in split) for w in words}
+    want = set()
+    for q in range(0, 301, 7):
+        scored = []
+        for d, t in enumerate(split):
+            s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / average)) for w in sorted(set(split[q])) if w in t)
+            scored += [(-round(s, 7), d)] if s > 0 else []
+        want |= {(q, d, k) for k, (_, d) in enumerate(sorted(scored)[:20], 1)}
+    for slice_, size, handed_on in ((1 << 21, 1 << 23, 4_000_000), (3_000, 2_000, 0)):
+        monkeypatch.setattr(nearest, "SLICE", slice_)
+        monkeypatch.setattr(nearest, "BYTES", size)
+        monkeypatch.setattr(retrieval, "MAX_HANDED_ON", handed_on)
+        found = retrieval.bm25_search(docs, queries, 20, "vec_id")
+        assert {(x.query_id, x.vec_id, x.rank) for x in found.collect()} == want
+
+
+def test_words_of_batches_are_the_tokens_of_texts(spark):
+    import pyarrow as pa
+
+    from vantarow.functions import text
+    from vantarow.functions.words import words
+
+    texts = ["The  Quick-brown fox7", None, "", "caf\u00e9s \u212aelvin \u0130stanbul \u00c5x", "end", "begin", " - ", "a\nB\t\u4e2dC9", "\u00fc"]
+    want = [r.t or [] for r in spark.createDataFrame(list(enumerate(texts)), "i int, x string").orderBy("i").select(text.tokens(F.col("x")).alias("t")).collect()]
+    for column in (pa.array(texts), pa.array(["pad", *texts])[1:], pa.array([], pa.string()), pa.array([None, None], pa.string())):
+        found, counts = words(column)
+        found, cuts = found.to_pylist(), [0, *counts.cumsum().tolist()]
+        assert [found[a:b] for a, b in zip(cuts, cuts[1:])] == (want if len(column) == len(texts) else [[]] * len(column))

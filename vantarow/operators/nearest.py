@@ -8,8 +8,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Scores that a task holds at a time.
-SLICE = 1 << 21
+from vantarow.functions.words import words
+
+#: Scores, or products of postings and queries, that a task holds at a time; bytes of texts that it cuts into words at a time.
+SLICE, BYTES = 1 << 21, 1 << 23
+#: A term goes by the dense product where the shares of rows and of queries that hold it multiply to this much.
+DENSE = 0.005
 #: Scores are compared as numbers: what ranks above all of them (NaN), infinities inside, and what has none below.
 _MOST = np.finfo(float).max
 
@@ -169,3 +173,96 @@ class Dots:
                 best.add(scores, batch.column(0), exact, slack)
         yield from best.batches(self.ids, name)
 
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, text) cut to a bounded number of bytes, a row at least."""
+    for whole in batches:
+        reach = np.cumsum(pc.binary_length(whole.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < whole.num_rows:
+            b = max(a + 1, int(np.searchsorted(reach, (reach[a - 1] if a else 0) + BYTES, "right")))
+            yield whole.slice(a, b - a)
+            a = b
+
+
+class Words:
+    """Rows (key, text) against the terms of a block of queries: how many rows hold each term, or BM25 scores."""
+
+    def __init__(self, terms: pa.Array) -> None:
+        self.terms = terms
+
+    def postings(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Parts of batches with the lengths of their rows, and row, term and count of each known term in a row, by row."""
+        for batch in parts(batches):
+            found, length = words(batch.column(1))
+            at = pc.index_in(found, value_set=self.terms)
+            known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            code = np.repeat(np.arange(len(length)), length)[known] * max(1, len(self.terms)) + at.drop_null().to_numpy()
+            code, tf = np.unique(code, return_counts=True)
+            yield batch, length, code // max(1, len(self.terms)), code % max(1, len(self.terms)), tf
+
+    def frequencies(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows term (its place), df, counted over a task; at place -1 the rows, at -2 the words of all of them."""
+        df, rows, total = np.zeros(len(self.terms), np.int64), 0, 0
+        for _, length, _, term, _ in self.postings(batches):
+            df += np.bincount(term, minlength=len(df))
+            rows, total = rows + len(length), total + int(length.sum())
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int32()), pa.array([rows, total], pa.int64())], names=["term", "df"])
+        for a in range(0, len(at), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 50_000].astype(np.int32)), pa.array(df[at[a : a + 50_000]])], names=["term", "df"])
+
+
+class Bm25(Words):
+    """The best k rows of each query (term and query of each pair: ``term``, sorted, and ``owner``).
+
+    Terms that many rows and many queries hold go by a dense product, all others by postings. Weights are multiples of a
+    power of two so small that all their sums are exact: equal texts have equal scores, whatever the order of the sum.
+    """
+
+    def __init__(self, terms: pa.Array, ids: pa.Array, term: np.ndarray, owner: np.ndarray, idf: np.ndarray, share: np.ndarray, average: float, k: int, k1: float, b: float, least: np.ndarray | None = None) -> None:
+        super().__init__(terms)
+        self.ids, self.owner, self.idf, self.average, self.k, self.k1, self.b, self.least = ids, owner.astype(np.int32), idf, average, k, k1, b, least
+        self.cuts = np.searchsorted(term, np.arange(len(terms) + 1))
+        most = np.bincount(owner, idf[term] * (k1 + 1), minlength=1).max()
+        self.quantum = 2.0 ** (np.ceil(np.log2(max(most, 1e-9))) - 51)
+        worth = share * np.diff(self.cuts) / max(1, len(ids))
+        order = np.argsort(-worth, kind="stable")[: 2 * SLICE // max(1, len(ids))]
+        self.dense = order[worth[order] >= DENSE]
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, name, times = len(self.ids), "", np.diff(self.cuts)
+        column = np.full(len(self.terms), -1)
+        column[self.dense] = np.arange(len(self.dense))
+        matrix = np.zeros((len(self.dense), n))
+        for i, term in enumerate(self.dense.tolist()):
+            matrix[i, self.owner[self.cuts[term] : self.cuts[term + 1]]] = 1
+        best, step = Best(n, self.k, 1e-9, 5e-324, self.least), max(64, SLICE // max(1, n))
+        for batch, length, row, term, tf in self.postings(batches):
+            name = batch.schema.names[0]
+            weight = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[row] / self.average))
+            weight = np.rint(weight / self.quantum) * self.quantum
+            for a in range(0, batch.num_rows, step):
+                m = min(step, batch.num_rows - a)
+                i, j = np.searchsorted(row, (a, a + m))
+                here, which, w = row[i:j] - a, term[i:j], weight[i:j]
+                place = column[which]
+                often = place >= 0
+                held = np.zeros((m, len(self.dense)))
+                held[here[often], place[often]] = w[often]
+                scores = held @ matrix
+                here, which, w = here[~often], which[~often], w[~often]
+                self._add(scores.reshape(-1), here * n, which, w, times)
+                best.add(scores, batch.column(0).slice(a, m), lambda r, q, raw: raw.round(9))
+        yield from best.batches(self.ids, name)
+
+    def _add(self, scores: np.ndarray, base: np.ndarray, term: np.ndarray, weight: np.ndarray, times: np.ndarray) -> None:
+        """Postings meet their queries in slices of bounded size, however many queries hold a term."""
+        reach = np.cumsum(times[term])
+        edges = np.searchsorted(reach, np.arange(0, (reach[-1] if len(reach) else 0) + SLICE // 2, SLICE // 2), "right")
+        for a, b in zip(edges[:-1].tolist(), [*edges[1:-1].tolist(), len(term)]):
+            each = times[term[a:b]]
+            first = np.cumsum(each) - each
+            at = np.arange(each.sum()) + np.repeat(self.cuts[term[a:b]] - first, each)
+            np.add.at(scores, self.owner[at] + np.repeat(base[a:b], each), np.repeat(weight[a:b], each))

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from html import entities
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +18,8 @@ from vantarow.sinks.store import workspace
 
 #: Queries are a stated set: up to this many vectors or terms go to every task, more are taken in blocks.
 MAX_QUERIES = 10_000
-#: Products of postings and queries that a task holds at a time.
-SLICE = 1 << 21
+#: Beyond so many rows that tasks would hand on, a bound is found first.
+MAX_HANDED_ON = 4_000_000
 
 
 #: Elements whose tags are taken out, by what they leave; any other name in angle brackets is a placeholder that stays.
@@ -183,7 +182,7 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25_weights(docs: DataFrame, key: str = "chunk_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Postings key, term, weight. Document frequency and length come from one pass over the counts each."""
     tf = term_counts(docs, key, text)
-    lengths = docs.select(key, F.size(tokens(F.col(text))).alias("length"))
+    lengths = docs.select(key, F.coalesce(F.array_size(tokens(F.col(text))), F.lit(0)).alias("length"))
     sums = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -191,47 +190,6 @@ def bm25_weights(docs: DataFrame, key: str = "chunk_id", text: str = "text", k1:
     return tf.join(df, "term").join(lengths, key).crossJoin(F.broadcast(sums)).select(key, "term", weight.alias("weight"))
 
 
-class _Scorer:
-    """BM25 of a block of queries over batches of tokenised rows, as the product of two sparse matrices; ties by key."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: np.ndarray, owner: np.ndarray, queries: np.ndarray, average: float, k: int, k1: float, b: float) -> None:
-        self.terms, self.idf, self.queries, self.average, self.k, self.k1, self.b = terms, idf, queries, average, k, k1, b
-        order = np.argsort(ids, kind="stable")
-        self.owner = owner[order]
-        self.cuts = np.searchsorted(ids[order], np.arange(len(terms) + 1))
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, n = pa.array(self.terms, pa.string()), len(self.queries)
-        step = max(64, 4_000_000 // max(1, n))
-        for whole in batches:
-            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-                batch = batch.take(pc.sort_indices(batch.column(0)))
-                column = batch.column(1).fill_null([])
-                length = np.diff(column.offsets.to_numpy())
-                at = pc.index_in(column.flatten(), value_set=vocabulary)
-                known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
-                term = at.drop_null().to_numpy().astype(np.int64)
-                row = np.repeat(np.arange(len(length)), length)[known]
-                code, tf = np.unique(row * len(self.terms) + term, return_counts=True)
-                row, term = code // len(self.terms), code % len(self.terms)
-                weight = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[row] / self.average))
-                score = np.zeros(len(length) * n)
-                reach = np.cumsum(np.diff(self.cuts)[term])
-                # postings meet their queries in slices of bounded size, however many queries hold a term
-                edges = np.searchsorted(reach, np.arange(0, (reach[-1] if len(reach) else 0) + SLICE, SLICE), "right")
-                for a, b in zip(edges[:-1].tolist(), [*edges[1:-1].tolist(), len(term)]):
-                    times = np.diff(self.cuts)[term[a:b]]
-                    first = np.cumsum(times) - times
-                    query = self.owner[np.arange(times.sum()) - np.repeat(first, times) + np.repeat(self.cuts[term[a:b]], times)]
-                    np.add.at(score, np.repeat(row[a:b], times) * n + query, np.repeat(weight[a:b], times))
-                score = score.reshape(-1, n).round(9)
-                best = np.argsort(-score, axis=0, kind="stable")[: self.k]
-                value = np.take_along_axis(score, best, axis=0)
-                keep = np.flatnonzero((value > 0).ravel())
-                which = np.tile(np.arange(n), len(best))[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(self.queries[which]), batch.column(0).take(pa.array(best.ravel()[keep])), pa.array(value.ravel()[keep])], names=["query_id", batch.schema.names[0], "score"])
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Texts are cut and tokenised once: average, frequencies and scores read the same table."""
     path = workspace(df.sparkSession, name)
@@ -243,26 +201,38 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "chunk_i
     """Top k rows of ``docs`` for each query (query_id, query): distinct query terms, positive scores, ties by key.
 
     Only the queries' terms are counted. Queries, a stated set, go to every task in blocks of bounded size; each
-    task scores its own rows and hands on its best k, so no posting of a frequent term is shuffled.
+    task scores its own rows and hands on its best k, so no posting of a frequent term is shuffled. ``docs`` is read
+    two or three times for each block: one that is costly to make should be :func:`written`.
     """
-    rows = written(docs.select(key, tokens(F.col(text)).alias("tokens")), "tokens")
+    rows = docs.select(key, text)
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    sums = rows.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
     schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(docs.dtypes)[key]}, score double"
     blocks, out = max(1, -(-queries.count() // MAX_QUERIES)), None
     for block in range(blocks):
         some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         # two tables of a block of queries: bounded by their terms
-        pairs = some.orderBy("term", "query_id").toArrow()
+        pairs = some.orderBy("term", "query_id").toArrow().combine_chunks()
         if not pairs.num_rows:
             continue
-        terms, ids = np.unique(pairs["term"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-        known, owner = np.unique(pairs["query_id"].to_numpy(zero_copy_only=False), return_inverse=True)
-        vocabulary = docs.sparkSession.createDataFrame([(t,) for t in terms.tolist()], "term string")
-        df = dict(rows.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow().to_pandas().itertuples(index=False, name=None))
-        have = np.array([df.get(t, 0) for t in terms.tolist()], float)
-        scorer = _Scorer(terms.tolist(), np.log(1.0 + (sums[0] - have + 0.5) / (have + 0.5)), ids, owner, known, sums[1] or 1.0, k, k1, b)
-        found = top_k(rows.mapInArrow(scorer, schema), k, key)
+        term, owner = (pc.dictionary_encode(pairs[x].combine_chunks(), null_encoding="encode") for x in ("term", "query_id"))
+        counted = rows.mapInArrow(nearest.Words(term.dictionary).frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        # the last two places are the sums over all rows
+        df = np.zeros(len(term.dictionary) + 2)
+        df[counted["term"].to_numpy()] = counted["df"].to_numpy()
+        count, average, df = df[-1], df[-2] / max(1, df[-1]), df[:-2]
+        idf = np.log(1.0 + (count - df + 0.5) / (df + 0.5))
+
+        def scorer(k: int, least: np.ndarray | None = None) -> nearest.Bm25:
+            return nearest.Bm25(term.dictionary, owner.dictionary, term.indices.to_numpy(), owner.indices.to_numpy(), idf, df / max(1, count), average or 1.0, k, k1, b, least)
+
+        least = None
+        if rows.rdd.getNumPartitions() * len(owner.dictionary) * k > MAX_HANDED_ON:
+            # what the k-th best of a sixteenth of the rows reaches, the k-th best of all reaches: tasks hand on no row below it
+            part = top_k(rows.where(F.pmod(F.xxhash64(key), F.lit(16)) == 0).mapInArrow(scorer(k), schema), k, key).where(F.col("rank") == k).toArrow()
+            at = pc.index_in(part["query_id"], value_set=owner.dictionary).to_numpy()
+            least = np.full(len(owner.dictionary), -np.inf)
+            least[at] = part["score"].to_numpy()
+        found = top_k(rows.mapInArrow(scorer(k, least), schema), k, key)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], f"{schema}, rank int") if out is None else out
 
