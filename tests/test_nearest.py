@@ -84,3 +84,32 @@ def test_words_of_batches_are_the_tokens_of_texts(spark):
         found, counts = words(column)
         found, cuts = found.to_pylist(), [0, *counts.cumsum().tolist()]
         assert [found[a:b] for a, b in zip(cuts, cuts[1:])] == (want if len(column) == len(texts) else [[]] * len(column))
+
+
+def test_grams_in_bulk_are_those_of_each_text(monkeypatch):
+    import hashlib
+
+    r = random.Random(1)
+    texts = ["", "a", "ab", "abc ", "中文 text", "x\U0001f600yz", "\x00nul\x00", *("".join(r.choice("abcdefgh 0123é") for _ in range(r.randint(0, 200))) for _ in range(60))]
+    for dimensions, gram in ((64, 4), (32, 2), (16, 6)):
+        grams, want = retrieval._Grams(dimensions, gram), []
+        for t in texts:
+            padded, row = f" {t.lower()} ", [0.0] * dimensions
+            for i in range(len(padded) - gram + 1):
+                row[int.from_bytes(hashlib.blake2b(padded[i : i + gram].encode(), digest_size=4).digest(), "little") % dimensions] += 1
+            want.append(row)
+        for _ in range(2):  # of new grams and of known ones
+            assert grams.counts(texts).tolist() == want and [grams.counts([t]).tolist()[0] for t in texts] == want
+
+
+def test_one_search_for_each_ranking_and_one_pass_of_texts(spark, tmp_path, monkeypatch):
+    """What metrics and intervals read again is read from tables: neither texts nor vectors are gone through for them."""
+    docs = spark.createDataFrame([(i, f"x one two word{i} three four y") for i in range(20)] + [(50, "zz"), (51, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "one two word7 three four"), (2, "zz"), (3, "never there at all"), (4, None), (5, "two word7 three")], "query_id long, query string")
+    relevant = retrieval.holding(docs, asked)
+    assert "Join" not in relevant._jdf.queryExecution().toString() and sorted(map(tuple, relevant.collect())) == [(1, 7), (2, 50), (5, 7)]
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 2)
+    assert sorted(map(tuple, retrieval.holding(docs, asked).collect())) == [(1, 7), (2, 50), (5, 7)]
+    hits = spark.createDataFrame([(1, 7, 1), (2, 1, 1), (2, 50, 2)], "query_id long, doc_id long, rank int").repartition(3)
+    row = retrieval.ablation({"a": hits, "b": hits}, relevant, (1, 3), replicates=20)
+    assert "MapInArrow" not in row._jdf.queryExecution().toString() and row.first().mrr == 0.5

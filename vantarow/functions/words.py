@@ -30,6 +30,6 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     begins = edges[:-1][edges[:-1] < len(low)]
     first[begins] = inside[begins]  # a text begins anew
     start = np.flatnonzero(first)
-    place = np.append(np.cumsum(inside, dtype=np.int64)[start] - 1, np.count_nonzero(inside)).astype(np.int32)
+    place = np.append(np.cumsum(inside, dtype=np.int32)[start] - 1, np.count_nonzero(inside)).astype(np.int32)
     found = pa.StringArray.from_buffers(len(start), pa.py_buffer(place), pa.py_buffer(low[inside]))
     return found, np.diff(np.searchsorted(start, edges))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from vantarow.functions.words import words
 
 #: Scores, or products of postings and queries, that a task holds at a time; bytes of texts that it cuts into words at a time.
-SLICE, BYTES = 1 << 21, 1 << 23
+SLICE, BYTES = 1 << 21, 1 << 22
 #: A term goes by the dense product where the shares of rows and of queries that hold it multiply to this much.
 DENSE = 0.005
 #: Scores are compared as numbers: what ranks above all of them (NaN), infinities inside, and what has none below.
@@ -130,7 +130,9 @@ class Dots:
         best, step = Best(n, self.k, 1e-6, -np.inf), max(64, SLICE // max(1, n))
         for whole in batches:
             name = whole.schema.names[0]
-            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+            width = len(whole.column(1).flatten()) // max(1, whole.num_rows)
+            few = max(64, min(step, SLICE // 2 // max(1, width)))
+            for batch in (whole.slice(i, few) for i in range(0, whole.num_rows, few)):
                 rows = _Vectors(batch.column(1))
 
                 def in_order(row: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -266,3 +268,45 @@ class Bm25(Words):
             first = np.cumsum(each) - each
             at = np.arange(each.sum()) + np.repeat(self.cuts[term[a:b]] - first, each)
             np.add.at(scores, self.owner[at] + np.repeat(base[a:b], each), np.repeat(weight[a:b], each))
+
+
+class Held(Words):
+    """Which passages the rows (key, text) hold: by the rarest inner word of each, then by text."""
+
+    def __init__(self, ids: pa.Array, passages: pa.Array) -> None:
+        found, length = words(passages)
+        found = found.dictionary_encode()
+        super().__init__(found.dictionary)
+        self.ids, self.passages = ids, passages.to_pylist()
+        end = np.cumsum(length)
+        places = found.indices.to_numpy()
+        self.inner = [places[b - n + 1 : b - 1] for b, n in zip(end.tolist(), length.tolist())]
+        self.short = np.flatnonzero(length < 3).tolist()
+
+    def by_rarest(self, term: np.ndarray, df: np.ndarray) -> Held:
+        """With the frequencies of terms; a passage with an inner word that no row has is nowhere."""
+        count = np.zeros(len(self.terms), np.int64)
+        count[term] = df
+        terms = np.array(self.terms.to_pylist(), object)
+        self.at: dict[int, list[int]] = {}
+        for i, inner in enumerate(self.inner):
+            if len(inner):
+                least = inner[count[inner] == count[inner].min()]
+                self.at.setdefault(int(least[0]), []).append(i)
+        # only those words are looked for
+        used = sorted(self.at)
+        self.at = {place: self.at[x] for place, x in enumerate(used)}
+        self.terms = pa.array(terms[used].tolist(), pa.string())
+        self.inner = []
+        return self
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, row, term, _ in self.postings(batches):
+            texts, pairs = batch.column(1), []
+            for r, t in zip(row.tolist(), term.tolist()):
+                text = texts[r].as_py()
+                pairs += [(i, r) for i in self.at[t] if self.passages[i] in text]
+            for i in self.short:
+                pairs += [(i, r) for r in np.flatnonzero(pc.match_substring(texts, self.passages[i]).fill_null(False).to_numpy(zero_copy_only=False)).tolist()]
+            query, at = (pa.array(x, pa.int64()) for x in (zip(*pairs) if pairs else ((), ())))
+            yield pa.RecordBatch.from_arrays([self.ids.take(query), batch.column(0).take(at)], names=["query_id", batch.schema.names[0]])

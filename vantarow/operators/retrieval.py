@@ -7,7 +7,7 @@ from collections.abc import Callable
 from html import entities
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -294,26 +294,82 @@ def retrieval_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...]
     return per_query.agg(*out)
 
 
+class _Grams:
+    """Buckets of character n-grams by blake2b, little-endian, modulo the dimensions; a worker remembers those it met last."""
+
+    def __init__(self, dimensions: int, gram: int) -> None:
+        self.dimensions, self.gram = dimensions, gram
+        self.known, self.place = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20, np.int32)
+
+    def _bucket(self, gram: str) -> int:
+        return int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=4).digest(), "little") % self.dimensions
+
+    def _of_codes(self, codes: np.ndarray) -> np.ndarray:
+        """Of grams of up to four characters below 65,536, packed; no gram of spaces or letters is 0."""
+        slot = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        out = self.place[slot]
+        missed = np.flatnonzero(self.known[slot] != codes)
+        if len(missed):
+            new, inverse = np.unique(codes[missed], return_inverse=True)
+            chars = (new[:, None] >> np.arange(16 * (self.gram - 1), -1, -16).astype(np.uint64)).astype(np.uint16).astype("<u4")
+            text = chars.tobytes().decode("utf-32-le")
+            made = np.array([self._bucket(text[i : i + self.gram]) for i in range(0, len(text), self.gram)], np.int32)
+            out[missed] = made[inverse]
+            at = ((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+            # of grams of one slot the last one stays; the code 0 is never kept, as empty slots have it
+            at, kept = np.unique(at[::-1], return_index=True)
+            kept = len(new) - 1 - kept
+            self.known[at], self.place[at] = new[kept], made[kept]
+        return out
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        padded = [f" {x.lower()} " for x in texts]
+        length = np.array([len(x) for x in padded], np.int64)
+        places = np.maximum(0, length - self.gram + 1)
+        chars = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4")
+        begin = np.repeat(np.cumsum(length) - length - (np.cumsum(places) - places), places) + np.arange(places.sum())
+        if self.gram <= 4 and chars.min() > 0 and chars.max() < 1 << 16:
+            codes = np.zeros(max(0, len(chars) - self.gram + 1), np.uint64)
+            for i in range(self.gram):
+                codes = (codes << np.uint64(16)) | chars[i : i + len(codes)]
+            bucket = self._of_codes(codes[begin])
+        else:
+            whole = "".join(padded)
+            grams, inverse = np.unique(np.array([whole[a : a + self.gram] + "|" for a in begin.tolist()], dtype=f"<U{self.gram + 1}"), return_inverse=True)
+            bucket = np.array([self._bucket(g[:-1]) for g in grams.tolist()], np.int64)[inverse]
+        row = np.repeat(np.arange(len(padded)), places)
+        return np.bincount(row * self.dimensions + bucket, minlength=len(padded) * self.dimensions).reshape(-1, self.dimensions).astype(np.float32)
+
+
+_GRAMS: dict[tuple[int, int], _Grams] = {}
+
+
 def hash_embedding(dimensions: int = 512, gram: int = 4):
     """Unit vectors of hashed character n-grams (blake2b, little-endian, modulo the dimensions), as an Arrow function.
 
-    A batch hashes each distinct gram once; counts and norms are array operations over all its rows.
+    Counts and norms are array operations over the rows of a batch; a worker hashes a gram once while it remembers it.
     """
 
-    @F.pandas_udf("array<float>")
-    def embed(text: pd.Series) -> pd.Series:
-        padded = [f" {x.lower()} " for x in text.fillna("")]
-        places = np.array([max(0, len(x) - gram + 1) for x in padded], np.int64)
-        grams, inverse = np.unique(np.array([x[i : i + gram] for x, n in zip(padded, places) for i in range(n)], dtype=f"<U{gram}"), return_inverse=True)
-        bucket = np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=4).digest(), "little") % dimensions for g in grams.tolist()], np.int64)
-        row = np.repeat(np.arange(len(padded)), places)
-        counts = np.bincount(row * dimensions + bucket[inverse], minlength=len(padded) * dimensions).reshape(-1, dimensions).astype(np.float32)
-        norm = np.linalg.norm(counts, axis=1, keepdims=True)
-        return pd.Series(list(np.divide(counts, norm, out=counts, where=norm > 0)), dtype=object)
+    @F.arrow_udf("array<float>")
+    def embed(text: pa.Array) -> pa.Array:
+        grams = _GRAMS.get((dimensions, gram)) or _GRAMS.setdefault((dimensions, gram), _Grams(dimensions, gram))
+        texts, out = text.fill_null("").to_numpy(zero_copy_only=False).tolist(), []
+        for a in range(0, len(texts), 500):
+            counts = grams.counts(texts[a : a + 500])
+            norm = np.linalg.norm(counts, axis=1, keepdims=True)
+            out.append(np.divide(counts, norm, out=counts, where=norm > 0))
+        return as_lists(out)
 
     return embed
 
 
+def as_lists(blocks: list[np.ndarray]) -> pa.Array:
+    """Rows of matrices as a column of lists."""
+    length = np.concatenate([np.full(len(x), x.shape[1]) for x in blocks]) if blocks else np.zeros(0, int)
+    flat = np.concatenate([x.reshape(-1) for x in blocks]) if blocks else np.zeros(0, np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(flat))
+
+
 def hybrid_search(rankings: dict[str, DataFrame], k: int, key: str, constant: int = 60) -> DataFrame:
     """Fused ranking of several searches, each to its own depth; see :func:`rrf`."""
     return rrf(list(rankings.values()), k, key, constant)
@@ -325,9 +381,13 @@ def no_rerank(hits: DataFrame, k: int, key: str) -> DataFrame:
 
 
 def ablation(configurations: dict[str, DataFrame], relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), replicates: int = 2000) -> DataFrame:
-    """Metrics of several configurations (hits: query_id, doc_id, rank) side by side, with intervals of their hit rates."""
-    out = None
+    """Metrics of several configurations (hits: query_id, doc_id, rank) side by side, with intervals of their hit rates.
+
+    Relevant documents and hits, a few for each query, are written once: metrics and intervals read them several times.
+    """
+    relevant, out = written(relevant, "relevant"), None
     for name, hits in configurations.items():
+        hits = written(hits.select("query_id", "doc_id", "rank"), "hits")
         row = retrieval_metrics(hits, relevant, ks).crossJoin(hit_intervals(hits, relevant, ks, replicates)).select(F.lit(name).alias("configuration"), "*")
         out = row if out is None else out.unionByName(row)
     return out
@@ -354,17 +414,21 @@ def holding(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """Pairs (query_id, doc_id) of passages (query_id, query) and the documents that hold their text.
 
     Candidates meet on the rarest inner token of each passage, which a document that holds it has as a token of
-    its own; then texts are compared. Passages of fewer than three tokens are compared with all documents.
+    its own; then texts are compared. Passages of fewer than three tokens are compared with all documents. Passages, a
+    stated set, go to every task in blocks of bounded size, so no text is shuffled. ``documents`` is read twice.
     """
-    asked = passages.select("query_id", "query", tokens(F.col("query")).alias("t"))
-    inner = asked.where("size(t) >= 3").select("query_id", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term"))
-    words = documents.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    counts = words.join(F.broadcast(inner.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = inner.join(counts, "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("r")).select("query_id", F.col("r.term").alias("term"))
-    found = words.join(F.broadcast(rarest), "term").select("query_id", "doc_id")
-    long = found.join(documents.select("doc_id", "text"), "doc_id").join(F.broadcast(passages), "query_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
-    short = F.broadcast(asked.where("size(t) < 3").select("query_id", "query"))
-    return long.unionByName(documents.join(short, F.col("text").contains(F.col("query"))).select("query_id", "doc_id")).distinct()
+    rows = documents.select("doc_id", "text")
+    schema = f"query_id {dict(passages.dtypes)['query_id']}, doc_id {dict(documents.dtypes)['doc_id']}"
+    blocks, out = max(1, -(-passages.count() // MAX_QUERIES)), None
+    for block in range(blocks):
+        some = passages.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).where("query is not null").select("query_id", "query").toArrow().combine_chunks()
+        if not some.num_rows:
+            continue
+        held = nearest.Held(some["query_id"].combine_chunks(), some["query"].combine_chunks())
+        counted = rows.mapInArrow(held.frequencies, "term int, df long").where("term >= 0").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        found = rows.mapInArrow(held.by_rarest(counted["term"].to_numpy(), counted["df"].to_numpy()), schema)
+        out = found if out is None else out.unionByName(found)
+    return documents.sparkSession.createDataFrame([], schema) if out is None else out.distinct()
 
 
 def groundedness_sentences(answers: DataFrame, least: int = 3) -> DataFrame:

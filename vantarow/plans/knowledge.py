@@ -180,8 +180,9 @@ def configurations(s: SparkSession, d: str) -> dict[str, DataFrame]:
     """Lexical, dense (hashed n-grams) and fused rankings of the chunks for the benchmark's items, ten each."""
     chunks, queries = chunked(s, d), test_queries(s, d)
     embed = retrieval.hash_embedding()
-    lexical = retrieval.bm25_search(chunks.select("chunk_id", "text"), queries, 50)
-    dense = retrieval.dense_search(chunks.select("chunk_id", embed("text").alias("embedding")), queries.select("query_id", embed("query").alias("embedding")), 50, "chunk_id")
+    # both rankings are read alone and fused
+    lexical = retrieval.written(retrieval.bm25_search(chunks.select("chunk_id", "text"), queries, 50), "lexical")
+    dense = retrieval.written(retrieval.dense_search(chunks.select("chunk_id", embed("text").alias("embedding")), queries.select("query_id", embed("query").alias("embedding")), 50, "chunk_id"), "dense")
     fused = retrieval.hybrid_search({"lexical": lexical, "dense": dense}, 10, "chunk_id")
     named = {"bm25": retrieval.no_rerank(lexical, 10, "chunk_id"), "dense": retrieval.no_rerank(dense, 10, "chunk_id"), "hybrid": fused}
     return {k: v.join(chunks.select("chunk_id", "doc_id"), "chunk_id") for k, v in named.items()}
