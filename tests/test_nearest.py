@@ -113,3 +113,17 @@ def test_one_search_for_each_ranking_and_one_pass_of_texts(spark, tmp_path, monk
     hits = spark.createDataFrame([(1, 7, 1), (2, 1, 1), (2, 50, 2)], "query_id long, doc_id long, rank int").repartition(3)
     row = retrieval.ablation({"a": hits, "b": hits}, relevant, (1, 3), replicates=20)
     assert "MapInArrow" not in row._jdf.queryExecution().toString() and row.first().mrr == 0.5
+
+
+def test_totals_of_words_move_no_posting(spark):
+    docs = spark.createDataFrame([(f"c{i}", " ".join(f"w{i % j}" for j in range(1, 12)) * (1 + i % 3)) for i in range(40)] + [("n", None), ("e", "")], "chunk_id string, text string").repartition(3)
+    found = retrieval.bm25_totals(docs)
+    assert "chunk_id" not in str(found._jdf.queryExecution().optimizedPlan()).split("MapInArrow")[0]
+    got = {r.term: (r.df, r.total) for r in found.collect()}
+    weights = retrieval.bm25_weights(docs).collect()
+    split = {r.chunk_id: (r.text or "").split() for r in docs.collect()}
+    average, n = sum(map(len, split.values())) / len(split), len(split)
+    df = {w: sum(w in t for t in split.values()) for w in {w for t in split.values() for w in t}}
+    want = {(c, w): math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / average)) for c, t in split.items() for w in set(t)}
+    assert len(weights) == len(want) and all(abs(r.weight - want[r.chunk_id, r.term]) < 1e-9 for r in weights)
+    assert set(got) == set(df) and all(got[w][0] == df[w] and abs(got[w][1] - sum(v for (_, x), v in want.items() if x == w)) < 1e-9 for w in df)

@@ -310,3 +310,28 @@ class Held(Words):
                 pairs += [(i, r) for r in np.flatnonzero(pc.match_substring(texts, self.passages[i]).fill_null(False).to_numpy(zero_copy_only=False)).tolist()]
             query, at = (pa.array(x, pa.int64()) for x in (zip(*pairs) if pairs else ((), ())))
             yield pa.RecordBatch.from_arrays([self.ids.take(query), batch.column(0).take(at)], names=["query_id", batch.schema.names[0]])
+
+
+class Saturated:
+    """Weights of words in rows (key, text) without the idf: each posting's, or their sums by word."""
+
+    def __init__(self, average: float, k1: float, b: float) -> None:
+        self.average, self.k1, self.b = average, k1, b
+
+    def _of(self, batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        found, length = words(batch.column(1))
+        found = found.dictionary_encode()
+        size = max(1, len(found.dictionary))
+        code, tf = np.unique(np.repeat(np.arange(len(length)), length) * size + found.indices.to_numpy(), return_counts=True)
+        row, term = code // size, code % size
+        return found.dictionary, row, term, tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[row] / self.average))
+
+    def sums(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            terms, _, term, sat = self._of(batch)
+            yield pa.RecordBatch.from_arrays([terms, pa.array(np.bincount(term, minlength=len(terms))), pa.array(np.bincount(term, sat, minlength=len(terms)))], names=["term", "df", "sat"])
+
+    def postings(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            terms, row, term, sat = self._of(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), terms.take(pa.array(term)), pa.array(sat)], names=[batch.schema.names[0], "term", "sat"])

@@ -179,15 +179,34 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _measured(docs: DataFrame, key: str, text: str) -> tuple[int, float]:
+    """How many rows there are, and the mean number of words."""
+    none = pa.array([], pa.string())
+    sums = dict(docs.select(key, text).mapInArrow(nearest.Words(none).frequencies, "term int, df long").groupBy("term").agg(F.sum("df")).collect())
+    return sums.get(-1, 0), sums.get(-2, 0) / max(1, sums.get(-1, 0)) or 1.0
+
+
+def _idf(n: int) -> Column:
+    return F.log(1.0 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def bm25_totals(docs: DataFrame, key: str = "chunk_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Rows term, df, total: in how many rows it is and its weights of all rows. ``docs`` is read twice.
+
+    The idf is a factor of all weights of a term, so tasks send sums for each term and no posting is shuffled.
+    """
+    n, average = _measured(docs, key, text)
+    sums = docs.select(key, text).mapInArrow(nearest.Saturated(average, k1, b).sums, "term string, df long, sat double").groupBy("term").agg(F.sum("df").alias("df"), F.sum("sat").alias("sat"))
+    return sums.select("term", "df", (_idf(n) * F.col("sat")).alias("total"))
+
+
 def bm25_weights(docs: DataFrame, key: str = "chunk_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Postings key, term, weight. Document frequency and length come from one pass over the counts each."""
-    tf = term_counts(docs, key, text)
-    lengths = docs.select(key, F.coalesce(F.array_size(tokens(F.col(text))), F.lit(0)).alias("length"))
-    sums = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    return tf.join(df, "term").join(lengths, key).crossJoin(F.broadcast(sums)).select(key, "term", weight.alias("weight"))
+    """Postings key, term, weight. Counts are made inside rows; postings move once, to the frequency of their term. ``docs`` is read three times."""
+    n, average = _measured(docs, key, text)
+    made = nearest.Saturated(average, k1, b)
+    rows = docs.select(key, text)
+    df = rows.mapInArrow(made.sums, "term string, df long, sat double").groupBy("term").agg(F.sum("df").alias("df"))
+    return rows.mapInArrow(made.postings, f"{key} {dict(docs.dtypes)[key]}, term string, sat double").join(df, "term").select(key, "term", (_idf(n) * F.col("sat")).alias("weight"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -80,7 +80,7 @@ def _bm25(k: int) -> str:
 
 
 query("bm25_weights", f"WITH {_bm25(10)} SELECT term, count(*) AS chunks, round(sum(weight), 6) AS total FROM post GROUP BY term")(
-    lambda s, d: retrieval.bm25_weights(chunked(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.sum("weight"), 6).alias("total"))
+    lambda s, d: retrieval.bm25_totals(chunked(s, d)).select("term", F.col("df").alias("chunks"), F.round("total", 6).alias("total"))
 )
 
 
