@@ -62,3 +62,27 @@ def test_searches_compose(spark):
     assert (1, "c09") in lexical and all(q in (1, 2) for q, _ in lexical)
     found = Reranked(Fused((Lexical(), Dense(WORDS)), 20), SHARED, 20).search(chunks, queries.where("query_id = 1"), 2).orderBy("rank").collect()
     assert found[0].chunk_id == "c09" and found[0].score == 1.0 and [r.rank for r in found] == [1, 2]
+
+
+def test_words_are_hashed_once_while_remembered(monkeypatch):
+    import hashlib
+    import re
+
+    texts = [f"Disk {i} full, quota-{i % 7} exceeded {'pad ' * (i % 5)}" for i in range(90)] + ["", "café Kelvin"]
+    want = np.zeros((len(texts), 48), np.float32)
+    for i, t in enumerate(texts):
+        for word in re.findall("[a-z0-9]+", t.lower()):
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            want[i, h % 48] += 1 if h >> 63 else -1
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    want = np.divide(want, norm, out=want, where=norm > 0)
+    asked, plain = [], hashlib.blake2b
+    monkeypatch.setattr(plugins.hashlib, "blake2b", lambda x, **more: asked.append(x) or plain(x, **more))
+    for most in (1 << 18, 20):
+        monkeypatch.setattr(plugins, "MAX_WORDS", most)
+        model = HashedWords(48)
+        asked.clear()
+        for _ in range(2):
+            assert np.array_equal(model.encode(texts), want)
+            if most > 20:
+                assert len(asked) == len(set(asked))

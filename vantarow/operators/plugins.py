@@ -17,9 +17,11 @@ from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantarow.functions.words import words
 from vantarow.operators import retrieval
 
 
@@ -41,6 +43,8 @@ class Search(Protocol):
 
 
 _LOADED: dict[str, object] = {}
+#: Words whose hashes a worker remembers.
+MAX_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -64,13 +68,13 @@ class Plugin:
 def encode(df: DataFrame, text: str, to: str, plugin: Plugin, batch: int = 64) -> DataFrame:
     """``df`` with the encoder's vector of column ``text``; a null text is encoded as an empty one."""
 
-    @F.pandas_udf("array<float>")
-    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def vectors(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = plugin.load()
         for part in parts:
-            texts = part.fillna("").tolist()
+            texts = part.fill_null("").to_numpy(zero_copy_only=False).tolist()
             made = [np.asarray(model.encode(texts[a : a + batch]), np.float32) for a in range(0, len(texts), batch)]
-            yield pd.Series([row for block in made for row in block], dtype=object)
+            yield retrieval.as_lists(made)
 
     return df.withColumn(to, vectors(F.col(text)))
 
@@ -142,14 +146,25 @@ class HashedWords:
     """Unit vectors of counts of words, each at a place and with a sign from its hash."""
 
     def __init__(self, dimensions: int = 256) -> None:
-        self.dimensions = dimensions
+        self.dimensions, self.places = dimensions, {}
+
+    def _hashed(self, words: list[str]) -> list[int]:
+        """Twice the place of each word, one more if it counts up; words met before are remembered."""
+        new = [x for x in words if x not in self.places]
+        if len(self.places) + len(new) > MAX_WORDS:
+            self.places.clear()
+            new = words
+        for word in new:
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            self.places[word] = h % self.dimensions * 2 + (h >> 63)
+        return [self.places[x] for x in words]
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimensions), np.float32)
-        for i, text in enumerate(texts):
-            for word in re.findall("[a-z0-9]+", text.lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dimensions] += 1 if h >> 63 else -1
+        found, length = words(pa.array(texts, pa.string()))
+        found = found.dictionary_encode()
+        place = np.array(self._hashed(found.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64)[found.indices.to_numpy()]
+        at = np.repeat(np.arange(len(texts)), length) * self.dimensions + place // 2
+        out = np.bincount(at, place % 2 * 2 - 1, minlength=len(texts) * self.dimensions).reshape(len(texts), self.dimensions).astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 
